@@ -18,12 +18,11 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        to = os.path.join(folder, "larkspur.zip")
-        with zipfile.ZipFile(to, "w") as out:
-            for path in sorted(root.rglob("*.py")):
-                out.write(path, str(path.relative_to(root.parent)))
-        spark.sparkContext.addPyFile(to)
+    to = os.path.join(tempfile.mkdtemp(prefix="spark-larkspur-"), "larkspur.zip")  # stays: executors fetch it as they start
+    with zipfile.ZipFile(to, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, str(path.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(to)
     _shipped.add(app)
 
 
