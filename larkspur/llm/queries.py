@@ -2,26 +2,71 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontaminate, packing, pii, simhash, warc
+
+
+#: Pages have no capture time: page n is taken as captured n seconds after this one (Unix seconds of 2024-01-01).
+FIRST_CAPTURE = 1_704_067_200
+
+
+def tokenizer_files() -> dict[str, str]:
+    """Where the public vocabulary lies; nothing of it is copied."""
+    import public_tokenizers
+
+    return {"json_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").withColumn("captured", F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.col("page_id")))
+    return warc.archive_and_index(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.identifiers(_table(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), **tokenizer_files())
+
+
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
+
+
+#: A SHA-1 in base 32: four digits from each 20 bits.
+_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(sha1(h), (i // 4) * 5 + 1, 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '')"""
+
+SQL = {
+    "op1_warc_index_merge": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest FROM p),
+             m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM m""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
