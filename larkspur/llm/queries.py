@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality_rules, simhash, url_filter, warc
+from . import decontaminate, langid, licenses, packing, pii, quality_gbt, quality_rules, simhash, url_filter, warc
 
 
 #: Pages have no capture time: page n is taken as captured n seconds after this one (Unix seconds of 2024-01-01).
@@ -47,6 +47,24 @@ def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    models = langid.dictionaries(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs, models).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: those of a source lie 64 to a directory, 64 directories to one above; the first of each is its LICENSE."""
+    n, name = F.col("doc_id"), F.when(F.col("doc_id") % 64 == 0, F.lit("LICENSE")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    upper = F.concat_ws("/", "source", F.floor(n / 4096))
+    path = F.when(n % 4096 == 0, F.concat_ws("/", upper, name)).otherwise(F.concat_ws("/", upper, F.floor(n / 64), name))
+    return licenses.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
+
+
+def op8_histogram_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbt.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: verdict, host, path of the contract's rules.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: Hosts of spam, betting and adult content; a listed host stands for its subdomains too.
