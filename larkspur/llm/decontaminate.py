@@ -39,6 +39,7 @@ UNITS = "% percent mm cm m km inch inches foot feet yard yards mile miles meter
 
 _NUMBERS, _UNITS = frozenset(NUMBER_WORDS.split()), frozenset(UNITS.split())
 _EDGE = re.compile(r"^[^\w%]+|[^\w%]+$")
+_MARKS = "!\"#$&'()*+,-./:;<=>?@[\\]^`{|}~"
 _NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*(?:%|[a-z]{1,3}|st|nd|rd|th)?")
 _WORD, _NUM, _UNIT = 0, 1, 2
 _TYPES = np.array([xxhash.xxh64_intdigest(x) for x in (b"", b"<num>", b"<unit>", b"<name>")], np.uint64)
@@ -55,7 +56,9 @@ class _Words(dict):
         n = len(self)
         if n == len(self.hashes):
             self.hashes, self.flags = np.concatenate([self.hashes, self.hashes]), np.concatenate([self.flags, self.flags])
-        bare = _EDGE.sub("", word)
+        bare = word.strip(_MARKS)
+        if not bare.isalnum():
+            bare = _EDGE.sub("", word)
         low = bare.lower()
         kind = _NUM if low in _NUMBERS or _NUMBER.fullmatch(low) else _UNIT if low in _UNITS else _WORD
         self.hashes[n] = xxhash.xxh64_intdigest(low.encode())
