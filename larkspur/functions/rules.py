@@ -171,7 +171,7 @@ def relative_age(seconds: Column) -> Column:
 
 def csv_list(c: Column) -> Column:
     """FN-30: comma-separated values, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clamp(c: Column, low: float, high: float) -> Column:

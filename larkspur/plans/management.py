@@ -1 +1,109 @@
-"""Queries."""
+"""Data management over the event view."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larkspur.operators import manage
+from larkspur.plans import plan
+from larkspur.plans.sql import EVENTS
+from larkspur.plans.store import FILES, files
+from larkspur.sources.events import events_view as events
+
+NOW = "2024-01-31 00:00:00"
+
+
+@plan("snk_02_upsert", f"WITH {EVENTS} SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'seen' ELSE label END AS label FROM e")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "label")
+    return manage.upsert(rows, rows.where("event_id % 9 = 0").withColumn("label", F.lit("seen")), "event_id")
+
+
+@plan("snk_03_label_edit", f"WITH {EVENTS} SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'motion' WHEN event_id % 6 = 3 THEN CASE WHEN label IN ('cat', 'fox') THEN label ELSE 'cat' END ELSE label END AS top_label FROM e")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "labels", "top_label")
+    none, new = F.array().cast("array<string>"), F.array(F.lit("cat"), F.lit("fox"))
+    edits = rows.where("event_id % 3 = 0").select("event_id", F.when(F.col("event_id") % 6 == 0, none).otherwise(new).alias("labels"))
+    return manage.edit_labels(rows, edits).select("event_id", "top_label")
+
+
+@plan("snk_05_delete", f"WITH {EVENTS} SELECT event_id, label FROM e WHERE event_id % 13 <> 0")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "label")
+    return manage.delete(rows, rows.where("event_id % 13 = 0"))
+
+
+@plan("snk_06_trash", f"WITH {EVENTS}, t AS (SELECT event_id, CASE WHEN k = 3 THEN NULL ELSE date_trunc('second', ts) END AS at FROM e), d AS (SELECT event_id, at, epoch(at) + 7 * 86400 - epoch(TIMESTAMP '{NOW}') AS l FROM t) SELECT event_id, CAST(greatest(coalesce(floor(l / 86400), 0), 0) AS INT) AS days_left, at IS NULL OR l < 0 AS expired FROM d")
+def _(spark, sf_dir):
+    trash = events(spark, sf_dir).select("event_id", F.when(F.col("k") == 3, "?").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("trashed_at"))
+    return manage.expire_trash(trash, NOW).select("event_id", "days_left", "expired")
+
+
+@plan("snk_07_retention", f"WITH {EVENTS} SELECT event_id FROM e WHERE type = 'timelapse' OR ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "type", F.col("ts").alias("modified"))
+    return manage.retain(rows, NOW, 10, F.col("type") == "timelapse").select("event_id")
+
+
+@plan("snk_08_orphans", f"WITH {EVENTS}, {FILES}, r AS (SELECT event_id, snapshot_relpath AS path FROM e UNION ALL SELECT event_id, video_relpath FROM e), p AS (SELECT path FROM f UNION SELECT snapshot_relpath FROM e WHERE event_id % 17 <> 0 AND snapshot_relpath IS NOT NULL) SELECT DISTINCT event_id FROM r WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM p)")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    snaps = rows.where("event_id % 17 <> 0").select(F.col("snapshot_relpath").alias("path"))
+    return manage.orphans(rows, files(spark, sf_dir).select("path").unionByName(snaps))
+
+
+@plan("snk_09_register_media", f"WITH {EVENTS}, {FILES} SELECT regexp_extract(path, '([^/]+)\\.[^.]+$', 1) AS event_id, camera_id, 'motion' AS top_label FROM f WHERE path NOT IN (SELECT video_relpath FROM e WHERE video_relpath IS NOT NULL)")
+def _(spark, sf_dir):
+    return manage.register_media(files(spark, sf_dir), events(spark, sf_dir)).select("event_id", "camera_id", "top_label")
+
+
+@plan("snk_10_reconcile", f"WITH {EVENTS} SELECT event_id AS stem, CASE WHEN event_id % 4 = 0 AND event_id % 6 = 0 THEN 'matched' WHEN event_id % 4 = 0 THEN 'orphan_clip' ELSE 'missing_clip' END AS state FROM e WHERE event_id % 4 = 0 OR event_id % 6 = 0")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("stem"))
+    return manage.reconcile(rows.where("stem % 4 = 0"), rows.where("stem % 6 = 0"))
+
+
+@plan("snk_11_ring_buffer", f"WITH {EVENTS}, r AS (SELECT camera_id, event_id, row_number() OVER (PARTITION BY camera_id ORDER BY ts DESC, event_id DESC) AS rn FROM e) SELECT camera_id, event_id FROM r WHERE rn <= 80")
+def _(spark, sf_dir):
+    return manage.newest(events(spark, sf_dir).select("camera_id", "event_id", "ts"), ["camera_id"], "ts", "event_id", 80).select("camera_id", "event_id")
+
+
+@plan("snk_12_camera_merge", f"WITH {EVENTS}, {FILES}, x AS (SELECT CAST(event_id // 5 AS VARCHAR) AS id, camera_id, video_relpath FROM e WHERE camera_id IN ('cam_1', 'cam_2', 'cam_3')) SELECT CASE WHEN camera_id = 'cam_1' AND id IN (SELECT id FROM x WHERE camera_id = 'cam_2') THEN id || '_m1' ELSE id END AS event_id, CASE WHEN camera_id = 'cam_1' THEN 'cam_2' ELSE camera_id END AS camera_id, CASE WHEN camera_id <> 'cam_1' OR video_relpath IN (SELECT path FROM f) THEN video_relpath END AS video FROM x")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).where(F.col("camera_id").isin("cam_1", "cam_2", "cam_3"))
+    rows = rows.select(F.expr("cast(event_id div 5 as string)").alias("event_id"), "camera_id", "video_relpath", F.lit(None).cast("string").alias("camera_name"))
+    taken = manage.merge_camera(rows.dropDuplicates(["event_id", "camera_id", "video_relpath"]), files(spark, sf_dir), "cam_1", "cam_2", "Door")
+    return taken.select("event_id", "camera_id", F.col("video_relpath").alias("video")).distinct()
+
+
+@plan("snk_13_migrate_paths", f"WITH {EVENTS}, m AS (SELECT CASE camera_id WHEN 'cam_1' THEN 'door' WHEN 'cam_2' THEN 'door' ELSE camera_id END || '/' || (k % 50) || '.mp4' AS new_path, ts FROM e) SELECT new_path, count(*) AS met FROM m GROUP BY 1")
+def _(spark, sf_dir):
+    mapping = spark.createDataFrame([("cam_1", "door"), ("cam_2", "door")], "camera_id string, new_id string")
+    listed = events(spark, sf_dir).select("camera_id", F.concat("camera_id", F.lit("/"), F.col("k") % 50, F.lit(".mp4")).alias("path"), F.col("ts").alias("modified"))
+    return manage.migrate_paths(listed, mapping).select("new_path", "met")
+
+
+@plan("snk_16_prune_backups", f"WITH {EVENTS}, r AS (SELECT event_id, row_number() OVER (PARTITION BY label ORDER BY ts DESC, event_id DESC) AS rn FROM e) SELECT event_id FROM r WHERE rn <= 100")
+def _(spark, sf_dir):
+    return manage.newest(events(spark, sf_dir), ["label"], "ts", "event_id", max(1, min(100, 250))).select("event_id")
+
+
+@plan("jn_17_tolerant_paths", f"WITH {EVENTS} SELECT 'w/a_' || event_id || '.mp4' AS stored, CASE WHEN k % 3 = 0 THEN 'v/a_' || event_id || '.mkv' WHEN k % 3 = 1 THEN 'v/a_' || event_id || '_2.mkv' END AS path FROM e")
+def _(spark, sf_dir):
+    rows, k = events(spark, sf_dir), F.col("k") % 3
+    stem = F.concat(F.lit("a_"), "event_id")
+    listed = rows.where(k < 2).select(F.explode(F.when(k == 0, F.array(F.concat(F.lit("v/"), stem, F.lit(".mkv")), F.concat(F.lit("v/"), stem, F.lit("_x.mkv")))).otherwise(F.array(F.concat(F.lit("v/"), stem, F.lit("_2.mkv")), F.concat(F.lit("v/"), stem, F.lit("_long.mkv"))))).alias("path"))
+    return manage.tolerant_match(rows.select(F.concat(F.lit("w/"), stem, F.lit(".mp4")).alias("stored")), listed)
+
+
+@plan("snk_17_publish_payload", f"WITH {EVENTS} SELECT 'home/events/' || camera_id AS topic, '{{\"event_id\":' || event_id || ',\"label\":\"' || label || '\"}}' AS payload FROM e")
+def _(spark, sf_dir):
+    return events(spark, sf_dir).select(F.concat(F.lit("home/events/"), "camera_id").alias("topic"), F.to_json(F.struct("event_id", "label")).alias("payload"))
+
+
+@plan("jn_19_settings_merge", f"WITH {EVENTS} SELECT event_id, CAST(k AS VARCHAR) || ',' || CASE WHEN k % 2 = 0 THEN 'x' ELSE 'b' END AS merged FROM e")
+def _(spark, sf_dir):
+    base = F.create_map(F.lit("a"), F.lit("a"), F.lit("b"), F.lit("b"))
+    over = F.when(F.col("k") % 2 == 0, F.create_map(F.lit("a"), F.col("k").cast("string"), F.lit("b"), F.lit("x"))).otherwise(F.create_map(F.lit("a"), F.col("k").cast("string")))
+    m = manage.merge_settings(base, over)
+    return events(spark, sf_dir).select("event_id", F.concat_ws(",", m["a"], m["b"]).alias("merged"))
