@@ -33,7 +33,7 @@ def _(spark, sf_dir):
     return manage.delete(rows, rows.where("event_id % 13 = 0"))
 
 
-@plan("snk_06_trash", f"WITH {EVENTS}, t AS (SELECT event_id, CASE WHEN k = 3 THEN NULL ELSE date_trunc('second', ts) END AS at FROM e), d AS (SELECT event_id, at, epoch(at) + 7 * 86400 - epoch(TIMESTAMP '{NOW}') AS l FROM t) SELECT event_id, CAST(greatest(coalesce(floor(l / 86400), 0), 0) AS INT) AS days_left, at IS NULL OR l < 0 AS expired FROM d")
+@plan("snk_06_trash", f"WITH {EVENTS}, t AS (SELECT event_id, CASE WHEN k = 3 THEN NULL ELSE date_trunc('second', ts) END AS t0 FROM e), d AS (SELECT event_id, t0, epoch(t0) + 7 * 86400 - epoch(TIMESTAMP '{NOW}') AS l FROM t) SELECT event_id, CAST(greatest(coalesce(floor(l / 86400), 0), 0) AS INT) AS days_left, t0 IS NULL OR l < 0 AS expired FROM d")
 def _(spark, sf_dir):
     trash = events(spark, sf_dir).select("event_id", F.when(F.col("k") == 3, "?").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("trashed_at"))
     return manage.expire_trash(trash, NOW).select("event_id", "days_left", "expired")
@@ -68,7 +68,7 @@ def _(spark, sf_dir):
     return manage.newest(events(spark, sf_dir).select("camera_id", "event_id", "ts"), ["camera_id"], "ts", "event_id", 80).select("camera_id", "event_id")
 
 
-@plan("snk_12_camera_merge", f"WITH {EVENTS}, {FILES}, x AS (SELECT CAST(event_id // 5 AS VARCHAR) AS id, camera_id, video_relpath FROM e WHERE camera_id IN ('cam_1', 'cam_2', 'cam_3')) SELECT CASE WHEN camera_id = 'cam_1' AND id IN (SELECT id FROM x WHERE camera_id = 'cam_2') THEN id || '_m1' ELSE id END AS event_id, CASE WHEN camera_id = 'cam_1' THEN 'cam_2' ELSE camera_id END AS camera_id, CASE WHEN camera_id <> 'cam_1' OR video_relpath IN (SELECT path FROM f) THEN video_relpath END AS video FROM x")
+@plan("snk_12_camera_merge", f"WITH {EVENTS}, {FILES}, x AS (SELECT CAST(event_id // 5 AS VARCHAR) AS id, camera_id, video_relpath FROM e WHERE camera_id IN ('cam_1', 'cam_2', 'cam_3')) SELECT DISTINCT CASE WHEN camera_id = 'cam_1' AND id IN (SELECT id FROM x WHERE camera_id = 'cam_2') THEN id || '_m1' ELSE id END AS event_id, CASE WHEN camera_id = 'cam_1' THEN 'cam_2' ELSE camera_id END AS camera_id, CASE WHEN camera_id <> 'cam_1' OR video_relpath IN (SELECT path FROM f) THEN video_relpath END AS video FROM x")
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).where(F.col("camera_id").isin("cam_1", "cam_2", "cam_3"))
     rows = rows.select(F.expr("cast(event_id div 5 as string)").alias("event_id"), "camera_id", "video_relpath", F.lit(None).cast("string").alias("camera_name"))

@@ -1 +1,54 @@
-"""Queries."""
+"""Streaming queries, run over the events table to the end; their batch twins are the window queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.plans import plan
+from larkspur.plans.sql import EVENTS
+from larkspur.sources.events import LABEL_OF
+from larkspur.sources.events import events_view as events
+from larkspur.streaming import events as live
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.create_map(*[F.lit(x) for kv in LABEL_OF.items() for x in kv])[F.col("event_type")]
+    rows = live.event_stream(spark, f"{sf_dir}/events.parquet*")
+    return rows.select("event_id", "ts", F.concat(F.lit("cam_"), F.col("user_id") % 5).alias("camera_id"), label.alias("label"))
+
+
+def _run(stream: DataFrame) -> DataFrame:
+    """All of a stream's output, by a query that ends when its input does."""
+    spark = stream.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@plan("str_01_live_confirm")
+def _(spark, sf_dir):
+    return _run(live.confirm(_stream(spark, sf_dir), 3, 1800.0))
+
+
+@plan("str_03_live_cooldown")
+def _(spark, sf_dir):
+    return _run(live.cooldown(_stream(spark, sf_dir), 7200.0))
+
+
+@plan("str_06_live_sessions")
+def _(spark, sf_dir):
+    return _run(live.session_lanes(_stream(spark, sf_dir), "120 minutes"))
+
+
+@plan(
+    "str_17_gate_chain",
+    f"""WITH {EVENTS} SELECT event_id, CASE WHEN k % 31 = 0 THEN 'enabled' WHEN k % 29 = 0 THEN 'muted' WHEN k % 23 = 0 THEN 'camera_muted' WHEN label = 'motion' THEN 'label_off' WHEN score < 0.3 THEN 'below_score' WHEN hour(ts) >= 22 OR hour(ts) < 6 THEN 'off_schedule' END AS reason FROM e""",
+)
+def _(spark, sf_dir):
+    k, h = F.col("k"), F.hour("ts")
+    gates = {"enabled": k % 31 != 0, "muted": k % 29 == 0, "camera_muted": k % 23 == 0, "label_off": F.col("label") == "motion", "below_score": F.col("score") < 0.3, "off_schedule": (h >= 22) | (h < 6)}
+    return events(spark, sf_dir).select("event_id", live.skip_reason(gates).alias("reason"))

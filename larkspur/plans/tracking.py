@@ -1 +1,48 @@
-"""Queries."""
+"""Tracking queries: a camera and an hour stand for a clip, an event for a detection."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larkspur.operators import tracking
+from larkspur.plans import plan
+from larkspur.plans.sql import EVENTS
+from larkspur.sources.events import events_view as events
+
+
+def detections(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    t = F.minute("ts") * 60 + F.second("ts")
+    box = {"x1": F.col("x1") % 300, "y1": F.col("y1") % 200, "x2": F.col("x1") % 300 + 80, "y2": F.col("y1") % 200 + 80}
+    return rows.select(F.concat_ws("/", "camera_id", F.date_format("ts", "ddHH")).alias("clip"), t.cast("int").alias("f"), t.cast("double").alias("t"), "label", "score", *[v.cast("double").alias(k) for k, v in box.items()])
+
+
+@plan("trk_01_tracks")
+def _(spark, sf_dir):
+    return tracking.track(detections(spark, sf_dir))
+
+
+@plan("trk_10_stitch")
+def _(spark, sf_dir):
+    return tracking.stitch_candidates(tracking.track(detections(spark, sf_dir)), gap=600.0)
+
+
+@plan("trk_11_ghost_prune")
+def _(spark, sf_dir):
+    return tracking.summaries(tracking.keep_real(tracking.track(detections(spark, sf_dir)), 0.8))
+
+
+_DET = "t0 AS (SELECT camera_id || '/' || strftime(ts, '%d%H') AS clip, CAST(minute(ts) * 60 + second(ts) AS INT) AS f, label, score FROM e)"
+
+
+@plan("trk_09_best_moment", f"WITH {EVENTS}, {_DET}, r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY score DESC, f, label) AS rn FROM t0) SELECT clip, f, label, score FROM r WHERE rn = 1")
+def _(spark, sf_dir):
+    rows = detections(spark, sf_dir).withColumn("source", F.lit("detect"))
+    return tracking.best_moments(rows).select("clip", "f", "label", "score")
+
+
+@plan("trk_12_reindex_plan", f"WITH {EVENTS} SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'missing' ELSE 'stale' END AS why FROM e WHERE event_id % 3 <> 0 OR event_id % 6 = 0")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    sidecars = rows.where("event_id % 3 = 0").select("event_id", F.when(F.col("event_id") % 6 == 0, 3).otherwise(4).alias("schema"))
+    return tracking.reindex_plan(rows, sidecars)
