@@ -199,18 +199,19 @@ def _(spark, sf_dir):
     return spark.createDataFrame(geo.tiles(1280, 720, 2, 2), "x1 int, y1 int, x2 int, y2 int")
 
 
-#: A diamond as a zone: |x - 600| + |y - 400| <= 300.
-_DIAMOND = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((600, 100), (900, 400), (600, 700), (300, 400))])
+def _diamond():
+    """A zone: |x - 600| + |y - 400| <= 300."""
+    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((600, 100), (900, 400), (600, 700), (300, 400))])
 
 
 @plan("geo_08_in_polygon", f"WITH {EVENTS} SELECT event_id, abs(x1 - 600) + abs(y1 - 400) <= 300 AS inside FROM e")
 def _(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", geo.in_polygon(F.col("x1"), F.col("y1"), _DIAMOND).alias("inside"))
+    return events(spark, sf_dir).select("event_id", geo.in_polygon(F.col("x1"), F.col("y1"), _diamond()).alias("inside"))
 
 
 @plan("jn_09_masked", f"WITH {EVENTS} SELECT event_id FROM e WHERE NOT (label IN ('cat', 'bird') AND abs((x1 + x2) // 2 - 600) + abs(y2 - 400) <= 300)")
 def _(spark, sf_dir):
-    ground = geo.in_polygon(F.floor((F.col("x1") + F.col("x2")) / 2), F.col("y2"), _DIAMOND)
+    ground = geo.in_polygon(F.floor((F.col("x1") + F.col("x2")) / 2), F.col("y2"), _diamond())
     return events(spark, sf_dir).where(~(F.col("label").isin("cat", "bird") & ground)).select("event_id")
 
 

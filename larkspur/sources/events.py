@@ -86,7 +86,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
     """SRC-11: (idx, label) of "id label" or "id: label" lines; other lines take their line number."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     lines = lines.where(F.trim("text") != "")
     index = F.regexp_extract("text", r"^\s*(\d+)\s*[:\s]\s*(\S.*?)\s*$", 1)
     label = F.regexp_extract("text", r"^\s*(\d+)\s*[:\s]\s*(\S.*?)\s*$", 2)
