@@ -202,3 +202,16 @@ def caption(c: Column, size: int = 1024) -> Column:
 def summary_line(*parts: Column) -> Column:
     """FN-33: the first three parts that are there."""
     return F.concat_ws(" · ", F.slice(F.array_compact(F.array(*parts)), 1, 3))
+
+
+def string_hash(c: Column) -> Column:
+    """FN-28: h = 31 h + code point in 32 bits with sign, then its absolute value."""
+    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    wrap = lambda v: F.pmod(v + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)
+    return F.abs(F.aggregate(codes, F.lit(0).cast("long"), lambda h, x: wrap(h * 31 + x)))
+
+
+def to_bool(c: Column) -> Column:
+    """FN-24: the words for true and false; null for others."""
+    low = F.lower(F.trim(c))
+    return F.when(low.isin("1", "true", "yes", "on"), True).when(low.isin("0", "false", "no", "off", ""), False)
