@@ -215,3 +215,45 @@ def to_bool(c: Column) -> Column:
     """FN-24: the words for true and false; null for others."""
     low = F.lower(F.trim(c))
     return F.when(low.isin("1", "true", "yes", "on"), True).when(low.isin("0", "false", "no", "off", ""), False)
+
+
+# Genera and the category they stand for, first match wins.
+GENUS_RULES = (("sciurus", "squirrel"), ("tamias", "squirrel"), ("vulpes", "fox"), ("erinaceus", "hedgehog"), ("meles", "hedgehog"))
+
+
+def first_containing(c: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """FN-12: the category of the first needle that the lower-cased text holds, else null."""
+    return F.coalesce(*[F.when(F.lower(c).contains(needle), category) for needle, category in table])
+
+
+def composed_severity(level: Column, notify: Column, matrix: Column, labels: Column, whitelisted: Column, armed: Column) -> Column:
+    """FN-19: struct(severity, notify): a severity map overrides the profile unless whitelisted; disarmed never notifies."""
+    mapped = (F.size(matrix) > 0) & ~whitelisted
+    own = severity(matrix, labels)
+    out = F.when(mapped, own).otherwise(F.when(level == "alarm", "alarm").when(notify, "info").otherwise("off"))
+    tell = F.when(mapped, own != "off").otherwise(notify) & F.coalesce(armed, F.lit(True))
+    return F.struct(out.alias("severity"), tell.alias("notify"))
+
+
+def nice_number(v: Column, rounded: bool) -> Column:
+    """FN-29: 1, 2, 5 or 10 times a power of ten, at or near the value."""
+    exp = F.floor(F.log10(v))
+    f = v / F.pow(F.lit(10.0), exp)
+    steps = ((1.5, 1.0), (3.0, 2.0), (7.0, 5.0)) if rounded else ((1.0, 1.0), (2.0, 2.0), (5.0, 5.0))
+    nice = F.lit(10.0)
+    for top, n in reversed(steps):
+        nice = F.when((f < top) if rounded else (f <= top), n).otherwise(nice)
+    return F.when(v > 0, nice * F.pow(F.lit(10.0), exp)).otherwise(1.0)
+
+
+def window_end(name: str, start: Column) -> Column:
+    """WIN-25: the last second of a goal window's period; null where it never closes."""
+    year = F.year(start)
+    last = {
+        "december": F.make_date(year, F.lit(12), F.lit(31)),
+        "april_rolling_week": F.make_date(year, F.lit(4), F.lit(30)),
+        "year_to_date": F.make_date(year, F.lit(12), F.lit(31)),
+        "current_calendar_month": F.last_day(start),
+        "current_rolling_week": F.lit(None).cast("date"),
+    }[name]
+    return last.cast("timestamp_ntz") + F.expr("interval 86399 seconds")

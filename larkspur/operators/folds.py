@@ -147,3 +147,29 @@ def majority(rows: DataFrame, keys: list[str], order: str, label: str, last: int
         return (now, votes), now
 
     return ordered_fold(rows, keys, order, [label], step, "dominant string")
+
+
+def event_gate(rows: DataFrame, keys: list[str], at_us: str, label: str, seconds: float = 10.0, always: str = "person") -> DataFrame:
+    """STR-10: events at least ``seconds`` after the last accepted one; ``always`` passes and moves the anchor too."""
+
+    def step(last, row):
+        ok = last is None or row[label] == always or row[at_us] - last >= seconds * 1e6
+        return (row[at_us] if ok else last), ok
+
+    return ordered_fold(rows, keys, at_us, [label], step, "passed boolean").where("passed").drop("passed")
+
+
+def watchdog(rows: DataFrame, keys: list[str], at_us: str, online: str, after: float = 300.0) -> DataFrame:
+    """STR-11: down, alert (once, after ``after`` seconds down) and recovered, from status rows; null where nothing changes."""
+
+    def step(state, row):
+        since, told = state or (None, False)
+        if row[online]:
+            return (None, False), None if since is None else "recovered"
+        if since is None:
+            return (row[at_us], False), "down"
+        if not told and row[at_us] - since >= after * 1e6:
+            return (since, True), "alert"
+        return (since, told), None
+
+    return ordered_fold(rows, keys, at_us, [online], step, "change string")

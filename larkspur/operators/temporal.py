@@ -182,3 +182,28 @@ def trails(samples: DataFrame, keys: list[str], at: str, n: int = 12) -> DataFra
     rows = samples.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(at).desc()))).where(F.col("rank") <= n)
     points = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))))
     return rows.groupBy(*keys).agg(points.alias("trail")).where(F.size("trail") >= 2)
+
+
+def around(frames: DataFrame, triggers: DataFrame, key: str, at: str, before: float = 5.0, after: float = 5.0) -> DataFrame:
+    """STR-12: the frames from ``before`` seconds before each trigger to ``after`` seconds behind it.
+
+    Both sides meet by buckets as wide as the span, so each frame is looked for in two of them.
+    """
+    span = int((before + after) * 1e6)
+    f = frames.withColumn("b", F.floor(F.col(at) / span))
+    t = triggers.select(key, F.col("event_id").alias("trigger"), F.col(at).alias("t_us"), F.explode(F.sequence(F.floor((F.col(at) - int(before * 1e6)) / span), F.floor((F.col(at) + int(after * 1e6)) / span))).alias("b"))
+    return f.join(t, [key, "b"]).where(F.col(at).between(F.col("t_us") - int(before * 1e6), F.col("t_us") + int(after * 1e6))).drop("b", "t_us")
+
+
+def recap_periods(years: DataFrame, overshoot: bool = False) -> DataFrame:
+    """WIN-26: quarters and the year: run date (last Sunday of March, June and September; of December for the year) and bounds.
+
+    ``overshoot`` reproduces quarter ends that reach one month too far.
+    """
+    month = lambda m: F.make_date(F.col("year"), m, F.lit(1))
+    q = years.select("year", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("q"))
+    end = F.last_day(month(F.col("q") * 3))
+    end = F.last_day(F.date_add(end, 1)) if overshoot else end
+    quarters = q.select(F.concat(F.lit("q"), "q", F.lit("_"), "year").alias("period_id"), last_sunday(month(F.col("q") * 3)).alias("run_on"), month(F.col("q") * 3 - 2).alias("start"), end.alias("end"))
+    whole = years.select(F.concat(F.lit("year_"), "year").alias("period_id"), last_sunday(month(F.lit(12))).alias("run_on"), month(F.lit(1)).alias("start"), F.last_day(month(F.lit(12))).alias("end"))
+    return quarters.unionByName(whole)

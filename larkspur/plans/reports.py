@@ -239,3 +239,86 @@ def _(spark, sf_dir):
 @plan("str_18_first_unlock", f"WITH {EVENTS} SELECT bird_species, arg_min(event_id, (ts, event_id)) AS event_id FROM e WHERE bird_species IS NOT NULL GROUP BY 1")
 def _(spark, sf_dir):
     return store.first_seen(events(spark, sf_dir), "bird_species").select("bird_species", "event_id")
+
+
+@plan("fn_12_category_rules", f"WITH {EVENTS} SELECT event_id, CASE k % 4 WHEN 0 THEN 'squirrel' WHEN 1 THEN 'fox' WHEN 2 THEN 'hedgehog' ELSE 'none' END AS category FROM e")
+def _(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, ("Sciurus vulgaris", "a Vulpes vulpes", "ERINACEUS europaeus", "Parus major"))), F.col("k") % 4 + 1)
+    return events(spark, sf_dir).select("event_id", F.coalesce(rules.first_containing(name, rules.GENUS_RULES), F.lit("none")).alias("category"))
+
+
+@plan("fn_13_model_vote", f"WITH {EVENTS} SELECT event_id, round((score + (k % 10) / 10.0) / 2, 6) AS score FROM e WHERE k % 3 = 0 AND k % 4 = 0")
+def _(spark, sf_dir):
+    k = F.col("k")
+    likely, genus = F.when(k % 3 == 0, "weasel, x").otherwise("plate"), F.when(k % 4 == 0, "Sciurus").otherwise("Parus")
+    both = likely.rlike("hare|mongoose|mink|weasel") & (rules.first_containing(genus, rules.GENUS_RULES) == "squirrel")
+    return events(spark, sf_dir).where(both).select("event_id", F.round((F.col("score") + (k % 10) / 10.0) / 2, 6).alias("score"))
+
+
+@plan("fn_19_severity_notify", f"WITH {EVENTS}, x AS (SELECT event_id, k % 17 = 0 AS ok, k % 5 > 0 AS armed, list_contains(labels, 'person') AS p, list_contains(labels, 'cat') AS c FROM e) SELECT event_id, CASE WHEN ok THEN 'off' WHEN p THEN 'alarm' WHEN c THEN 'info' ELSE 'off' END AS severity, NOT ok AND (p OR c) AND armed AS notify FROM x")
+def _(spark, sf_dir):
+    ok = F.col("k") % 17 == 0
+    legacy = rules.alarm_level(F.lit("soft"), F.col("labels"), F.lit(False), ok)
+    out = rules.composed_severity(legacy["level"], legacy["notify"], F.create_map(*map(F.lit, ("person", "alarm", "cat", "info"))), F.col("labels"), ok, F.col("k") % 5 > 0)
+    return events(spark, sf_dir).select("event_id", out["severity"].alias("severity"), out["notify"].alias("notify"))
+
+
+@plan("fn_29_nice_ticks", f"WITH {EVENTS}, x AS (SELECT event_id, k + 1 AS v, CASE WHEN k + 1 >= 100 THEN 100 WHEN k + 1 >= 10 THEN 10 ELSE 1 END AS p FROM e) SELECT event_id, CAST(p * CASE WHEN v / p < 1.5 THEN 1 WHEN v / p < 3 THEN 2 WHEN v / p < 7 THEN 5 ELSE 10 END AS DOUBLE) AS nice FROM x")
+def _(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", rules.nice_number((F.col("k") + 1).cast("double"), True).alias("nice"))
+
+
+@plan("flt_19_known_fields", f"WITH {EVENTS} SELECT event_id, CASE WHEN k % 2 = 0 THEN 'a' ELSE '' END AS keys FROM e")
+def _(spark, sf_dir):
+    values = F.map_from_arrays(F.array(F.when(F.col("k") % 2 == 0, "a").otherwise("b"), F.lit("c")), F.array(F.col("k"), F.col("k")))
+    return events(spark, sf_dir).select("event_id", F.array_join(F.map_keys(store.known_fields(values, ["a", "z"])), ",").alias("keys"))
+
+
+@plan("set_06_camera_config", f"WITH {EVENTS} SELECT camera_id AS id, count(*) > 0 AS there FROM e GROUP BY 1")
+def _(spark, sf_dir):
+    return events(spark, sf_dir).select(F.col("camera_id").alias("id")).dropDuplicates(["id"]).withColumn("there", F.lit(True))
+
+
+@plan("set_08_merged_page", f"WITH {EVENTS} SELECT event_id, camera_id, time FROM e WHERE list_has_any(labels, ['bird', 'cat']) AND camera_id IN ('cam_1', 'cam_2', 'cam_3') ORDER BY time DESC, event_id DESC LIMIT 24 OFFSET 24")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).where(F.col("camera_id").isin("cam_1", "cam_2", "cam_3") & F.arrays_overlap("labels", F.array(F.lit("bird"), F.lit("cat"))))
+    return store.page(rows, 24, 24).select("event_id", "camera_id", "time")
+
+
+@plan("win_25_window_ends", f"WITH {EVENTS} SELECT event_id, TIMESTAMP '2024-12-31 23:59:59' AS december, TIMESTAMP '2024-04-30 23:59:59' AS april, CAST(last_day(ts) AS TIMESTAMP) + INTERVAL 86399 SECOND AS month FROM e")
+def _(spark, sf_dir):
+    end = lambda name: rules.window_end(name, F.col("ts"))
+    return events(spark, sf_dir).select("event_id", end("december").alias("december"), end("april_rolling_week").alias("april"), end("current_calendar_month").alias("month"))
+
+
+@plan(
+    "win_26_recap_periods",
+    """SELECT * FROM (VALUES ('q1_2024', '2024-03-31', '2024-01-01', '2024-03-31'), ('q2_2024', '2024-06-30', '2024-04-01', '2024-06-30'), ('q3_2024', '2024-09-29', '2024-07-01', '2024-09-30'), ('year_2024', '2024-12-29', '2024-01-01', '2024-12-31')) t(period_id, run_on, start, "end")""",
+)
+def _(spark, sf_dir):
+    out = temporal.recap_periods(spark.createDataFrame([(2024,)], "year int"))
+    return out.select("period_id", *[F.col(c).cast("string").alias(c) for c in ("run_on", "start", "end")])
+
+
+@plan("str_12_pre_roll", f"WITH {EVENTS}, f AS (SELECT event_id, camera_id, epoch_us(ts) AS us, label FROM e), t AS (SELECT * FROM f WHERE label = 'person' AND event_id % 10 = 0) SELECT f.event_id, t.event_id AS trigger FROM f JOIN t ON f.camera_id = t.camera_id AND f.us BETWEEN t.us - 600000000 AND t.us + 300000000")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "camera_id", "label", temporal.micros(F.col("ts")).alias("us"))
+    return temporal.around(rows.select("event_id", "camera_id", "us"), rows.where("label = 'person' and event_id % 10 = 0"), "camera_id", "us", 600, 300).select("event_id", "trigger")
+
+
+@plan("str_10_event_gate")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("camera_id", "event_id", "label", temporal.micros(F.col("ts")).alias("us"))
+    return folds.event_gate(rows, ["camera_id"], "us", "label", 1800.0)
+
+
+@plan("str_11_watchdog")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("camera_id", "event_id", (F.col("k") < 70).alias("online"), temporal.micros(F.col("ts")).alias("us"))
+    return folds.watchdog(rows, ["camera_id"], "us", "online", 1800.0).where("change is not null")
+
+
+@plan("snk_15_timelapse_events", f"WITH {EVENTS} SELECT 'tl_' || event_id AS event_id, camera_id, 'timelapse' AS type FROM e WHERE type = 'timelapse' AND event_id % 100 <> 0")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).where("type = 'timelapse'").select(F.concat(F.lit("tl_"), "event_id").alias("event_id"), "camera_id", F.lit("timelapse").alias("type"), (F.col("event_id") % 100 == 0).alias("old"))
+    return rows.select("event_id", "camera_id", "type").join(rows.where("old").select("event_id"), "event_id", "left_anti")
