@@ -116,7 +116,7 @@ def associate(tracks: list[Track], dets: list[tuple], f: int, t: float, spawn: d
             continue
         back = _revived(tracks, active, d, t)  # TRK-5
         if back is None:
-            back = Track(len(tracks), d[0])  # TRK-6
+            back = Track(max((x.number for x in tracks), default=-1) + 1, d[0])  # TRK-6
             tracks.append(back)
         back.closed = False
         back.add(f, t, d)
@@ -156,6 +156,16 @@ def _merge(active: list[Track]) -> None:
                     b.samples, b.closed = [], True
 
 
+def forget(tracks: list[Track]) -> list[Track]:
+    """What association can still need: tracks that are alive, the last closed ones, and the latest samples of each."""
+    closed = [x for x in tracks if x.closed and x.samples][-REVIVE_MEMORY:]
+    kept = [x for x in tracks if not x.closed or any(x is c for c in closed)]
+    for x in kept:
+        x.samples = x.samples[-(GRACE + VELOCITY_SAMPLES) :] if x.seen()[-1:] == x.samples[-1:] else [*x.seen()[-VELOCITY_SAMPLES:], *[s for s in x.samples if s[5] != "detect"][-GRACE:]]
+        x.samples.sort(key=lambda s: s[0])
+    return kept
+
+
 def track_clip(rows: list[tuple]) -> list[tuple]:
     """All tracks' samples of a clip from its detections (f, t, label, score, x1, y1, x2, y2); predicted tails are cut."""
     tracks: list[Track] = []

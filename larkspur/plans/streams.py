@@ -52,3 +52,12 @@ def _(spark, sf_dir):
     k, h = F.col("k"), F.hour("ts")
     gates = {"enabled": k % 31 != 0, "muted": k % 29 == 0, "camera_muted": k % 23 == 0, "label_off": F.col("label") == "motion", "below_score": F.col("score") < 0.3, "off_schedule": (h >= 22) | (h < 6)}
     return events(spark, sf_dir).select("event_id", live.skip_reason(gates).alias("reason"))
+
+
+@plan("str_02_live_tracks")
+def _(spark, sf_dir):
+    rows = _stream(spark, sf_dir)
+    at = F.col("event_id")
+    box = {"x1": at * 37 % 300, "y1": at * 53 % 200, "x2": at * 37 % 300 + 80, "y2": at * 53 % 200 + 80}
+    found = rows.select("camera_id", F.unix_micros("ts").alias("us"), "label", (at % 100 / 100.0).alias("score"), *[v.cast("double").alias(k) for k, v in box.items()])
+    return _run(live.live_tracks(found))

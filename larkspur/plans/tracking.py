@@ -46,3 +46,14 @@ def _(spark, sf_dir):
     rows = events(spark, sf_dir)
     sidecars = rows.where("event_id % 3 = 0").select("event_id", F.when(F.col("event_id") % 6 == 0, 3).otherwise(4).alias("schema"))
     return tracking.reindex_plan(rows, sidecars)
+
+
+@plan("jn_20_tracks_at_time")
+def _(spark, sf_dir):
+    """WIN-31 too: every track's interpolated box in the middle of its clip."""
+    return tracking.at_time(tracking.track(detections(spark, sf_dir)), 1800.0, 60.0)
+
+
+@plan("jn_12_mean_overlap")
+def _(spark, sf_dir):
+    return tracking.mean_overlap(tracking.track(detections(spark, sf_dir)))

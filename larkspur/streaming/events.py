@@ -5,6 +5,8 @@ Streams are ordered by event time within a micro-batch and bounded by watermarks
 
 from __future__ import annotations
 
+import itertools
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larkspur.operators import tracking
+
 EVENT_STREAM = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -76,6 +80,28 @@ def cooldown(stream: DataFrame, seconds: float) -> DataFrame:
     return rows.groupBy("camera_id", "label").applyInPandasWithState(step, "camera_id string, label string, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def live_tracks(stream: DataFrame) -> DataFrame:
+    """STR-2: the tracker over a stream of detections (camera_id, us, label, score, x1, y1, x2, y2); one frame is one instant of a camera.
+
+    The state is what association can still need, so it doesn't grow with the stream. Each frame's samples are given out at once.
+    """
+    schema = "camera_id string, track_id long, us long, label string, score double, x1 double, y1 double, x2 double, y2 double, source string"
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tracks = pickle.loads(state.get[0]) if state.exists else []  # noqa: S301  our own state
+        rows = pd.concat(list(parts)).sort_values(["us", "label", "score", "x1"])
+        out = []
+        for us, frame in itertools.groupby(rows.itertuples(), key=lambda r: r.us):
+            dets = [(r.label, float(r.score), (float(r.x1), float(r.y1), float(r.x2), float(r.y2))) for r in frame]
+            tracking.associate(tracks, dets, int(us), us / 1e6)
+            out += [(key[0], x.number, int(us), x.label, s[3], *s[2], s[5]) for x in tracks for s in x.samples[-1:] if s[0] == us]
+            tracks = tracking.forget(tracks)
+        state.update((pickle.dumps(tracks),))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return stream.groupBy("camera_id").applyInPandasWithState(step, schema, "tracks binary", "append", GroupStateTimeout.NoTimeout)
+
+
 GATES = ("enabled", "muted", "camera_muted", "label_off", "below_score", "suppressed", "rate_limited", "cooling_down", "off_schedule", "silent")
 
 

@@ -143,3 +143,16 @@ def test_filters_with_missing_values(spark):
     assert {r.event_id for r in rows.where(store.time_range("2024-01-06")).collect()} == {1, 2}
     assert {r.event_id for r in rows.where(store.any_label(["cat"])).collect()} == {3}
     assert {(r.day, r.label) for r in store.by_day(rows).collect()} == {("unbekannt", "motion"), ("2024-01-05", "cat")}
+
+
+def test_forgetting_changes_nothing_ahead():
+    """The live tracker's shortened state goes on as the whole one."""
+    frames = [[("cat", 0.9, box(12 * i))] if i % 5 else [] for i in range(40)] + [[]] * 12 + [[("cat", 0.9, box(470)), ("dog", 0.8, box(900))]] * 4
+    whole, short, a, b = [], [], [], []
+    for f, dets in enumerate(frames):
+        tracking.associate(whole, dets, f, float(f))
+        tracking.associate(short, dets, f, float(f))
+        a.append([(x.number, x.samples[-1]) for x in whole if x.samples and x.samples[-1][0] == f])
+        b.append([(x.number, x.samples[-1]) for x in short if x.samples and x.samples[-1][0] == f])
+        short = tracking.forget(short)
+    assert a == b
