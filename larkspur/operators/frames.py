@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the gates.
@@ -145,3 +145,16 @@ def hashes(frames: DataFrame) -> DataFrame:
 def hamming256(a: Column, b: Column) -> Column:
     """GEO-15: differing bits of two hashes of four longs."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+
+
+def retries(attempts: DataFrame, keys: list[str], order: str, most: int = 6, scene_most: int = 2, budget_s: float = 5.0) -> DataFrame:
+    """IMG-18: the attempts that a slot makes: until one is good, at most six, at most two scene rejections, within five seconds.
+
+    Attempts have ok, scene (the rejection is the scene's own) and t, seconds since the slot began.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    stopped = F.coalesce(F.max(F.col("ok").cast("int")).over(before), F.lit(0)) > 0
+    stopped = stopped | (F.coalesce(F.sum(F.col("scene").cast("int")).over(before), F.lit(0)) >= scene_most)
+    rows = attempts.withColumn("made", ~stopped & (F.row_number().over(w) <= most) & (F.col("t") <= budget_s))
+    return rows.where("made").drop("made")

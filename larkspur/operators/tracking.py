@@ -261,3 +261,17 @@ def at_time(samples: DataFrame, t: float, slack: float = 0.05) -> DataFrame:
     out = out.where((F.col("t0") - slack <= t) & (F.col("t1") + slack >= t)).withColumns({"a": F.coalesce("a", "b"), "b": F.coalesce("b", "a")})
     w = F.when(F.col("b.t") > F.col("a.t"), (F.lit(t) - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))).otherwise(0.0)
     return out.select("clip", "track_id", *[(F.col(f"a.{k}") + w * (F.col(f"b.{k}") - F.col(f"a.{k}"))).alias(k) for k in ("x1", "y1", "x2", "y2")])
+
+
+def merge_overlapping(samples: DataFrame, least: float = 0.55) -> DataFrame:
+    """TRK-10: tracks of a label that overlap on average by ``least`` on their common frames become the first of them.
+
+    A frame that both have keeps the better sample.
+    """
+    same = mean_overlap(samples).where(F.col("overlap") >= least).groupBy("clip", "b").agg(F.min("a").alias("into")).withColumnRenamed("b", "track_id")
+    # Twice, so that a track merged into one that is merged itself ends up with the first.
+    rows = samples
+    for _ in range(2):
+        rows = rows.join(same, ["clip", "track_id"], "left").withColumn("track_id", F.coalesce("into", "track_id")).drop("into")
+    best = rows.groupBy("clip", "track_id", "f").agg(F.max_by(F.struct(*[c for c in samples.columns if c not in ("clip", "track_id", "f")]), F.struct((F.col("source") == "detect").alias("seen"), "score")).alias("s"))
+    return best.select("clip", "track_id", "f", "s.*").select(*samples.columns)

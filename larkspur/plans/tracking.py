@@ -57,3 +57,8 @@ def _(spark, sf_dir):
 @plan("jn_12_mean_overlap")
 def _(spark, sf_dir):
     return tracking.mean_overlap(tracking.track(detections(spark, sf_dir)))
+
+
+@plan("trk_10_merge_overlaps")
+def _(spark, sf_dir):
+    return tracking.merge_overlapping(tracking.track(detections(spark, sf_dir)))

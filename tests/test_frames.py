@@ -51,3 +51,9 @@ def test_hashes_are_close_for_near_frames(spark):
     pairs = h.alias("x").join(h.alias("y"), F.col("x.frame_id") < F.col("y.frame_id"))
     d = {(r[0], r[1]): r[2] for r in pairs.select("x.frame_id", "y.frame_id", frames.hamming256(F.col("x.phash"), F.col("y.phash"))).collect()}
     assert d[0, 1] <= 4 < d[0, 2]
+
+
+def test_retries_stop(spark):
+    rows = [("good", i, i == 2, False, 0.1 * i) for i in range(5)] + [("scene", i, False, True, 0.1 * i) for i in range(5)] + [("bad", i, False, False, 0.1 * i) for i in range(9)] + [("slow", i, False, False, 3.0 * i) for i in range(4)]
+    table = spark.createDataFrame(rows, "k string, i int, ok boolean, scene boolean, t double")
+    assert {r.k: r["count"] for r in frames.retries(table, ["k"], "i").groupBy("k").count().collect()} == {"good": 3, "scene": 2, "bad": 6, "slow": 2}

@@ -156,3 +156,10 @@ def test_forgetting_changes_nothing_ahead():
         b.append([(x.number, x.samples[-1]) for x in short if x.samples and x.samples[-1][0] == f])
         short = tracking.forget(short)
     assert a == b
+
+
+def test_overlapping_tracks_merge(spark):
+    rows = [("c", n, f, float(f), 10.0 * f + n, 0.0, 10.0 * f + 100 + n, 100.0, 0.9 - n / 10, "cat", "detect") for n in (0, 1, 2) for f in range(4)] + [("c", 3, 0, 0.0, 500.0, 0.0, 600.0, 100.0, 0.9, "cat", "detect")]
+    out = tracking.merge_overlapping(spark.createDataFrame(rows, tracking.SCHEMA)).collect()
+    assert sorted((r.track_id, r.f) for r in out) == [(0, 0), (0, 1), (0, 2), (0, 3), (3, 0)]
+    assert all(r.score == 0.9 for r in out)
