@@ -2,15 +2,22 @@
 
 A key's rows arrive sorted by Spark and stream through a small Python step in Arrow batches, so a key of any length needs
 one state, not its rows, in memory. Keys are dealt out by hash; a key's own order is the operator's meaning and isn't split.
+
+Every fold also takes a stream: the state of a key is then kept between micro-batches, whose rows are taken in order.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 Step = Callable[[Any, dict], tuple[Any, Any]]
 
@@ -34,10 +41,33 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: str, used: list[str],
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _TYPES[out.split()[1]])], names=[*batch.schema.names, name])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), out])
+    if rows.isStreaming:
+        return _live_fold(rows, keys, order, need, step, name, schema)
     return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
-_TYPES = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+def _plain(values: pd.Series) -> list:
+    """Python values of a column; missing ones (and NaN, which pandas doesn't tell from them) are None."""
+    return [v if isinstance(v, (list, np.ndarray)) else None if pd.isna(v) else v for v in values.tolist()]
+
+
+def _live_fold(rows: DataFrame, keys: list[str], order: str, need: list[str], step: Step, name: str, schema: str) -> DataFrame:
+    """The fold over a stream; a key's state is what ``step`` returned last."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = pickle.loads(state.get[0]) if state.exists else None  # noqa: S301  our own state
+        batch = pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable")
+        found = []
+        for row in zip(*(_plain(batch[c]) for c in need), strict=True):
+            now, value = step(now, dict(zip(need, row, strict=True)))
+            found.append(value)
+        state.update((pickle.dumps(now),))
+        yield batch.assign(**{name: pd.Series(found, index=batch.index, dtype=object)})
+
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
+_TYPES = {"array<long>": pa.list_(pa.int64()), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
 
 def cooldown(rows: DataFrame, keys: list[str], at_us: str, seconds: float) -> DataFrame:
@@ -173,3 +203,61 @@ def watchdog(rows: DataFrame, keys: list[str], at_us: str, online: str, after: f
         return (since, told), None
 
     return ordered_fold(rows, keys, at_us, [online], step, "change string")
+
+
+BLOB_IOU, BLOB_ACCEPT, BLOB_MISSES = 0.10, 0.25, 4
+
+
+def _overlap(a: tuple, b: tuple) -> float:
+    """IoU of two (x, y, w, h) boxes."""
+    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    both = max(w, 0) * max(h, 0)
+    return both / (a[2] * a[3] + b[2] * b[3] - both) if both else 0.0
+
+
+def _affinity(a: tuple, b: tuple) -> float:
+    """1 + IoU of clearly overlapping boxes, else nearness of the centres for the size of ``a``."""
+    if (share := _overlap(a, b)) >= BLOB_IOU:
+        return 1 + share
+    apart = np.hypot(a[0] + a[2] / 2 - b[0] - b[2] / 2, a[1] + a[3] / 2 - b[1] - b[3] / 2)
+    return max(0.0, 1 - apart / (4 * (np.hypot(a[2], a[3]) + 1)))
+
+
+def blob_tracks(frames: DataFrame, keys: list[str], at_us: str, boxes: str) -> DataFrame:
+    """STR-13: the track of every motion blob of a frame.
+
+    ``boxes`` is an array of x, y, w, h of one blob after the other, a bounded list; ``tracks`` has a number for each. A
+    blob joins the free track of the highest affinity over 0.25, else it starts one; a track ends after more than four frames without a blob.
+    """
+
+    def step(state, row):
+        live, following = state or ({}, 0)
+        flat = [float(v) for v in (row[boxes] if row[boxes] is not None else [])]
+        free, out, seen = set(live), [], {}
+        for blob in zip(*[iter(flat)] * 4, strict=True):
+            near, who = max(((_affinity(blob, live[n][0]), -n) for n in free), default=(0.0, 0))
+            if near > BLOB_ACCEPT:
+                number = -who
+                free.discard(number)
+            else:
+                number, following = following, following + 1
+            seen[number] = (blob, 0)
+            free.discard(number)
+            out.append(number)
+        for n in free:
+            if live[n][1] < BLOB_MISSES:
+                seen[n] = (live[n][0], live[n][1] + 1)
+        return (seen, following), out
+
+    return ordered_fold(frames, keys, at_us, [boxes], step, "tracks array<long>")
+
+
+def coherent_tracks(tracked: DataFrame, keys: list[str], at_us: str, boxes: str, width: float, least_share: float = 0.04, least_age: int = 3) -> DataFrame:
+    """STR-13: age, net displacement and whether it is coherent, of every track of ``blob_tracks``."""
+    blobs = tracked.select(*keys, at_us, F.posexplode("tracks").alias("i", "track"), F.col(boxes).alias("b"))
+    corner = lambda k: F.get("b", 4 * F.col("i") + k)
+    centre = F.struct((corner(0) + corner(2) / 2).alias("x"), (corner(1) + corner(3) / 2).alias("y"))
+    ends = blobs.groupBy(*keys, "track").agg(F.count("*").alias("age"), F.min_by(centre, at_us).alias("a"), F.max_by(centre, at_us).alias("b"))
+    net = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
+    return ends.select(*keys, "track", "age", net.alias("net"), ((F.col("age") >= least_age) & (net >= F.greatest(F.lit(1.0), F.lit(least_share * width)))).alias("coherent"))

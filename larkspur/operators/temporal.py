@@ -141,6 +141,14 @@ def upper_median(values: Column) -> Column:
     return F.get(F.array_sort(F.collect_list(values)), F.floor(F.count(values) / 2).cast("int"))
 
 
+def recent_speed(samples: DataFrame, keys: list[str], at: str, last: int = 6) -> DataFrame:
+    """WIN-22: mean and upper median of the steps between the last six detections of a track."""
+    w, back = Window.partitionBy(*keys).orderBy(at), Window.partitionBy(*keys).orderBy(F.desc(at))
+    rows = samples.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
+    rows = rows.withColumn("step", F.hypot(F.col("cx") - F.lag("cx").over(w), F.col("cy") - F.lag("cy").over(w))).withColumn("nth", F.row_number().over(back))
+    return rows.where((F.col("nth") < last) & F.col("step").isNotNull()).groupBy(*keys).agg(F.avg("step").alias("mean_step"), upper_median(F.col("step")).alias("median_step"))
+
+
 def static_false_positive(samples: DataFrame, keys: list[str], at: str, spawn: float, share: float = 0.5, least: int = 3) -> DataFrame:
     """WIN-23: faint tracks that hardly move for their size."""
     moved = track_motion(samples, keys, at)

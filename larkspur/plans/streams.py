@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.operators import folds
 from larkspur.plans import plan
 from larkspur.plans.sql import EVENTS
+from larkspur.session import shared_folder
 from larkspur.sources.events import LABEL_OF
 from larkspur.sources.events import events_view as events
 from larkspur.streaming import events as live
@@ -23,7 +23,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run(stream: DataFrame) -> DataFrame:
     """All of a stream's output, by a query that ends when its input does."""
     spark = stream.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -61,3 +61,45 @@ def _(spark, sf_dir):
     box = {"x1": at * 37 % 300, "y1": at * 53 % 200, "x2": at * 37 % 300 + 80, "y2": at * 53 % 200 + 80}
     found = rows.select("camera_id", F.unix_micros("ts").alias("us"), "label", (at % 100 / 100.0).alias("score"), *[v.cast("double").alias(k) for k, v in box.items()])
     return _run(live.live_tracks(found))
+
+
+def _micros(spark, sf_dir):
+    return _stream(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
+
+
+@plan("str_07_live_capped_triggers")
+def _(spark, sf_dir):
+    rows = _micros(spark, sf_dir).select("camera_id", "event_id", "us", F.when(F.col("event_id") % 997 == 0, "").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("day"))
+    return _run(folds.capped_cooldown(rows, ["camera_id"], "us", "day", 4 * 3600.0, 2))
+
+
+@plan("str_08_live_hysteresis")
+def _(spark, sf_dir):
+    rows = _micros(spark, sf_dir).select("camera_id", "event_id", "us", (F.col("event_id") * 37 % 100).cast("double").alias("v"))
+    return _run(folds.latch(rows, ["camera_id"], "us", "v", 90.0, 30.0))
+
+
+@plan("str_11_live_watchdog")
+def _(spark, sf_dir):
+    rows = _micros(spark, sf_dir).select("camera_id", "event_id", (F.col("event_id") * 37 % 100 < 70).alias("online"), "us")
+    return _run(folds.watchdog(rows, ["camera_id"], "us", "online", 1800.0)).where("change is not null")
+
+
+def _blobs(rows):
+    """A frame per event: one or two blobs that wander with the event's number."""
+    n = F.col("event_id")
+    one = [n * 7 % 900, n * 3 % 500, F.lit(60), F.lit(40)]
+    two = [F.lit(100) + n % 50, F.lit(100) + n % 40, F.lit(50), F.lit(50)]
+    flat = lambda box: F.array(*[c.cast("double") for c in box])
+    return rows.select("camera_id", "event_id", "us", F.when(n % 3 == 0, F.concat(flat(one), flat(two))).otherwise(flat(two)).alias("boxes"))
+
+
+@plan("str_13_blob_tracks")
+def _(spark, sf_dir):
+    rows = _blobs(events(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))))
+    return folds.coherent_tracks(folds.blob_tracks(rows, ["camera_id"], "us", "boxes"), ["camera_id"], "us", "boxes", 1280.0)
+
+
+@plan("str_13_live_blob_tracks")
+def _(spark, sf_dir):
+    return _run(folds.blob_tracks(_blobs(_micros(spark, sf_dir)), ["camera_id"], "us", "boxes"))

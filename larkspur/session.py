@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder's name where all executors can write and read; a local one only where the cluster names none, as in tests."""
+    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def local_session(name: str = "larkspur", cpus: str = "8", memory: str = "16g") -> SparkSession:
     """A local session for tests and the bench."""
     return (

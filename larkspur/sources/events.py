@@ -37,10 +37,13 @@ def _json(spark: SparkSession, schema: str, root: str, glob: str, multi_line: bo
     return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-def read_events(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-1/2: every event of every camera; malformed files are skipped, track sidecars are another table."""
-    rows = _json(spark, EVENT_SCHEMA, root, "*.json").where(~F.col("_path").endswith(".tracks.json"))
-    camera = F.regexp_extract("_path", r"/motion_detection/([^/]+)/", 1)
+def read_events(spark: SparkSession, root: str, multi_line: bool = True, glob: str = "*.json") -> DataFrame:
+    """SRC-1/2: every event of every camera; malformed files are skipped, track sidecars are another table.
+
+    A file is one event, or with ``multi_line`` off an event a line.
+    """
+    rows = _json(spark, EVENT_SCHEMA, root, glob, multi_line).where(~F.col("_path").endswith(".tracks.json"))
+    camera = F.regexp_extract("_path", r"/motion_detection/(?:[^/=]+=)?([^/]+)/", 1)
     rows = rows.withColumn("camera_id", F.coalesce("camera_id", F.nullif(camera, F.lit(""))))
     return rows.withColumns({"ts": F.try_to_timestamp("time").cast("timestamp_ntz"), "event_date": event_date(F.col("event_id"))})
 

@@ -62,6 +62,18 @@ def test_cooldown_anchor_moves_only_on_acceptance(spark):
     assert [r.recording for r in folds.recordings(rows, ["k"], "us", 5, 10).orderBy("us").collect()] == [1, 2, 2, 2, 3]
 
 
+def test_blobs_keep_their_tracks(spark):
+    """One blob crosses, one shimmers in place; after five frames without it a third one is new."""
+    crossing, still = lambda i: [60.0 * i, 10.0, 50.0, 40.0], [900.0, 600.0, 30.0, 30.0]
+    rows = [(1, i, crossing(i) + still) for i in range(4)] + [(1, i, []) for i in range(4, 9)] + [(1, 9, still), (2, 0, None), (2, 1, still)]
+    frames = spark.createDataFrame(rows, "k int, us long, boxes array<double>")
+    tracked = folds.blob_tracks(frames, ["k"], "us", "boxes")
+    got = {(r.k, r.us): r.tracks for r in tracked.collect()}
+    assert [got[1, i] for i in range(10)] == [[0, 1]] * 4 + [[]] * 5 + [[2]] and got[2, 0] == [] and got[2, 1] == [0]
+    found = {(r.k, r.track): (r.age, r.net, r.coherent) for r in folds.coherent_tracks(tracked, ["k"], "us", "boxes", 1280).collect()}
+    assert found == {(1, 0): (4, 180.0, True), (1, 1): (4, 0.0, False), (1, 2): (1, 0.0, False), (2, 0): (1, 0.0, False)}
+
+
 def test_latch_with_a_high_off(spark):
     rows = spark.createDataFrame([(1, i, v) for i, v in enumerate((1.0, 5.0, None, 6.0, 2.0, 5.0))], "k int, i int, v double")
     assert [r.i for r in folds.latch(rows, ["k"], "i", "v", 5.0, 3.0).orderBy("i").collect()] == [1, 5]

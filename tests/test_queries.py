@@ -57,6 +57,7 @@ def test_stream_equals_batch(spark):
     ids = lambda name: {r.event_id for r in q[name](spark, SF).collect()}
     assert ids("str_03_live_cooldown") == ids("str_03_cooldown")
     assert ids("str_01_live_confirm") == ids("win_03_confirm_live")
+    assert ids("str_07_live_capped_triggers") == ids("str_07_capped_triggers")
 
 
 def test_testdata_there():
