@@ -24,10 +24,21 @@ GREY_SUM, GREY_LOW, GREY_HIGH, GREY_STD = 8.0, 115.0, 140.0, 12.0
 TILES_X, TILES_Y, TILE_STD, TILE_LOW, TILE_HIGH, TILE_BAND_STD, TILE_DEAD = 8, 5, 3.0, 100.0, 160.0, 6.0, 0.35
 SPLIT_LOW, SPLIT_HIGH = 3.0, 12.0
 BAR_ROWS, BAR_ROW_STD, BAR_BETWEEN_STD = 9, 6.0, 35.0
+TONED_LOW, TONED_HIGH, TONED_STD, TONED_KEEP = 100.0, 160.0, 8.0, 0.90
+OUTLIER_TILE, OUTLIER_TILES, OUTLIER_LEAD, OUTLIER_SCENE = 240.0, 2, 100.0, 100.0
+STRIP_ROWS, STRIP_MEAN, STRIP_STD = 60, 120.0, 60.0
 NIGHT, TWILIGHT = 50.0, 110.0
+#: By profile: standard deviation without detail, channel deviations of the grey midband, share of dead tiles.
+PROFILES = {"day": (NO_DETAIL, GREY_STD, TILE_DEAD), "twilight": (1.2, 8.0, 0.55), "night": (0.8, 5.0, 0.85)}
 HASH_SIZE = 16
 
-MEASURES = ("blue", "green", "red", "grey_mean", "grey_std", "channel_std_sum", "pink_quarter", "magenta", "dead_tiles", "chroma_left", "chroma_right", "bar_row_std", "bar_between_std")
+MEASURES = ("blue", "green", "red", "grey_mean", "grey_std", "channel_std_sum", "pink_quarter", "magenta", "dead_tiles", "chroma_left", "chroma_right", "bar_row_std", "bar_between_std", "toned_std", "tile_max", "tile_base", "tiles_saturated", "strip_mean", "strip_std")
+
+
+def _trimmed_std(values: np.ndarray) -> float:
+    """Standard deviation of the smallest nine tenths."""
+    keep = max(1, int(len(values) * TONED_KEEP))
+    return float(np.partition(values, keep - 1)[:keep].std())
 
 
 def measure(width: int | None, height: int | None, pixels: bytes | None) -> tuple[float, ...] | None:
@@ -52,7 +63,13 @@ def measure(width: int | None, height: int | None, pixels: bytes | None) -> tupl
     dead = float(((std < TILE_STD) | ((mean >= TILE_LOW) & (mean <= TILE_HIGH) & (std < TILE_BAND_STD))).mean())
     chroma = image.max(2) - image.min(2)
     rows = grey[np.linspace(0, height - 1, BAR_ROWS + 2).astype(int)[1:-1]]
-    return (b, g, r, float(grey.mean()), float(grey.std()), float(sum(image[..., i].std() for i in range(3))), pink, magenta, dead, float(chroma[:, : width // 2].mean()), float(chroma[:, width // 2 :].mean()), float(rows.std(1).max()), float(rows.mean(1).std()))
+    toned = float(np.mean([_trimmed_std(np.abs(image[..., 0] - image[..., i]).ravel()) for i in (1, 2)]))
+    flat = np.sort(mean, axis=None)
+    strip = image[-STRIP_ROWS:] if height >= 2 * STRIP_ROWS else np.zeros((1, 1, 3), np.float32)
+    top = strip.max(2)
+    sat = np.rint(255 * (top - strip.min(2)) / np.maximum(top, 1))
+    more = toned, float(flat[-1]), float(np.median(flat[: len(flat) // 3])), float((flat > OUTLIER_TILE).sum()), float(sat.mean()), float(sat.std())
+    return (b, g, r, float(grey.mean()), float(grey.std()), float(sum(image[..., i].std() for i in range(3))), pink, magenta, dead, float(chroma[:, : width // 2].mean()), float(chroma[:, width // 2 :].mean()), float(rows.std(1).max()), float(rows.mean(1).std()), *more)
 
 
 def measures(frames: DataFrame) -> DataFrame:
@@ -70,9 +87,11 @@ def measures(frames: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "frame_id long, width int, height int, " + ", ".join(f"{m} double" for m in MEASURES))
 
 
-def verdict() -> Column:
-    """IMG-1..5, 7..9, 12, 14: the first failing gate's name, null for a good frame."""
+def verdict(profile: str = "day") -> Column:
+    """IMG-1..5, 7..9, 11..14: the first failing gate's name, null for a good frame. By day bright spots are no fault."""
     c = {m: F.col(m) for m in MEASURES}
+    no_detail, midband, dead = PROFILES[profile]
+    outlier = F.lit(profile != "day") & (c["grey_mean"] < OUTLIER_SCENE) & (c["tiles_saturated"] >= OUTLIER_TILES) & (c["tile_max"] - c["tile_base"] > OUTLIER_LEAD)
     bright = (c["blue"] + c["green"] + c["red"]) / 3
     low, high = F.least(c["chroma_left"], c["chroma_right"]), F.greatest(c["chroma_left"], c["chroma_right"])
     return (
@@ -84,18 +103,26 @@ def verdict() -> Column:
         .when(c["pink_quarter"] >= 0, F.concat(F.lit("partial_pink_q"), c["pink_quarter"].cast("int")))
         .when(c["magenta"] >= MAGENTA_SHARE, "patterned_magenta")
         .when(c["grey_mean"].between(FLAT_LOW, FLAT_HIGH) & (c["grey_std"] < FLAT_STD), "flat_gray")
-        .when(c["grey_std"] < NO_DETAIL, "no_detail")
+        .when(c["grey_std"] < no_detail, "no_detail")
         .when(c["channel_std_sum"] < GREY_SUM, "gray_uniform")
-        .when(c["grey_mean"].between(GREY_LOW, GREY_HIGH) & (c["channel_std_sum"] < GREY_STD), "gray_midband")
-        .when(c["dead_tiles"] > TILE_DEAD, "dead_area")
+        .when(c["grey_mean"].between(GREY_LOW, GREY_HIGH) & (c["channel_std_sum"] < midband), "gray_midband")
+        .when(c["dead_tiles"] > dead, "dead_area")
+        .when(outlier, "bright_outlier_dark_scene")
         .when((low < SPLIT_LOW) & (high > SPLIT_HIGH), "split")
+        .when(bright.between(TONED_LOW, TONED_HIGH) & (c["toned_std"] < TONED_STD), "grey_toned")
         .when((c["bar_row_std"] < BAR_ROW_STD) & (c["bar_between_std"] > BAR_BETWEEN_STD), "colorbar")
     )
 
 
-def judge(frames: DataFrame) -> DataFrame:
-    """frame_id, ok, reason of every frame."""
-    return measures(frames).select("frame_id", verdict().isNull().alias("ok"), verdict().alias("reason"))
+def judge(frames: DataFrame, profile: str = "day") -> DataFrame:
+    """frame_id, ok, reason of every frame; the profile is that of the time of day (see ``pick_profile``)."""
+    found = verdict(profile)
+    return measures(frames).select("frame_id", found.isNull().alias("ok"), found.alias("reason"))
+
+
+def corrupt_strip() -> Column:
+    """IMG-16: whether the bottom rows, in the measures of a frame, are a saturated and uneven strip."""
+    return (F.col("strip_mean") > STRIP_MEAN) & (F.col("strip_std") > STRIP_STD)
 
 
 def pick_profile(samples: DataFrame, keys: list[str]) -> DataFrame:

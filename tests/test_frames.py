@@ -26,10 +26,11 @@ def test_gates(spark):
     quarter[: H // 2, : W // 2] = (30, 30, 250)
     dead = scene()
     dead[:, : W // 2 + 10] = 130
-    bars = np.repeat(np.repeat(np.linspace(20, 230, H).astype(np.uint8)[:, None, None], W, 1), 3, 2).copy()
+    grey = np.repeat(np.repeat(np.linspace(20, 230, H).astype(np.uint8)[:, None, None], W, 1), 3, 2).copy()
+    bars = np.repeat(np.repeat(np.linspace(0, 170, H).astype(np.uint8)[:, None, None], W, 1), 3, 2).copy()
     cases = {
         None: scene(), "too_dark": solid(0, 1, 1), "too_bright": solid(255, 254, 255), "pink_artifact": solid(20, 30, 200), "partial_pink_q0": quarter, "patterned_magenta": solid(150, 20, 150),
-        "flat_gray": solid(128, 128, 128), "no_detail": solid(40, 60, 50), "dead_area": dead, "split": half, "colorbar": bars, "too_small": np.zeros((10, 10, 3), np.uint8),
+        "flat_gray": solid(128, 128, 128), "no_detail": solid(40, 60, 50), "dead_area": dead, "split": half, "grey_toned": grey, "colorbar": bars, "too_small": np.zeros((10, 10, 3), np.uint8),
     }
     rows = [(i, a.shape[1], a.shape[0], a.tobytes()) for i, a in enumerate(cases.values())] + [(90, W, H, None), (91, W, H, b"xx")]
     got = {r.frame_id: (r.ok, r.reason) for r in frames.judge(spark.createDataFrame(rows, "frame_id long, width int, height int, pixels binary")).collect()}
@@ -38,6 +39,25 @@ def test_gates(spark):
     assert got[90][1] == got[91][1] == "null/empty"
 
 
+def test_bright_patches_are_faults_in_the_dark_only(spark):
+    night = (scene() // 4).astype(np.uint8)
+    patch, lamp = night.copy(), night.copy()
+    patch[0:40, 0:80] = 255  # two tiles
+    lamp[0:40, 0:40] = 255
+    rows = spark.createDataFrame([(i, W, H, x.tobytes()) for i, x in enumerate((night, patch, lamp))], "frame_id long, width int, height int, pixels binary")
+    assert [r.reason for r in frames.judge(rows, "night").orderBy("frame_id").collect()] == [None, "bright_outlier_dark_scene", None]
+    assert "bright_outlier_dark_scene" not in {r.reason for r in frames.judge(rows).collect()}
+
+
+def test_corrupt_strips(spark):
+    rng = np.random.default_rng(3)
+    strip = scene()
+    strip[-60:] = np.where(rng.random((60, W, 1)) < 0.3, 128, np.array([10, 20, 250])).astype(np.uint8)
+    rows = spark.createDataFrame([(i, W, H, x.tobytes()) for i, x in enumerate((scene(), strip))], "frame_id long, width int, height int, pixels binary")
+    got = frames.measures(rows).orderBy("frame_id").select(frames.corrupt_strip().alias("c")).collect()
+    assert [r.c for r in got] == [False, True]
+
+
 def test_profiles_take_the_upper_median(spark):
     rows = [("a", 40.0, False), ("a", 60.0, False), ("b", 10.0, True), ("c", 200.0, False), ("c", 1.0, True), ("d", 20.0, False)]
     got = {r.k: r.profile for r in frames.pick_profile(spark.createDataFrame(rows, "k string, brightness double, corrupt boolean"), ["k"]).collect()}
