@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, langid, packing, pii, simhash
+from larkspur.llm import decontaminate, langid, packing, pii, simhash, similar
 from larkspur.llm.common import materialise
+from larkspur.llm.components import connected_components
 from larkspur.llm.queries import tokenizer_files
 
 
@@ -20,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    found = simhash.near_duplicates(docs)
+    """The document with the smallest id of each group of near-duplicates: equal fingerprints to two bits, or five-word similarity of 0.8 or more."""
+    close = simhash.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))
+    found = connected_components(close.unionByName(similar.links(docs))).withColumnsRenamed({"id": "doc_id", "component": "component_id"})
     return docs.join(materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "dedup-drop"), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -42,18 +42,22 @@ def pivots(n: int = N_PIVOTS) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(b"pivot %d" % i)).astype(np.int64)) for i in range(n)]
 
 
+def shingles(text: str | None, words: int) -> tuple[bytes, list[int], list[int]]:
+    """The normalised text, and where its shingles start and end; a shorter text is one shingle, a wordless one has none."""
+    found = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII space splits
+    buf = b" ".join(found)
+    if len(found) < words:
+        return buf, [0] if found else [], [len(buf)] if found else []
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    end = np.cumsum(size + 1) - 1
+    return buf, (end - size)[: len(found) - words + 1].tolist(), end[words - 1 :].tolist()
+
+
 def fingerprint(text: str | None) -> int:
     """The signed 64-bit SimHash of a whole text."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII space splits
-    if not words:
+    buf, starts, ends = shingles(text, SHINGLE_WORDS)
+    if not starts:
         return 0
-    buf = b" ".join(words)
-    if len(words) < SHINGLE_WORDS:
-        starts, ends = [0], [len(buf)]
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        starts, ends = (end - size)[: 1 - SHINGLE_WORDS].tolist(), end[SHINGLE_WORDS - 1 :].tolist()
     digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(starts), _CHUNK):
         found = np.array([digest(buf[a:b], HASH_SEED) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK], strict=True)], "<u8")

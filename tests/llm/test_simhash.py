@@ -1,7 +1,8 @@
 import numpy as np
 import xxhash
 
-from larkspur.llm import simhash
+import corpus_pipeline
+from larkspur.llm import simhash, similar
 
 
 def brute(text):
@@ -56,3 +57,40 @@ def test_long_chain_and_hub(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)]
     found = {r.id: r.component for r in simhash.connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
     assert {found[i] for i in range(301)} == {0} and {found[1000 + i] for i in range(200)} == {1000}
+
+
+def test_similar_texts_link_exactly(spark):
+    rng = np.random.default_rng(9)
+    texts = {}
+    for base in range(12):
+        words = [f"w{base}x{k}" for k in range(int(rng.integers(60, 200)))]
+        for _ in range(14):  # copies, near copies on both sides of 4/5, and chains of them
+            texts[len(texts)] = " ".join(words)
+            if rng.random() < 0.9:
+                words = list(words)
+                for k in rng.integers(0, len(words), int(rng.integers(1, 6))):
+                    words[k] = f"new{len(texts)}x{k}"
+    texts |= {900: None, 901: " ", 902: "two words", 903: "Two  WORDS", 904: "one two three four five"}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in texts.items()}
+    near = [(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    group = {i: i for i in texts}
+    find = lambda x: x if group[x] == x else find(group[x])
+    for i, j in near:
+        x, y = sorted((find(i), find(j)))
+        group[y] = x
+    fps = {i: simhash.fingerprint(t) % 2**64 for i, t in texts.items()}
+    assert any((fps[i] ^ fps[j]).bit_count() > 2 for i, j in near) and 20 < len({find(i) for i in texts}) < 100
+    rows = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id long, text string")
+    for most, block in ((32, 256), (2, 5), (1, 3)):  # pairs, both ways, blocks only
+        found = {r.id: r.component for r in simhash.connected_components(similar.links(rows, max_bucket=most, block=block)).collect()}
+        assert {i: found.get(i, i) for i in texts} == {i: find(i) for i in texts}, most
+    assert similar.links(rows.limit(0)).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = [*words[:50], "other", *words[51:]]
+    assert ((simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(" ".join(near))) % 2**64).bit_count() > 2
+    rows = [(7, " ".join(near)), (3, " ".join(words)), (9, " ".join(reversed(words))), (None, " ".join(words))]
+    got = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 3, 9]
