@@ -67,8 +67,8 @@ def op8_histogram_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: verdict, host, path of the contract's rules.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Hosts of spam, betting and adult content; a listed host stands for its subdomains too.
-URL_LIST = ("adult-x.example.com", "blog.casino-win.example.net", "free-bets.example.net", "spam-farm.example.org", "casino-world.example.net")
+#: Families of spam, betting, medicine, tracker and adult hosts, under each domain that they use; a listed host stands for its subdomains too.
+URL_LIST = tuple(f"{name}.example.{top}" for name in ("casino-win", "free-bets", "spam-farm", "adult-x", "cheap-pills", "ads-track") for top in ("com", "net", "org"))
 
 
 def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

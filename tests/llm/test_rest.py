@@ -53,6 +53,14 @@ def test_url_rows(spark):
     assert url_filter.judge(pages, queries.URL_RULES, listed.limit(0)).count() == 12
 
 
+def test_listed_hosts_occur(spark):
+    rows = queries.op9_bloom_cascade(spark, "/root/testdata/sf0.1").collect()
+    spam = [r for r in rows if r.rule is None and re.search("casino-win|free-bets|spam-farm|adult-x|cheap-pills|ads-track", r.host)]
+    assert len(spam) > 40 and {r.verdict for r in spam} == {"block"}
+    names = spark.createDataFrame([(h, any(h == x or h.endswith(f".{x}") for x in queries.URL_LIST)) for h in {r.host for r in rows}], "key string, listed boolean")
+    assert len(url_filter.cascade(names)) >= 1
+
+
 def brute_licenses(units):
     tokens = lambda t: [x for x in (re.sub(r"^[.+-]+|[.+-]+$", "", w) for w in re.split(r"[^\w.+-]+|_", t.lower())) if x]
     docs = [Counter(tokens(u)) for u in units]
