@@ -6,7 +6,7 @@ rewritten character remembers its source span, so what is detected there is mapp
 something rewritten and lies in no plain find of its kind; plain finds always stay, also inside a wider disguised one.
 
 Spans are (kind, start, end) in code points, end exclusive, kinds in the order email, ip, card, phone. Null and empty texts have none.
-Time is linear in the text, whatever it holds. Repeated rows and null doc_ids give their own rows; other columns are ignored.
+Time grows with the text's length (times its logarithm where there are disguises), whatever it holds. Repeated rows and null doc_ids give their own rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,7 +61,7 @@ def detect(text: str) -> list[Span]:
     if not _DIGITS.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -81,7 +82,15 @@ HOMOGLYPHS = {
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "Α": "A", "Β": "B", "Ε": "E", "Ο": "O", "＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "＋": "+", "－": "-", "‐": "-", "‑": "-", "–": "-", "﹣": "-", "＿": "_",
 }
 INVISIBLE = "­​‌‍⁠﻿"
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
+DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+AT_WORDS = ("at", "arroba", "arobase")
+DOT_WORDS = ("dot", "punkt", "punto", "point")
+PLUS_WORDS = ("plus", "más")
 
 TOP_LEVEL = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "eu", "de", "fr", "es", "it", "uk", "us", "ca", "au", "nl", "ch", "at", "be", "jp", "cn", "in", "br", "ru")
 
@@ -93,19 +102,29 @@ _ONE = {
     **dict.fromkeys(INVISIBLE, ""),
 }
 _ODD = re.compile(f"[{''.join(map(re.escape, _ONE))}]")
-_SPELLED = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-#: Spelled digits count only in a row of at least four.
-_ROW = re.compile(rf"(?i)\b(?:plus[ -]+)?(?:{_SPELLED})(?:[ ,-]{{1,2}}(?:{_SPELLED})){{3,}}\b")
-_ITEM = re.compile(rf"(?i)(plus)[ -]+|({_SPELLED})|[ ,-]+")
+
+
+def _one_of(words: Iterable[str]) -> str:
+    """A pattern of any of the words, by their first letters; longer ones first."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words, key=len, reverse=True):
+        heads.setdefault(w[0], []).append(re.escape(w[1:]))
+    return f"(?:{'|'.join(f'{h}(?:{chr(124).join(rest)})' for h, rest in sorted(heads.items()))})"
+
+
+_SPELLED, _PLUS, _AT, _DOT = (_one_of(x) for x in (DIGIT_WORDS, PLUS_WORDS, AT_WORDS, DOT_WORDS))
+#: Spelled digits count only in a row of at least four digits, of which some may be written as digits.
+_ROW = re.compile(rf"(?i)\b(?:{_PLUS}[ -]+)?(?:{_SPELLED}|[0-9])(?:[ ,-]{{1,2}}(?:{_SPELLED}|[0-9])\b){{3,}}+")
+_ITEM = re.compile(rf"(?i)({_PLUS})[ -]+|({_SPELLED})|([0-9])|[ ,-]+")
 #: Bracketed words are disguises wherever they stand; bare words only as name at name dot (top-level domain).
-_BRACKET = re.compile(r"(?i)[ ]{0,2}[(\[{<][ ]?(at|dot|punkt|arroba|punto|point)[ ]?[)\]}>][ ]{0,2}")
-_REST = rf"[A-Za-z0-9-]{{1,63}}(?: dot [A-Za-z0-9-]{{1,63}}){{0,7}} dot (?:{'|'.join(TOP_LEVEL)})\b"
-_BARE = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])( (?:at|arroba) )(?={_REST})")
-_BARE_DOT = re.compile(r"(?i) dot (?=[A-Za-z0-9-])")
+_BRACKET = re.compile(rf"(?i)[ ]{{0,2}}[(\[{{<][ ]?(?:({_AT})|{_DOT})[ ]?[)\]}}>][ ]{{0,2}}")
+_REST = rf"[A-Za-z0-9-]{{1,63}}(?: {_DOT} [A-Za-z0-9-]{{1,63}}){{0,7}} {_DOT} (?:{'|'.join(TOP_LEVEL)})\b"
+_BARE = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])( {_AT} )(?={_REST})")
+_BARE_DOT = re.compile(rf"(?i) {_DOT} (?=[A-Za-z0-9-])")
 _BARE_REST = re.compile(f"(?i){_REST}")
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])(?: @ ?|@ )(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)")
-#: Any of these lower-cased pieces must occur for the word transducers to be worth a pass.
-_HINTS = re.compile(r"(?i)[(\[{<][ ]?(?:at|dot|punkt|arroba|punto|point)[ ]?[)\]}>]| dot ")
+#: Any of these pieces must occur for the word transducers to be worth a pass.
+_HINTS = re.compile(rf"(?i)[(\[{{<][ ]?(?:{_AT}|{_DOT})[ ]?[)\]}}>]| {_DOT} ")
 
 
 def _edits(text: str) -> list[tuple[int, int, str]]:
@@ -113,7 +132,7 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
     found = [] if text.isascii() else [(m.start(), m.end(), _ONE[m[0]]) for m in _ODD.finditer(text)]
     if _HINTS.search(text):
         for m in _BRACKET.finditer(text):
-            found.append((m.start(), m.end(), "@" if m[1].lower() in ("at", "arroba") else "."))
+            found.append((m.start(), m.end(), "@" if m[1] else "."))
         for m in _BARE.finditer(text):
             found.append((m.start(1), m.end(1), "@"))
             end = _BARE_REST.match(text, m.end()).end()
@@ -121,8 +140,9 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
     if " @" in text or "@ " in text:
         found += [(m.start(), m.end(), "@") for m in _SPACED_AT.finditer(text)]
     for m in _ROW.finditer(text):
-        for x in _ITEM.finditer(text, m.start(), m.end()):
-            found.append((x.start(), x.end(), "+" if x[1] else DIGIT_WORDS[x[2].lower()] if x[2] else ""))
+        row = list(_ITEM.finditer(text, m.start(), m.end()))
+        if any(x[2] for x in row):
+            found += [(x.start(), x.end(), "+" if x[1] else DIGIT_WORDS[x[2].lower()] if x[2] else x[3] or "") for x in row]
     out: list[tuple[int, int, str]] = []
     for e in sorted(found, key=lambda e: (e[0], -e[1])):
         if not out or e[0] >= out[-1][1]:
@@ -157,6 +177,8 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
         return []
     new, there, here = deobfuscate(text, edits)
     starts = [e[0] for e in edits]
+    known = {k: [s for s in plain if s[0] == k] for k in KINDS}  # by start, apart from each other
+    begins = {k: [s[1] for s in v] for k, v in known.items()}
 
     def back(at: int, end: bool) -> int:
         k = bisect.bisect_left(there, at) - 1 if end else bisect.bisect_right(there, at) - 1
@@ -169,7 +191,8 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
         start, end = back(a, False), back(b, True)
         k = bisect.bisect_left(starts, start)
         changed = k < len(edits) and edits[k][0] < end
-        if changed and not any(s <= start and end <= e for x, s, e in plain if x == kind):
+        last = bisect.bisect_right(begins[kind], start) - 1  # only the last plain find that starts no later can hold it
+        if changed and not (last >= 0 and end <= known[kind][last][2]):
             out.append((kind, start, end))
     return out
 
