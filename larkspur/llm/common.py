@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,11 +15,12 @@ SLICE_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); one of our own only in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-larkspur-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-larkspur-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -35,13 +37,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``fn`` to Arrow slices of at most ``SLICE_ROWS`` rows; no shuffle, bounded memory."""
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """Apply ``fn`` to Arrow slices of at most ``rows`` rows; no shuffle, bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                out = fn(batch.slice(at, SLICE_ROWS))
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
 

@@ -1,13 +1,12 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Whole texts become 64-bit fingerprints. Every *distinct* fingerprint carries its Hamming distances to
-``N_PIVOTS`` reference fingerprints. Two fingerprints at most two bits apart agree on one of three bit blocks, so
-blocks give the candidate pairs; a pair whose table entries differ by more than two anywhere is discarded
-(the triangle inequality), and survivors are verified on the fingerprints themselves.
-
-A block value shared by more than ``MAX_BUCKET`` distinct fingerprints isn't paired up: each of its members emits
-itself and its one-bit neighbours outside the block, and two members are linked exactly if they share such a
-point (at most 65 members can meet at one point). Both ways are exact; rows stay linear in the fingerprints.
+Whole texts become 64-bit fingerprints. Every *distinct* fingerprint carries its Hamming distances to ``N_PIVOTS`` reference
+fingerprints. Two fingerprints at most two bits apart agree on two of four blocks of 16 bits, so fingerprints that share
+two blocks form groups. A group is split by its pivot table: a distance is cut into steps of three, and a fingerprint goes to its own step and the
+next one, of as many pivots as the group's size asks for; near fingerprints differ by two at most in every distance (the triangle inequality),
+so they meet in some cell. Within a cell, fingerprints sorted by their distance to the first pivot are only compared while that differs by two or less;
+a pair whose table entries differ by more than two anywhere is discarded, and survivors are verified on the fingerprints themselves.
+All groups, of any size, go this way.
 
 Nulls, empty and one- or two-word texts: null and wordless texts have fingerprint 0, shorter texts than three words hash
 their whole word sequence. Rows without doc_id get a fingerprint, no component, and link nothing. Repeated rows share
@@ -16,6 +15,9 @@ a component. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,10 +31,12 @@ SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
 HASH_SEED = 42
 N_PIVOTS = 16
-#: Distinct fingerprints of one block value that are compared pair by pair; larger groups take the other exact way.
-MAX_BUCKET = 256
-#: (first bit, bits) of each block: one more block than differing bits.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: Bits in each pair of 16-bit blocks that a group shares: two differing bits leave at least two of four blocks alone.
+GROUP_MASKS = tuple(sum(0xFFFF << 16 * i for i in pair) for pair in itertools.combinations(range(4), 2))
+#: Fingerprints that a cell should hold; a group of more is split by its pivot distances, by more pivots the larger it is.
+CELL_ROWS = 64
+#: Pivots that split at most; each doubles the rows and leaves about ``_PIVOT_SHARE`` of unrelated pairs together.
+SPLIT_PIVOTS, _PIVOT_SHARE = 8, 0.4
 #: Hashes turned into bits at a time.
 _CHUNK = 65536
 
@@ -74,68 +78,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), one, "doc_id long, fp long")
 
 
-def _pairs(schema: str):
-    """Links inside each (block, value) group of rows that arrive sorted by group, by offset within the group."""
-
-    def run(batches):
-        left = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if left is None else pa.concat_tables([left, rows])
-            block, value = (rows.column(k).to_numpy() for k in ("block", "value"))
-            last = np.flatnonzero((block != block[-1]) | (value != value[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
-            left = rows.slice(cut)
-            yield from link(rows.slice(0, cut))
-        if left is not None:
-            yield from link(left)
-
-    def link(rows):
-        n = rows.num_rows
-        if not n:
-            return
-        block, value, fp, ident = (rows.column(k).to_numpy() for k in ("block", "value", "fp", "id"))
-        table = np.asarray(rows.column("pivots").combine_chunks().flatten()).reshape(n, -1).astype(np.int8)
-        group = np.cumsum(np.r_[False, (block[1:] != block[:-1]) | (value[1:] != value[:-1])])
-        for k in range(1, MAX_BUCKET):
-            a = np.flatnonzero(group[k:] == group[:-k])
+def _links_of_cells(batches):
+    """Links within each cell of rows sorted by cell and first pivot distance; holds no more than the rows whose distance is still within reach."""
+    left = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        fresh = 0 if left is None else left.num_rows  # rows before it have been compared with each other
+        rows = rows if left is None else pa.concat_tables([left, rows])
+        group, cell, fp, ident = (rows.column(k).to_numpy() for k in ("grp", "cell", "fp", "id"))
+        table = np.asarray(rows.column("pivots").combine_chunks().flatten()).reshape(len(fp), -1).astype(np.int8)
+        part = np.cumsum(np.r_[False, (group[1:] != group[:-1]) | (cell[1:] != cell[:-1])])
+        first = table[:, 0]
+        for k in range(1, len(fp)):
+            a = np.arange(max(0, fresh - k), len(fp) - k)
+            a = a[(part[a + k] == part[a]) & (first[a + k] - first[a] <= MAX_DISTANCE)]
             if not len(a):
-                return
+                break
             b = a + k
             near = np.abs(table[a] - table[b]).max(axis=1) <= MAX_DISTANCE
             a, b = a[near], b[near]
             near = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= MAX_DISTANCE
             if near.any():
                 yield batch_of(src=(ident[a[near]], pa.int64()), dst=(ident[b[near]], pa.int64()))
+        left = rows.slice(int(np.argmax((part == part[-1]) & (first >= first[-1] - MAX_DISTANCE))))
 
-    return run
 
-
-def links(fps: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """``(src, dst)`` links between the ids of distinct fingerprints ``(fp, id)``; their closure is complete."""
-    value = [F.shiftright(F.col("fp"), lo).bitwiseAND(F.lit((1 << n) - 1)) for lo, n in BLOCKS]
-    keys = fps.select("fp", "id", F.posexplode(F.array(*value)).alias("block", "value"))
-    sizes = materialise(keys.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
-    shared = materialise(keys.join(sizes, ["block", "value"]), "simhash-shared")
+def links(fps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``(src, dst)`` links between the ids of distinct fingerprints ``(fp, id)``, each at least once."""
+    group = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(np.int64(np.uint64(m)).item())).alias("value")) for i, m in enumerate(GROUP_MASKS)])
+    keys = fps.select("fp", "id", F.inline(group)).select("fp", "id", F.xxhash64("block", "value").alias("grp"))  # groups whose hashes meet are only compared in vain
+    sizes = materialise(keys.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+    shared = materialise(keys.join(sizes, "grp"), "simhash-shared")
 
     table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()])
-    cold = shared.where(F.col("n") <= max_bucket).withColumn("pivots", table)
-    cold = cold.repartition("block", "value").sortWithinPartitions("block", "value", "fp").mapInArrow(_pairs("src long, dst long"), "src long, dst long")
-
-    inside = F.lit(False)
-    for k, (lo, n) in enumerate(BLOCKS):
-        inside = inside | ((F.col("block") == k) & F.col("bit").between(lo, lo + n - 1))
-    hot = shared.where(F.col("n") > max_bucket).select("block", "id", "fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit")).where(~inside)
-    point = F.when(F.col("bit") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, bit)")))
-    meet = hot.select("block", "id", point.alias("point")).groupBy("block", "point").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
-    meet = meet.select(F.array_min("ids").alias("src"), F.explode("ids").alias("dst")).where("src <> dst")
-    return cold.unionByName(meet)
+    splits = F.least(F.lit(SPLIT_PIVOTS), F.ceil(F.log(F.col("n") / F.lit(cell_rows)) / F.lit(-math.log(_PIVOT_SHARE)))).cast("int")
+    steps = F.transform(F.slice("pivots", 2, F.greatest("splits", F.lit(0))), lambda d: F.floor(d / 3).cast("int"))
+    placed = shared.withColumn("pivots", table).withColumn("splits", splits).withColumn("steps", steps)
+    placed = placed.withColumn("c", F.explode(F.expr("sequence(0, shiftleft(1, size(steps)) - 1)")))
+    cell = F.xxhash64(F.transform("steps", lambda q, i: q + F.call_function("shiftright", F.col("c"), i).bitwiseAND(F.lit(1))))
+    placed = placed.select("grp", cell.alias("cell"), "fp", "id", "pivots")
+    sorted_cells = placed.repartition("grp", "cell").sortWithinPartitions("grp", "cell", F.col("pivots")[0])
+    return sorted_cells.mapInArrow(_links_of_cells, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row; component_id is the smallest doc_id reachable by links."""
     each = materialise(fingerprints(docs), "simhash-docs")
     fps = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    found = connected_components(links(fps.where("id is not null"), max_bucket))
+    found = connected_components(links(fps.where("id is not null"), cell_rows))
     of = fps.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     return each.join(of, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))

@@ -1,11 +1,13 @@
 """Pairs of texts whose sets of word shingles have a Jaccard similarity of at least 4/5, found exactly.
 
-In any one order of all shingles, two such sets share one among the first ``n - ceil(4n/5) + 1`` of each. The order puts frequent shingles
-last (as far as a sample knows them; any order is exact), so few sets meet. Sets that meet at a shingle of at most ``MAX_BUCKET``
-sets are compared pair by pair. Larger groups are joined to coarse groups, which are cut into blocks; every two blocks of a coarse group
-are compared in one task, so each set travels once for every block, not once for every pair or shingle.
-
-Texts are split as for fingerprints; a text of fewer words than a shingle is one shingle, wordless texts and null doc_ids link nothing.
+In any one order of all shingles, two such sets share one among the first ``n - ceil(4n/5) + 1`` of each. The order puts frequent
+shingles last (as far as a sample knows them; any order is exact), so few sets meet. Sets that meet at a shingle are not paired up. First every one
+of them is compared with one of them, the *hub*, the least by a hash, so that a group of near copies has the same hub at most of its shingles.
+Then only sets that share a shingle but are in different components so far are compared, those outside of the shingle's largest
+component with all others. A group of near copies so costs one comparison a member; sets of one component need no further links. Both
+steps drop pairs whose places in the order and sizes exclude the similarity. Survivors are compared on their whole texts.
+
+Texts are split as for fingerprints; a text of fewer words than a shingle is one shingle, and wordless texts link nothing.
 """
 
 from __future__ import annotations
@@ -18,22 +20,40 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, map_rows, materialise
 from .components import connected_components
-from .simhash import HASH_SEED, shingles
 
 SHINGLE_WORDS = 5
-#: Sets sharing a shingle that are compared pair by pair, and sets of a block.
-MAX_BUCKET = 32
-BLOCK = 256
 #: Documents that are sampled for frequent shingles, how often those occur there, and how many are kept.
 SAMPLE_DOCS, SAMPLE_COUNT, SAMPLE_KEPT = 20_000, 3, 200_000
-_COLUMNS = 8192
+#: Words remembered by a Python worker before it forgets them all.
+VOCABULARY = 300_000
+_MIX = [np.uint64(xxhash.xxh64_intdigest(b"shingle word %d" % i) | 1) for i in range(64)]
+
+
+class _Hashes(dict):
+    """word -> its hash."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= VOCABULARY:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_hashes = _Hashes()
 
 
 def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     """Distinct shingle hashes of a whole text, ascending (signed 64-bit)."""
-    buf, starts, ends = shingles(text, words)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(buf[a:b], HASH_SEED) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
+    found = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII space splits
+    if not found:
+        return np.zeros(0, np.int64)
+    of = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    wide = min(words, len(found))
+    total = np.full(len(of) - wide + 1, wide, np.uint64)
+    for j in range(wide):
+        total += of[j : j + len(total)] * _MIX[j]
+    total ^= total >> np.uint64(29)
+    return np.unique((total * _MIX[-1]).view(np.int64))
 
 
 def alike(common, n, m):
@@ -41,128 +61,88 @@ def alike(common, n, m):
     return 9 * common >= 4 * (n + m)
 
 
-def _frequent(docs: DataFrame, words: int) -> np.ndarray:
+def _frequent(rows: DataFrame, words: int) -> np.ndarray:
     """Rows (shingle, count) of a sample's frequent shingles, by shingle."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch_of(shingles=([shingle_set(t, words) for t in batch.column(0).to_pylist()], pa.list_(pa.int64())))
 
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("text").cast("string"))
+    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
     seen = map_rows(some, one, "shingles array<long>").select(F.explode("shingles").alias("s"))
     often = seen.groupBy("s").count().where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "s").limit(SAMPLE_KEPT).collect()
     return np.array(sorted((r["s"], r["count"]) for r in often), np.int64).reshape(-1, 2)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """``(id, digest, shingles)`` of the texts with words; shingles are in the common order, frequent ones last."""
-    docs = docs.where("doc_id is not null")
-    known = _frequent(docs, words)
+def _prefixes(rows: DataFrame, words: int) -> DataFrame:
+    """``(id, digest, n, prefix)`` of the texts with words: a digest of the whole set, its size, its first shingles in the common order."""
+    known = _frequent(rows, words)
 
-    def ordered(s: np.ndarray) -> np.ndarray:
+    def first(s: np.ndarray) -> np.ndarray:
+        many = len(s) - -(-4 * len(s) // 5) + 1 if len(s) else 0
         if not len(known):
-            return s
+            return s[:many]
         at = np.minimum(np.searchsorted(known[:, 0], s), len(known) - 1)
-        return s[np.lexsort((s, np.where(known[at, 0] == s, known[at, 1], 0)))]
+        return s[np.argsort(np.where(known[at, 0] == s, known[at, 1], 0), kind="stable")[:many]]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [ordered(shingle_set(t, words)) for t in batch.column(1).to_pylist()]
+        found = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
         digest = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in found]
-        return batch_of(id=(batch.column(0), pa.int64()), digest=(digest, pa.int64()), shingles=(found, pa.list_(pa.int64())))
-
-    rows = map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), one, "id long, digest long, shingles array<long>")
-    return rows.where(F.size("shingles") > 0)
-
-
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """``(shingle, id, n, at)``: the first shingles of each set, its size, and their places."""
-    first = F.expr("slice(shingles, 1, size(shingles) - (4 * size(shingles) + 4) div 5 + 1)")
-    return sets.select("id", F.size("shingles").alias("n"), F.posexplode(first).alias("at", "shingle"))
-
-
-def _forest(ids: list[int], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Links that join the same sets as the pairs (a, b) of places in ids."""
-    root = list(range(len(ids)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        root[find(j)] = find(i)
-    tied = [(ids[find(i)], ids[i]) for i in range(len(ids)) if find(i) != i]
-    return batch_of(src=([x for x, _ in tied], pa.int64()), dst=([y for _, y in tied], pa.int64()))
-
-
-def _compare(batches):
-    """Links inside each (group, one, two) of rows that arrive sorted by it: a block with itself, or two blocks with each other."""
-    key, ids, sides, sets = None, [], [], []
-
-    def close():
-        size = np.array([len(s) for s in sets])
-        _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row, side = np.repeat(np.arange(len(sets)), size), np.array(sides)
-        shared = count[inverse] > 1
-        row, column = row[shared], (np.cumsum(count > 1) - 1)[inverse[shared]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        for at in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
-            lo, hi = np.searchsorted(column, (at, at + _COLUMNS))
-            m = np.zeros((len(sets), _COLUMNS), np.float32)
-            m[row[lo:hi], column[lo:hi] - at] = 1
-            common += m @ m.T
-        near = np.triu(alike(common.astype(np.int64), size[:, None], size[None, :]), 1)
-        if key[1] != key[2]:
-            near &= side[:, None] != side[None, :]
-        return _forest(ids, *np.nonzero(near))
-
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(5)]
-        every = batch.column(5)
-        offsets, flat = every.offsets.to_numpy(), every.values.to_numpy()
-        for k, (group, one, two, side, ident) in enumerate(zip(*columns, strict=True)):
-            if key != (group, one, two):
-                if ids:
-                    yield close()
-                key, ids, sides, sets = (group, one, two), [], [], []
-            ids.append(ident)
-            sides.append(side)
-            sets.append(flat[offsets[k] : offsets[k + 1]].copy())
-    if ids:
-        yield close()
-
-
-def links(docs: DataFrame, words: int = SHINGLE_WORDS, max_bucket: int = MAX_BUCKET, block: int = BLOCK) -> DataFrame:
-    """``(src, dst)`` links between doc_ids whose closure holds exactly the pairs of similarity 4/5 or more."""
-    every = materialise(_sets(docs, words), "similar-sets")
-    first = every.groupBy("digest").agg(F.min("id").alias("least"))
-    copies = materialise(every.select("id", "digest").join(first, "digest").where("id <> least").distinct(), "similar-copies")
-    sets = every.join(copies, ["id", "digest"], "left_anti").select("id", "shingles")
-
-    keys = _prefixes(sets)
-    sizes = materialise(keys.groupBy("shingle").agg(F.count("*").alias("met")).where("met > 1"), "similar-sizes")
-    shared = materialise(keys.join(sizes, "shingle"), "similar-shared")
-
-    hot = shared.where(F.col("met") > max_bucket).select("shingle", "id")
-    star = hot.join(materialise(hot.groupBy("shingle").agg(F.min("id").alias("hub")), "similar-hubs"), "shingle").select(F.col("hub").alias("src"), F.col("id").alias("dst"))
-    groups = materialise(connected_components(star).withColumnRenamed("component", "group"), "similar-groups")
-    blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = groups.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("group", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), F.col("own").alias("side"), "id")
-    parts = own.join(sets, "id").select("group", "one", "two", "side", "id", "shingles")
-    within = parts.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two", "id").mapInArrow(_compare, "src long, dst long")
-
-    a, b = (shared.where(F.col("met") <= max_bucket).select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "at")]) for k in "ab")
-    most = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1  # they can share no more
-    pairs = a.join(b, "shingle").where(F.col("id_a") < F.col("id_b")).where(alike(most, F.col("n_a"), F.col("n_b"))).select("id_a", "id_b").distinct()
-    for k in "ab":
-        pairs = pairs.join(groups.select(F.col("id").alias(f"id_{k}"), F.col("group").alias(f"group_{k}")), f"id_{k}", "left")
-    pairs = materialise(pairs.where("group_a is null or group_b is null or group_a <> group_b").select("id_a", "id_b"), "similar-pairs")
-    for k in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(f"id_{k}"), F.col("shingles").alias(f"set_{k}")), f"id_{k}")
-    true = alike(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"))
-    found = pairs.where(true).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    return found.unionByName(within).unionByName(copies.select(F.col("least").alias("src"), F.col("id").alias("dst")))
+        return batch_of(id=(batch.column(0), pa.int64()), digest=(digest, pa.int64()), n=(list(map(len, found)), pa.int32()), prefix=(list(map(first, found)), pa.list_(pa.int64())))
+
+    return map_rows(rows, one, "id long, digest long, n int, prefix array<long>").where("n > 0")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of ids whose whole texts are alike."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = materialise(rows.join(materialise(ids, "similar-ids"), "id", "left_semi"), "similar-texts")
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, last, mine = [], None, None
+        for a, s, t in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+            if a != last:
+                last, mine = a, shingle_set(s, words)
+            other = shingle_set(t, words)
+            keep.append(alike(len(np.intersect1d(mine, other, assume_unique=True)), len(mine), len(other)))
+        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    for k in "ba":
+        pairs = pairs.join(texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")), k)
+    return map_rows(pairs.select("a", "b", "text_a", "text_b"), one, "a long, b long", 32)
+
+
+def _possible(x: str, y: str):
+    """Whether sets with a shingle at places x.at and y.at of the order can still share enough."""
+    at = F.least(F.col(f"{x}.at"), F.col(f"{y}.at"))
+    return alike(at + F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at")), F.col(f"{x}.n"), F.col(f"{y}.n"))
+
+
+def links(rows: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``(src, dst)`` links of rows (id, text), one row an id, whose closure is that of all pairs of similarity 4/5 or more."""
+    each = materialise(_prefixes(rows, words), "similar-prefixes")
+    copied = materialise(each.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1"), "similar-digests")
+    copies = materialise(each.select("id", "digest").join(copied, "digest").where("id <> least").select("id", "least"), "similar-copies")
+    keys = each.join(copies, "id", "left_anti").select("id", "n", F.posexplode("prefix").alias("at", "shingle"))
+
+    hub = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "at")).alias("hub")
+    groups = materialise(keys.groupBy("shingle").agg(F.count("*").alias("met"), hub).where("met > 1").select("shingle", "hub"), "similar-groups")
+    shared = materialise(keys.join(groups.select("shingle"), "shingle", "left_semi"), "similar-shared")
+    star = shared.alias("x").join(groups, "shingle").where(F.col("x.id") != F.col("hub.id")).where(_possible("x", "hub"))
+    star = materialise(star.select(F.col("hub.id").alias("a"), F.col("x.id").alias("b")).distinct(), "similar-star")
+    near = materialise(_verified(star, rows, words), "similar-near")
+
+    found = connected_components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    placed = shared.join(found, "id", "left").select("shingle", "id", "n", "at", F.coalesce("component", "id").alias("component"))
+    placed = materialise(placed, "similar-placed")
+    each_part = placed.groupBy("shingle", "component").agg(F.count("*").alias("k"))
+    largest = each_part.groupBy("shingle").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("largest")).where("parts > 1")
+    open_ = materialise(placed.join(largest.select("shingle", F.col("largest.component").alias("largest")), "shingle"), "similar-open")
+    x, y = open_.where("component <> largest").alias("x"), open_.alias("y")
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
+    pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(apart).where(_possible("x", "y"))
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _verified(materialise(pairs.join(tried, ["a", "b"], "left_anti"), "similar-pairs"), rows, words)
+    linked = near.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return linked.unionByName(copies.select(F.col("least").alias("src"), F.col("id").alias("dst")))

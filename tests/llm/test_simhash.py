@@ -30,7 +30,7 @@ def test_fingerprints():
         assert simhash.fingerprint(text) % 2**64 == (brute(text) if len(text or "") < 999 else simhash.fingerprint("x x x") % 2**64)
 
 
-def test_links_are_complete_both_ways(spark):
+def test_links_are_complete_for_any_split(spark):
     rng = np.random.default_rng(5)
     fps = []
     for base in rng.integers(-(2**62), 2**62, 30):
@@ -40,8 +40,8 @@ def test_links_are_complete_both_ways(spark):
     fps = list(dict.fromkeys(fps))
     table = spark.createDataFrame([(f, i * 3) for i, f in enumerate(fps)], "fp long, id long")
     want = components({i * 3: f % 2**64 for i, f in enumerate(fps)})
-    for most in (256, 3, 1):  # pairs, both ways, flips only
-        found = {r.id: r.component for r in simhash.connected_components(simhash.links(table, most)).collect()}
+    for rows in (1000, 3, 0.01):  # whole groups, some pivots, as many as there are
+        found = {r.id: r.component for r in simhash.connected_components(simhash.links(table, rows)).collect()}
         assert {i: found.get(i, i) for i in want} == want
 
 
@@ -80,10 +80,9 @@ def test_similar_texts_link_exactly(spark):
         group[y] = x
     fps = {i: simhash.fingerprint(t) % 2**64 for i, t in texts.items()}
     assert any((fps[i] ^ fps[j]).bit_count() > 2 for i, j in near) and 20 < len({find(i) for i in texts}) < 100
-    rows = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id long, text string")
-    for most, block in ((32, 256), (2, 5), (1, 3)):  # pairs, both ways, blocks only
-        found = {r.id: r.component for r in simhash.connected_components(similar.links(rows, max_bucket=most, block=block)).collect()}
-        assert {i: found.get(i, i) for i in texts} == {i: find(i) for i in texts}, most
+    rows = spark.createDataFrame([*texts.items()], "id long, text string")
+    found = {r.id: r.component for r in simhash.connected_components(similar.links(rows)).collect()}
+    assert {i: found.get(i, i) for i in texts} == {i: find(i) for i in texts}
     assert similar.links(rows.limit(0)).count() == 0
 
 
@@ -91,6 +90,8 @@ def test_pipeline_drops_near_copies(spark):
     words = [f"w{k}" for k in range(100)]
     near = [*words[:50], "other", *words[51:]]
     assert ((simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(" ".join(near))) % 2**64).bit_count() > 2
-    rows = [(7, " ".join(near)), (3, " ".join(words)), (9, " ".join(reversed(words))), (None, " ".join(words))]
-    got = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
-    assert sorted(r.doc_id or 0 for r in got) == [0, 3, 9]
+    rows = [(7, " ".join(near)), (3, " ".join(words)), (9, " ".join(reversed(words))), (None, " ".join(words)), (3, " ".join(words)), (3, "another text of id three"), (None, None), (None, ""), (None, "no id, once more"), (None, "no id, once more")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.deduplicate(spark, table, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "no id, once more"), (3, "another text of id three"), (3, " ".join(words)), (9, " ".join(reversed(words)))]
+    assert corpus_pipeline.deduplicate(spark, table.limit(0), "").count() == 0
