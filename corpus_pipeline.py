@@ -16,29 +16,39 @@ from larkspur.llm.queries import tokenizer_files
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language compression can decide."""
+    """Documents whose language compression can decide; null, empty and letterless texts can't be. Every row is judged alone, so repeated rows and null ids change nothing."""
     return langid.accepted(docs, langid.dictionaries(docs.where(~langid.held_out(F.col("doc_id")))))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates: equal fingerprints to two bits, or five-word similarity of 0.8 or more."""
-    close = simhash.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))
-    found = connected_components(close.unionByName(similar.links(docs))).withColumnsRenamed({"id": "doc_id", "component": "component_id"})
-    return docs.join(materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "dedup-drop"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: fingerprints at two bits or fewer, or a five-word similarity of 0.8 or more.
+
+    Rows are told apart by their place, so rows of one doc_id and rows without one are compared like all others. The row with the smallest
+    doc_id stays, null ids last, then the first row. Null and wordless texts form one group. An empty table stays empty.
+    """
+    # The id of a row follows from the files read, so it's the same each time; stages are written and read again.
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    close = simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))
+    found = connected_components(close.unionByName(similar.links(rows.select(F.col("__row").alias("id"), F.col("text").cast("string")))))
+    members = materialise(rows.select("__row", "doc_id").join(found.withColumnRenamed("id", "__row"), "__row"), "dedup-members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))["__row"].alias("first")
+    stay = materialise(members.groupBy("component").agg(first), "dedup-stay")
+    drop = materialise(members.join(stay, "component").where("__row <> first").select("__row"), "dedup-drop")
+    return rows.join(drop, "__row", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items; repeated rows and rows without id go by their own text, and null texts stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All rows, with personal data masked and n_chars counted anew; null texts stay null."""
     return pii.masked(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences and their places."""
+    """Pieces of token sequences and their places: every row at least one piece, null texts the end id alone."""
     return packing.pack(docs, **tokenizer_files())
 
 
