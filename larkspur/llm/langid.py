@@ -1,8 +1,8 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary: slices of a bounded, hash-chosen sample of labelled texts. A whole
+Each language has a zstandard raw-content dictionary: whole texts of a bounded, hash-chosen sample of labelled rows. A whole
 text is cut into chunks, each chunk is compressed with every dictionary, and the language with the fewest bytes in sum is chosen. The margin is
-the share by which the runner-up needs more bytes; a text whose margin is below ``MIN_MARGIN`` is rejected as undecided.
+the share by which the runner-up needs more bytes; a text whose margin is below ``MIN_MARGIN`` is rejected as undecided. All lengths go the same way.
 
 ``lang_pred`` is always a learned language, or ``und`` where the text is null or has no letter; those are rejected with score 0. Ties
 go to the language with more labelled rows, then by name. Repeated rows, null doc_ids and extra columns change nothing; without any
@@ -21,25 +21,22 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, map_rows, materialise
 
-#: Expected number of labelled rows sampled for a language's dictionary, and the characters taken of each: bounds of the fit.
-SAMPLE_ROWS = 150
-SAMPLE_CHARS = 1500
+#: Expected number of labelled rows sampled for a language's dictionary: the bound of the fit.
+SAMPLE_ROWS = 100
 #: Shorter matches than zstandard's own choice at this level: syllables tell languages apart.
 LEVEL, MIN_MATCH = 5, 3
 #: Bytes compressed at a time; shorter than a dictionary, so that long texts also lean on it.
 CHUNK = 4096
-SHORT = 256
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
-_GAP = re.compile(rb"\s+(?=\S)")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, bytes]]:
     """(language, dictionary) by falling number of labelled rows, from rows with doc_id, text and lang."""
     rows = labelled.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null")
-    # The hash also covers the start of the text, so that repeated ids don't come or go together.
-    rows = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", F.substring("text", 1, 64)).alias("h"))
+    # The hash also covers the text, so that repeated ids don't come or go together.
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     counts = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")), "langid-counts")
     picked = rows.join(counts, "lang").where(F.pmod("h", "n") < sample_rows)
     size: dict[str, int] = {}
@@ -67,8 +64,6 @@ def classify(text: str | None, models: tuple[tuple[str, bytes], ...]) -> tuple[s
         return UNKNOWN, 0.0
     raw = text.lower().encode()
     chunks = [raw[at : at + CHUNK] for at in range(0, len(raw), CHUNK)]
-    if len(raw) < SHORT:  # whole bytes are too coarse for a few words: every run of words to the end counts too
-        chunks += [raw[m.end() :] for m in _GAP.finditer(raw)]
     sizes = [sum(len(c.compress(x)) for x in chunks) for c in _compressors(models)]
     best = min(range(len(sizes)), key=sizes.__getitem__)  # the first of equals has more labelled rows
     others = [s for i, s in enumerate(sizes) if i != best]

@@ -38,12 +38,13 @@ def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     """text -> ids of the byte-level BPE in ``json_path``.
 
     With ``ranks_path`` (the same vocabulary as merge ranks) ordinary texts take tiktoken, which gives the same
-    ids in a third of the time; texts with very long runs always take ``tokenizers``.
+    ids in a third of the time. Texts that hold an added token of the vocabulary, which tiktoken would spell out, take
+    ``tokenizers``, and so do texts with very long runs, on which tiktoken's merging takes quadratic time.
     """
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(json_path)
-    exact.encode_special_tokens = True
+    added = [t.content for t in exact.get_added_tokens_decoder().values()]
 
     def slow(text: str) -> list[int]:
         return exact.encode(text, add_special_tokens=False).ids
@@ -57,6 +58,8 @@ def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
+        if any(t in text for t in added):
+            return slow(text)
         words = text.split()
         size = sum(map(len, words))
         if len(text) - size - len(words) > LONG_RUN or max(map(len, words), default=0) > LONG_RUN:
@@ -171,9 +174,11 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern
             keep = [k for k in batch.schema.names if k != "rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), *(pa.array(v, pa.int64()) for v in found.values())], names=[*keep, *found])
 
+    # One row a task: where its counting of each length begins.
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = each.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("local"))
+    base = materialise(base.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("base")), "packing-bases")
+    ranked = cut.join(base, "part").withColumn("rank", F.col("base")[F.col("length")] + F.col("local"))
     more = ", ids array<long>" * with_ids
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank", *["ids"] * with_ids).mapInArrow(
         place, f"doc_id long, piece int, start long, length long, ids_crc32 long{more}, sequence_id long, offset long"

@@ -105,11 +105,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Forest:
-    """Fit on at most ``train_rows`` labelled rows that aren't held out: those whose hash falls into the sample's share of all."""
+    """Fit on the rows of at most ``train_rows`` labelled documents that aren't held out: those whose hash falls into the sample's share of all.
+
+    Repeated rows of a document all count, up to twice ``train_rows`` rows."""
     truth = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(truth.where(~held_out(F.col("doc_id"))), "doc_id").select("doc_id", *STATISTICS, "quality")
-    if (n := rows.count()) > train_rows:  # 0.95: the sample's size varies by chance, and the limit then cuts nothing
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(n).cast("long")) < int(0.95 * train_rows)).limit(train_rows)
+    truth = truth.where(~held_out(F.col("doc_id")))
+    if (n := truth.count()) > train_rows:  # 0.95: the sample's size varies by chance, and the limit then cuts nothing
+        truth = truth.where(F.pmod(F.xxhash64("doc_id"), F.lit(n).cast("long")) < int(0.95 * train_rows))
+    rows = stats.join(materialise(truth, "gbt-labels"), "doc_id").select("doc_id", *STATISTICS, "quality").limit(2 * train_rows)
     got = np.array(sorted(tuple(r)[1:] for r in rows.collect()), np.int64).reshape(-1, len(STATISTICS) + 1)
     return fit(features(got[:, :-1]), (got[:, -1] == 1).astype(float))
 

@@ -127,7 +127,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """doc_id, the contract's counts, base_failed and kept of every row."""
-    rows = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
+    rows = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null")).alias("stratum"))
     stats = materialise(text_statistics(rows, "stratum"), "quality-stats")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = stats.withColumns({"base_failed": failed, **{f"bin_{r}": _bin(r) for r in RULES}})

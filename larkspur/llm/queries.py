@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").withColumn("captured", F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.col("page_id")))
-    return warc.archive_and_index(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_and_index(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "position")
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,24 +93,29 @@ SQL = {
     "op1_warc_index_merge": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest FROM p),
-             m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> last THEN last END AS refers_to
-        FROM m""",
+             m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d),
+             u AS (SELECT page_id, {FIRST_CAPTURE} + page_id AS captured, regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+             k AS (SELECT page_id, captured, CASE WHEN split_part(rest, '/', 1) = '' THEN ''
+                     ELSE array_to_string(list_reverse(string_split(lower(split_part(rest, '/', 1)), '.')), ',') || ')/' || substr(rest, length(split_part(rest, '/', 1)) + 2) END AS urlkey FROM u)
+        SELECT m.page_id, payload_bytes, payload_digest,
+               CASE WHEN m.page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN m.page_id <> last THEN last END AS refers_to, urlkey, captured,
+               row_number() OVER (ORDER BY urlkey, captured, m.page_id) - 1 AS position
+        FROM m JOIN k ON m.page_id = k.page_id""",
     "op9_bloom_cascade": f"""
         WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
              h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
                           coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+             n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.$', '') AS key FROM h),
              r AS (SELECT *, CASE
                      WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
                      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
                      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/'
                      WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
-                     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM h)
+                     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM n)
         SELECT page_id, host, path, rule, CASE
                  WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-                 WHEN {' OR '.join(f"host = '{x}' OR host LIKE '%.{x}'" for x in URL_LIST)} THEN 'block' ELSE 'allow' END AS verdict
+                 WHEN {' OR '.join(f"key = '{x}' OR key LIKE '%.{x}'" for x in URL_LIST)} THEN 'block' ELSE 'allow' END AS verdict
         FROM r""",
 }
 

@@ -107,8 +107,7 @@ def links(fps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(src, dst)`` links between the ids of distinct fingerprints ``(fp, id)``, each at least once."""
     group = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(np.int64(np.uint64(m)).item())).alias("value")) for i, m in enumerate(GROUP_MASKS)])
     keys = fps.select("fp", "id", F.inline(group)).select("fp", "id", F.xxhash64("block", "value").alias("grp"))  # groups whose hashes meet are only compared in vain
-    sizes = materialise(keys.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
-    shared = materialise(keys.join(sizes, "grp"), "simhash-shared")
+    shared = materialise(keys.join(keys.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "grp"), "simhash-shared")
 
     table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()])
     splits = F.least(F.lit(SPLIT_PIVOTS), F.ceil(F.log(F.col("n") / F.lit(cell_rows)) / F.lit(-math.log(_PIVOT_SHARE)))).cast("int")
@@ -121,6 +120,14 @@ def links(fps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     return sorted_cells.mapInArrow(_links_of_cells, "src long, dst long")
 
 
+def row_links(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``(src, dst)`` links of the doc_ids of near-duplicates: each to the least of its fingerprint, and those to each other."""
+    each = materialise(fingerprints(docs).where("doc_id is not null"), "simhash-docs")
+    fps = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
+    same = each.join(fps, "fp").where("doc_id <> id").select(F.col("id").alias("src"), F.col("doc_id").alias("dst"))
+    return same.unionByName(links(fps, cell_rows))
+
+
 def near_duplicates(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row; component_id is the smallest doc_id reachable by links."""
     each = materialise(fingerprints(docs), "simhash-docs")

@@ -2,20 +2,22 @@
 
 In any one order of all shingles, two such sets share one among the first ``n - ceil(4n/5) + 1`` of each. The order puts frequent
 shingles last (as far as a sample knows them; any order is exact), so few sets meet. Sets that meet at a shingle are not paired up. First every one
-of them is compared with one of them, the *hub*, the least by a hash, so that a group of near copies has the same hub at most of its shingles.
+of them is compared with one of them, the *hub*, that with the least id, so that a group of near copies has the same hub at most of its shingles.
 Then only sets that share a shingle but are in different components so far are compared, those outside of the shingle's largest
 component with all others. A group of near copies so costs one comparison a member; sets of one component need no further links. Both
-steps drop pairs whose places in the order and sizes exclude the similarity. Survivors are compared on their whole texts.
+steps drop pairs whose sizes and places in the order, or whose first shingles as a whole, exclude the similarity. Survivors are compared on their whole texts.
 
 Texts are split as for fingerprints; a text of fewer words than a shingle is one shingle, and wordless texts link nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, map_rows, materialise
@@ -24,6 +26,10 @@ from .components import connected_components
 SHINGLE_WORDS = 5
 #: Documents that are sampled for frequent shingles, how often those occur there, and how many are kept.
 SAMPLE_DOCS, SAMPLE_COUNT, SAMPLE_KEPT = 20_000, 3, 200_000
+#: Sets of a shingle that all its others are compared with first.
+HUBS = 8
+#: Documents of a block, when pairs are verified.
+BLOCK = 256
 #: Words remembered by a Python worker before it forgets them all.
 VOCABULARY = 300_000
 _MIX = [np.uint64(xxhash.xxh64_intdigest(b"shingle word %d" % i) | 1) for i in range(64)]
@@ -93,56 +99,81 @@ def _prefixes(rows: DataFrame, words: int) -> DataFrame:
     return map_rows(rows, one, "id long, digest long, n int, prefix array<long>").where("n > 0")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of ids whose whole texts are alike."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialise(rows.join(materialise(ids, "similar-ids"), "id", "left_semi"), "similar-texts")
+def _compared(words: int):
+    """Pairs that are alike, from rows (one, two, a, b, text) sorted by cell, texts (id in a) before the pairs of their cell; holds one cell's sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}
+        for batch in batches:
+            found = []
+            for one, two, a, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != (one, two):
+                    cell, sets = (one, two), {}
+                if b is None:
+                    sets[a] = shingle_set(text, words)
+                elif alike(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), len(sets[a]), len(sets[b])):
+                    found.append((a, b))
+            if found:
+                yield batch_of(a=([x for x, _ in found], pa.int64()), b=([x for _, x in found], pa.int64()))
+
+    return run
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, last, mine = [], None, None
-        for a, s, t in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-            if a != last:
-                last, mine = a, shingle_set(s, words)
-            other = shingle_set(t, words)
-            keep.append(alike(len(np.intersect1d(mine, other, assume_unique=True)), len(mine), len(other)))
-        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    for k in "ba":
-        pairs = pairs.join(texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")), k)
-    return map_rows(pairs.select("a", "b", "text_a", "text_b"), one, "a long, b long", 32)
+def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of ids whose whole texts are alike.
+
+    Documents are dealt into blocks by a hash, and the pairs of two blocks are compared in one place. So a text goes there once for
+    all its pairs there: a document with many pairs travels to as many places as there are blocks, not pairs.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = materialise(rows.join(ids, "id", "left_semi"), "similar-texts")
+    blocks = max(1, -(-texts.count() // BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    cells = pairs.select(F.least(block("a"), block("b")).alias("one"), F.greatest(block("a"), block("b")).alias("two"), "a", "b")
+    need = cells.select("one", "two", F.explode(F.array("a", "b")).alias("a")).distinct().join(texts.withColumnRenamed("id", "a"), "a")
+    every = need.select("one", "two", "a", F.lit(None).cast("long").alias("b"), "text").unionByName(cells.withColumn("text", F.lit(None).cast("string")))
+    return every.repartition("one", "two").sortWithinPartitions("one", "two", F.col("b").asc_nulls_first()).mapInArrow(_compared(words), "a long, b long")
 
 
 def _possible(x: str, y: str):
-    """Whether sets with a shingle at places x.at and y.at of the order can still share enough."""
-    at = F.least(F.col(f"{x}.at"), F.col(f"{y}.at"))
-    return alike(at + F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at")), F.col(f"{x}.n"), F.col(f"{y}.n"))
+    """Whether a shingle at places x.at and y.at can be the first that the sets share in the order, and they be alike."""
+    return alike(F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at")), F.col(f"{x}.n"), F.col(f"{y}.n"))
+
 
+def _promising(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose first shingles agree well enough: what lies behind both prefixes can add no more than the longer rest."""
+    for k in "ab":
+        pairs = pairs.join(each.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("prefix").alias(f"prefix_{k}")), k)
+    rest = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
+    return pairs.where(alike(F.size(F.array_intersect("prefix_a", "prefix_b")) + rest, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
-def links(rows: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(src, dst)`` links of rows (id, text), one row an id, whose closure is that of all pairs of similarity 4/5 or more."""
+
+def components(rows: DataFrame, known: DataFrame | None = None, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``(id, component)`` of rows (id, text), one row an id, that are linked to others: by a similarity of 4/5 or more, or by ``known`` links (src, dst)."""
     each = materialise(_prefixes(rows, words), "similar-prefixes")
-    copied = materialise(each.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1"), "similar-digests")
-    copies = materialise(each.select("id", "digest").join(copied, "digest").where("id <> least").select("id", "least"), "similar-copies")
-    keys = each.join(copies, "id", "left_anti").select("id", "n", F.posexplode("prefix").alias("at", "shingle"))
-
-    hub = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "at")).alias("hub")
-    groups = materialise(keys.groupBy("shingle").agg(F.count("*").alias("met"), hub).where("met > 1").select("shingle", "hub"), "similar-groups")
-    shared = materialise(keys.join(groups.select("shingle"), "shingle", "left_semi"), "similar-shared")
-    star = shared.alias("x").join(groups, "shingle").where(F.col("x.id") != F.col("hub.id")).where(_possible("x", "hub"))
-    star = materialise(star.select(F.col("hub.id").alias("a"), F.col("x.id").alias("b")).distinct(), "similar-star")
-    near = materialise(_verified(star, rows, words), "similar-near")
-
-    found = connected_components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    copied = each.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
+    copies = materialise(each.select("id", "digest").join(copied, "digest").where("id <> least").select(F.col("least").alias("src"), F.col("id").alias("dst")), "similar-copies")
+    keys = each.join(copies.select(F.col("dst").alias("id")), "id", "left_anti").select("id", "n", F.posexplode("prefix").alias("at", "shingle"))
+
+    met = keys.groupBy("shingle").count().where("count > 1").select("shingle")
+    shared = materialise(keys.join(met, "shingle", "left_semi"), "similar-shared")
+    hubs = shared.withColumn("nth", F.row_number().over(Window.partitionBy("shingle").orderBy("id"))).where(F.col("nth") <= HUBS)
+    star = hubs.alias("x").join(shared.alias("y"), "shingle").where(F.col("x.id") < F.col("y.id")).where(_possible("x", "y"))
+    star = materialise(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "similar-star")
+    near = materialise(_verified(materialise(_promising(star, each), "similar-promising"), rows, words).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar-near")
+
+    links = near.unionByName(copies)
+    found = connected_components(links.unionByName(known) if known is not None else links)
     placed = shared.join(found, "id", "left").select("shingle", "id", "n", "at", F.coalesce("component", "id").alias("component"))
-    placed = materialise(placed, "similar-placed")
-    each_part = placed.groupBy("shingle", "component").agg(F.count("*").alias("k"))
-    largest = each_part.groupBy("shingle").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("largest")).where("parts > 1")
+    parts = placed.groupBy("shingle", "component").agg(F.count("*").alias("k"))
+    largest = parts.groupBy("shingle").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("largest")).where("parts > 1")
     open_ = materialise(placed.join(largest.select("shingle", F.col("largest.component").alias("largest")), "shingle"), "similar-open")
     x, y = open_.where("component <> largest").alias("x"), open_.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
     pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(apart).where(_possible("x", "y"))
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(materialise(pairs.join(tried, ["a", "b"], "left_anti"), "similar-pairs"), rows, words)
-    linked = near.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return linked.unionByName(copies.select(F.col("least").alias("src"), F.col("id").alias("dst")))
+    pairs = materialise(_promising(pairs.join(star, ["a", "b"], "left_anti"), each), "similar-pairs")
+    if pairs.isEmpty():
+        return found
+    more = _verified(pairs, rows, words).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return connected_components(more.unionByName(found.select(F.col("component").alias("src"), F.col("id").alias("dst"))))

@@ -1,12 +1,14 @@
 """URL filters: host and path rules, then exact list membership by a Bloom filter cascade.
 
-The cascade is built over the corpus's complete key universe (every host that occurs; it is listed if it or a parent domain is
-in the list). Level 1 encodes the listed keys; the unlisted keys it lets through are level 2's; the listed keys that pass level 2 are level 3's; and so
-on until a level lets nothing through. A key of the universe is then judged exactly by the first level that it misses, with no
-join. Filters are arrays of longs read through scalar subqueries; everything is DataFrame functions.
+The cascade is built over the corpus's complete key universe (every host that occurs, without user info, port and trailing dot; it is listed if
+it or a parent domain is in the list). Level 1 encodes the listed keys; the unlisted keys it lets through are level 2's; the listed keys that pass
+level 2 are level 3's; and so on until a level lets nothing through. A key of the universe is then judged exactly by the first level that it misses,
+with no join on keys. Level 1 is sized by both counts, so that it lets through about as many unlisted keys as are listed; the levels
+after it, with ``BITS_PER_KEY``, shrink from there. So all levels together grow with the listed keys, and with the logarithm of the universe.
 
-A level holds ``BITS_PER_KEY`` bits a key, so level 1 grows with the listed hosts. More than ``MAX_KEYS`` of them would
-make it too large to hand to every task: they are then looked up by a join instead, also exactly.
+Keys are dealt into shards by a hash, so that no shard's level has more than ``SHARD_BITS``: one shard serves some million listed hosts, and its
+filters are read through scalar subqueries. Beyond, rows look their shard's filters up by the shard's number; the cascade stays the same.
+A level that would still be larger raises an error. Everything is DataFrame functions.
 
 Null URLs and URLs without ``://`` have empty host and path; they fit no rule and no list. Repeated rows and null page_ids keep
 their own rows, empty tables give an empty result, an empty list blocks nothing, other columns are ignored.
@@ -14,14 +16,17 @@ their own rows, empty tables give an empty result, an empty list blocks nothing,
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 BITS_PER_KEY = 10
-HASHES = 4
-MAX_KEYS = 4_000_000
+#: Bits of a level in one shard: 8 MB.
+SHARD_BITS = 1 << 26
 MAX_LEVELS = 64
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -38,6 +43,11 @@ def path_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, path).otherwise(F.lit(""))
 
 
+def key_of(host: Column) -> Column:
+    """The host as lists name it: without user info, port and trailing dot."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.$", "")
+
+
 def domains(host: Column) -> Column:
     """The host and its parent domains of two labels or more (the host itself also if it is one label)."""
     labels = F.split(host, r"\.")
@@ -45,49 +55,96 @@ def domains(host: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
-def _positions(key: Column, level: int, bits: int) -> list[Column]:
+@dataclass(frozen=True)
+class Level:
+    """One filter: a row (shard, words) for each shard, of so many bits and hashes."""
+
+    words: DataFrame
+    bits: int
+    hashes: int
+
+
+@dataclass(frozen=True)
+class Cascade:
+    levels: list[Level]
+    shards: int
+
+
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards).cast("long"))
+
+
+def _positions(key: Column, nth: int, bits: int, hashes: int) -> list[Column]:
     """The bits of a key in a level."""
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits).cast("long")) for i in range(HASHES)]
+    return [F.pmod(F.xxhash64(key, F.lit(nth), F.lit(i)), F.lit(bits).cast("long")) for i in range(hashes)]
 
 
-def _words(keys: DataFrame, level: int, bits: int) -> DataFrame:
-    """The filter of ``keys``: one row, an array of longs of 64 bits each."""
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("p"))
-    words = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word")).join(words, "word", "left")
-    cells = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits"))))
-    return every.agg(F.transform(cells, lambda x: x["bits"]).alias("words"))
+def _words(keys: DataFrame, nth: int, bits: int, hashes: int, shards: int) -> DataFrame:
+    """The filters of ``keys``: for each shard an array of longs of 64 bits each."""
+    at = keys.select("shard", F.explode(F.array(*_positions(F.col("key"), nth, bits, hashes))).alias("p"))
+    words = at.groupBy("shard", F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    place = F.col("shard") * (bits // 64) + F.col("word")
+    every = keys.sparkSession.range(shards * (bits // 64)).join(words.select(place.alias("id"), "bits"), "id", "left")
+    shard, word = F.floor(F.col("id") / (bits // 64)).alias("shard"), (F.col("id") % (bits // 64)).alias("word")
+    cells = every.select(shard, F.struct(word, F.coalesce("bits", F.lit(0)).alias("bits")).alias("cell")).groupBy("shard").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    return cells.select("shard", F.transform("cells", lambda x: x["bits"]).alias("words"))
 
 
-def _passes(key: Column, words: Column, level: int, bits: int) -> Column:
+def _passes(key: Column, words: Column, nth: int, level: Level) -> Column:
     hit = F.lit(True)
-    for p in _positions(key, level, bits):
+    for p in _positions(key, nth, level.bits, level.hashes):
         word = F.get(words, F.shiftright(p, 6).cast("int"))
         hit = hit & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63).cast("long")).cast("int"))) != 0)
     return hit
 
 
-def cascade(universe: DataFrame) -> list[tuple[DataFrame, int]]:
-    """Levels (filter, bits) for a universe of distinct (key, listed) rows."""
-    inside, outside, levels = universe.where("listed").select("key"), universe.where("not listed").select("key"), []
-    while n := inside.count():
+def _with_words(rows: DataFrame, level: Level, name: str, shards: int) -> tuple[DataFrame, Column]:
+    """The rows, and the column that holds their shard's filter of a level."""
+    if shards == 1:
+        return rows, level.words.select("words").scalar()
+    return rows.join(level.words.withColumnRenamed("words", name), "shard"), F.col(name)
+
+
+def cascade(universe: DataFrame, shard_bits: int = SHARD_BITS) -> Cascade:
+    """The levels for a universe of distinct (key, listed) rows."""
+    sizes = {r["listed"]: r["count"] for r in universe.groupBy("listed").count().collect()}
+    n, others = sizes.get(True, 0), sizes.get(False, 0)
+    if not n:
+        return Cascade([], 1)
+    # 1.44 bits a key for each halving of the false positives, down to about n of them; at least BITS_PER_KEY.
+    first = max(BITS_PER_KEY, math.ceil(math.log2(max(2, others / n)) / math.log(2)))
+    shards = -(-2 * n * first // shard_bits)
+    universe = universe.select("key", "listed", _shard(F.col("key"), shards).alias("shard"))
+    inside, outside = (universe.where(F.col("listed") == x).select("key", "shard") for x in (True, False))
+    levels: list[Level] = []
+    while most := inside.groupBy("shard").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]:
         if len(levels) == MAX_LEVELS:
             raise RuntimeError("the cascade doesn't end; the universe's keys aren't distinct")
-        bits = max(64, 1 << (n * BITS_PER_KEY - 1).bit_length())
-        words = materialise(_words(inside, len(levels), bits), "cascade-filter")
-        through = materialise(outside.where(_passes(F.col("key"), words.scalar(), len(levels), bits)), "cascade-through")
-        levels.append((words, bits))
+        per_key = BITS_PER_KEY if levels else first
+        bits = max(64, 1 << (most * per_key - 1).bit_length())
+        if bits > max(64, 2 * shard_bits):
+            raise RuntimeError(f"level {len(levels) + 1} would need {bits} bits in one shard")
+        hashes = max(1, round(per_key * math.log(2)))
+        words = materialise(_words(inside, len(levels), bits, hashes, shards), "cascade-filter")
+        level = Level(words, bits, hashes)
+        rows, column = _with_words(outside, level, "words", shards)
+        through = materialise(rows.where(_passes(F.col("key"), column, len(levels), level)).select("key", "shard"), "cascade-through")
+        levels.append(level)
         inside, outside = through, inside
-    return levels
+    return Cascade(levels, shards)
 
 
-def member(key: Column, levels: list[tuple[DataFrame, int]]) -> Column:
-    """Whether a key of the universe is listed: decided by the first level that it misses."""
-    verdict = F.lit(len(levels) % 2 == 1)
-    for k in reversed(range(len(levels))):
-        words, bits = levels[k]
-        verdict = F.when(~_passes(key, words.scalar(), k, bits), F.lit(k % 2 == 1)).otherwise(verdict)
-    return verdict
+def with_membership(rows: DataFrame, key: str, found: Cascade, name: str) -> DataFrame:
+    """The rows and a column ``name``: whether their key, one of the universe, is listed; decided by the first level that it misses."""
+    columns, verdict = rows.columns, F.lit(len(found.levels) % 2 == 1)
+    rows = rows.withColumn("shard", _shard(F.col(key), found.shards))
+    words = []
+    for k, level in enumerate(found.levels):
+        rows, column = _with_words(rows, level, f"words_{k}", found.shards)
+        words.append(column)
+    for k in reversed(range(len(found.levels))):
+        verdict = F.when(~_passes(F.col(key), words[k], k, found.levels[k]), F.lit(k % 2 == 1)).otherwise(verdict)
+    return rows.select(*columns, verdict.alias(name))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -99,19 +156,16 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, max_keys: int = MAX_KEYS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, shard_bits: int = SHARD_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict of every row; ``listed`` has a column key of hosts and domains to block."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).withColumn("key", key_of(F.col("host")))
     # A key of the universe is a whole host; it is listed if it or a parent domain is.
-    hosts = rows.select(F.col("host").alias("key")).distinct()
+    hosts = rows.select("key").distinct()
     names = hosts.select("key", F.explode(domains(F.col("key"))).alias("domain"))
-    bad = names.join(listed.select(F.col("key").cast("string").alias("domain")), "domain", "left_semi").select("key")
+    bad = names.join(listed.select(key_of(F.translate(F.col("key").cast("string"), _UPPER, _UPPER.lower())).alias("domain")), "domain", "left_semi").select("key")
     flagged = hosts.withColumn("listed", F.lit(False)).unionByName(bad.withColumn("listed", F.lit(True)))
     universe = materialise(flagged.groupBy("key").agg(F.bool_or("listed").alias("listed")), "url-universe")
-    if universe.where("listed").count() <= max_keys:
-        rows = rows.withColumn("hit", member(F.col("host"), cascade(universe)))
-    else:
-        rows = rows.join(universe.select(F.col("key").alias("host"), F.col("listed").alias("hit")), "host")
+    rows = with_membership(rows, "key", cascade(universe, shard_bits), "hit")
     method = F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.verdict"), method).alias("verdict"))

@@ -10,7 +10,7 @@
 
 Equal payloads (SHA-1 and length): the capture with the largest page_id is the response, the others revisit it. Null html is an empty
 payload, null url has no target and an empty URL key. A null page_id never is the one referred to; where a group has only such rows
-all are responses, and so are repeated rows of the response's page_id. Control characters in URLs are percent-encoded.
+all are responses, and so are repeated rows of the response's page_id; record ids come from archive and number, so they differ. Control characters in URLs are percent-encoded.
 Empty tables give empty results. A column ``captured`` (timestamp) gives capture times; without it all are the epoch.
 Other columns are ignored.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import itertools
 import re
 import urllib.parse
 import uuid
@@ -30,7 +31,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, batch_of, materialise, new_folder
@@ -39,6 +40,7 @@ from .common import SLICE_ROWS, batch_of, materialise, new_folder
 ARCHIVE_BYTES = 64 << 20
 #: Captures in one merge range; bounds a merging task's memory.
 RANGE_ROWS = 20_000
+BATCH_ROWS = 8192
 GZIP_LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RUN_SCHEMA = "run string, seq long, urlkey string, captured long, page_id long, record_offset long, record_length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -51,37 +53,45 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(host.lower().split('.')))})/{rest}" if host else ""
 
 
-def record_id(page_id: int | None, nth: str = "") -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}{nth}')}>"
+def _date(captured: int) -> str:
+    return f"{datetime.fromtimestamp(captured, UTC):%Y-%m-%dT%H:%M:%SZ}"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, captured: int, refers_to: int | None, nth: str = "") -> bytes:
-    """One WARC record; revisits carry the HTTP headers of the full payload, but not the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, captured: int, refers_to: tuple[int, str | None, int] | None, place: str) -> bytes:
+    """One WARC record; revisits carry the HTTP headers of the full payload, but not the payload.
+
+    ``refers_to`` is the response's page, url and time; ``place`` names the record's archive and number, so its id is unique.
+    """
     kind = "response" if refers_to is None else "revisit"
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()  # noqa: S324
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block += payload if refers_to is None else b""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, nth if page_id is None else '')}"]
-    head += [f"WARC-Date: {datetime.fromtimestamp(captured, UTC):%Y-%m-%dT%H:%M:%SZ}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"]
+    head += [f"WARC-Date: {_date(captured)}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {urllib.parse.quote(url, safe=_URL_SAFE)}")
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}", f"WARC-Profile: {PROFILE}"]
+        page, target, when = refers_to
+        head += [f"X-Refers-To-Page: {page}", f"WARC-Refers-To-Date: {_date(when)}", f"WARC-Profile: {PROFILE}"]
+        if target is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {urllib.parse.quote(target, safe=_URL_SAFE)}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, captured, refers_to); refers_to is null for responses."""
+    """(page_id, url, html, captured, refers_to, target, target_captured); the last three tell the response of a revisit and are null for responses."""
     captured = F.unix_timestamp("captured") if "captured" in pages.columns else F.lit(0)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.coalesce(captured, F.lit(0)).cast("long").alias("captured"))
     rows = rows.withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "size": F.octet_length("html")})
-    groups = rows.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
+    response = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "captured"))).alias("last")
+    groups = rows.groupBy("digest", "size").agg(response, F.count("*").alias("n")).where("n > 1 and last is not null")
     # Written first: its true size then decides between a broadcast and a shuffle that Spark may split.
     rows = rows.join(materialise(groups.drop("n"), "warc-groups"), ["digest", "size"], "left")
-    return rows.select("page_id", "url", "html", "captured", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    revisit = F.when(~F.col("page_id").eqNullSafe(F.col("last.page_id")), F.col("last"))
+    return rows.select("page_id", "url", "html", "captured", revisit["page_id"].alias("refers_to"), revisit["url"].alias("target"), revisit["captured"].alias("target_captured"))
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -95,12 +105,13 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         out, name, records, size = None, "", 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                for page_id, url, html, captured, refers_to in zip(*(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns), strict=True):
+                for page_id, url, html, captured, refers_to, target, target_captured in zip(*(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns), strict=True):
                     if out is None:
                         name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                         out = store.open_output_stream(f"{base}/{name}", compression=None)
                     squeeze = zlib.compressobj(GZIP_LEVEL, wbits=31)
-                    data = squeeze.compress(record(page_id, url, html.encode(), captured, refers_to, f"{name}:{records}")) + squeeze.flush()
+                    of = None if refers_to is None else (refers_to, target, target_captured)
+                    data = squeeze.compress(record(page_id, url, html.encode(), captured, of, f"{name}:{records}")) + squeeze.flush()
                     out.write(data)
                     records, size = records + 1, size + len(data)
                     if size >= archive_bytes:
@@ -151,7 +162,7 @@ def _key(row: tuple) -> tuple:
 
 
 def read_runs(manifest: DataFrame) -> DataFrame:
-    """A run for each archive of the manifest: its captures, sorted."""
+    """A run for each archive of the manifest, read in a task of its own: its captures, sorted. An archive's size bounds the rows held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -165,9 +176,11 @@ def read_runs(manifest: DataFrame) -> DataFrame:
                         key, when, page, size, digest, kind, refers = capture(headers, block)
                         rows.append((path, 0, key, when, page, offset, length, size, digest, kind, refers))
                 rows.sort(key=_key)
-                yield _rows([(r[0], i, *r[2:]) for i, r in enumerate(rows)])
+                for at in range(0, len(rows), BATCH_ROWS):
+                    yield _rows([(r[0], at + i, *r[2:]) for i, r in enumerate(rows[at : at + BATCH_ROWS])])
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RUN_SCHEMA)
+    # A given number of partitions, dealt in turn: Spark would put so few paths into one task.
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(run, RUN_SCHEMA)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -220,10 +233,11 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
                     last = row[0]
                     stretches.append([])
                 stretches[-1].append(row)
-        merged = list(loser_tree(stretches))
-        for at in range(0, len(merged), 8192):
-            rows = _rows(merged[at : at + 8192])
-            n = rows.num_rows
+        merged = loser_tree(stretches)
+        for at in itertools.count(0, BATCH_ROWS):
+            rows = _rows(list(itertools.islice(merged, BATCH_ROWS)))
+            if not (n := rows.num_rows):
+                return
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], names=[*rows.schema.names, "range_no", "place"])
 
     cut = runs.repartitionByRange(ranges, "urlkey", "captured", F.col("page_id").asc_nulls_first(), "run", "seq")
@@ -231,10 +245,14 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 
 def archive_and_index(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Write the pages' archives, read them back and return the merged capture history."""
+    """Write the pages' archives, read them back and return the merged capture history, with each capture's position in it."""
     folder = new_folder(pages.sparkSession, "warc")
     manifest = materialise(write_archives(with_revisits(pages), folder, archive_bytes), "warc-manifest")
-    return merge_runs(materialise(read_runs(manifest), "warc-runs"), range_rows)
+    merged = materialise(merge_runs(materialise(read_runs(manifest), "warc-runs"), range_rows), "warc-merged")
+    # One row a range, so this window is small; it says how many captures lie in the ranges before.
+    before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = merged.groupBy("range_no").agg(F.count("*").alias("n")).select("range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return merged.join(materialise(starts, "warc-starts"), "range_no").withColumn("position", F.col("first") + F.col("place")).drop("first")
 
 
 def parse(data: bytes) -> list[tuple[int, int, dict[str, str], bytes]]:

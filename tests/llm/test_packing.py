@@ -11,15 +11,19 @@ from larkspur.llm import packing
 
 FILES = {"json_path": P.path("byte_bpe_50k.json"), "ranks_path": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
 EXACT = Tokenizer.from_file(FILES["json_path"])
-EXACT.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60) | st.text(alphabet="ab '\n\t<|endoftext|>1é", max_size=80))
+@given(st.text(max_size=60) | st.text(alphabet="ab '\n\t<|endoftext|>1é", max_size=80) | st.lists(st.sampled_from(["<|endoftext|>", "hello ", " <|", "endoftext|>", "\n", "é1"]), max_size=8).map("".join))
 def test_both_encoders_agree(text):
     assert packing.encoder(**FILES)(text) == EXACT.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_one_id():
+    assert packing.encoder(**FILES)("hello <|endoftext|> world") == EXACT.encode("hello <|endoftext|> world", add_special_tokens=False).ids
+    assert 50256 in packing.encoder(**FILES)("hello <|endoftext|> world")
+
+
 def test_long_runs_are_encoded_fast():
     for text in ("a" * 100_000, " " * 100_000, "日本" * 5_000):
         assert packing.encoder(**FILES)(text) == EXACT.encode(text, add_special_tokens=False).ids

@@ -29,28 +29,32 @@ def test_languages(spark):
 
 def test_cascade_is_exact(spark):
     keys = [f"host{i}.example" for i in range(3000)]
-    listed = set(keys[::7])
-    universe = spark.createDataFrame([(k, k in listed) for k in keys], "key string, listed boolean")
-    levels = url_filter.cascade(universe)
-    assert len(levels) >= 2
-    wrong = universe.where(url_filter.member(universe.key, levels) != universe.listed)
-    assert wrong.count() == 0
-    assert url_filter.cascade(universe.where("not listed")) == []
+    for step, shard_bits in ((7, url_filter.SHARD_BITS), (7, 512), (500, url_filter.SHARD_BITS)):  # one shard, many, few listed keys
+        listed = set(keys[::step])
+        universe = spark.createDataFrame([(k, k in listed) for k in keys], "key string, listed boolean")
+        found = url_filter.cascade(universe, shard_bits)
+        assert (found.shards > 4) == (shard_bits == 512)
+        judged = url_filter.with_membership(universe, "key", found, "hit")
+        assert judged.count() == 3000 and judged.where("hit <> listed").count() == 0
+        assert len(found.levels) >= 2 or step == 500
+        assert sum(x.bits for x in found.levels) <= 64 * len(listed) * 1.5 + 64 * 5 * found.shards  # bounded by the listed keys, whatever the universe
+    assert url_filter.cascade(universe.where("not listed")).levels == []
 
 
 def test_url_rows(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://A.Bad.Example.NET:80?q", "http://bad.example.net/de/8", "http://x.example.com/en/7", "http://com/en/", "http://notcom/en/", "http://ok.org/es#x", "http://good.example.org/en/1"]
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Bad.Example.NET:80?q", "http://bad.example.net/de/8", "http://x.example.com/en/7", "http://com/en/", "http://notcom/en/", "http://ok.org/es#x", "http://good.example.org/en/1", "http://me:pw@bad.example.net./x", "http://bad.example.net.evil.org/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[6], "h")], "page_id long, url string, host string")
-    listed = spark.createDataFrame([("bad.example.net",), (None,)], "key string")
-    for most in (url_filter.MAX_KEYS, 0):  # the cascade, and the join beyond its bound
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, queries.URL_RULES, listed, most).collect()}
+    listed = spark.createDataFrame([("Bad.example.net",), (None,)], "key string")
+    for bits in (url_filter.SHARD_BITS, 8):  # one shard, several
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, queries.URL_RULES, listed, bits).collect()}
         assert got[0] == got[1] == got[2] == got[3] == ("", "", None, "allow")
-        assert got[4] == ("a.bad.example.net:80", "", None, "allow")
+        assert got[4] == ("a.bad.example.net:80", "", None, "block")
+        assert got[11] == ("me:pw@bad.example.net.", "/x", None, "block") and got[12][2:] == (None, "allow")
         assert got[5] == ("bad.example.net", "/de/8", "example.net/de/8", "block")
         assert got[6] == got[None] == ("x.example.com", "/en/7", "example.com/en/7", "allow")
         assert got[7][2:] == ("com/en/", "block") and got[8][2:] == (None, "allow") and got[9][1:] == ("/es", None, "allow")
     assert url_filter.judge(pages.limit(0), queries.URL_RULES, listed).count() == 0
-    assert url_filter.judge(pages, queries.URL_RULES, listed.limit(0)).count() == 12
+    assert url_filter.judge(pages, queries.URL_RULES, listed.limit(0)).count() == 14
 
 
 def test_listed_hosts_occur(spark):
@@ -58,7 +62,7 @@ def test_listed_hosts_occur(spark):
     spam = [r for r in rows if r.rule is None and re.search("casino-win|free-bets|spam-farm|adult-x|cheap-pills|ads-track", r.host)]
     assert len(spam) > 40 and {r.verdict for r in spam} == {"block"}
     names = spark.createDataFrame([(h, any(h == x or h.endswith(f".{x}") for x in queries.URL_LIST)) for h in {r.host for r in rows}], "key string, listed boolean")
-    assert len(url_filter.cascade(names)) >= 1
+    assert len(url_filter.cascade(names).levels) >= 1
 
 
 def brute_licenses(units):
@@ -70,7 +74,8 @@ def brute_licenses(units):
     norm = lambda c: math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
     out = []
     for c in docs:
-        score = lambda k, t: (round(sum(n * c[w] * idf[w] ** 2 for w, n in t.items()) / norm(t) / norm(c), 6), k)  # noqa: E731, B023
+        fits = lambda k: all(set(g) & set(c) for g in licenses.DECISIVE[k][0]) and not set(licenses.DECISIVE[k][1]) & set(c)  # noqa: E731, B023
+        score = lambda k, t: (fits(k) and round(sum(n * c[w] * idf[w] ** 2 for w, n in t.items()) / norm(t) / norm(c), 6), k)  # noqa: E731, B023
         top = max(score(k, t)[0] for k, t in templates)
         out.append((top, min(k for k, t in templates if score(k, t)[0] == top)))
     return out
@@ -82,7 +87,7 @@ def test_licenses_equal_brute_force(spark):
     rows = [*files, (10, "a/LICENSE", "Released under the MIT License.", 1), (11, "a/b/c/d.txt", "nothing", 1), (12, "z/e.txt", None, 1), (13, None, "", 1), (11, "a/b/c/d.txt", "nothing", 1)]
     table = spark.createDataFrame(rows, "doc_id long, path string, text string, license int")
     got = {r.doc_id: r for r in licenses.scan(table).collect()}
-    want = brute_licenses([*lines, rows[5][2], rows[5][2]])  # a licence file counts as a whole and by its lines
+    want = brute_licenses([*lines, *[rows[5][2]] * 3])  # a licence file counts as a whole, by its paragraphs and by its lines
     for i in range(len(lines)):
         score, name = want[i]
         if score >= licenses.MIN_COSINE:
@@ -93,6 +98,31 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan(table).count() == len(rows) and licenses.scan(table.limit(0)).count() == 0
 
 
+def test_neighbouring_licences_are_told_apart(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    said = {
+        gpl.format("", 2): "GPL-2.0",
+        gpl.format("", 3): "GPL-3.0",
+        gpl.format("Affero", 3): "AGPL-3.0",
+        gpl.format("Lesser", "2.1"): "LGPL-2.1",
+        "Licensed under the Apache License, Version 1.1.": "Apache-1.1",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "// SPDX-License-Identifier: ISC": "ISC",
+        "SPDX-License-Identifier: Unheard-Of": None,
+        "a license to kill": None,
+    }
+    files = [(i, f"p{i}/f.txt", f"x\n{t}\ny") for i, t in enumerate(said)]
+    full = "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.\n\nPreamble\n\n" + "The license is a free, copyleft one for software.\n\n" * 30
+    files += [(90, None, "x\nReleased under the MIT License."), (91, None, "plain text"), (92, "q/COPYING", full), (93, "q/a/b.c", "int x;")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert [got[i].license for i in range(len(said))] == list(said.values())
+    assert (got[90].license, got[90].origin) == ("MIT", "own") and (got[91].license, got[91].origin) == (None, "none")
+    assert (got[92].license, got[93].license, got[93].origin, got[93].licence_file) == ("GPL-3.0", "GPL-3.0", "inherited", "q/COPYING")
+
+
 def test_registry(spark):
     names = queries.queries()
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))

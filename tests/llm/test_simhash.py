@@ -81,9 +81,11 @@ def test_similar_texts_link_exactly(spark):
     fps = {i: simhash.fingerprint(t) % 2**64 for i, t in texts.items()}
     assert any((fps[i] ^ fps[j]).bit_count() > 2 for i, j in near) and 20 < len({find(i) for i in texts}) < 100
     rows = spark.createDataFrame([*texts.items()], "id long, text string")
-    found = {r.id: r.component for r in simhash.connected_components(similar.links(rows)).collect()}
+    found = {r.id: r.component for r in similar.components(rows).collect()}
     assert {i: found.get(i, i) for i in texts} == {i: find(i) for i in texts}
-    assert similar.links(rows.limit(0)).count() == 0
+    assert similar.components(rows.limit(0)).count() == 0
+    joined = similar.components(rows, spark.createDataFrame([(900, 904)], 'src long, dst long'))
+    assert joined.where('id = 904').first().component == 900
 
 
 def test_pipeline_drops_near_copies(spark):

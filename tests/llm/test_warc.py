@@ -21,6 +21,7 @@ def test_archives_round_trip_and_merge(spark):
     order = sorted(got, key=lambda r: (r.range_no, r.place))
     keys = [(r.urlkey, r.captured, r.page_id is not None, r.page_id or 0) for r in order]
     assert keys == sorted(keys) and len({r.range_no for r in got}) > 2 and len({r.run for r in got}) > 4
+    assert [r.position for r in order] == list(range(62))
     assert warc.archive_and_index(pages.limit(0)).count() == 0
 
 
@@ -38,3 +39,17 @@ def test_loser_tree():
 def test_url_keys():
     assert warc.url_key("https://A.Example.org/x?y") == "org,example,a)/x?y"
     assert warc.url_key(None) == warc.url_key("") == ""
+
+
+def test_archives_are_read_in_tasks_of_their_own(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * 500 + str(i)) for i in range(40)], "page_id long, url string, html string").repartition(4)
+    manifest = warc.materialise(warc.write_archives(warc.with_revisits(pages), warc.new_folder(spark, "warc-test"), 400), "warc-test-manifest")
+    runs = warc.read_runs(manifest)
+    assert manifest.count() > 4 and runs.rdd.getNumPartitions() == manifest.count() and runs.count() == 40
+
+
+def test_record_ids_differ_for_repeated_rows():
+    records = [warc.record(1, "http://a/", b"x", 0, None, f"archive:{i}") for i in range(2)] + [warc.record(2, None, b"x", 5, (1, "http://a/", 0), "archive:2")]
+    heads = [h for data in records for _, _, h, _ in warc.parse(__import__("gzip").compress(data))]
+    assert len({h["WARC-Record-ID"] for h in heads}) == 3
+    assert heads[2]["WARC-Refers-To-Target-URI"] == "http://a/" and heads[2]["X-Refers-To-Page"] == "1"
