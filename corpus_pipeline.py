@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, langid, packing, pii, simhash, similar
 from larkspur.llm.common import materialise
-from larkspur.llm.components import connected_components
 from larkspur.llm.queries import tokenizer_files
 
 
@@ -28,8 +27,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     # The id of a row follows from the files read, so it's the same each time; stages are written and read again.
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    close = simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))
-    found = connected_components(close.unionByName(similar.links(rows.select(F.col("__row").alias("id"), F.col("text").cast("string")))))
+    close = simhash.row_links(rows.select(F.col("__row").alias("doc_id"), "text"))
+    found = similar.components(rows.select(F.col("__row").alias("id"), F.col("text").cast("string")), close)
     members = materialise(rows.select("__row", "doc_id").join(found.withColumnRenamed("id", "__row"), "__row"), "dedup-members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))["__row"].alias("first")
     stay = materialise(members.groupBy("component").agg(first), "dedup-stay")
