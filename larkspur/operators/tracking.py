@@ -1,7 +1,8 @@
 """Multi-object tracking: association within a clip in Python, everything around it relational.
 
-A clip's samples are a bounded list (one event's recording), so a clip is one group; clips are dealt out over the cluster.
-Track ids count up within the clip, so results repeat exactly.
+A clip is one event's recording and is tracked as one group; clips are dealt out over the cluster. A tracker's state holds what
+association looks at, and every sample of its tracks unless ``forget`` shortens them (as the live tracker does).
+Track ids count up within the clip or the live stream, so results repeat exactly.
 """
 
 from __future__ import annotations
@@ -17,15 +18,20 @@ from pyspark.sql import functions as F
 from larkspur.functions import geo
 from larkspur.operators import temporal
 
+# Fixed values of the tracker's gates.
 MATCH_IOU, BLOCK_IOU, NMS_IOU = 0.20, 0.45, 0.50
-GRACE, SPAWN = 8, 0.55
+GRACE, SPAWN = 8, 0.50
+EDGE_PX, EDGE_GRACE = 8, 2
 REVIVE_S, REVIVE_DISTANCE, REVIVE_RATIO, REVIVE_FREE, REVIVE_MEMORY = 12.0, 1.6, 1.7, 0.2, 32
 MERGE_IOU, MERGE_BOXES = 0.6, 3
 FADE, FADE_FLOOR = 0.7, 0.05
-VOTES, VELOCITY_SAMPLES, STILL, MAX_SHIFT = 5, 6, 0.05, 0.4
+VOTES, VELOCITY_SAMPLES, STILL, MAX_SHIFT, DECAY = 5, 6, 0.05, 0.4, 6
+STITCH_S, STITCH_DISTANCE, STITCH_RATIO, STITCH_OVERLAP = 6.0, 1.6, 1.8, 0.55
+GHOST_SCORE = 0.55
 SCHEMA = "clip string, track_id int, f int, t double, x1 double, y1 double, x2 double, y2 double, score double, label string, source string"
 
 Box = tuple[float, float, float, float]
+Sample = tuple[int, float, Box, float, str, str]  # frame, seconds, box, score, label, source
 
 
 def box_iou(a: Box, b: Box) -> float:
@@ -40,164 +46,263 @@ def centre(b: Box) -> tuple[float, float]:
     return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
 
 
-@dataclass
+def _apart(a: Box, b: Box) -> float:
+    (ax, ay), (bx, by) = centre(a), centre(b)
+    return ((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5
+
+
+def _sides(b: Box) -> tuple[float, float]:
+    return b[2] - b[0], b[3] - b[1]
+
+
+def _ratio(a: Box, b: Box) -> float:
+    """How many times as wide or as high the larger of two boxes is, whichever is more; sides count as a pixel at least."""
+    return max(max(x, y, 1.0) / max(min(x, y), 1.0) for x, y in zip(_sides(a), _sides(b), strict=True))
+
+
+@dataclass(eq=False)
 class Track:
     number: int
     label: str
-    samples: list[tuple] = field(default_factory=list)  # (f, t, box, score, label, source)
+    samples: list[Sample] = field(default_factory=list)
+    seen: list[Sample] = field(default_factory=list)  # those of them that are detections
+    hits: int = 0
+    best: float = 0.0
+    first: int = 0
     missed: int = 0
-    closed: bool = False
 
     @property
     def box(self) -> Box:
         return self.samples[-1][2]
 
-    def seen(self) -> list[tuple]:
-        return [s for s in self.samples if s[5] == "detect"]
-
-    def predicted(self, t: float) -> Box:
-        """The last box moved by the median velocity of the last detections; it stays where the subject hardly moves."""
-        seen, b = self.seen()[-VELOCITY_SAMPLES:], self.box
-        steps = [((*centre(q[2]),), (*centre(p[2]),), q[1] - p[1]) for p, q in zip(seen, seen[1:], strict=False) if q[1] > p[1]]
-        if not steps:
-            return b
-        vx, vy = (sorted((q[i] - p[i]) / dt for q, p, dt in steps)[len(steps) // 2] for i in (0, 1))
-        size = max(b[2] - b[0], b[3] - b[1], 1.0)
-        if (vx * vx + vy * vy) ** 0.5 < STILL * size:
-            return b
-        ahead = (t - self.samples[-1][1]) * max(0.0, 1 - self.missed / VELOCITY_SAMPLES)
-        dx, dy = (max(-MAX_SHIFT * size, min(MAX_SHIFT * size, v * ahead)) for v in (vx, vy))
-        return b[0] + dx, b[1] + dy, b[2] + dx, b[3] + dy
-
-    def add(self, f: int, t: float, det: tuple, source: str = "detect") -> None:
+    def predicted(self, f: int) -> Box:
+        """GEO-12: the last detection's box, moved by the median velocity per frame; it stays where the subject hardly moves.
+
+        The move fades with the frames since then and is at most ``MAX_SHIFT`` of the box's side. A track with one detection stays at its last sample.
+        """
+        if len(self.seen) < 2:
+            return self.box
+        known, (at, _, box, *_) = self.seen[-VELOCITY_SAMPLES:], self.seen[-1]
+        speeds = []
+        for p, q in itertools.pairwise(known):
+            (px, py), (qx, qy), frames = centre(p[2]), centre(q[2]), max(1, q[0] - p[0])
+            speeds.append(((qx - px) / frames, (qy - py) / frames))
+        sides = _sides(box)
+        if sum((x * x + y * y) ** 0.5 for x, y in speeds) / len(speeds) < STILL * max(1.0, min(sides)):
+            return box
+        ahead = max(0, f - at)
+        ahead *= max(0.0, 1 - ahead / DECAY)
+        moved = []
+        for middle, side, along in zip(centre(box), sides, zip(*speeds, strict=True), strict=True):
+            step = sorted(along)[len(along) // 2] * ahead
+            moved.append(middle + max(-MAX_SHIFT * side, min(MAX_SHIFT * side, step)))
+        (x, y), (w, h) = moved, sides
+        return tuple(float(int(v)) for v in (x - w / 2, y - h / 2, x + w / 2, y + h / 2))  # whole pixels, towards zero
+
+    def add(self, f: int, t: float, det: tuple) -> None:
+        """A detection: it ends a miss and votes for the label, which changes only to one with strictly more of the last votes."""
         label, score, b = det
-        self.samples.append((f, t, b, score, label, source))
-        if source == "detect":
-            self.missed = 0
-            votes = [s[4] for s in self.seen()[-VOTES:]]
-            best = max(dict.fromkeys(votes), key=votes.count)
-            if votes.count(best) > votes.count(self.label):
-                self.label = best
+        sample = (f, t, b, round(score, 4), label, "detect")
+        self.samples.append(sample)
+        self.seen.append(sample)
+        self.hits, self.best, self.missed = self.hits + 1, max(self.best, score), 0
+        votes = [s[4] for s in reversed(self.seen[-VOTES:])]
+        top = max(dict.fromkeys(votes), key=votes.count)
+        if votes.count(top) > votes.count(self.label):
+            self.label = top
+
+    def miss(self, f: int, t: float, b: Box) -> None:
+        self.samples.append((f, t, b, max(FADE_FLOOR, FADE * self.seen[-1][3]), self.label, "predicted"))
+        self.missed += 1
+
+    def absorb(self, other: Track) -> None:
+        """The other's samples on frames that this one has none of."""
+        mine = {s[0] for s in self.samples}
+        for have, more in ((self.samples, other.samples), (self.seen, other.seen)):
+            have += [s for s in more if s[0] not in mine]
+            have.sort(key=lambda s: s[0])
+        self.hits += sum(s[0] not in mine for s in other.seen)
+        self.best, self.first = max(self.best, other.best), min(self.first, other.first)
+
+
+@dataclass
+class Tracker:
+    """Tracks that are alive, those that have ended, the next track's number, and the frames so far of a live stream."""
+
+    active: list[Track] = field(default_factory=list)
+    closed: list[Track] = field(default_factory=list)
+    following: int = 0
+    frames: int = 0
+
+    def tracks(self) -> list[Track]:
+        return sorted([*self.active, *self.closed], key=lambda x: x.number)
 
 
 def suppress(dets: list[tuple]) -> list[tuple]:
-    """TRK-1: greedy suppression within a label; the order of the input stays."""
-    kept: list[int] = []
-    for i in sorted(range(len(dets)), key=lambda i: -dets[i][1]):
-        if all(dets[i][0] != dets[k][0] or box_iou(dets[i][2], dets[k][2]) <= NMS_IOU for k in kept):
-            kept.append(i)
-    return [dets[i] for i in sorted(kept)]
-
-
-def associate(tracks: list[Track], dets: list[tuple], f: int, t: float, spawn: dict[str, float] | None = None, grace: int = GRACE) -> None:
-    """One frame: dets are (label, score, box); tracks are changed in place and new ones appended."""
-    limit = lambda label: (spawn or {}).get(label, SPAWN)
-    dets = suppress(dets)
-    active = [x for x in tracks if not x.closed]
-    ahead = {x.number: x.predicted(t) for x in active}
+    """TRK-1: greedy suppression within a label; labels in their first order, the best of a label first."""
+    out: list[tuple] = []
+    for label in dict.fromkeys(d[0] for d in dets):
+        kept: list[tuple] = []
+        for d in sorted((d for d in dets if d[0] == label), key=lambda d: -d[1]):
+            if all(box_iou(d[2], k[2]) <= NMS_IOU for k in kept):
+                kept.append(d)
+        out += kept
+    return out
+
+
+def _at_edge(b: Box, frame: tuple[int, int]) -> bool:
+    w, h = frame
+    return w > 0 and h > 0 and (b[0] <= EDGE_PX or b[1] <= EDGE_PX or b[2] >= w - EDGE_PX or b[3] >= h - EDGE_PX)
+
+
+def _inside(b: Box, frame: tuple[int, int]) -> Box:
+    """The box cut to the frame, where its size is known."""
+    limit = [max(0, size) or None for size in (*frame, *frame)]
+    return tuple(v if most is None else float(max(0, min(most, v))) for v, most in zip(b, limit, strict=True))
+
+
+def associate(state: Tracker, dets: list[tuple], f: int, t: float, spawn: dict[str, float] | None = None, grace: int = GRACE, frame: tuple[int, int] = (0, 0)) -> None:
+    """One frame: dets are (label, score, box). The state is changed in place."""
+    sure = lambda d: d[1] >= (spawn or {}).get(d[0], SPAWN)
+    dets, t = suppress(dets), round(t, 3)
+    active = list(state.active)  # those of before this frame
+    ahead = {x.number: x.predicted(f) for x in active}
     hit: set[int] = set()
     used: set[int] = set()
-    for confirmed in (True, False):  # TRK-2/3: the sure ones choose first
-        pairs = [(-box_iou(d[2], ahead[x.number]), i, j) for i, d in enumerate(dets) for j, x in enumerate(active) if d[0] == x.label and (d[1] >= limit(d[0])) == confirmed]
-        for less, i, j in sorted(p for p in pairs if -p[0] >= MATCH_IOU):
-            if i not in used and j not in hit:
+    for tier in (True, False):  # TRK-2/3: the sure ones choose first
+        pairs = [(-share, i, j) for i, d in enumerate(dets) for j, x in enumerate(active) if d[0] == x.label and sure(d) == tier and x.number not in hit and (share := box_iou(ahead[x.number], d[2])) >= MATCH_IOU]
+        for _, i, j in sorted(pairs):
+            if i not in used and active[j].number not in hit:
                 used.add(i)
-                hit.add(j)
+                hit.add(active[j].number)
                 active[j].add(f, t, dets[i])
     for i, d in enumerate(dets):
-        if i in used or d[1] < limit(d[0]):
-            continue
-        # TRK-4: on top of a track that is alive a sure detection joins it, whatever its label.
-        near = max(((max(box_iou(d[2], ahead[x.number]), box_iou(d[2], x.box)), -j) for j, x in enumerate(active)), default=(0.0, 0))
-        if near[0] > BLOCK_IOU:
-            if -near[1] not in hit:
-                hit.add(-near[1])
-                active[-near[1]].add(f, t, d)
+        if i in used or not sure(d):
             continue
-        back = _revived(tracks, active, d, t)  # TRK-5
-        if back is None:
-            back = Track(max((x.number for x in tracks), default=-1) + 1, d[0])  # TRK-6
-            tracks.append(back)
-        back.closed = False
-        back.add(f, t, d)
-    for j, x in enumerate(active):  # TRK-7
-        if j not in hit:
-            x.missed += 1
-            if x.missed > grace:
-                x.closed = True
-            else:
-                x.samples.append((f, t, ahead[x.number], max(FADE_FLOOR, FADE * x.samples[-1][3]), x.label, "predicted"))
-    _merge([x for x in tracks if not x.closed])  # TRK-8
-
-
-def _revived(tracks: list[Track], active: list[Track], det: tuple, t: float) -> Track | None:
-    if any(box_iou(det[2], x.box) > REVIVE_FREE for x in active):
+        # TRK-4: on top of a track that is alive a sure detection joins it, whatever its label and even if it has one already.
+        near = [(max(box_iou(d[2], ahead.get(x.number, (0.0,) * 4)), box_iou(d[2], x.box)), -j) for j, x in enumerate(state.active)]
+        share, j = max(near, default=(0.0, 0))
+        if share > BLOCK_IOU:
+            x = state.active[-j]
+        elif (x := _revived(state, d, t)) is not None:  # TRK-5
+            state.closed.remove(x)
+            state.active.append(x)
+        else:  # TRK-6
+            x = Track(state.following, d[0], first=f)
+            state.following += 1
+            state.active.append(x)
+        hit.add(x.number)
+        x.add(f, t, d)
+    for x in active:  # TRK-7
+        if x.number not in hit:
+            x.miss(f, t, _inside(ahead[x.number], frame))
+            if x.missed >= max(1, min(grace, EDGE_GRACE) if _at_edge(x.seen[-1][2], frame) else grace):
+                state.active.remove(x)
+                state.closed.append(x)
+    _merge(state)  # TRK-8
+
+
+def _revived(state: Tracker, det: tuple, t: float) -> Track | None:
+    """The nearest of the last closed tracks that the detection can be, unless a live one is in its place."""
+    if any(box_iou(det[2], x.box) > REVIVE_FREE for x in state.active):
         return None
-    best = None
-    for x in [x for x in tracks if x.closed and x.samples][-REVIVE_MEMORY:]:
-        last = x.seen()[-1]
-        w, h, lw, lh = det[2][2] - det[2][0], det[2][3] - det[2][1], last[2][2] - last[2][0], last[2][3] - last[2][1]
-        (ax, ay), (bx, by) = centre(det[2]), centre(last[2])
-        far = ((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5
-        ratio = max(w * h, 1) / max(lw * lh, 1)
-        if x.label == det[0] and t - last[1] <= REVIVE_S and far <= REVIVE_DISTANCE * max(lw, lh) and 1 / REVIVE_RATIO <= ratio**0.5 <= REVIVE_RATIO and (best is None or far < best[0]):
-            best = (far, x)
-    return best[1] if best else None
-
-
-def _merge(active: list[Track]) -> None:
-    """Two tracks of a label whose last boxes coincide become the older one."""
-    for i, a in enumerate(active):
-        for b in active[i + 1 :]:
-            if not a.closed and not b.closed and a.label == b.label and min(len(a.samples), len(b.samples)) >= MERGE_BOXES:
-                if all(box_iou(p[2], q[2]) >= MERGE_IOU for p, q in zip(a.samples[-MERGE_BOXES:], b.samples[-MERGE_BOXES:], strict=True)):
-                    taken = {s[0] for s in a.samples if s[5] == "detect"}
-                    a.samples = sorted([s for s in a.samples if s[5] == "detect" or s[0] not in {q[0] for q in b.seen()}] + [s for s in b.seen() if s[0] not in taken])
-                    b.samples, b.closed = [], True
-
-
-def forget(tracks: list[Track]) -> list[Track]:
-    """What association can still need: tracks that are alive, the last closed ones, and the latest samples of each."""
-    closed = [x for x in tracks if x.closed and x.samples][-REVIVE_MEMORY:]
-    kept = [x for x in tracks if not x.closed or any(x is c for c in closed)]
-    for x in kept:
-        x.samples = x.samples[-(GRACE + VELOCITY_SAMPLES) :] if x.seen()[-1:] == x.samples[-1:] else [*x.seen()[-VELOCITY_SAMPLES:], *[s for s in x.samples if s[5] != "detect"][-GRACE:]]
-        x.samples.sort(key=lambda s: s[0])
-    return kept
-
-
-def track_clip(rows: list[tuple]) -> list[tuple]:
-    """All tracks' samples of a clip from its detections (f, t, label, score, x1, y1, x2, y2); predicted tails are cut."""
-    tracks: list[Track] = []
-    for f, frame in itertools.groupby(sorted(rows), key=lambda r: r[0]):
-        seen = list(frame)
-        associate(tracks, [(r[2], r[3], r[4:8]) for r in seen], f, seen[0][1])
-    out = []
-    for x in tracks:
-        seen = x.seen()
-        out += [(x.number, s[0], s[1], *s[2], s[3], s[4] if s[5] == "detect" else x.label, s[5]) for s in x.samples if seen and s[0] <= seen[-1][0]]
-    return out
+    fits = []
+    for nth, x in enumerate(reversed(state.closed[-REVIVE_MEMORY:])):
+        far = _apart(det[2], x.box)
+        if x.label == det[0] and t - x.samples[-1][1] <= REVIVE_S and _ratio(det[2], x.box) <= REVIVE_RATIO and far <= REVIVE_DISTANCE * max(1.0, *_sides(x.box)):
+            fits.append((far, nth, x))
+    return min(fits, key=lambda c: c[:2])[2] if fits else None
+
+
+def _merge(state: Tracker) -> None:
+    """Two live tracks of a label whose last detections coincide become the better one; the other one ends."""
+    for a, b in itertools.combinations(list(state.active), 2):
+        if a not in state.active or b not in state.active or a.label != b.label:
+            continue
+        tails = a.seen[-MERGE_BOXES:], b.seen[-MERGE_BOXES:]
+        if min(map(len, tails)) < MERGE_BOXES or any(box_iou(p[2], q[2]) < MERGE_IOU for p, q in zip(*tails, strict=True)):
+            continue
+        rank = [(100 * x.hits + 10 * x.best, -x.first) for x in (a, b)]
+        winner, loser = (b, a) if rank[1] > rank[0] else (a, b)
+        winner.absorb(loser)
+        state.active.remove(loser)
+        state.closed.append(loser)
+
+
+def forget(state: Tracker) -> None:
+    """Shorten the state to what association can still look at: live tracks, the last closed ones, the latest detections and sample of each."""
+    state.closed = state.closed[-REVIVE_MEMORY:]
+    for x in [*state.active, *state.closed]:
+        x.seen, x.samples = x.seen[-VELOCITY_SAMPLES:], x.samples[-1:]
+
+
+def stitched(tracks: list[Track]) -> list[Track]:
+    """TRK-10/JN-11: tracks of a finished clip, where a later track that goes on where an earlier one ended has become part of it,
+
+    and then tracks that were mostly in the same place on the frames they share. Each step repeats until nothing changes.
+    """
+    live = [x for x in tracks if x.seen]
+    while True:
+        live.sort(key=lambda x: x.seen[0][1])
+        gone: list[Track] = []
+        for j, b in enumerate(live):
+            before = [(gap, i) for i, a in enumerate(live[:j]) if a not in gone and (gap := _gap(a, b)) is not None]
+            if before:
+                live[min(before)[1]].absorb(b)
+                gone.append(b)
+        live = [x for x in live if x not in gone]
+        if not gone:
+            break
+    while pair := next((p for p in itertools.combinations(live, 2) if p[0].label == p[1].label and _shared_overlap(*p) >= STITCH_OVERLAP), None):
+        into, other = sorted(pair, key=lambda x: (-x.hits, -x.best))
+        into.absorb(other)
+        live.remove(other)
+    return live
+
+
+def _gap(a: Track, b: Track) -> float | None:
+    """Seconds from the end of a to the start of b, if b can go on as a."""
+    end, start = a.seen[-1], b.seen[0]
+    gap = start[1] - end[1]
+    near = _apart(end[2], start[2]) <= STITCH_DISTANCE * max(*_sides(end[2]), *_sides(start[2]))
+    return gap if a.label == b.label and 0 <= gap <= STITCH_S and near and _ratio(end[2], start[2]) <= STITCH_RATIO else None
+
+
+def _shared_overlap(a: Track, b: Track) -> float:
+    """Mean overlap of two tracks' detections on the frames that both have."""
+    of = {s[0]: s[2] for s in a.seen}
+    shares = [box_iou(of[f], box) for f, box in {s[0]: s[2] for s in b.seen}.items() if f in of]
+    return sum(shares) / len(shares) if shares else 0.0
+
+
+def track_clip(rows: Iterator[tuple] | list[tuple], whole: bool = False, frame: tuple[int, int] = (0, 0)) -> list[tuple]:
+    """All tracks' samples of a clip from its detections (f, t, label, score, x1, y1, x2, y2), sorted by frame; stitched if ``whole``."""
+    state = Tracker()
+    for f, seen in itertools.groupby(rows, key=lambda r: r[0]):
+        dets = list(seen)
+        associate(state, [(r[2], r[3], tuple(float(int(v)) for v in r[4:8])) for r in dets], f, dets[0][1], frame=frame)
+    tracks = stitched(state.tracks()) if whole else state.tracks()
+    return [(x.number, s[0], s[1], *s[2], s[3], s[4], s[5]) for x in sorted(tracks, key=lambda x: x.number) for s in x.samples]
 
 
 _KINDS = (pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 6, pa.string(), pa.string())
 
 
-def track(detections: DataFrame) -> DataFrame:
-    """TRK-1..8 for every clip. Rows come sorted by clip, and one clip at a time is held."""
+def track(detections: DataFrame, whole: bool = False, frame: tuple[int, int] = (0, 0)) -> DataFrame:
+    """TRK-1..8 for every clip, and TRK-10's stitching if ``whole``. Rows come sorted by clip, and one clip at a time is held.
+
+    ``frame`` is the picture's width and height, if known: boxes are then kept inside, and a subject at the edge is given up soon.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        out: list[tuple] = []
         for clip, part in itertools.groupby(rows, key=lambda r: r[0]):
-            out += [(clip, *r) for r in track_clip([r[1:] for r in part])]
-            if len(out) >= 8192:
-                yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
+            out = [(clip, *r) for r in track_clip((r[1:] for r in part), whole, frame)]
+            for at in range(0, len(out), 8192):
+                yield _batch(out[at : at + 8192])
 
-    cut = detections.select("clip", "f", "t", "label", "score", "x1", "y1", "x2", "y2").repartition("clip").sortWithinPartitions("clip", "f")
-    return cut.mapInArrow(run, SCHEMA)
+    cut = detections.select("clip", "f", "t", "label", "score", "x1", "y1", "x2", "y2").repartition("clip")
+    return cut.sortWithinPartitions("clip", "f", "label", F.desc("score"), "x1", "y1", "x2", "y2", "t").mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -216,7 +321,7 @@ def summaries(samples: DataFrame) -> DataFrame:
     return samples.groupBy("clip", "track_id").agg(F.max_by("label", "f").alias("label"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count_if(seen).alias("hits"), F.max(F.when(seen, F.col("score"))).alias("best"))
 
 
-def keep_real(samples: DataFrame, spawn: float = SPAWN, n: int = 3, secs: float = 5.0) -> DataFrame:
+def keep_real(samples: DataFrame, spawn: float = GHOST_SCORE, n: int = 3, secs: float = 5.0) -> DataFrame:
     """TRK-11: without ghosts: the best score reaches the spawn score, or n detections lie within ``secs``."""
     known = summaries(samples)
     confirmed = temporal.confirm_clip(samples.where("source = 'detect'"), ["clip", "track_id"], "t", n, secs)
@@ -224,25 +329,29 @@ def keep_real(samples: DataFrame, spawn: float = SPAWN, n: int = 3, secs: float
     return samples.join(real, ["clip", "track_id"], "left_semi")
 
 
-def stitch_candidates(samples: DataFrame, gap: float = 6.0, reach: float = REVIVE_DISTANCE, ratio: float = REVIVE_RATIO) -> DataFrame:
-    """JN-11: for each track the nearest earlier track of its clip and label that ends at most ``gap`` seconds before it, close by and of like size."""
+def stitch_candidates(samples: DataFrame, gap: float = STITCH_S, reach: float = STITCH_DISTANCE, ratio: float = STITCH_RATIO) -> DataFrame:
+    """JN-11: for each track the earlier track of its clip and label that ended last before it began, at most ``gap`` seconds, close by and of like size."""
     box = F.struct("x1", "y1", "x2", "y2")
-    ends = samples.groupBy("clip", "track_id").agg(F.max_by("label", "f").alias("label"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by(box, "f").alias("head"), F.max_by(box, "f").alias("tail"))
+    ends = samples.where("source = 'detect'").groupBy("clip", "track_id").agg(F.max_by("label", "f").alias("label"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by(box, "f").alias("head"), F.max_by(box, "f").alias("tail"))
     a = ends.select("clip", "label", F.col("track_id").alias("before"), "t1", "tail")
     b = ends.select("clip", "label", "track_id", "t0", "head")
-    size = F.greatest(F.col("tail.x2") - F.col("tail.x1"), F.col("tail.y2") - F.col("tail.y1"))
-    like = F.sqrt(geo.area(F.col("head")) / F.greatest(geo.area(F.col("tail")), F.lit(1.0)))
+    side = lambda c, k: F.col(f"{c}.{k}2") - F.col(f"{c}.{k}1")
+    like = F.lit(True)
+    for k in "xy":
+        like = like & (F.greatest(side("head", k), side("tail", k), F.lit(1.0)) / F.greatest(F.least(side("head", k), side("tail", k)), F.lit(1.0)) <= ratio)
+    near = geo.centroid_distance(F.col("head"), F.col("tail")) <= reach * F.greatest(*[side(c, k) for c in ("head", "tail") for k in "xy"])
     wait = F.col("t0") - F.col("t1")
-    pairs = b.join(a, ["clip", "label"]).where((wait > 0) & (wait <= gap) & (geo.centroid_distance(F.col("head"), F.col("tail")) <= reach * size) & like.between(1 / ratio, ratio))
-    pairs = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("clip", "track_id").orderBy(wait, F.col("before").desc()))).where("nth = 1")
+    pairs = b.join(a, ["clip", "label"]).where((F.col("track_id") != F.col("before")) & wait.between(0, gap) & near & like)
+    pairs = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("clip", "track_id").orderBy(wait, "before"))).where("nth = 1")
     return pairs.select("clip", "track_id", "before", wait.alias("wait"))
 
 
 def mean_overlap(samples: DataFrame) -> DataFrame:
     """JN-12: mean overlap of each two tracks of a label on the frames they share."""
     box = F.struct("x1", "y1", "x2", "y2")
-    a = samples.select("clip", "label", "f", F.col("track_id").alias("a"), box.alias("box_a"))
-    b = samples.select("clip", "label", "f", F.col("track_id").alias("b"), box.alias("box_b"))
+    seen = samples.where("source = 'detect'")
+    a = seen.select("clip", "label", "f", F.col("track_id").alias("a"), box.alias("box_a"))
+    b = seen.select("clip", "label", "f", F.col("track_id").alias("b"), box.alias("box_b"))
     return a.join(b, ["clip", "label", "f"]).where("a < b").groupBy("clip", "a", "b").agg(F.avg(geo.iou(F.col("box_a"), F.col("box_b"))).alias("overlap"), F.count("*").alias("frames"))
 
 

@@ -41,7 +41,7 @@ def counts(stream: DataFrame, size: str = "1 hour", slide: str | None = None, la
 def confirm(stream: DataFrame, n: int = 3, window: float = 5.0) -> DataFrame:
     """STR-1: first hit of n within the window per camera and label; re-armed after twice the window of silence.
 
-    The state is the hits within the window (64 at most) and whether the sighting is confirmed.
+    The state is the last n hits within the window, which decide, and whether the sighting is confirmed.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,7 +51,7 @@ def confirm(stream: DataFrame, n: int = 3, window: float = 5.0) -> DataFrame:
         for us, event_id in zip(rows["us"], rows["event_id"], strict=True):
             if hits and done and us - hits[-1] > 2e6 * window:
                 hits, done = [], False
-            hits = [h for h in [*hits, int(us)] if us - h <= 1e6 * window][-64:]
+            hits = [h for h in [*hits, int(us)] if us - h <= 1e6 * window][-n:]
             if len(hits) >= n and not done:
                 done = True
                 fired.append(int(event_id))
@@ -88,15 +88,16 @@ def live_tracks(stream: DataFrame) -> DataFrame:
     schema = "camera_id string, track_id long, us long, label string, score double, x1 double, y1 double, x2 double, y2 double, source string"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracks = pickle.loads(state.get[0]) if state.exists else []  # noqa: S301  our own state
+        tracker = pickle.loads(state.get[0]) if state.exists else tracking.Tracker()  # noqa: S301  our own state
         rows = pd.concat(list(parts)).sort_values(["us", "label", "score", "x1"])
         out = []
         for us, frame in itertools.groupby(rows.itertuples(), key=lambda r: r.us):
             dets = [(r.label, float(r.score), (float(r.x1), float(r.y1), float(r.x2), float(r.y2))) for r in frame]
-            tracking.associate(tracks, dets, int(us), us / 1e6)
-            out += [(key[0], x.number, int(us), x.label, s[3], *s[2], s[5]) for x in tracks for s in x.samples[-1:] if s[0] == us]
-            tracks = tracking.forget(tracks)
-        state.update((pickle.dumps(tracks),))
+            tracker.frames += 1
+            tracking.associate(tracker, dets, tracker.frames, us / 1e6)
+            out += [(key[0], x.number, int(us), x.label, s[3], *s[2], s[5]) for x in tracker.tracks() for s in x.samples[-1:] if s[0] == tracker.frames]
+            tracking.forget(tracker)
+        state.update((pickle.dumps(tracker),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return stream.groupBy("camera_id").applyInPandasWithState(step, schema, "tracks binary", "append", GroupStateTimeout.NoTimeout)

@@ -96,10 +96,10 @@ def box(x, y=0, size=100):
 
 
 def run(frames):
-    tracks = []
+    state = tracking.Tracker()
     for f, dets in enumerate(frames):
-        tracking.associate(tracks, dets, f, float(f))
-    return [t for t in tracks if t.samples]
+        tracking.associate(state, dets, f, float(f))
+    return state.tracks()
 
 
 def test_tracks_follow_and_split():
@@ -160,14 +160,89 @@ def test_filters_with_missing_values(spark):
 def test_forgetting_changes_nothing_ahead():
     """The live tracker's shortened state goes on as the whole one."""
     frames = [[("cat", 0.9, box(12 * i))] if i % 5 else [] for i in range(40)] + [[]] * 12 + [[("cat", 0.9, box(470)), ("dog", 0.8, box(900))]] * 4
-    whole, short, a, b = [], [], [], []
+    whole, short, a, b = tracking.Tracker(), tracking.Tracker(), [], []
     for f, dets in enumerate(frames):
-        tracking.associate(whole, dets, f, float(f))
-        tracking.associate(short, dets, f, float(f))
-        a.append([(x.number, x.samples[-1]) for x in whole if x.samples and x.samples[-1][0] == f])
-        b.append([(x.number, x.samples[-1]) for x in short if x.samples and x.samples[-1][0] == f])
-        short = tracking.forget(short)
-    assert a == b
+        for state, out in ((whole, a), (short, b)):
+            tracking.associate(state, dets, f, float(f))
+            out.append([(x.number, x.samples[-1]) for x in state.tracks() if x.samples[-1][0] == f])
+        tracking.forget(short)
+    assert a == b and all(len(x.samples) == 1 for x in short.tracks())
+
+
+def test_missed_frames_fade_once_and_end_in_time():
+    found = run([[("cat", 0.9, box(0))], [], []])[0]
+    assert [(s[3], s[5]) for s in found.samples] == [(0.9, "detect"), (0.63, "predicted"), (0.63, "predicted")]
+    tracks = run([[("cat", 0.9, box(0))]] + [[]] * 12)
+    assert len(tracks[0].samples) == 1 + tracking.GRACE
+    state = tracking.Tracker()
+    for f in range(6):  # at the frame's edge a subject has left soon
+        tracking.associate(state, [("cat", 0.9, box(895))] if f == 0 else [], f, float(f), frame=(1000, 1000))
+    assert not state.active and len(state.closed[0].samples) == 1 + tracking.EDGE_GRACE
+
+
+def test_predictions():
+    two = run([[("cat", 0.9, box(0))], [("cat", 0.9, box(20))], [], []])[0]
+    assert [s[2][0] for s in two.samples] == [0.0, 20.0, 20 + int(20 * 5 / 6), 20 + int(20 * 2 * 4 / 6)]
+    still = run([[("cat", 0.9, box(0))], [("cat", 0.9, box(3))], []])[0]
+    assert still.samples[-1][2] == box(3)  # hardly moves for its size
+    fast = tracking.Track(0, "cat")
+    for f, x in ((0, 0), (1, 90)):
+        fast.add(f, float(f), ("cat", 0.9, box(x)))
+    assert fast.predicted(2)[0] == 90 + 40  # at most 0.4 of the side
+    assert run([[("cat", 0.9, box(0))], []])[0].samples[-1][2] == box(0)
+
+
+def test_numbers_are_never_given_out_again():
+    """Two parallel tracks merge; a far subject after that has a number of its own, also if the state is shortened."""
+    state = tracking.Tracker()
+    a, b = tracking.Track(0, "cat"), tracking.Track(1, "cat")
+    for f in range(3):
+        a.add(f, float(f), ("cat", 0.9, box(0)))
+        b.add(f, float(f), ("cat", 0.8, box(5)))
+    state.active, state.following = [a, b], 2
+    tracking.associate(state, [], 3, 3.0)
+    assert [x.number for x in state.active] == [0] and [x.number for x in state.closed] == [1]
+    tracking.forget(state)
+    tracking.associate(state, [("cat", 0.9, box(2000))], 4, 4.0)
+    assert [x.number for x in state.active] == [0, 2]
+    better = tracking.Tracker([tracking.Track(0, "cat"), tracking.Track(1, "cat")], [], 2)
+    for x, score in zip(better.active, (0.6, 0.9), strict=True):
+        for f in range(3):
+            x.add(f, float(f), ("cat", score, box(0)))
+    tracking.associate(better, [], 3, 3.0)
+    assert [x.number for x in better.active] == [1]  # as many detections, and surer ones
+
+
+def test_a_blocked_detection_joins_even_a_track_that_has_one():
+    tracks = run([[("cat", 0.9, box(0))], [("cat", 0.9, box(0)), ("dog", 0.8, box(10))]])
+    assert len(tracks) == 1 and [s[4] for s in tracks[0].samples] == ["cat", "cat", "dog"]
+
+
+def test_who_comes_back_has_the_same_shape():
+    gone = [[("cat", 0.9, (0.0, 0.0, 100.0, 100.0))]] * 3 + [[]] * 9
+    assert len(run([*gone, [("cat", 0.9, (300.0, 0.0, 400.0, 100.0))]])) == 2  # too far
+    assert len(run([*gone, [("cat", 0.9, (90.0, 0.0, 190.0, 100.0))]])) == 1
+    assert len(run([*gone, [("cat", 0.9, (90.0, 0.0, 150.0, 170.0))]])) == 1
+    assert len(run([*gone, [("cat", 0.9, (90.0, 0.0, 145.0, 181.0))]])) == 2  # the same area, another shape
+    assert len(run([*gone[:3], *[[]] * 25, [("cat", 0.9, box(0))]])) == 2  # too late
+
+
+def test_finished_clips_are_stitched(spark):
+    ends = [(f, float(f), "cat", 0.9, 10.0 * f, 0.0, 10.0 * f + 60, 60.0) for f in range(4)]
+    goes_on = [(f, float(f), "cat", 0.9, 10.0 * f + 20, 0.0, 10.0 * f + 80, 60.0) for f in range(8, 11)]
+    dog = [(f, float(f), "dog", 0.9, 10.0 * f + 100, 400.0, 10.0 * f + 160, 460.0) for f in range(8, 11)]
+    rows = spark.createDataFrame([("c", *r) for r in sorted([*ends, *goes_on, *dog])], "clip string, f int, t double, label string, score double, x1 double, y1 double, x2 double, y2 double")
+    apart = {r.track_id for r in tracking.track(rows).collect()}
+    whole = tracking.track(rows, whole=True).where("source = 'detect'").collect()
+    assert apart == {0, 1, 2} and {r.track_id: r.label for r in whole} == {0: "cat", 2: "dog"}
+    tracks = [tracking.Track(n, "cat", first=f) for n, f in ((0, 0), (1, 8), (2, 12), (3, 9))]
+    for x, frames in zip(tracks, (ends, goes_on, [(12, 12.0, "cat", 0.9, 110.0, 0.0, 170.0, 60.0)], goes_on[1:]), strict=True):
+        for f, t, label, score, *b in frames:
+            x.add(f, t, (label, score, tuple(b)))
+    (only,) = tracking.stitched(tracks)  # a chain of three, and one that was in the same place as its middle
+    assert only.number == 0 and [s[0] for s in only.seen] == [0, 1, 2, 3, 8, 9, 10, 12]
+    found = tracking.stitch_candidates(tracking.track(rows)).collect()
+    assert [(r.before, r.wait) for r in found] == [(0, 5.0)]
 
 
 def test_overlapping_tracks_merge(spark):
