@@ -257,3 +257,34 @@ def window_end(name: str, start: Column) -> Column:
         "current_rolling_week": F.lit(None).cast("date"),
     }[name]
     return last.cast("timestamp_ntz") + F.expr("interval 86399 seconds")
+
+
+def sun_position(at: Column, latitude: float, longitude: float) -> Column:
+    """GEO-17: struct(altitude, azimuth) of the sun in degrees, with refraction; ``at`` is seconds since 1970 in UTC.
+
+    The published low-precision solar equations; azimuth counts from north to east.
+    """
+    sin, cos = (lambda x, f=f: f(F.radians(x)) for f in (F.sin, F.cos))
+    c = (at / 86400 + F.lit(2440587.5 - 2451545.0)) / 36525
+    mean_long = F.pmod(280.46646 + c * (36000.76983 + c * 0.0003032), F.lit(360.0))
+    anomaly = 357.52911 + c * (35999.05029 - 0.0001537 * c)
+    orbit = 0.016708634 - c * (0.000042037 + 0.0000001267 * c)
+    centre = sin(anomaly) * (1.914602 - c * (0.004817 + 0.000014 * c)) + sin(2 * anomaly) * (0.019993 - 0.000101 * c) + sin(3 * anomaly) * 0.000289
+    node = 125.04 - 1934.136 * c
+    apparent = mean_long + centre - 0.00569 - 0.00478 * sin(node)
+    tilt = 23 + (26 + (21.448 - c * (46.815 + c * (0.00059 - c * 0.001813))) / 60) / 60 + 0.00256 * cos(node)
+    declination = F.degrees(F.asin(sin(tilt) * sin(apparent)))
+    y = F.pow(F.tan(F.radians(tilt / 2)), F.lit(2.0))
+    equation = 4 * F.degrees(y * sin(2 * mean_long) - 2 * orbit * sin(anomaly) + 4 * orbit * y * sin(anomaly) * cos(2 * mean_long) - 0.5 * y * y * sin(4 * mean_long) - 1.25 * orbit * orbit * sin(2 * anomaly))
+    hour = F.pmod(F.pmod(at, F.lit(86400.0)) / 60 + equation + 4 * longitude, F.lit(1440.0)) / 4 - 180
+    place = F.lit(float(latitude))
+    high = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sin(place) * sin(declination) + cos(place) * cos(declination) * cos(hour)))))
+    turn = F.degrees(F.atan2(sin(hour), cos(hour) * sin(place) - F.tan(F.radians(declination)) * cos(place)))
+    slope = F.tan(F.radians(high))
+    bend = (
+        F.when(high > 85, 0.0)
+        .when(high > 5, 58.1 / slope - 0.07 / F.pow(slope, F.lit(3.0)) + 0.000086 / F.pow(slope, F.lit(5.0)))
+        .when(high > -0.575, 1735 + high * (-518.2 + high * (103.4 + high * (-12.79 + high * 0.711))))
+        .otherwise(-20.774 / slope)
+    )
+    return F.struct((high + bend / 3600).alias("altitude"), F.pmod(turn + 180, F.lit(360.0)).alias("azimuth"))

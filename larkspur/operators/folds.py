@@ -23,7 +23,10 @@ Step = Callable[[Any, dict], tuple[Any, Any]]
 
 
 def ordered_fold(rows: DataFrame, keys: list[str], order: str, used: list[str], step: Step, out: str) -> DataFrame:
-    """Add the column ``out`` ("name type"): step(state, row) -> (state, value), from state None at each key's first row."""
+    """Add the column ``out`` ("name type"): step(state, row) -> (state, value), from state None at each key's first row.
+
+    Rows of one place in the order go by their event_id, if there is one.
+    """
     columns, name = rows.columns, out.split()[0]
     at, need = [columns.index(k) for k in keys], list(dict.fromkeys([order, *used]))
 
@@ -43,7 +46,11 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: str, used: list[str],
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), out])
     if rows.isStreaming:
         return _live_fold(rows, keys, order, need, step, name, schema)
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order, *_ties(columns)).mapInArrow(run, schema)
+
+
+def _ties(columns: list[str]) -> list[str]:
+    return [c for c in ("event_id",) if c in columns]
 
 
 def _plain(values: pd.Series) -> list:
@@ -53,10 +60,11 @@ def _plain(values: pd.Series) -> list:
 
 def _live_fold(rows: DataFrame, keys: list[str], order: str, need: list[str], step: Step, name: str, schema: str) -> DataFrame:
     """The fold over a stream; a key's state is what ``step`` returned last."""
+    by = [order, *_ties(rows.columns)]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = pickle.loads(state.get[0]) if state.exists else None  # noqa: S301  our own state
-        batch = pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable")
+        batch = pd.concat(list(parts), ignore_index=True).sort_values(by, kind="stable")
         found = []
         for row in zip(*(_plain(batch[c]) for c in need), strict=True):
             now, value = step(now, dict(zip(need, row, strict=True)))
@@ -167,12 +175,12 @@ def moving_interval(rows: DataFrame, keys: list[str], at_us: str, weight: float
 
 
 def majority(rows: DataFrame, keys: list[str], order: str, label: str, last: int = 5) -> DataFrame:
-    """WIN-8: a track's label: it changes only to one with strictly more of the last votes."""
+    """WIN-8: a track's label: it changes only to one with strictly more of the last votes, the latest of equals."""
 
     def step(state, row):
         now, votes = state or (row[label], [])
         votes = [*votes, row[label]][-last:]
-        best = max(dict.fromkeys(votes), key=votes.count)
+        best = max(dict.fromkeys(reversed(votes)), key=votes.count)
         now = best if votes.count(best) > votes.count(now) else now
         return (now, votes), now
 
@@ -205,6 +213,24 @@ def watchdog(rows: DataFrame, keys: list[str], at_us: str, online: str, after: f
     return ordered_fold(rows, keys, at_us, [online], step, "change string")
 
 
+def sunset_once(rows: DataFrame, keys: list[str], at_us: str, altitude: str, day: str, low: float = -2.0, high: float = 5.0, minutes: float = 12.0) -> DataFrame:
+    """STR-15: the first row of a day at which the sun has been within the band for ``minutes``; then the day is done."""
+
+    def step(state, row):
+        since, done = state or (None, None)
+        if done == row[day] or row[altitude] is None:
+            return (since, done), False
+        if not low <= row[altitude] <= high:
+            return (None, done), False
+        if since is None:
+            return (row[at_us], done), False
+        if row[at_us] - since < minutes * 60e6:
+            return (since, done), False
+        return (None, row[day]), True
+
+    return ordered_fold(rows, keys, at_us, [altitude, day], step, "fired boolean").where("fired").drop("fired")
+
+
 BLOB_IOU, BLOB_ACCEPT, BLOB_MISSES = 0.10, 0.25, 4
 
 

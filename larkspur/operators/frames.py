@@ -31,10 +31,207 @@ NIGHT, TWILIGHT = 50.0, 110.0
 #: By profile: standard deviation without detail, channel deviations of the grey midband, share of dead tiles.
 PROFILES = {"day": (NO_DETAIL, GREY_STD, TILE_DEAD), "twilight": (1.2, 8.0, 0.55), "night": (0.8, 5.0, 0.85)}
 HASH_SIZE = 16
+BAND_WINDOW, BAND_PERCENT, BAND_TIMES, BAND_FLOOR, BAND_ROWS, BAND_MOST, BAND_Z, BAND_Z_TWILIGHT = 16, 30, 3.0, 5.0, 30, 0.60, 2.5, 4.0
+HUE_LOW, HUE_HIGH, HUE_SATURATION, HUE_SHARE, HUE_ROWS, HUE_PEAK = 10, 40, 60, 0.01, 20, 1.0
+CLOCK_Y, CLOCK_H, CLOCK_SLACK = 68, 6, 2
+BLOCK, BLOCK_CHROMA, BLOCK_ENERGY, BLOCK_WINDOW, BLOCK_CLUSTER, BLOCK_FILL = 16, 85.0, 4.0, 5, 3, 0.5
+MOTION_BLUR, MOTION_DIFFERENCE, MOTION_SCALE, MOTION_LEAST_SHARE, MOTION_AREA, WILDLIFE_AREA, MOTION_SENSITIVITY = 15, 28, (0.5, 2.0), 0.005, 0.005, 0.001, 0.5
 
 MEASURES = ("blue", "green", "red", "grey_mean", "grey_std", "channel_std_sum", "pink_quarter", "magenta", "dead_tiles", "chroma_left", "chroma_right", "bar_row_std", "bar_between_std", "toned_std", "tile_max", "tile_base", "tiles_saturated", "strip_mean", "strip_std")
 
 
+def _longest_run(flags: np.ndarray) -> tuple[int, int]:
+    """(start, length) of the first longest run of true values."""
+    edges = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return 0, 0
+    k = int((ends - starts).argmax())
+    return int(starts[k]), int(ends[k] - starts[k])
+
+
+def _smooth(values: np.ndarray, width: int = BAND_WINDOW) -> np.ndarray:
+    """Moving mean over rows; the ends are mirrored without the edge row."""
+    before = width // 2
+    padded = np.pad(values.astype(np.float64), (before, width - 1 - before), mode="reflect")
+    return np.convolve(padded, np.full(width, 1 / width), "valid")
+
+
+def anomaly_band(image: np.ndarray, min_z: float = BAND_Z, clock: tuple[int, int] | None = (CLOCK_Y, CLOCK_H)) -> str | None:
+    """IMG-6: a band of rows that differ from their neighbours, or of wrong colours: 'name(y,h,score)', or none.
+
+    A band of the first kind alone that lies within the camera's clock is none; in the lowest quarter it has the name of a strip.
+    """
+    h, w = image.shape[:2]
+    if h < 40:
+        return None
+    grey = image @ np.array([0.114, 0.587, 0.299], np.float32)
+    rows = _smooth(np.abs(np.diff(grey, axis=0)).mean(1))
+    base = float(np.percentile(rows, BAND_PERCENT))
+    start, length = _longest_run(rows > max(base * BAND_TIMES, BAND_FLOOR))
+    z = (float(rows[start : start + length].mean()) - base) / max(float(rows.std()), 0.5) if length else 0.0
+    delta = (start, length, z) if BAND_ROWS <= length <= BAND_MOST * h and z >= min_z else None
+
+    top, low = image.max(2), image.min(2)
+    spread = np.maximum(top - low, 1e-6)
+    b, g, r = np.moveaxis(image, 2, 0)
+    sector = np.where(top == r, (g - b) / spread, np.where(top == g, 2 + (b - r) / spread, 4 + (r - g) / spread))
+    hue = np.rint(np.where(top > low, sector * 30 % 180, 0))
+    wrong = ((hue < HUE_LOW) | (hue > HUE_HIGH)) & (np.rint(255 * (top - low) / np.maximum(top, 1)) > HUE_SATURATION)
+    share = _smooth(wrong.sum(1))
+    start, length = _longest_run(share > w * HUE_SHARE)
+    peak = 100 * float(share.max()) / w
+    chroma = (start, length, peak) if w >= 32 and HUE_ROWS <= length <= BAND_MOST * h and peak >= HUE_PEAK else None
+
+    found = delta or chroma
+    if not found:
+        return None
+    y, tall = (round(100 * v / h) for v in found[:2])
+    if clock and not chroma and clock[0] - CLOCK_SLACK <= y and y + tall <= sum(clock) + CLOCK_SLACK:
+        return None
+    name = "horizontal_anomaly_band" if y < 75 else "bottom_strip_white" if not delta else "bottom_strip_bright"
+    return f"{name}(y={y}%,h={tall}%,score={found[2]:.1f})"
+
+
+def _components(flags: np.ndarray, diagonal: bool) -> list[np.ndarray]:
+    """Connected cells of a grid, each as rows of (y, x); corners connect only if ``diagonal``."""
+    left, out = set(map(tuple, np.argwhere(flags).tolist())), []
+    near = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y, x) != (0, 0) and (diagonal or not (y and x))]
+    while left:
+        queue, mine = [left.pop()], []
+        while queue:
+            y, x = queue.pop()
+            mine.append((y, x))
+            for cell in [(y + dy, x + dx) for dy, dx in near]:
+                if cell in left:
+                    left.remove(cell)
+                    queue.append(cell)
+        out.append(np.array(mine))
+    return out
+
+
+def macroblock_cluster(image: np.ndarray) -> int:
+    """IMG-10: the tiles of the largest cluster of false colour and local texture, if it is a fault; else 0."""
+    h, w = (n // BLOCK for n in image.shape[:2])
+    if min(h, w) < 4:
+        return 0
+    tiled = lambda a: a[: h * BLOCK, : w * BLOCK].reshape(h, BLOCK, w, BLOCK, -1).mean((1, 3))
+    colour = tiled(image)
+    wrong = colour.max(2) - colour.min(2) > BLOCK_CHROMA
+    if not wrong.any():
+        return 0
+    p = np.pad(np.rint(image @ np.array([0.114, 0.587, 0.299], np.float32)), 1, mode="reflect")
+    texture = np.abs(2 * (p[:-2, :-2] + p[:-2, 2:] + p[2:, :-2] + p[2:, 2:]) - 8 * p[1:-1, 1:-1])
+    energy = tiled(texture[..., None])[..., 0]
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(energy, BLOCK_WINDOW // 2, mode="edge"), (BLOCK_WINDOW, BLOCK_WINDOW))
+    clusters = _components(wrong & (energy > BLOCK_ENERGY * np.maximum(np.median(around, (2, 3)), 1.0)), False)
+    if not clusters:
+        return 0
+    cells = max(clusters, key=len)
+    box = int(np.prod(cells.max(0) - cells.min(0) + 1))
+    return len(cells) if len(cells) >= BLOCK_CLUSTER and len(cells) >= BLOCK_FILL * box else 0
+
+
+def _blurred(grey: np.ndarray, size: int = MOTION_BLUR) -> np.ndarray:
+    """Gaussian blur to whole numbers, with mirrored borders."""
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    kernel = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
+    kernel /= kernel.sum()
+    for axis in (0, 1):
+        padded = np.pad(grey, [(size // 2,) * 2 if a == axis else (0, 0) for a in (0, 1)], mode="reflect")
+        grey = sum(k * np.take(padded, range(i, i + grey.shape[axis]), axis) for i, k in enumerate(kernel))
+    return np.rint(grey)
+
+
+def _outline_area(cells: np.ndarray) -> float:
+    """The area within the outline through a blob's border pixels; holes count as filled."""
+    y0, x0 = cells.min(0)
+    inside = np.zeros(cells.max(0) - (y0, x0) + 3, bool)
+    inside[cells[:, 0] - y0 + 1, cells[:, 1] - x0 + 1] = True
+    outer = next(c for c in _components(~inside, False) if (c == 0).all(1).any())
+    filled = np.ones_like(inside)
+    filled[outer[:, 0], outer[:, 1]] = False
+    p = np.pad(filled, 1)
+    border = filled & ~(p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:])
+    return float(max(0.0, filled.sum() - border.sum() / 2 - 1))
+
+
+def changed_blobs(before: np.ndarray, now: np.ndarray, masked: np.ndarray | None = None, sensitivity: float | None = None, wildlife: float | None = None) -> tuple[np.ndarray, list[int] | None, bool, list[int]]:
+    """IMG-17: from two blurred grey frames: (the later one at the earlier one's brightness, box of motion, only the low floor met, boxes over the low floor).
+
+    Boxes are x, y, w, h one after the other; ``masked`` pixels don't count.
+    """
+    mean = float(now.mean())
+    if mean > 1 and MOTION_SCALE[0] < (scale := float(before.mean()) / mean) < MOTION_SCALE[1]:
+        now = np.floor(np.clip(now * scale, 0, 255))
+    hot = np.abs(before - now) > MOTION_DIFFERENCE
+    wide = np.pad(hot, 2)
+    hot = np.lib.stride_tricks.sliding_window_view(wide, (5, 5)).any((2, 3))
+    if masked is not None:
+        hot &= ~masked
+    size = hot.size
+    if hot.sum() < int(size * MOTION_LEAST_SHARE):
+        return now, None, False, []
+    usual = int(size * MOTION_AREA / max(0.1, MOTION_SENSITIVITY if sensitivity is None else sensitivity))
+    low = min(3.0, 1.4 * (MOTION_SENSITIVITY if sensitivity is None else sensitivity)) if not wildlife or wildlife <= 0 else min(3.0, max(0.1, wildlife))
+    blobs = [(c, _outline_area(c)) for c in _components(hot, True)]
+    box = lambda c: [int(c[:, 1].min()), int(c[:, 0].min()), int(np.ptp(c[:, 1])) + 1, int(np.ptp(c[:, 0])) + 1]
+    small = [box(c) for c, a in blobs if a >= int(size * WILDLIFE_AREA / max(0.1, low))]
+    big = [c for c, a in blobs if a >= usual]
+    return now, box(np.concatenate(big)) if big else None, bool(small) and not big, [v for b in sorted(small) for v in b]
+
+
+def motion(frames: DataFrame, key: str = "camera_id", order: str = "t", sensitivity: float | None = None, wildlife: float | None = None) -> DataFrame:
+    """IMG-17 for every frame (key, order, width, height, pixels): motion, box, wildlife_low, boxes (as STR-13 takes them).
+
+    Frames of a camera stream by in their order and only the last one is held; the first, and one of another size, has no motion.
+    """
+    columns = [key, order, "width", "height", "pixels"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        camera, before = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                part, out = batch.slice(at, 16), []
+                for who, _, w, h, pixels in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if who != camera:
+                        camera, before = who, None
+                    if not w or not h or pixels is None or len(pixels) != 3 * w * h:
+                        out.append((False, None, False, []))
+                        continue
+                    now = _blurred(np.rint(np.frombuffer(pixels, np.uint8).reshape(h, w, 3) @ np.array([0.114, 0.587, 0.299])))
+                    if before is None or before.shape != now.shape:
+                        before = now
+                        out.append((False, None, False, []))
+                        continue
+                    before, box, low, boxes = changed_blobs(before, now, None, sensitivity, wildlife)
+                    out.append((box is not None, box, low, boxes))
+                found = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.bool_(), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.float64())))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *found], names=[key, order, "motion", "box", "wildlife_low", "boxes"])
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in frames.select(key, order).schema.fields]
+    cut = frames.select(*columns).repartition(key).sortWithinPartitions(key, order)
+    return cut.mapInArrow(run, f"{', '.join(kinds)}, motion boolean, box array<int>, wildlife_low boolean, boxes array<double>")
+
+
+def local_faults(frames: DataFrame, profile: str = "day") -> DataFrame:
+    """IMG-6 and IMG-10: frame_id, band (reason or null) and macroblocks (tiles of a faulty cluster) of every frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                part, bands, blocks = batch.slice(at, 16), [], []
+                for w, h, pixels in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    sound = w and h and pixels is not None and len(pixels) == 3 * w * h
+                    image = np.frombuffer(pixels, np.uint8).reshape(h, w, 3).astype(np.float32) if sound else None
+                    bands.append(anomaly_band(image, BAND_Z_TWILIGHT if profile == "twilight" else BAND_Z) if sound else None)
+                    blocks.append(macroblock_cluster(image) if sound else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bands, pa.string()), pa.array(blocks, pa.int32())], names=["frame_id", "band", "macroblocks"])
+
+    rows = frames.select(F.col("frame_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), "pixels")
+    return rows.mapInArrow(run, "frame_id long, band string, macroblocks int")
+
+
 def _trimmed_std(values: np.ndarray) -> float:
     """Standard deviation of the smallest nine tenths."""
     keep = max(1, int(len(values) * TONED_KEEP))

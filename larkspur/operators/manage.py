@@ -8,21 +8,36 @@ from pyspark.sql import functions as F
 from larkspur.sources.events import event_date
 
 
+def with_ids(events: DataFrame) -> DataFrame:
+    """SNK-1: ids made of the time where they are missing; further events of a camera and microsecond are numbered."""
+    made = F.date_format("ts", "yyyyMMdd-HHmmss-SSSSSS")
+    nth = F.row_number().over(Window.partitionBy("camera_id", "_made").orderBy(F.xxhash64(*[F.to_json(F.struct(*events.columns))])))
+    new = events.where("event_id is null").withColumn("_made", made).withColumn("_nth", nth)
+    new = new.withColumn("event_id", F.when(F.col("_nth") == 1, F.col("_made")).otherwise(F.concat_ws("-", "_made", F.col("_nth") - 1)))
+    return events.where("event_id is not null").unionByName(new.select(*events.columns))
+
+
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """SNK-1/14/18: append by camera and the date in the id, by Spark's commit protocol; ids are made where missing."""
-    made = F.concat(F.date_format(F.col("ts"), "yyyyMMdd-HHmmss-SSSSSS"))
-    rows = events.withColumn("event_id", F.coalesce("event_id", made)).withColumn("event_date", F.coalesce(event_date(F.col("event_id")), F.lit("undated")))
+    rows = with_ids(events)
+    rows = rows.withColumn("event_date", F.coalesce(event_date(F.col("event_id")), F.lit("undated")))
     rows.write.mode(mode).partitionBy("camera_id", "event_date").parquet(path)
 
 
 def upsert(table: DataFrame, changed: DataFrame, key: str) -> DataFrame:
-    """SNK-2/4: rows of ``changed`` replace those of the same key and are added where there are none."""
-    return table.join(changed.select(key), key, "left_anti").select(*table.columns).unionByName(changed, allowMissingColumns=True)
+    """SNK-2/4: rows of ``changed`` replace those of the same key (null is a key too) and are added where there are none."""
+    keys = changed.select(F.col(key).alias("_changed")).distinct()
+    return table.join(keys, F.col(key).eqNullSafe(F.col("_changed")), "left_anti").unionByName(changed, allowMissingColumns=True)
 
 
 def edit_labels(events: DataFrame, edits: DataFrame) -> DataFrame:
-    """SNK-3: new labels by event_id; the top label stays if it is among them, else it is the first, or motion."""
-    rows = events.join(edits.select("event_id", F.col("labels").alias("new")), "event_id", "left")
+    """SNK-3: new labels by event_id; the top label stays if it is among them, else it is the first, or motion.
+
+    Of several edits of an event the last counts, by ``edited_at`` if there is such a column, else the greatest list.
+    """
+    order = [F.col("edited_at")] if "edited_at" in edits.columns else []
+    last = edits.where("event_id is not null").groupBy("event_id").agg(F.max(F.struct(*order, F.col("labels").alias("new")))["new"].alias("new"))
+    rows = events.join(last, "event_id", "left")
     labels = F.coalesce("new", "labels")
     top = F.when(F.col("new").isNull(), F.col("top_label")).when(F.size("new") == 0, "motion").when(~F.array_contains("new", F.col("top_label")), F.get("new", F.lit(0))).otherwise(F.col("top_label"))
     return rows.withColumns({"labels": labels, "top_label": top}).drop("new")
@@ -75,12 +90,17 @@ def newest(rows: DataFrame, keys: list[str], order: str, tie: str, n: int) -> Da
 
 
 def merge_camera(events: DataFrame, files: DataFrame, source: str, target: str, name: str) -> DataFrame:
-    """SNK-12: a camera's events move to another; ids already taken there get _m1, and media that is gone is unlinked."""
+    """SNK-12: a camera's events move to another; ids already taken there get the first free of _m1, _m2, …, and media that is gone is unlinked."""
     moved = events.where(F.col("camera_id") == source)
-    taken = events.where(F.col("camera_id") == target).select("event_id", F.lit(True).alias("taken"))
+    base, number = F.regexp_extract("event_id", r"^(.*)_m\d+$", 1), F.regexp_extract("event_id", r"_m(\d+)$", 1)
+    there = events.where(F.col("camera_id") == target).select("event_id")
+    taken = there.select("event_id", F.lit(True).alias("taken")).distinct()
+    used = events.where(F.col("camera_id").isin(source, target) & (base != "")).groupBy(base.alias("event_id")).agg(F.collect_set(number.cast("int")).alias("used"))
     paths = files.select(F.col("path").alias("video_relpath"), F.lit(True).alias("there")).distinct()
-    moved = moved.join(taken, "event_id", "left").join(paths, "video_relpath", "left")
-    moved = moved.withColumns({"event_id": F.when(F.col("taken"), F.concat("event_id", F.lit("_m1"))).otherwise(F.col("event_id")), "video_relpath": F.when(F.col("there"), F.col("video_relpath")), "camera_id": F.lit(target), "camera_name": F.lit(name)})
+    moved = moved.join(taken, "event_id", "left").join(used, "event_id", "left").join(paths, "video_relpath", "left")
+    have = F.coalesce("used", F.array().cast("array<int>"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size(have) + 1), have))
+    moved = moved.withColumns({"event_id": F.when(F.col("taken"), F.concat("event_id", F.lit("_m"), free)).otherwise(F.col("event_id")), "video_relpath": F.when(F.col("there"), F.col("video_relpath")), "camera_id": F.lit(target), "camera_name": F.lit(name)})
     rest = events.where(~F.col("camera_id").eqNullSafe(source)).withColumn("camera_name", F.when(F.col("camera_id") == target, name).otherwise(F.col("camera_name")))
     return rest.unionByName(moved.select(*rest.columns))
 

@@ -141,10 +141,11 @@ def totals(rows: DataFrame) -> DataFrame:
 
 
 def by_day(rows: DataFrame) -> DataFrame:
-    """AGG-3: events per day and label, with the day's events. Counts are taken before the shuffle, once."""
-    days = rows.select(day_of(F.col("time")).alias("day"), "labels")
-    counts = each_label(days, "day").groupBy("day", "label").agg(F.count("*").alias("n"))
-    return counts.join(days.groupBy("day").agg(F.count("*").alias("events")), "day")
+    """AGG-3: events per day and label, with the day's events. Events are read once and counted by day and label set; only those counts are taken apart."""
+    sets = rows.groupBy(day_of(F.col("time")).alias("day"), "labels").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("day")).alias("events")
+    parts = sets.select("day", "labels", "n", total)
+    return each_label(parts, "day", "n", "events").groupBy("day", "label", "events").agg(F.sum("n").alias("n")).select("day", "label", "n", "events")
 
 
 def by_hour(rows: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo, rules
-from larkspur.operators import folds, store, temporal
+from larkspur.operators import folds, goals, store, temporal
 from larkspur.plans import plan
 from larkspur.plans.scalars import _diamond
-from larkspur.plans.sql import EVENTS, WEATHER
+from larkspur.plans.sql import EVENTS, WEATHER, walk
+from larkspur.plans.temporal import _HASH, hashed
 from larkspur.sources.events import events_view as events
 from larkspur.sources.events import row_ify
 from larkspur.sources.events import weather_view as weather
@@ -66,21 +67,42 @@ def _(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.least(F.lit(25.0), F.greatest(F.lit(1.0), k / 4.0)).alias("fps"), F.least(F.lit(100.0), F.round(100.0 * k / 90, 2)).alias("coverage"), (k < 0.95 * 90).alias("short"))
 
 
-@plan("win_08_majority_label")
+@plan(
+    "win_08_majority_label",
+    walk(
+        "SELECT camera_id, event_id, label FROM e",
+        "[label] AS votes, label AS dominant",
+        """list_append(w.votes, r.label)[-5:] AS votes,
+        CASE WHEN len(list_filter(list_append(w.votes, r.label)[-5:], lambda x: x = w.dominant)) < list_max(list_transform(list_append(w.votes, r.label)[-5:], lambda v: len(list_filter(list_append(w.votes, r.label)[-5:], lambda x: x = v))))
+             THEN list_extract(list_sort(list_transform(list_append(w.votes, r.label)[-5:], lambda v, i: {'n': len(list_filter(list_append(w.votes, r.label)[-5:], lambda x: x = v)), 'i': i, 'v': v})), -1).v ELSE w.dominant END AS dominant""",
+        "camera_id, event_id, label, dominant",
+        order="event_id",
+    ),
+)
 def _(spark, sf_dir):
     return folds.majority(events(spark, sf_dir).select("camera_id", "event_id", "label"), ["camera_id"], "event_id", "label")
 
 
-@plan("win_09_freeze_runs")
+@plan(
+    "win_09_freeze_runs",
+    walk(f"SELECT camera_id, event_id, {_HASH} AS hash FROM e", "hash AS anchor, 0 AS duplicates", "CASE WHEN bit_count(xor(w.anchor, r.hash)) <= 3 THEN w.anchor ELSE r.hash END AS anchor, CASE WHEN bit_count(xor(w.anchor, r.hash)) <= 3 THEN w.duplicates + 1 ELSE 0 END AS duplicates", "camera_id, event_id, hash, CAST(duplicates AS INT) AS duplicates", order="event_id"),
+)
 def _(spark, sf_dir):
-    rows = events(spark, sf_dir).select("camera_id", "event_id", F.xxhash64(F.col("k") % 3).alias("hash"))
-    return folds.freeze_runs(rows, ["camera_id"], "event_id", "hash")
+    return folds.freeze_runs(hashed(spark, sf_dir), ["camera_id"], "event_id", "hash")
 
 
-@plan("win_16_mean_interval")
+@plan(
+    "win_16_mean_interval",
+    walk(
+        "SELECT camera_id, event_id, epoch_us(ts) AS us FROM e",
+        "CAST(NULL AS DOUBLE) AS mean",
+        "CASE WHEN (r.us - w.us) / 1000000.0 > 3600 THEN NULL WHEN w.mean IS NULL THEN CAST((r.us - w.us) / 1000000.0 AS DOUBLE) ELSE 0.9::DOUBLE * w.mean + 0.1::DOUBLE * CAST((r.us - w.us) / 1000000.0 AS DOUBLE) END AS mean",
+        "camera_id, event_id, us, round(mean, 6) AS mean",
+    ),
+)
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).select("camera_id", "event_id", temporal.micros(F.col("ts")).alias("us"))
-    return folds.moving_interval(rows, ["camera_id"], "us", 0.1, 3600.0)
+    return folds.moving_interval(rows, ["camera_id"], "us", 0.1, 3600.0).withColumn("mean", F.round("mean", 6))
 
 
 @plan("win_27_sun_window", f"WITH {EVENTS} SELECT event_id, ts - INTERVAL 2520 SECOND AS start, ts + INTERVAL 1080 SECOND AS \"end\" FROM e")
@@ -137,7 +159,10 @@ def _(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.coalesce(F.trim(text).try_cast("int"), F.lit(-1)).alias("number"), flag.alias("flag"))
 
 
-@plan("fn_28_text_jitter")
+@plan(
+    "fn_28_text_jitter",
+    f"""WITH {EVENTS} SELECT event_id, abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(CAST(event_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (((h * 31 + x + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648)) AS h FROM e""",
+)
 def _(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", rules.string_hash(F.col("event_id").cast("string")).alias("h"))
 
@@ -218,19 +243,40 @@ def _(spark, sf_dir):
     return events(spark, sf_dir).groupBy("camera_id", "k").agg(F.max_by("event_id", "ts").alias("event_id"))
 
 
-@plan("src_09_row_ify", f"WITH {EVENTS} SELECT time, value FROM e WHERE event_id < 200")
+@plan("src_09_row_ify", f"WITH {EVENTS} SELECT time, value FROM e")
 def _(spark, sf_dir):
-    rows = events(spark, sf_dir).where("event_id < 200").agg(F.array_sort(F.collect_list(F.struct("event_id", "time", "value"))).alias("all"))
-    return row_ify(rows.select(F.col("all.time").alias("times"), F.col("all.value").alias("value")), "times", "value")
+    """Payloads of a quarter hour and camera, as parallel arrays, become rows; a payload stays small however long the history is."""
+    rows = events(spark, sf_dir).withColumn("slot", F.floor(temporal.micros(F.col("ts")) / 900_000_000))
+    sent = rows.groupBy("camera_id", "slot").agg(F.array_sort(F.collect_list(F.struct("event_id", "time", "value"))).alias("all"))
+    return row_ify(sent.select(F.col("all.time").alias("times"), F.col("all.value").alias("value")), "times", "value")
+
+
+CAPPED_SQL = walk(
+    "SELECT camera_id, event_id, epoch_us(ts) AS us, substr(time, 1, 10) AS day FROM e",
+    "us AS last, day AS today, 1 AS n, true AS ok",
+    """CASE WHEN r.us - w.last >= 14400000000 AND (r.day <> w.today OR w.n < 2) THEN r.us ELSE w.last END AS last, r.day AS today,
+    CASE WHEN r.day = w.today THEN w.n ELSE 0 END + CASE WHEN r.us - w.last >= 14400000000 AND (r.day <> w.today OR w.n < 2) THEN 1 ELSE 0 END AS n,
+    r.us - w.last >= 14400000000 AND (r.day <> w.today OR w.n < 2) AS ok""",
+    "camera_id, event_id, us, day",
+    "ok",
+)
 
 
-@plan("str_07_capped_triggers")
+@plan("str_07_capped_triggers", CAPPED_SQL)
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).select("camera_id", "event_id", temporal.micros(F.col("ts")).alias("us"), F.substring("time", 1, 10).alias("day"))
     return folds.capped_cooldown(rows, ["camera_id"], "us", "day", 4 * 3600.0, 2)
 
 
-@plan("str_09_recordings")
+@plan(
+    "str_09_recordings",
+    walk(
+        "SELECT camera_id, event_id, epoch_us(ts) AS us FROM e",
+        "1 AS recording, us AS begun",
+        "CASE WHEN r.us - w.us > 900000000 OR r.us - w.begun > 7200000000 THEN w.recording + 1 ELSE w.recording END AS recording, CASE WHEN r.us - w.us > 900000000 OR r.us - w.begun > 7200000000 THEN r.us ELSE w.begun END AS begun",
+        "camera_id, event_id, us, CAST(recording AS INT) AS recording",
+    ),
+)
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).select("camera_id", "event_id", temporal.micros(F.col("ts")).alias("us"))
     return folds.recordings(rows, ["camera_id"], "us", 900.0, 7200.0)
@@ -306,13 +352,33 @@ def _(spark, sf_dir):
     return temporal.around(rows.select("event_id", "camera_id", "us"), rows.where("label = 'person' and event_id % 10 = 0"), "camera_id", "us", 600, 300).select("event_id", "trigger")
 
 
-@plan("str_10_event_gate")
+@plan(
+    "str_10_event_gate",
+    walk(
+        "SELECT camera_id, event_id, label, epoch_us(ts) AS us FROM e",
+        "us AS last, true AS ok",
+        "CASE WHEN r.label = 'person' OR r.us - w.last >= 1800000000 THEN r.us ELSE w.last END AS last, r.label = 'person' OR r.us - w.last >= 1800000000 AS ok",
+        "camera_id, event_id, label, us",
+        "ok",
+    ),
+)
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).select("camera_id", "event_id", "label", temporal.micros(F.col("ts")).alias("us"))
     return folds.event_gate(rows, ["camera_id"], "us", "label", 1800.0)
 
 
-@plan("str_11_watchdog")
+def watchdog_sql(online: str) -> str:
+    return walk(
+        f"SELECT camera_id, event_id, {online} AS online, epoch_us(ts) AS us FROM e",
+        "CASE WHEN NOT online THEN us END AS since, false AS told, CASE WHEN NOT online THEN 'down' END AS change",
+        """CASE WHEN NOT r.online THEN coalesce(w.since, r.us) END AS since, NOT r.online AND w.since IS NOT NULL AND (w.told OR r.us - w.since >= 1800000000) AS told,
+        CASE WHEN r.online THEN CASE WHEN w.since IS NOT NULL THEN 'recovered' END WHEN w.since IS NULL THEN 'down' WHEN NOT w.told AND r.us - w.since >= 1800000000 THEN 'alert' END AS change""",
+        "camera_id, event_id, online, us, change",
+        "change IS NOT NULL",
+    )
+
+
+@plan("str_11_watchdog", watchdog_sql("k < 70"))
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).select("camera_id", "event_id", (F.col("k") < 70).alias("online"), temporal.micros(F.col("ts")).alias("us"))
     return folds.watchdog(rows, ["camera_id"], "us", "online", 1800.0).where("change is not null")
@@ -322,3 +388,69 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).where("type = 'timelapse'").select(F.concat(F.lit("tl_"), "event_id").alias("event_id"), "camera_id", F.lit("timelapse").alias("type"), (F.col("event_id") % 100 == 0).alias("old"))
     return rows.select("event_id", "camera_id", "type").join(rows.where("old").select("event_id"), "event_id", "left_anti")
+
+
+@plan(
+    "str_15_sunset",
+    walk(
+        "SELECT camera_id, event_id, epoch_us(ts) AS us, strftime(ts, '%Y-%m-%d') AS day, (k - 50) / 5.0::DOUBLE AS altitude FROM e",
+        "CASE WHEN altitude BETWEEN -2 AND 5 THEN us END AS since, '' AS done, false AS fired",
+        """CASE WHEN w.done = r.day THEN w.since WHEN r.altitude NOT BETWEEN -2 AND 5 THEN NULL WHEN w.since IS NULL THEN r.us WHEN r.us - w.since < 720000000 THEN w.since END AS since,
+        CASE WHEN w.done <> r.day AND r.altitude BETWEEN -2 AND 5 AND r.us - w.since >= 720000000 THEN r.day ELSE w.done END AS done,
+        coalesce(w.done <> r.day AND r.altitude BETWEEN -2 AND 5 AND r.us - w.since >= 720000000, false) AS fired""",
+        "camera_id, event_id, day",
+        "fired",
+    ),
+)
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("camera_id", "event_id", temporal.micros(F.col("ts")).alias("us"), F.date_format("ts", "yyyy-MM-dd").alias("day"), ((F.col("k") - 50) / 5.0).alias("altitude"))
+    return folds.sunset_once(rows, ["camera_id"], "us", "altitude", "day").select("camera_id", "event_id", "day")
+
+
+_SUN = """s0 AS (SELECT event_id, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS u FROM e),
+    s1 AS (SELECT *, (u / 86400 - 10957.5::DOUBLE) / 36525 AS c FROM s0),
+    s2 AS (SELECT *, ((280.46646::DOUBLE + c * (36000.76983::DOUBLE + c * 0.0003032::DOUBLE)) % 360 + 360) % 360 AS l, radians(357.52911::DOUBLE + c * (35999.05029::DOUBLE - 0.0001537::DOUBLE * c)) AS m, 0.016708634::DOUBLE - c * (0.000042037::DOUBLE + 0.0000001267::DOUBLE * c) AS o, radians(125.04::DOUBLE - 1934.136::DOUBLE * c) AS n FROM s1),
+    s3 AS (SELECT *, radians(l + sin(m) * (1.914602::DOUBLE - c * (0.004817::DOUBLE + 0.000014::DOUBLE * c)) + sin(2 * m) * (0.019993::DOUBLE - 0.000101::DOUBLE * c) + sin(3 * m) * 0.000289::DOUBLE - 0.00569::DOUBLE - 0.00478::DOUBLE * sin(n)) AS a,
+           radians(23 + (26 + (21.448::DOUBLE - c * (46.815::DOUBLE + c * (0.00059::DOUBLE - c * 0.001813::DOUBLE))) / 60) / 60 + 0.00256::DOUBLE * cos(n)) AS t FROM s2),
+    s4 AS (SELECT *, asin(sin(t) * sin(a)) AS d, tan(t / 2) ** 2 AS y, radians(l) AS lr FROM s3),
+    s5 AS (SELECT *, 4 * degrees(y * sin(2 * lr) - 2 * o * sin(m) + 4 * o * y * sin(m) * cos(2 * lr) - 0.5::DOUBLE * y * y * sin(4 * lr) - 1.25::DOUBLE * o * o * sin(2 * m)) AS q FROM s4),
+    s6 AS (SELECT *, radians(((u % 86400) / 60 + q + 4 * 11.6::DOUBLE + 1440) % 1440 / 4 - 180) AS h, radians(48.1::DOUBLE) AS p FROM s5),
+    s7 AS (SELECT *, degrees(asin(sin(p) * sin(d) + cos(p) * cos(d) * cos(h))) AS e0, degrees(atan2(sin(h), cos(h) * sin(p) - tan(d) * cos(p))) AS z FROM s6),
+    s8 AS (SELECT *, tan(radians(e0)) AS k FROM s7),
+    sun AS (SELECT event_id, e0 + CASE WHEN e0 > 85 THEN 0 WHEN e0 > 5 THEN 58.1::DOUBLE / k - 0.07::DOUBLE / k ** 3 + 0.000086::DOUBLE / k ** 5 WHEN e0 > -0.575 THEN 1735 + e0 * (-518.2::DOUBLE + e0 * (103.4::DOUBLE + e0 * (-12.79::DOUBLE + e0 * 0.711::DOUBLE))) ELSE -20.774::DOUBLE / k END / 3600 AS altitude, (z + 540) % 360 AS azimuth FROM s8)"""
+
+
+@plan("geo_17_sun_position", f"WITH {EVENTS}, {_SUN} SELECT event_id, round(altitude, 4) AS altitude, round(azimuth, 4) AS azimuth FROM sun")
+def _(spark, sf_dir):
+    at = temporal.micros(F.col("ts")).cast("double") / 1000000
+    rows = events(spark, sf_dir).select("event_id", rules.sun_position(at, 48.1, 11.6).alias("sun"))
+    return rows.select("event_id", F.round("sun.altitude", 4).alias("altitude"), F.round("sun.azimuth", 4).alias("azimuth"))
+
+
+GOALS = (
+    goals.Goal("birds", "year_to_date", 60, label="bird"),
+    goals.Goal("species", "current_calendar_month", 9, "species", labels=("bird", "cat")),
+    goals.Goal("early_days", "year_to_date", 25, "days", hours=(5, 6, 7)),
+    goals.Goal("winter", "december", 3),
+)
+_FIRST, _LATER = "2024-01-05 12:00:00", "2024-01-28 12:00:00"
+
+
+def _goal_sql() -> str:
+    count = {
+        "birds": "least(count(*) FILTER (list_contains(labels, 'bird')), 60)",
+        "species": "least(count(DISTINCT lower(trim(bird_species))) FILTER (list_has_any(labels, ['bird', 'cat'])), 9)",
+        "early_days": "least(count(DISTINCT CASE WHEN time <> '' THEN substr(time, 1, 10) END) FILTER (TRY_CAST(substr(time, 12, 2) AS INT) IN (5, 6, 7)), 25)",
+    }
+    parts = [f"SELECT '{k}_2024' AS goal_id, {g.target} AS target, (SELECT {count[k]} FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '{_FIRST}') AS p1, (SELECT {count[k]} FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '{_LATER}') AS p2" for k, g in zip(count, GOALS[:3], strict=True)]
+    parts.append("SELECT 'winter_2024', 3, 0, 0")
+    return f"""WITH {EVENTS}, g AS ({' UNION ALL '.join(parts)})
+    SELECT goal_id, p2 AS progress, CAST(target AS BIGINT) AS target, CASE WHEN p1 >= target THEN TIMESTAMP '{_FIRST}' WHEN p2 >= target THEN TIMESTAMP '{_LATER}' END AS completed_at, p1 < target AND p2 >= target AS notify FROM g"""
+
+
+@plan("str_14_goals", _goal_sql())
+def _(spark, sf_dir):
+    """The second evaluation of four goals: what was complete at the first isn't told again."""
+    rows = events(spark, sf_dir)
+    before = goals.evaluate(rows, GOALS, spark.createDataFrame([], goals.STATE), _FIRST)
+    return goals.evaluate(rows, GOALS, before.drop("notify"), _LATER).drop("notified_at")

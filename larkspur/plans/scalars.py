@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import geo, rules
 from larkspur.plans import plan
-from larkspur.plans.sql import EVENTS, FIRST_OBJECT, MOST_SPECIFIC
+from larkspur.plans.sql import EVENTS, FIRST_OBJECT, MOST_SPECIFIC, walk
 from larkspur.sources import events as source
 from larkspur.sources.events import events_view as events
 
@@ -36,10 +36,9 @@ def _(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", at.cast("int").alias("minutes"), rules.window_minutes(at, F.lit(0)).cast("int").alias("span"))
 
 
-@plan("fn_06_slug", "SELECT doc_id, regexp_replace(strip_accents(lower(replace(replace(replace(replace(replace(replace(replace(substr(text, 1, 200), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ß', 'ss'))), '[^a-z0-9]+', '', 'g') AS slug FROM documents")
+@plan("fn_06_slug", "SELECT doc_id, regexp_replace(strip_accents(lower(replace(replace(replace(replace(replace(replace(replace(text, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ß', 'ss'))), '[^a-z0-9]+', '', 'g') AS slug FROM documents")
 def _(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")  # a display name is a field's first characters
-    return docs.select("doc_id", rules.slug(F.substring("text", 1, 200)).alias("slug"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", rules.slug(F.col("text")).alias("slug"))
 
 
 @plan("fn_08_camera_key", f"WITH {EVENTS} SELECT event_id, 'acme_' || CASE WHEN k % 4 = 0 THEN 'unknown' ELSE 'x' || k END || '_gaertchen_' || CASE WHEN k % 3 = 0 THEN CAST(k AS VARCHAR) WHEN k % 3 = 1 THEN '42' ELSE 'unknown' END AS key FROM e")
@@ -178,13 +177,29 @@ def _(spark, sf_dir):
     return rows.join(frame, "camera_id").select("event_id", geo.area_share(F.struct("x1", "y1", "x2", "y2"), F.col("w"), F.col("h")).alias("share"))
 
 
-@plan("geo_04_nms")
+_KEPT = """len(list_filter(w.kept, lambda q: q.label = r.label AND greatest(least(q.x2, r.x2) - greatest(q.x1, r.x1), 0) * greatest(least(q.y2, r.y2) - greatest(q.y1, r.y1), 0)
+    > 0.5 * ((q.x2 - q.x1) * (q.y2 - q.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - greatest(least(q.x2, r.x2) - greatest(q.x1, r.x1), 0) * greatest(least(q.y2, r.y2) - greatest(q.y1, r.y1), 0)))) = 0"""
+_BOX = "{'label': %s.label, 'x1': %s.x1, 'y1': %s.y1, 'x2': %s.x2, 'y2': %s.y2}"
+
+
+@plan(
+    "geo_04_nms",
+    walk(
+        "SELECT camera_id || '/' || strftime(date_trunc('minute', ts), '%Y%m%d%H%M') AS frame, event_id, score, label, x1, y1, x2, y2 FROM e",
+        f"[{_BOX % (('r',) * 5)}] AS kept, true AS ok",
+        f"CASE WHEN {_KEPT} THEN list_append(w.kept, {_BOX % (('r',) * 5)}) ELSE w.kept END AS kept, {_KEPT} AS ok",
+        "frame, event_id, score, label, x1, y1, x2, y2",
+        "ok",
+        "score DESC, event_id DESC",
+        "frame",
+    ),
+)
 def _(spark, sf_dir):
-    """Boxes that survive suppression within each clip (an event's detections are a bounded list)."""
-    rows = events(spark, sf_dir).withColumn("clip", F.concat_ws("/", "camera_id", F.date_format("ts", "ddHH")))
+    """Boxes that survive suppression within each frame: a camera's minute, whose detections are few."""
+    rows = events(spark, sf_dir).withColumn("frame", F.concat_ws("/", "camera_id", F.date_format("ts", "yyyyMMddHHmm")))
     boxes = F.reverse(F.array_sort(F.collect_list(F.struct("score", "event_id", "label", "x1", "y1", "x2", "y2"))))
-    kept = rows.groupBy("clip").agg(geo.nms(boxes, 0.5).alias("kept"))
-    return kept.select("clip", F.inline("kept"))
+    kept = rows.groupBy("frame").agg(geo.nms(boxes, 0.5).alias("kept"))
+    return kept.select("frame", F.inline("kept"))
 
 
 @plan("geo_06_drop_overlapped", f"WITH {EVENTS}, x AS (SELECT event_id, greatest(least(x2, 700) - greatest(x1, 200), 0) * greatest(least(y2, 500) - greatest(y1, 100), 0) AS i, (x2 - x1) * (y2 - y1) AS a FROM e) SELECT event_id FROM x WHERE CAST(i AS DOUBLE) / (a + 200000 - i) < 0.05")
@@ -225,18 +240,18 @@ def _bits(spark, sf_dir):
 @plan(
     "jn_13_nearest_identity",
     """WITH h AS (SELECT vec_id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS t FROM embeddings),
-    r AS (SELECT vec_id AS profile, t FROM h WHERE vec_id < 20),
-    d AS (SELECT h.vec_id, profile, hamming(h.t, r.t) AS distance FROM h, r WHERE h.vec_id >= 20),
+    r AS (SELECT label AS profile, arg_min(t, vec_id) AS t FROM h GROUP BY 1),
+    d AS (SELECT h.vec_id, profile, hamming(h.t, r.t) AS distance FROM h, r),
     b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, profile) AS rn FROM d)
     SELECT vec_id, profile, CAST(distance AS INT) AS distance FROM b WHERE rn = 1 AND distance <= 24""",
 )
 def _(spark, sf_dir):
     rows = _bits(spark, sf_dir)
-    registry = rows.where("vec_id < 20").select(F.col("vec_id").alias("profile"), F.col("hash").alias("of"))
-    # The registry holds named individuals; it goes into one array, so each row meets it without a shuffle.
+    registry = rows.groupBy(F.col("label").alias("profile")).agg(F.min_by("hash", "vec_id").alias("of"))
+    # The registry holds named individuals, one each; it goes into one array, so each row meets it without a shuffle.
     known = registry.agg(F.array_sort(F.collect_list(F.struct("profile", "of"))).alias("known"))
     best = F.array_min(F.transform("known", lambda r: F.struct(geo.hamming(F.col("hash"), r["of"]).alias("distance"), r["profile"].alias("profile"))))
-    out = rows.where("vec_id >= 20").crossJoin(F.broadcast(known)).select("vec_id", best.alias("b"))  # one row
+    out = rows.crossJoin(F.broadcast(known)).select("vec_id", best.alias("b"))  # one row
     return out.where("b.distance <= 24").select("vec_id", "b.profile", "b.distance")
 
 

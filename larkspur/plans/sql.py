@@ -24,3 +24,10 @@ WEATHER = """w AS (
 FIRST_OBJECT = "CASE WHEN len(labels) = 0 THEN 'motion' ELSE coalesce(list_filter(labels, lambda x: x IN ('person','cat','bird','car','dog','squirrel'))[1], CASE WHEN list_contains(labels, 'motion') THEN 'motion' END) END"
 #: The first object label by priority, else motion, else the first.
 MOST_SPECIFIC = "CASE WHEN len(labels) = 0 THEN 'motion' ELSE coalesce(list_filter(['person','car','dog','cat','squirrel','fox','hedgehog','bird','motion'], lambda x: list_contains(labels, x))[1], labels[1]) END"
+
+
+def walk(rows: str, first: str, after: str, out: str, where: str = "true", order: str = "us, event_id", key: str = "camera_id") -> str:
+    """A fold in SQL: a recursion from a key's first row to its last. ``after`` sees the last row and state as w, the row as r."""
+    return f"""WITH RECURSIVE {EVENTS}, r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM ({rows})),
+    w AS (SELECT r.*, {first} FROM r WHERE rn = 1 UNION ALL SELECT r.*, {after} FROM w JOIN r ON r.{key} = w.{key} AND r.rn = w.rn + 1)
+    SELECT {out} FROM w WHERE {where}"""

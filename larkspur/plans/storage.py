@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo, rules
 from larkspur.operators import manage, store, temporal
 from larkspur.plans import plan
-from larkspur.plans.sql import EVENTS
+from larkspur.plans.sql import EVENTS, WEATHER
 from larkspur.plans.temporal import _STEPS, clips
 from larkspur.session import shared_folder
 from larkspur.sources import events as source
 from larkspur.sources.events import events_view as events
+from larkspur.sources.events import weather_view as weather
 
 
 def _written(spark, sf_dir):
@@ -56,6 +58,68 @@ def _(spark, sf_dir):
     return source.read_events(spark, root, multi_line=False, glob="*.txt").select("event_id", "camera_id", "top_label")
 
 
+def _lines(rows, fields, folder: str, broken) -> None:
+    """A JSON object a line; broken ones where ``broken``."""
+    rows.select(F.when(broken, "{broken").otherwise(F.to_json(F.struct(*fields))).alias("value")).write.text(folder)
+
+
+@plan("src_04_track_sidecars", f"WITH {EVENTS} SELECT 'id' || event_id AS event_id, camera_id, CAST(k % 5 AS INT) AS schema, label, k / 100.0::DOUBLE AS best FROM e WHERE k <> 7")
+def _(spark, sf_dir):
+    root = shared_folder(spark, "tracks")
+    one = F.array(F.struct(F.lit("t").alias("track_id"), "label", (F.col("k") / 100.0).alias("best_score")))
+    _lines(events(spark, sf_dir), [F.concat(F.lit("id"), "event_id").alias("event_id"), "camera_id", (F.col("k") % 5).alias("schema"), one.alias("tracks")], root, F.col("k") == 7)
+    rows = source.read_tracks(spark, root, multi_line=False, glob="*.txt")
+    return rows.select("event_id", "camera_id", "schema", F.inline(F.transform("tracks", lambda t: F.struct(t["label"].alias("label"), t["best_score"].alias("best")))))
+
+
+@plan("src_05_weather_history", f"WITH {WEATHER}, n AS (SELECT *, row_number() OVER (ORDER BY ts DESC) AS rn FROM w) SELECT ts, gust AS wind_gusts_10m, rain AS precipitation FROM n WHERE rn <= 100 AND hour(ts) <> 3")
+def _(spark, sf_dir):
+    """The last hundred samples of one history file, without those that hold no values."""
+    root = shared_folder(spark, "history")
+    values = F.when(F.hour("ts") != 3, F.struct(F.col("gust").alias("wind_gusts_10m"), F.col("rain").alias("precipitation"), F.lit(1).alias("unknown")))
+    sample = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), values.alias("values"))
+    all_of_it = weather(spark, sf_dir).agg(F.array_sort(F.collect_list(sample)).alias("samples"))  # an hourly history of a month: one small file
+    all_of_it.select(F.to_json(F.struct("samples")).alias("value")).coalesce(1).write.text(root)
+    kept = weather(spark, sf_dir).orderBy(F.desc("ts")).limit(100).where(F.hour("ts") != 3).count()
+    return source.read_weather_history(spark, root, kept).select("ts", "wind_gusts_10m", "precipitation")
+
+
+@plan("src_06_sightings", f"WITH {EVENTS} SELECT 'id' || event_id AS id, camera_id AS cam_id, label AS event_type, score FROM e WHERE k % 3 = 0 AND k <> 9")
+def _(spark, sf_dir):
+    """Manifests of sightings; those in the folders of recaps and scratch files don't count."""
+    root, rows = shared_folder(spark, "sightings"), events(spark, sf_dir)
+    fields = [F.concat(F.lit("id"), "event_id").alias("id"), F.col("camera_id").alias("cam_id"), F.col("label").alias("event_type"), "score"]
+    for rest, folder in ((0, "cam"), (1, "recaps"), (2, "x/.scratch_1")):
+        _lines(rows.where(F.col("k") % 3 == rest), fields, f"{root}/{folder}", F.col("k") == 9)
+    return source.read_sightings(spark, root, multi_line=False, glob="*.txt").select("id", "cam_id", "event_type", "score")
+
+
+@plan("src_07_recaps", f"WITH {EVENTS} SELECT 'p' || event_id AS period_id, CASE WHEN k % 2 = 0 THEN time END AS period_end, CAST(rank() OVER (ORDER BY coalesce(CASE WHEN k % 2 = 0 THEN time END, '2023' || event_id) DESC, 'p' || event_id) AS INT) AS place FROM e")
+def _(spark, sf_dir):
+    root = shared_folder(spark, "recaps")
+    period = F.when(F.col("k") % 2 == 0, F.col("time"))
+    _lines(events(spark, sf_dir), [F.concat(F.lit("p"), "event_id").alias("period_id"), period.alias("period_end"), F.concat(F.lit("2023"), "event_id").alias("built_at")], root, F.lit(False))
+    rows = source.read_recaps(spark, root, multi_line=False, glob="*.txt").select("period_id", "period_end", "built_at")
+    order = Window.orderBy(F.coalesce("period_end", "built_at").desc_nulls_last(), "period_id")  # recaps are a few a year
+    return rows.select("period_id", "period_end", F.rank().over(order).alias("place"))
+
+
+@plan("src_10_config", """SELECT * FROM (VALUES ('server', '{"lat":48.1,"name":"Wien"}'), ('cameras', '[{"id":"cam_1"}]')) t(section, value)""")
+def _(spark, sf_dir):
+    path = shared_folder(spark, "config")
+    text = '{"server": {"name": "Wien", "lat": 48.1},\n "secrets": {"key": 1},\n "cameras": [{"id": "cam_1"}]}'
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return source.read_config(spark, path)
+
+
+@plan("src_12_media_listing", f"WITH {EVENTS} SELECT camera_id, CAST(sum(strlen(video_relpath) + 1) AS BIGINT) AS bytes FROM e WHERE video_relpath IS NOT NULL GROUP BY 1")
+def _(spark, sf_dir):
+    root = shared_folder(spark, "media")
+    events(spark, sf_dir).where("video_relpath is not null").select(F.col("camera_id").alias("cam"), F.col("video_relpath").alias("value")).write.partitionBy("cam").text(root)
+    files = source.list_media(spark, root, "*.txt")
+    return files.groupBy(F.regexp_extract("path", "/cam=([^/]+)/", 1).alias("camera_id")).agg(F.sum("length").alias("bytes"))
+
+
 @plan("src_08_json_lines", f"WITH {EVENTS} SELECT event_id, label FROM e WHERE k <> 5")
 def _(spark, sf_dir):
     path = shared_folder(spark, "lines")

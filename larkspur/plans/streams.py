@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import folds
 from larkspur.plans import plan
+from larkspur.plans.reports import CAPPED_SQL, watchdog_sql
 from larkspur.plans.sql import EVENTS
+from larkspur.plans.temporal import CONFIRM_SQL, cooldown_sql
 from larkspur.session import shared_folder
 from larkspur.sources.events import LABEL_OF
 from larkspur.sources.events import events_view as events
@@ -29,19 +31,26 @@ def _run(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@plan("str_01_live_confirm")
+@plan("str_01_live_confirm", CONFIRM_SQL)
 def _(spark, sf_dir):
     return _run(live.confirm(_stream(spark, sf_dir), 3, 1800.0))
 
 
-@plan("str_03_live_cooldown")
+@plan("str_03_live_cooldown", cooldown_sql("camera_id, label", "7200", "o.event_id, o.camera_id, o.label"))
 def _(spark, sf_dir):
     return _run(live.cooldown(_stream(spark, sf_dir), 7200.0))
 
 
-@plan("str_06_live_sessions")
+@plan(
+    "str_06_live_sessions",
+    f"""WITH {EVENTS}, a AS (SELECT camera_id, label, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 120 MINUTE THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY camera_id, label ORDER BY ts)),
+    b AS (SELECT *, sum(cut) OVER (PARTITION BY camera_id, label ORDER BY ts) AS g FROM a),
+    c AS (SELECT camera_id, label, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM b GROUP BY camera_id, label, g)
+    SELECT camera_id, label, n FROM c WHERE "end" + INTERVAL 120 MINUTE <= (SELECT max(ts) FROM e) - INTERVAL 10 MINUTE""",
+)
 def _(spark, sf_dir):
-    return _run(live.session_lanes(_stream(spark, sf_dir), "120 minutes"))
+    """Lanes whose end the watermark has passed when the input ends."""
+    return _run(live.session_lanes(_stream(spark, sf_dir), "120 minutes")).select("camera_id", "label", "n")
 
 
 @plan(
@@ -67,22 +76,28 @@ def _micros(spark, sf_dir):
     return _stream(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
 
 
-@plan("str_07_live_capped_triggers")
+@plan("str_07_live_capped_triggers", f"SELECT camera_id, event_id FROM ({CAPPED_SQL})")
 def _(spark, sf_dir):
     rows = _micros(spark, sf_dir).select("camera_id", "event_id", "us", F.when(F.col("event_id") % 997 == 0, "").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("day"))
-    return _run(folds.capped_cooldown(rows, ["camera_id"], "us", "day", 4 * 3600.0, 2))
+    return _run(folds.capped_cooldown(rows, ["camera_id"], "us", "day", 4 * 3600.0, 2)).select("camera_id", "event_id")
 
 
-@plan("str_08_live_hysteresis")
+@plan(
+    "str_08_live_hysteresis",
+    f"""WITH {EVENTS}, a AS (SELECT camera_id, event_id, epoch_us(ts) AS us, event_id * 37 % 100 AS v FROM e),
+    b AS (SELECT *, CASE WHEN v >= 90 THEN 1 WHEN v < 30 THEN 0 END AS m FROM a),
+    c AS (SELECT *, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY camera_id ORDER BY us, event_id), 0) AS s FROM b),
+    d AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY camera_id ORDER BY us, event_id), 0) AS p FROM c) SELECT camera_id, event_id, CAST(v AS DOUBLE) AS v FROM d WHERE s = 1 AND p = 0""",
+)
 def _(spark, sf_dir):
     rows = _micros(spark, sf_dir).select("camera_id", "event_id", "us", (F.col("event_id") * 37 % 100).cast("double").alias("v"))
-    return _run(folds.latch(rows, ["camera_id"], "us", "v", 90.0, 30.0))
+    return _run(folds.latch(rows, ["camera_id"], "us", "v", 90.0, 30.0)).select("camera_id", "event_id", "v")
 
 
-@plan("str_11_live_watchdog")
+@plan("str_11_live_watchdog", f"SELECT camera_id, event_id, online, change FROM ({watchdog_sql('event_id * 37 % 100 < 70')})")
 def _(spark, sf_dir):
     rows = _micros(spark, sf_dir).select("camera_id", "event_id", (F.col("event_id") * 37 % 100 < 70).alias("online"), "us")
-    return _run(folds.watchdog(rows, ["camera_id"], "us", "online", 1800.0)).where("change is not null")
+    return _run(folds.watchdog(rows, ["camera_id"], "us", "online", 1800.0)).where("change is not null").select("camera_id", "event_id", "online", "change")
 
 
 def _blobs(rows):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import folds, temporal
 from larkspur.plans import plan
-from larkspur.plans.sql import EVENTS, WEATHER
+from larkspur.plans.sql import EVENTS, WEATHER, walk
 from larkspur.sources.events import events_view as events
 from larkspur.sources.events import weather_view as weather
 
@@ -36,15 +36,15 @@ def _(spark, sf_dir):
     return temporal.first_since(_as_users(spark, sf_dir)).select("event_id", "is_new_record")
 
 
-@plan(
-    "win_03_confirm_live",
-    f"""WITH {EVENTS}, h AS (SELECT event_id, camera_id, label, epoch_us(ts) AS us FROM e),
+CONFIRM_SQL = f"""WITH {EVENTS}, h AS (SELECT event_id, camera_id, label, epoch_us(ts) AS us FROM e),
     a AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY camera_id, label ORDER BY us) > 3600000000 THEN 1 ELSE 0 END AS cut FROM h),
     b AS (SELECT *, sum(cut) OVER (PARTITION BY camera_id, label ORDER BY us) AS sitting,
                  count(*) OVER (PARTITION BY camera_id, label ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS hits FROM a),
     c AS (SELECT *, row_number() OVER (PARTITION BY camera_id, label, sitting ORDER BY us) AS rn FROM b WHERE hits >= 3)
-    SELECT event_id, camera_id, label FROM c WHERE rn = 1""",
-)
+    SELECT event_id, camera_id, label FROM c WHERE rn = 1"""
+
+
+@plan("win_03_confirm_live", CONFIRM_SQL)
 def _(spark, sf_dir):
     hits = events(spark, sf_dir).select("event_id", "camera_id", "label", temporal.micros(F.col("ts")).alias("us"))
     return temporal.confirm_live(hits, ["camera_id", "label"], "us", 3, 1800).select("event_id", "camera_id", "label")
@@ -205,22 +205,22 @@ def _(spark, sf_dir):
     return rows.select("clip", F.size("trail").cast("long").alias("points"), F.aggregate("trail", F.lit(0.0), lambda a, p: a + p["x"]).alias("cx"))
 
 
-def _cooldown_sql(keys: str, seconds: str) -> str:
+def cooldown_sql(keys: str, seconds: str, out: str = "event_id") -> str:
     """The anchor moves on acceptance only: a recursive walk from accepted event to accepted event."""
     return f"""WITH RECURSIVE {EVENTS}, o AS (SELECT event_id, camera_id, label, epoch_us(ts) AS us FROM e),
     walk AS (SELECT {keys}, min(us) AS us FROM o GROUP BY {keys}
              UNION ALL
              SELECT n.* FROM (SELECT {', '.join('o.' + k for k in keys.split(', '))}, min(o.us) AS us FROM walk JOIN o ON {' AND '.join(f'o.{k} = walk.{k}' for k in keys.split(', '))} AND o.us >= walk.us + CAST({seconds} AS BIGINT) * 1000000 GROUP BY {', '.join('o.' + k for k in keys.split(', '))}, walk.us) n)
-    SELECT event_id FROM o JOIN walk ON {' AND '.join(f'o.{k} = walk.{k}' for k in keys.split(', '))} AND o.us = walk.us"""
+    SELECT {out} FROM o JOIN walk ON {' AND '.join(f'o.{k} = walk.{k}' for k in keys.split(', '))} AND o.us = walk.us"""
 
 
-@plan("str_03_cooldown", _cooldown_sql("camera_id, label", "7200"))
+@plan("str_03_cooldown", cooldown_sql("camera_id, label", "7200"))
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "camera_id", "label", temporal.micros(F.col("ts")).alias("us"))
     return folds.cooldown(rows, ["camera_id", "label"], "us", 7200.0).select("event_id")
 
 
-@plan("str_04_rate_limit", _cooldown_sql("camera_id", "3600"))
+@plan("str_04_rate_limit", cooldown_sql("camera_id", "3600"))
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "camera_id", "label", temporal.micros(F.col("ts")).alias("us"))
     return folds.cooldown(rows, ["camera_id"], "us", 3600.0).select("event_id")
@@ -244,13 +244,34 @@ def _(spark, sf_dir):
     return rows.select("event_id", F.count("*").over(day).alias("n"))
 
 
-@plan("win_30_lane_partition")
+@plan(
+    "win_30_lane_partition",
+    walk(
+        'SELECT camera_id, event_id, epoch_us(ts) AS start, epoch_us(ts) + (event_id % 97 + 1) * 60000000 AS "end" FROM e',
+        'ARRAY["end"]::BIGINT[] AS lanes, 0 AS lane',
+        """CASE WHEN list_min(w.lanes) <= r.start THEN list_transform(w.lanes, lambda x, i: CASE WHEN i = list_position(list_transform(w.lanes, lambda y: y <= r.start), true) THEN r."end" ELSE x END) ELSE list_append(w.lanes, r."end") END AS lanes,
+        CASE WHEN list_min(w.lanes) <= r.start THEN list_position(list_transform(w.lanes, lambda y: y <= r.start), true) - 1 ELSE len(w.lanes) END AS lane""",
+        'camera_id, event_id, start, "end", CAST(lane AS INT) AS lane',
+        order="start, event_id",
+    ),
+)
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).select("camera_id", "event_id", temporal.micros(F.col("ts")).alias("start"))
     return folds.interval_lanes(rows.withColumn("end", F.col("start") + (F.col("event_id") % 97 + 1) * 60_000_000), ["camera_id"], "start", "end")
 
 
-@plan("win_10_near_duplicates")
+#: Four hashes, 3, 8 and 24 bits apart from the first.
+HASHES = (0, 7, 255, 16777215)
+_HASH = f"list_extract({list(HASHES)}::BIGINT[], CAST(k % 4 + 1 AS INT))"
+
+
+def hashed(spark, sf_dir):
+    return events(spark, sf_dir).select("camera_id", "event_id", F.element_at(F.array(*[F.lit(x).cast("long") for x in HASHES]), F.col("k") % 4 + 1).alias("hash"))
+
+
+@plan(
+    "win_10_near_duplicates",
+    walk(f"SELECT camera_id, event_id, {_HASH} AS hash FROM e", "hash AS anchor, true AS kept", "CASE WHEN bit_count(xor(w.anchor, r.hash)) > 4 THEN r.hash ELSE w.anchor END AS anchor, bit_count(xor(w.anchor, r.hash)) > 4 AS kept", "camera_id, event_id, hash", "kept", "event_id"),
+)
 def _(spark, sf_dir):
-    rows = events(spark, sf_dir).select("camera_id", "event_id", F.xxhash64(F.col("k") % 4).alias("hash"))
-    return folds.keep_changed(rows, ["camera_id"], "event_id", "hash", 4)
+    return folds.keep_changed(hashed(spark, sf_dir), ["camera_id"], "event_id", "hash", 4)

@@ -28,8 +28,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder's name where all executors can write and read; a local one only where the cluster names none, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new folder's name where all executors can write and read; a local one only in local mode, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-larkspur-")
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def local_session(name: str = "larkspur", cpus: str = "8", memory: str = "16g") -> SparkSession:

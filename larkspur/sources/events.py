@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +58,9 @@ def event_by_id(events: DataFrame, event_id: str, camera_id: str | None = None)
     return (rows.where(F.col("camera_id") == camera_id) if camera_id else rows).limit(1)
 
 
-def read_tracks(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-4: track sidecars, with the event id from the file's stem where missing."""
-    rows = _json(spark, TRACKS_SCHEMA, root, "*.tracks.json")
+def read_tracks(spark: SparkSession, root: str, multi_line: bool = True, glob: str = "*.tracks.json") -> DataFrame:
+    """SRC-4: track sidecars, with the event id from the file's stem where missing; corrupt ones are skipped."""
+    rows = _json(spark, TRACKS_SCHEMA, root, glob, multi_line)
     return rows.withColumn("event_id", F.coalesce("event_id", F.regexp_extract("_path", r"([^/]+)\.tracks\.json$", 1)))
 
 
@@ -71,15 +73,15 @@ def read_weather_history(spark: SparkSession, path: str, cap: int = HISTORY_CAP)
     return last.where("ts is not null").orderBy(F.desc("pos")).limit(cap).drop("pos")
 
 
-def read_sightings(spark: SparkSession, root: str) -> DataFrame:
+def read_sightings(spark: SparkSession, root: str, multi_line: bool = True, glob: str = "*.json") -> DataFrame:
     """SRC-6: sighting manifests; recaps and scratch folders are left out."""
-    rows = _json(spark, SIGHTING_SCHEMA, root, "*.json")
+    rows = _json(spark, SIGHTING_SCHEMA, root, glob, multi_line)
     return rows.where(~F.col("_path").rlike(r"/recaps/|/\.scratch_"))
 
 
-def read_recaps(spark: SparkSession, root: str) -> DataFrame:
+def read_recaps(spark: SparkSession, root: str, multi_line: bool = True, glob: str = "*.json") -> DataFrame:
     """SRC-7: recap manifests, newest period first."""
-    return _json(spark, RECAP_SCHEMA, root, "*.json").orderBy(F.coalesce("period_end", "built_at").desc_nulls_last(), "period_id")
+    return _json(spark, RECAP_SCHEMA, root, glob, multi_line).orderBy(F.coalesce("period_end", "built_at").desc_nulls_last(), "period_id")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -102,6 +104,30 @@ def list_media(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return rows.select("path", "length", "modificationTime")
 
 
+# The sections that an imported configuration may have.
+CONFIG_SECTIONS = "app server telegram mqtt cameras ui review telegram_actions timelapse_settings weather".split()
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-10: (section, value as JSON) of the allowed sections of a configuration file; other sections are left out.
+
+    The file is JSON, or YAML where a YAML reader is installed. What isn't one object is an error. A configuration is one small document.
+    """
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    try:
+        loaded = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError(f"{path} isn't JSON, and no YAML reader is installed") from None
+        loaded = yaml.safe_load(text)
+    if not isinstance(loaded, dict):
+        raise ValueError(f"{path} must hold one object")
+    rows = [(k, json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)) for k, v in loaded.items() if k in CONFIG_SECTIONS]
+    return spark.createDataFrame(rows, "section string, value string")
+
+
 def row_ify(payload: DataFrame, times: str, *fields: str) -> DataFrame:
     """D5: parallel arrays to rows."""
     zipped = F.arrays_zip(F.col(times).alias("time"), *[F.col(f) for f in fields])

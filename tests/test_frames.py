@@ -77,3 +77,52 @@ def test_retries_stop(spark):
     rows = [("good", i, i == 2, False, 0.1 * i) for i in range(5)] + [("scene", i, False, True, 0.1 * i) for i in range(5)] + [("bad", i, False, False, 0.1 * i) for i in range(9)] + [("slow", i, False, False, 3.0 * i) for i in range(4)]
     table = spark.createDataFrame(rows, "k string, i int, ok boolean, scene boolean, t double")
     assert {r.k: r["count"] for r in frames.retries(table, ["k"], "i").groupBy("k").count().collect()} == {"good": 3, "scene": 2, "bad": 6, "slow": 2}
+
+
+def smooth_scene():
+    y, x = np.mgrid[0:480, 0:640]
+    return np.repeat((80 + 40 * x / 640 + 30 * y / 480)[..., None], 3, 2).astype(np.uint8)
+
+
+def table(spark, images, **more):
+    return spark.createDataFrame([(i, a.shape[1], a.shape[0], a.tobytes()) for i, a in enumerate(images)], "frame_id long, width int, height int, pixels binary")
+
+
+def test_bands_and_macroblocks(spark):
+    rng = np.random.default_rng(4)
+    band, clock, chroma, blocks, lamp, spots = (smooth_scene() for _ in range(6))
+    band[100:140] = rng.integers(0, 255, (40, 640, 1))
+    clock[330:350, 200:500] = rng.integers(0, 2, (20, 300, 1)) * 255
+    chroma[400:440] = (160, 40, 160)
+    blocks[160:224, 160:224] = np.where(rng.random((64, 64, 1)) < 0.5, np.array([250, 0, 250]), np.array([120, 0, 200])).astype(np.uint8)
+    lamp[160:224, 160:224] = (20, 160, 220)
+    spots[160:176, 160:176] = blocks[160:176, 160:176]
+    got = frames.local_faults(table(spark, [smooth_scene(), band, clock, chroma, blocks, lamp, spots, np.zeros((8, 8, 3), np.uint8)])).orderBy("frame_id").collect()
+    assert [(r.band or "").split("(")[0] for r in got][:4] == ["", "horizontal_anomaly_band", "", "bottom_strip_white"]
+    assert got[1].band.startswith("horizontal_anomaly_band(y=19%,h=11%") and [r.macroblocks for r in got] == [0, 0, 0, 0, 12, 0, 0, 0]
+
+
+def test_motion(spark):
+    def at(x, size=60, base=0):
+        a = (smooth_scene() * 0.6 + base).astype(np.uint8)
+        if x is not None:
+            a[200 : 200 + size, x : x + size] = 255
+        return a
+
+    # Still, a big subject appears, moves, only the light changes, and a small one.
+    images = [at(None), at(None), at(100), at(180), at(180, base=4), at(None), at(300, 36), np.zeros((8, 8, 3), np.uint8)]
+    rows = table(spark, images).withColumn("camera_id", F.lit("a")).withColumnRenamed("frame_id", "t")
+    got = frames.motion(rows, sensitivity=0.5).orderBy("t").collect()
+    assert [r.motion for r in got] == [False, False, True, True, False, True, False, False]
+    x, y, w, h = got[2].box
+    assert abs(x - 100) < 12 and abs(y - 200) < 12 and 50 < w < 85 and 50 < h < 85
+    assert got[6].wildlife_low and len(got[6].boxes) == 4 and not got[1].boxes
+
+
+def test_outlines():
+    assert frames._outline_area(np.argwhere(np.ones((5, 7), bool))) == 24.0
+    ring = np.ones((5, 5), bool)
+    ring[2, 2] = False
+    assert frames._outline_area(np.argwhere(ring)) == 16.0
+    assert len(frames._components(np.eye(3, dtype=bool), True)) == 1 and len(frames._components(np.eye(3, dtype=bool), False)) == 3
+    assert frames._longest_run(np.array([0, 1, 1, 0, 1, 1, 1, 0], bool)) == (4, 3) and frames._longest_run(np.zeros(3, bool)) == (0, 0)
