@@ -78,7 +78,7 @@ def _(spark, sf_dir):
 
 @plan("snk_13_migrate_paths", f"WITH {EVENTS}, m AS (SELECT CASE camera_id WHEN 'cam_1' THEN 'door' WHEN 'cam_2' THEN 'door' ELSE camera_id END || '/' || (k % 50) || '.mp4' AS new_path, ts FROM e) SELECT new_path, count(*) AS met FROM m GROUP BY 1")
 def _(spark, sf_dir):
-    mapping = spark.createDataFrame([("cam_1", "door"), ("cam_2", "door")], "camera_id string, new_id string")
+    mapping = F.broadcast(spark.createDataFrame([("cam_1", "door"), ("cam_2", "door")], "camera_id string, new_id string"))  # a fixed table
     listed = events(spark, sf_dir).select("camera_id", F.concat("camera_id", F.lit("/"), F.col("k") % 50, F.lit(".mp4")).alias("path"), F.col("ts").alias("modified"))
     return manage.migrate_paths(listed, mapping).select("new_path", "met")
 

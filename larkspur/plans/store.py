@@ -248,7 +248,7 @@ def _(spark, sf_dir):
 @plan("agg_12_cat_roster", f"WITH {EVENTS}, c AS (SELECT cat_name AS name, count(*) AS n, max(time) AS last_seen FROM e WHERE cat_name IS NOT NULL AND substr(time, 1, 10) = '2024-01-20' GROUP BY 1), r(name) AS (VALUES ('cat_0'), ('cat_6'), ('mimi')) SELECT coalesce(c.name, r.name) AS name, coalesce(n, 0) AS n, last_seen FROM c FULL JOIN r ON c.name = r.name")
 def _(spark, sf_dir):
     seen = events(spark, sf_dir).where("cat_name is not null and substring(time, 1, 10) = '2024-01-20'").groupBy(F.col("cat_name").alias("name")).agg(F.count("*").alias("n"), F.max("time").alias("last_seen"))
-    known = spark.createDataFrame([("cat_0",), ("cat_6",), ("mimi",)], "name string")
+    known = F.broadcast(spark.createDataFrame([("cat_0",), ("cat_6",), ("mimi",)], "name string"))  # a fixed table
     return seen.join(known, "name", "full").select("name", F.coalesce("n", F.lit(0)).alias("n"), "last_seen")
 
 
@@ -335,7 +335,7 @@ def _(spark, sf_dir):
 
 @plan("jn_03_camera_names", f"WITH {EVENTS}, c(id, name) AS (VALUES ('cam_0', 'Garden'), ('cam_1', 'Door'), ('cam_3', 'Roof')) SELECT event_id, coalesce(c.name, camera_id) AS camera_name FROM e LEFT JOIN c ON c.id = e.camera_id")
 def _(spark, sf_dir):
-    cameras = spark.createDataFrame([("cam_0", "Garden"), ("cam_1", "Door"), ("cam_3", "Roof")], "id string, name string")
+    cameras = F.broadcast(spark.createDataFrame([("cam_0", "Garden"), ("cam_1", "Door"), ("cam_3", "Roof")], "id string, name string"))  # a fixed table
     return store.with_camera_name(events(spark, sf_dir), cameras).select("event_id", "camera_name")
 
 
@@ -360,7 +360,7 @@ def _(spark, sf_dir):
 
 @plan("jn_08_archived_cameras", f"WITH {EVENTS} SELECT DISTINCT camera_id FROM e WHERE camera_id NOT IN ('cam_0', 'cam_2')")
 def _(spark, sf_dir):
-    active = spark.createDataFrame([("cam_0",), ("cam_2",)], "camera_id string")
+    active = F.broadcast(spark.createDataFrame([("cam_0",), ("cam_2",)], "camera_id string"))  # a fixed table
     return events(spark, sf_dir).select("camera_id").distinct().join(active, "camera_id", "left_anti")
 
 

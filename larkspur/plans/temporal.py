@@ -228,7 +228,7 @@ def _(spark, sf_dir):
 
 @plan("str_05_mutes", f"WITH {EVENTS}, m(camera_id, label, a, b) AS (VALUES ('cam_1', NULL, TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-06'), ('cam_2', 'bird', TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-20')) SELECT event_id FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.camera_id = e.camera_id AND (m.label IS NULL OR m.label = e.label) AND e.ts >= a AND e.ts < b)")
 def _(spark, sf_dir):
-    mutes = spark.createDataFrame([("cam_1", None, "2024-01-05", "2024-01-06"), ("cam_2", "bird", "2024-01-10", "2024-01-20")], "camera_id string, label string, a string, b string").alias("m")
+    mutes = F.broadcast(spark.createDataFrame([("cam_1", None, "2024-01-05", "2024-01-06"), ("cam_2", "bird", "2024-01-10", "2024-01-20")], "camera_id string, label string, a string, b string")).alias("m")  # a fixed table
     rows = events(spark, sf_dir).alias("e")
     on = (F.col("m.camera_id") == F.col("e.camera_id")) & (F.col("m.label").isNull() | (F.col("m.label") == F.col("e.label")))
     on = on & (F.col("e.ts") >= F.col("m.a").cast("timestamp_ntz")) & (F.col("e.ts") < F.col("m.b").cast("timestamp_ntz"))

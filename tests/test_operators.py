@@ -2,12 +2,14 @@
 
 import json
 
+import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo, rules
-from larkspur.operators import folds, manage, store, temporal, tracking
+from larkspur.operators import folds, goals, manage, store, temporal, tracking
 from larkspur.sources import events as source
 
 
@@ -250,3 +252,72 @@ def test_overlapping_tracks_merge(spark):
     out = tracking.merge_overlapping(spark.createDataFrame(rows, tracking.SCHEMA)).collect()
     assert sorted((r.track_id, r.f) for r in out) == [(0, 0), (0, 1), (0, 2), (0, 3), (3, 0)]
     assert all(r.score == 0.9 for r in out)
+
+
+def test_new_ids_never_meet(spark):
+    rows = spark.sql("select cast(null as string) event_id, 'a' camera_id, timestamp_ntz'2024-01-02 03:04:05' ts, id n from range(3) union all select 'x', 'a', timestamp_ntz'2024-01-02 03:04:05', 9L")
+    assert sorted(r.event_id for r in manage.with_ids(rows).collect()) == ["20240102-030405-000000", "20240102-030405-000000-1", "20240102-030405-000000-2", "x"]
+
+
+def test_edits_and_upserts_keep_one_row(spark):
+    table = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "event_id string, v int")
+    changed = spark.createDataFrame([(None, 20), ("b", 30), ("c", 40)], "event_id string, v int")
+    assert sorted((r.event_id or "", r.v) for r in manage.upsert(table, changed, "event_id").collect()) == [("", 20), ("a", 1), ("b", 30), ("c", 40)]
+    events = spark.createDataFrame([("a", ["cat"], "cat")], "event_id string, labels array<string>, top_label string")
+    edits = spark.createDataFrame([("a", ["dog"], 2), ("a", ["fox"], 1), ("a", ["dog"], 2)], "event_id string, labels array<string>, edited_at int")
+    assert [(r.labels, r.top_label) for r in manage.edit_labels(events, edits).collect()] == [(["dog"], "dog")]
+
+
+def test_merged_ids_take_the_first_free_number(spark):
+    rows = [("e", "new", "N", "p"), ("e_m1", "new", "N", "p"), ("e", "old", "O", "p"), ("f", "old", "O", "gone"), ("g", "old", "O", None), ("g", "new", "N", "p")]
+    events = spark.createDataFrame(rows, "event_id string, camera_id string, camera_name string, video_relpath string")
+    got = manage.merge_camera(events, spark.createDataFrame([("p",)], "path string"), "old", "new", "Door").collect()
+    assert sorted(r.event_id for r in got) == ["e", "e_m1", "e_m2", "f", "g", "g_m1"] and {r.camera_id for r in got} == {"new"} and {r.camera_name for r in got} == {"Door"}
+
+
+def test_configuration(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"server": {"b": 1, "a": "ü"}, "secrets": {}, "ui": []}')
+    assert sorted(map(tuple, source.read_config(spark, str(tmp_path / "c.json")).collect())) == [("server", '{"a":"ü","b":1}'), ("ui", "[]")]
+    (tmp_path / "l.json").write_text("[1]")
+    with pytest.raises(ValueError, match="one object"):
+        source.read_config(spark, str(tmp_path / "l.json"))
+
+
+def test_goals_are_told_once(spark):
+    rows = spark.sql("select timestamp_ntz'2024-03-01 06:00:00' + make_dt_interval(cast(id as int)) ts, date_format(timestamp'2024-03-01 06:00:00' + make_dt_interval(cast(id as int)), \"yyyy-MM-dd'T'HH:mm:ss\") time, array('bird') labels, concat(' Parus ', id % 2) bird_species from range(10)")
+    wanted = [goals.Goal("all", "year_to_date", 5, label="bird"), goals.Goal("kinds", "year_to_date", 9, "species", labels=("bird", "cat")), goals.Goal("december", "december", 1)]
+    state = spark.createDataFrame([], goals.STATE)
+    told = []
+    for now in ("2024-03-03 12:00:00", "2024-03-09 12:00:00", "2024-03-09 12:00:00", "2024-03-20 12:00:00"):
+        found = goals.evaluate(rows, wanted, state, now)
+        told.append([r.goal_id for r in found.where("notify").collect()])
+        state = spark.createDataFrame(found.drop("notify").collect(), goals.STATE)
+    assert told == [[], ["all_2024"], [], []]
+    got = {r.goal_id: r for r in state.collect()}
+    assert got["all_2024"].progress == 5 and got["kinds_2024"].progress == 2 and got["december_2024"].progress == 0 and str(got["all_2024"].completed_at) == "2024-03-09 12:00:00"
+
+
+def test_goals_follow_a_stream(spark, tmp_path):
+    rows = spark.sql("select timestamp_ntz'2024-03-01 06:00:00' + make_dt_interval(cast(id as int)) ts, '2024-03-01T06:00:00' time, array('bird') labels, 'x' bird_species from range(8)")
+    for half in range(2):
+        rows.where(F.dayofmonth("ts") % 2 == half).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    goals.follow(stream, [goals.Goal("all", "year_to_date", 6, label="bird")], str(tmp_path / "out"), "2024-03-20 12:00:00").trigger(availableNow=True).start().awaitTermination()
+    states = [spark.read.parquet(str(tmp_path / f"out/state/batch={n}")).first() for n in range(2)]
+    assert [(s.progress, s.notify) for s in states] == [(4, False), (6, True)]
+
+
+def test_sunset_fires_once_a_day(spark):
+    rows = [(1, m * 60_000_000, a, d) for m, a, d in ((0, 6.0, "a"), (1, 5.0, "a"), (9, 4.0, "a"), (13, 3.0, "a"), (30, 2.0, "a"), (60, 1.0, "b"), (61, 9.0, "b"), (62, 1.0, "b"), (74, None, "b"), (75, 0.0, "b"))]
+    got = folds.sunset_once(spark.createDataFrame(rows, "k int, us long, alt double, day string"), ["k"], "us", "alt", "day")
+    assert sorted(r.us // 60_000_000 for r in got.collect()) == [13, 75]
+
+
+def test_sun_stands_where_it_does(spark):
+    """Known positions: noon at the equinox on the equator, midnight sun, and a winter noon in Munich."""
+    at = lambda text, lat, lon: one(spark, s=rules.sun_position(F.lit(pd.Timestamp(text).timestamp()), lat, lon))["s"]
+    assert at("2024-03-20 12:07:30", 0.0, 0.0).altitude > 89.5
+    assert 1 < at("2024-06-20 22:40:00", 71.2, 25.8).altitude < 6
+    noon = at("2024-12-21 11:12:00", 48.1, 11.6)
+    assert abs(noon.altitude - 18.5) < 0.3 and abs(noon.azimuth - 180) < 1
+    assert 85 < at("2024-03-20 06:00:00", 48.1, 0.0).azimuth < 95
