@@ -20,14 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import prefilter
 from .common import batch_of, map_rows, materialise
 from .components import connected_components
 
 SHINGLE_WORDS = 5
 #: Documents that are sampled for frequent shingles, how often those occur there, and how many are kept.
-SAMPLE_DOCS, SAMPLE_COUNT, SAMPLE_KEPT = 20_000, 3, 200_000
+SAMPLE_DOCS, SAMPLE_COUNT, SAMPLE_KEPT = 10_000, 3, 200_000
 #: Sets of a shingle that all its others are compared with first.
-HUBS = 8
+HUBS = 16
 #: Documents of a block, when pairs are verified.
 BLOCK = 256
 #: Words remembered by a Python worker before it forgets them all.
@@ -119,14 +120,19 @@ def _compared(words: int):
     return run
 
 
+def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose id is in a pair."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "similar-ids")
+    return rows.where(prefilter(ids, "similar-ids-filter")(F.col("id"))).join(ids, "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts are alike.
 
     Documents are dealt into blocks by a hash, and the pairs of two blocks are compared in one place. So a text goes there once for
     all its pairs there: a document with many pairs travels to as many places as there are blocks, not pairs.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialise(rows.join(ids, "id", "left_semi"), "similar-texts")
+    texts = materialise(_of_pairs(rows, pairs), "similar-texts")
     blocks = max(1, -(-texts.count() // BLOCK))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     cells = pairs.select(F.least(block("a"), block("b")).alias("one"), F.greatest(block("a"), block("b")).alias("two"), "a", "b")
@@ -142,6 +148,7 @@ def _possible(x: str, y: str):
 
 def _promising(pairs: DataFrame, each: DataFrame) -> DataFrame:
     """The pairs (a, b) whose first shingles agree well enough: what lies behind both prefixes can add no more than the longer rest."""
+    each = _of_pairs(each.select("id", "n", "prefix"), pairs)
     for k in "ab":
         pairs = pairs.join(each.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("prefix").alias(f"prefix_{k}")), k)
     rest = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
@@ -155,8 +162,9 @@ def components(rows: DataFrame, known: DataFrame | None = None, words: int = SHI
     copies = materialise(each.select("id", "digest").join(copied, "digest").where("id <> least").select(F.col("least").alias("src"), F.col("id").alias("dst")), "similar-copies")
     keys = each.join(copies.select(F.col("dst").alias("id")), "id", "left_anti").select("id", "n", F.posexplode("prefix").alias("at", "shingle"))
 
-    met = keys.groupBy("shingle").count().where("count > 1").select("shingle")
-    shared = materialise(keys.join(met, "shingle", "left_semi"), "similar-shared")
+    met = materialise(keys.groupBy("shingle").count().where("count > 1").select("shingle"), "similar-met")
+    known_shared = prefilter(met, "similar-met-filter")
+    shared = materialise(keys.where(known_shared(F.col("shingle"))).join(met, "shingle", "left_semi"), "similar-shared")
     hubs = shared.withColumn("nth", F.row_number().over(Window.partitionBy("shingle").orderBy("id"))).where(F.col("nth") <= HUBS)
     star = hubs.alias("x").join(shared.alias("y"), "shingle").where(F.col("x.id") < F.col("y.id")).where(_possible("x", "y"))
     star = materialise(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "similar-star")
@@ -172,7 +180,7 @@ def components(rows: DataFrame, known: DataFrame | None = None, words: int = SHI
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
     pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(apart).where(_possible("x", "y"))
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    pairs = materialise(_promising(pairs.join(star, ["a", "b"], "left_anti"), each), "similar-pairs")
+    pairs = materialise(_promising(materialise(pairs.join(star, ["a", "b"], "left_anti"), "similar-untried"), each), "similar-pairs")
     if pairs.isEmpty():
         return found
     more = _verified(pairs, rows, words).select(F.col("a").alias("src"), F.col("b").alias("dst"))

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import materialise
 
 BITS_PER_KEY = 10
@@ -74,30 +75,6 @@ def _shard(key: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards).cast("long"))
 
 
-def _positions(key: Column, nth: int, bits: int, hashes: int) -> list[Column]:
-    """The bits of a key in a level."""
-    return [F.pmod(F.xxhash64(key, F.lit(nth), F.lit(i)), F.lit(bits).cast("long")) for i in range(hashes)]
-
-
-def _words(keys: DataFrame, nth: int, bits: int, hashes: int, shards: int) -> DataFrame:
-    """The filters of ``keys``: for each shard an array of longs of 64 bits each."""
-    at = keys.select("shard", F.explode(F.array(*_positions(F.col("key"), nth, bits, hashes))).alias("p"))
-    words = at.groupBy("shard", F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    place = F.col("shard") * (bits // 64) + F.col("word")
-    every = keys.sparkSession.range(shards * (bits // 64)).join(words.select(place.alias("id"), "bits"), "id", "left")
-    shard, word = F.floor(F.col("id") / (bits // 64)).alias("shard"), (F.col("id") % (bits // 64)).alias("word")
-    cells = every.select(shard, F.struct(word, F.coalesce("bits", F.lit(0)).alias("bits")).alias("cell")).groupBy("shard").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-    return cells.select("shard", F.transform("cells", lambda x: x["bits"]).alias("words"))
-
-
-def _passes(key: Column, words: Column, nth: int, level: Level) -> Column:
-    hit = F.lit(True)
-    for p in _positions(key, nth, level.bits, level.hashes):
-        word = F.get(words, F.shiftright(p, 6).cast("int"))
-        hit = hit & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63).cast("long")).cast("int"))) != 0)
-    return hit
-
-
 def _with_words(rows: DataFrame, level: Level, name: str, shards: int) -> tuple[DataFrame, Column]:
     """The rows, and the column that holds their shard's filter of a level."""
     if shards == 1:
@@ -111,8 +88,8 @@ def cascade(universe: DataFrame, shard_bits: int = SHARD_BITS) -> Cascade:
     n, others = sizes.get(True, 0), sizes.get(False, 0)
     if not n:
         return Cascade([], 1)
-    # 1.44 bits a key for each halving of the false positives, down to about n of them; at least BITS_PER_KEY.
-    first = max(BITS_PER_KEY, math.ceil(math.log2(max(2, others / n)) / math.log(2)))
+    # 1.44 bits a key for each halving of the false positives, down to about n of them.
+    first = math.ceil(math.log2(max(2, others / n)) / math.log(2))
     shards = -(-2 * n * first // shard_bits)
     universe = universe.select("key", "listed", _shard(F.col("key"), shards).alias("shard"))
     inside, outside = (universe.where(F.col("listed") == x).select("key", "shard") for x in (True, False))
@@ -125,10 +102,10 @@ def cascade(universe: DataFrame, shard_bits: int = SHARD_BITS) -> Cascade:
         if bits > max(64, 2 * shard_bits):
             raise RuntimeError(f"level {len(levels) + 1} would need {bits} bits in one shard")
         hashes = max(1, round(per_key * math.log(2)))
-        words = materialise(_words(inside, len(levels), bits, hashes, shards), "cascade-filter")
+        words = materialise(bloom.words(inside, len(levels), bits, hashes, shards), "cascade-filter")
         level = Level(words, bits, hashes)
         rows, column = _with_words(outside, level, "words", shards)
-        through = materialise(rows.where(_passes(F.col("key"), column, len(levels), level)).select("key", "shard"), "cascade-through")
+        through = materialise(rows.where(bloom.passes(F.col("key"), column, len(levels), bits, hashes)).select("key", "shard"), "cascade-through")
         levels.append(level)
         inside, outside = through, inside
     return Cascade(levels, shards)
@@ -143,7 +120,7 @@ def with_membership(rows: DataFrame, key: str, found: Cascade, name: str) -> Dat
         rows, column = _with_words(rows, level, f"words_{k}", found.shards)
         words.append(column)
     for k in reversed(range(len(found.levels))):
-        verdict = F.when(~_passes(F.col(key), words[k], k, found.levels[k]), F.lit(k % 2 == 1)).otherwise(verdict)
+        verdict = F.when(~bloom.passes(F.col(key), words[k], k, found.levels[k].bits, found.levels[k].hashes), F.lit(k % 2 == 1)).otherwise(verdict)
     return rows.select(*columns, verdict.alias(name))
 
 
