@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Bits a key, hashes and most bits (4 MB) of a filter that only spares a shuffle.
-BITS_PER_KEY, HASHES, MAX_BITS = 10, 4, 1 << 25
+#: Bits a key, hashes and most bits (1 MB) of a filter that only spares a shuffle.
+BITS_PER_KEY, HASHES, MAX_BITS = 10, 4, 1 << 23
 
 
 def positions(key: Column, nth: int, bits: int, hashes: int) -> list[Column]:

@@ -40,7 +40,9 @@ MIN_CONSISTENCY = 0.8
 #: Bits of each of the two prefilter bitmaps: 1 MB, whatever the benchmark's size.
 FILTER_BITS = 1 << 23
 #: Words remembered by a Python worker before it forgets them all.
-VOCABULARY = 300_000
+VOCABULARY = 100_000
+#: Characters of the texts whose words are held at a time, unless one text has more.
+CHARS = 2_000_000
 
 # Number words and units, in natural order.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
@@ -123,7 +125,8 @@ def templates(texts: list[str | None]) -> tuple[np.ndarray, ...]:
 
 def _literal(words: list[str]) -> int:
     """The hash of a short item's, line's or sentence's words."""
-    value = _words.hashes[[_words[w] for w in words]]
+    at = [_words[w] for w in words]
+    value = _words.hashes[at]
     return int((~_mixed(value, np.zeros(1, np.int64), len(words)) ^ np.uint64(len(words))).view(np.int64)[0])
 
 
@@ -132,7 +135,8 @@ def _short_units(text: str | None, lengths: frozenset[int]) -> list[tuple[int, i
     out, at = {}, 0
     for line in (text or "").split("\n"):
         words = line.split()
-        ends = [0, *(i + 1 for i, w in enumerate(words) if _words.flags[_words[w], 2]), len(words)]
+        at_words = [_words[w] for w in words]
+        ends = [0, *(i + 1 for i, k in enumerate(at_words) if _words.flags[k, 2]), len(words)]
         for a, b in {(0, len(words)), *itertools.pairwise(ends)}:
             if b - a in lengths:
                 out[at + a, b] = (at + a, _literal(words[a:b]))
@@ -190,7 +194,18 @@ def document_windows(rows: DataFrame, bitmaps: tuple[bytes, bytes], short: froze
         return use
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ident, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        """The rows in parts of about CHARS characters, since all words of a part are held at once."""
+        ident, texts, out, at = batch.column(0).to_numpy(), batch.column(1).to_pylist(), [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at] or "")
+            while end < len(texts) and (size := size + len(texts[end] or "")) <= CHARS:
+                end += 1
+            out.append(part(ident[at:end], texts[at:end]))
+            at = end
+        found = pa.Table.from_batches(out).combine_chunks().to_batches()
+        return found[0] if found else None
+
+    def part(ident: np.ndarray, texts: list[str | None]) -> pa.RecordBatch:
         h, _, of, first, value, slot = templates(texts)
         use = passing(h)
         starts = np.zeros(len(texts), np.int64)
@@ -204,7 +219,7 @@ def document_windows(rows: DataFrame, bitmaps: tuple[bytes, bytes], short: froze
             return found
         more = [(ident[i], k, p) for i, t in enumerate(texts) for p, k in _short_units(t, short)]
         extra = batch_of(row=([m[0] for m in more], pa.int64()), h=([m[1] for m in more], pa.int64()), pos=([m[2] for m in more], pa.int32()), slots=([[0] * WINDOW] * len(more), pa.list_(pa.int64())), literal=([m[1] for m in more], pa.int64()))
-        return pa.Table.from_batches([found, extra]).combine_chunks().to_batches()[0] if found.num_rows + extra.num_rows else None
+        return pa.Table.from_batches([found, extra]).combine_chunks().to_batches()[0] if found.num_rows + extra.num_rows else found
 
     return map_rows(rows, one, f"row long, {_WINDOW_SCHEMA}")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import prefilter
-from .common import batch_of, map_rows, materialise
+from .common import SLICE_ROWS, batch_of, map_rows, materialise
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -32,7 +32,7 @@ HUBS = 16
 #: Documents of a block, when pairs are verified.
 BLOCK = 256
 #: Words remembered by a Python worker before it forgets them all.
-VOCABULARY = 300_000
+VOCABULARY = 100_000
 _MIX = [np.uint64(xxhash.xxh64_intdigest(b"shingle word %d" % i) | 1) for i in range(64)]
 
 
@@ -105,9 +105,9 @@ def _compared(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, sets = None, {}
-        for batch in batches:
+        for rows in (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS)):
             found = []
-            for one, two, a, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for one, two, a, b, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 if cell != (one, two):
                     cell, sets = (one, two), {}
                 if b is None:
