@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows handled at a time inside a task; bounds the Python objects made from one Arrow batch.
 SLICE_ROWS = 512
+#: Rows of an Arrow batch between Spark and Python.
+BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows where the session has Spark's own 10,000: whole texts make those too large for an executor's Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
@@ -32,6 +41,7 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -47,6 +57,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 if out is not None and out.num_rows:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

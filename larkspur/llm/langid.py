@@ -47,7 +47,7 @@ def dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tu
     return [(k, "\n".join(parts[k]).encode()) for k in sorted(parts, key=lambda k: (-size[k], k))]
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def _compressors(models: tuple[tuple[str, bytes], ...]) -> list[zstandard.ZstdCompressor]:
     out = []
     for _, content in models:

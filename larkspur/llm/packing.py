@@ -33,7 +33,7 @@ LONG_RUN = 500
 _RANK_BITS = 44
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     """text -> ids of the byte-level BPE in ``json_path``.
 
