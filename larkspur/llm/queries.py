@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, packing, pii, quality_gbt, quality_rules, simhash, url_filter, warc
+from . import decontaminate, hard_negatives, langid, licenses, lloyd, packing, pii, quality_gbt, quality_rules, simhash, tiers, url_filter, warc
 
 
 #: Pages have no capture time: page n is taken as captured n seconds after this one (Unix seconds of 2024-01-01).
@@ -81,6 +81,23 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tiers.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.with_figures(lloyd.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7, the label is one further; anchors are the rows whose vec_id is divisible by 50."""
+    n, label = F.col("vec_id"), F.col("label")
+    moved = F.when(n % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), n % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
@@ -89,7 +106,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + (((('0x' || substr(sha1(h), (i // 4) * 5 + 1, 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '')"""
 
+
+def _lloyd_sql(k: int = lloyd.CLUSTERS, rounds: int = lloyd.ROUNDS, dims: int = lloyd.DIMS) -> str:
+    """A pair of CTEs a round: the nearest centroids, and the floors of the means."""
+
+    def near(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (SELECT n, vec_id, min({{'d': d, 'c': cluster}}) AS m FROM
+            (SELECT e.n, e.vec_id, c.cluster, CAST(sum((e.x - c.x) * (e.x - c.x)) AS BIGINT) AS d FROM e JOIN c{r} c USING (i) GROUP BY ALL) GROUP BY n, vec_id)"""
+
+    def means(r: int) -> str:
+        return f"""c{r + 1} AS MATERIALIZED (SELECT c.cluster, c.i, CASE WHEN m.n IS NULL THEN c.x ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS x FROM c{r} c LEFT JOIN
+            (SELECT a.m.c AS cluster, e.i, CAST(sum(e.x) AS BIGINT) AS s, count(*) AS n FROM e JOIN a{r} a USING (n) GROUP BY ALL) m ON m.cluster = c.cluster AND m.i = c.i)"""
+
+    steps = ", ".join(f"{near(r)}, {means(r)}" for r in range(rounds))
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, list_transform(embedding, lambda x: CAST(floor({lloyd.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+               WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+             e AS MATERIALIZED (SELECT n, vec_id, unnest(range({dims})) AS i, unnest(q) AS x FROM v),
+             c0 AS MATERIALIZED (SELECT s.cluster, e.i, e.x FROM e JOIN (SELECT n, row_number() OVER (ORDER BY sha256('{lloyd.SEED}:' || vec_id), q) - 1 AS cluster FROM v QUALIFY cluster < {k}) s USING (n)),
+             {steps}, {near(rounds)},
+             h AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+        SELECT vec_id, CAST(m.c AS INT) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} JOIN h ON h.cluster = m.c"""
+
+
 SQL = {
+    "op12_lloyd": _lloyd_sql(),
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+             p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+        WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 3""",
     "op1_warc_index_merge": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest FROM p),
