@@ -11,8 +11,9 @@ All of this is planned on the *histogram* of piece lengths (at most ``capacity``
 range of the pieces of one length goes. Spark ranks the pieces within their length (counts per task, then a sum over
 tasks), and each piece looks up its own places. No sequence or document ever meets others in one task.
 
-Token ids are exactly those of ``tokenizers``. The vocabulary drops white space and never merges across it, so words between white space are encoded once and
-remembered; unknown and very long ones take ``tokenizers``.
+Token ids are exactly those of ``tokenizers``. The vocabulary drops white space, lowers case and never merges across either white space or the end of a run of letters.
+So what stands between white space is encoded once and remembered, plain words without regard to case and to the signs behind them. Unknown plain words go to ``tokenizers`` many at a
+time; everything else that is unknown, and very long words, go there one by one.
 
 Null and empty texts are the end id alone. Texts of any length are cut, never truncated. Repeated rows are packed as often as they come, and
 equal lengths in the order of tasks and rows. Null doc_ids stay null. An empty table gives an empty result. Other columns are ignored.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -41,7 +43,11 @@ END_ID = 1
 #: Tokens of a training step.
 STEP_TOKENS = 1 << 18
 #: Words remembered by a Python worker before it forgets them all, and the longest that is remembered (in characters).
-WORDS, LONGEST_WORD = 200_000, 64
+WORDS, LONGEST_WORD = 1_000_000, 64
+#: Unknown words that are encoded at a time.
+_AT_ONCE = 1000
+#: Letters that no normal form changes but for their case, with ASCII signs behind them; an apostrophe can belong to the letters after it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Separators that Python takes for white space and the vocabulary for symbols.
 _SYMBOLS = re.compile("[\x1c-\x1f]")
 _RANK_BITS = 44
@@ -57,8 +63,30 @@ class _Words(dict):
         self.exact = Tokenizer.from_file(json_path)
         self.kind = np.dtype("<u2" if self.exact.get_vocab_size() <= 1 << 16 else "<u4")
 
+        vocabulary = self.exact.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def learn(self, words: set[str]) -> None:
+        """Encode the plain ones of these that are unknown: their runs of letters together, as each run's last id says so."""
+        found = [m for w in words if w not in self and len(w) <= LONGEST_WORD and (m := _PLAIN.fullmatch(w))]
+        fresh = {m[1].lower() for m in found}.difference(self)
+        if len(self) + len(fresh) + len(found) > WORDS:
+            self.clear()
+        for some in itertools.batched(fresh, _AT_ONCE):
+            ids = self._ids(" ".join(some))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                at, raw = [0, *(ends * self.kind.itemsize).tolist()], ids.tobytes()
+                self.update(zip(some, (raw[a:b] for a, b in itertools.pairwise(at)), strict=True))
+        for m in found:
+            self[m[0]] = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
+
     def __missing__(self, word: str) -> bytes:
-        found = np.array(self.exact.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        found = self._ids(word).tobytes()
         if len(word) <= LONGEST_WORD:
             if len(self) >= WORDS:
                 self.clear()
@@ -71,9 +99,11 @@ def _words(json_path: str) -> _Words:
     return _Words(json_path)
 
 
-def encode(words: _Words, text: str) -> bytes:
-    """The ids of a whole text as bytes of ``words.kind``."""
-    return words[text] if _SYMBOLS.search(text) else b"".join(map(words.__getitem__, text.split()))
+def encode(words: _Words, texts: list[str]) -> list[bytes]:
+    """The ids of whole texts as bytes of ``words.kind``."""
+    parts = [[x] if _SYMBOLS.search(x) else x.split() for x in texts]
+    words.learn(set(itertools.chain.from_iterable(parts)))
+    return [b"".join(map(words.__getitem__, x)) for x in parts]
 
 
 def pieces(docs: DataFrame, json_path: str, capacity: int = TIERS[0]) -> DataFrame:
@@ -86,8 +116,9 @@ def pieces(docs: DataFrame, json_path: str, capacity: int = TIERS[0]) -> DataFra
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 rows = batch.slice(at, SLICE_ROWS)
                 out = []
-                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    ids = encode(words, text or "") + END_ID.to_bytes(size, "little")
+                texts = encode(words, [x or "" for x in rows.column(1).to_pylist()])
+                for doc_id, ids in zip(rows.column(0).to_pylist(), texts, strict=True):
+                    ids += END_ID.to_bytes(size, "little")
                     n = len(ids) // size
                     for start in range(0, n, capacity):
                         own = ids[start * size : (start + capacity) * size]

@@ -19,13 +19,14 @@ def ids_of(text):
 
 def encoded(text):
     words = tiers._words(JSON)
-    return np.frombuffer(tiers.encode(words, text), words.kind).tolist()
+    return np.frombuffer(tiers.encode(words, [text])[0], words.kind).tolist()
 
 
 @settings(max_examples=500, deadline=None)
 @given(
     st.text(max_size=60)
     | st.text(alphabet="aBΣσ '’sS\n\t\x1c\x1f\x85\xa0  　́İ1½é日", max_size=60)
+    | st.text(alphabet="abcÀéßÿÞ.,'#<|>-_ 1́", max_size=40)
     | st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "hello ", " <|", "endoftext|>", "\n", "é1", "can't", "́"]), max_size=8).map("".join)
 )
 def test_words_are_encoded_like_whole_texts(text):
