@@ -53,45 +53,63 @@ _SYMBOLS = re.compile("[\x1c-\x1f]")
 _RANK_BITS = 44
 
 
-class _Words(dict):
-    """A word's ids as bytes."""
+class _Words:
+    """Ids of words, as bytes."""
 
     def __init__(self, json_path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.exact = Tokenizer.from_file(json_path)
-        self.kind = np.dtype("<u2" if self.exact.get_vocab_size() <= 1 << 16 else "<u4")
-
         vocabulary = self.exact.get_vocab()
+        self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, self.kind)
 
     def learn(self, words: set[str]) -> None:
-        """Encode the plain ones of these that are unknown: their runs of letters together, as each run's last id says so."""
-        found = [m for w in words if w not in self and len(w) <= LONGEST_WORD and (m := _PLAIN.fullmatch(w))]
-        fresh = {m[1].lower() for m in found}.difference(self)
-        if len(self) + len(fresh) + len(found) > WORDS:
-            self.clear()
-        for some in itertools.batched(fresh, _AT_ONCE):
+        """Encode those of these that are unknown: runs of letters together, as each run's last id says so, and others one by one."""
+        known, unknown = self.known, words.difference(self.known)
+        if len(known) + 2 * len(unknown) > WORDS:
+            known.clear()
+            unknown = words
+        plain, runs, others = [], set(), {""}
+        for word in unknown:
+            if m := _PLAIN.fullmatch(word):
+                run, signs = m.groups()
+                run = run.lower()
+                plain.append((word, run, signs))
+                runs.add(run)
+                others.add(signs)
+            else:
+                others.add(word)
+        for some in itertools.batched(runs.difference(known), _AT_ONCE):
             ids = self._ids(" ".join(some))
-            ends = np.flatnonzero(self.last[ids]) + 1
+            ends = (np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize
             if len(ends) == len(some):
-                at, raw = [0, *(ends * self.kind.itemsize).tolist()], ids.tobytes()
-                self.update(zip(some, (raw[a:b] for a, b in itertools.pairwise(at)), strict=True))
-        for m in found:
-            self[m[0]] = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
-
-    def __missing__(self, word: str) -> bytes:
-        found = self._ids(word).tobytes()
-        if len(word) <= LONGEST_WORD:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = found
-        return found
+                raw = ids.tobytes()
+                known.update(zip(some, (raw[a:b] for a, b in itertools.pairwise([0, *ends.tolist()])), strict=True))
+        for word in others.difference(known):
+            if len(word) <= LONGEST_WORD:
+                known[word] = self._ids(word).tobytes()
+        for word, run, signs in plain:
+            if run in known and signs in known and len(word) <= LONGEST_WORD:
+                known[word] = known[run] + known[signs]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, as bytes of ``kind``."""
+        parts = [[x] if _SYMBOLS.search(x) else x.split() for x in texts]
+        self.learn(set(itertools.chain.from_iterable(parts)))
+        known = self.known
+        out = []
+        for words in parts:
+            try:
+                out.append(b"".join(map(known.__getitem__, words)))
+            except KeyError:  # very long words aren't remembered
+                out.append(b"".join(known[w] if w in known else self._ids(w).tobytes() for w in words))
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -99,13 +117,6 @@ def _words(json_path: str) -> _Words:
     return _Words(json_path)
 
 
-def encode(words: _Words, texts: list[str]) -> list[bytes]:
-    """The ids of whole texts as bytes of ``words.kind``."""
-    parts = [[x] if _SYMBOLS.search(x) else x.split() for x in texts]
-    words.learn(set(itertools.chain.from_iterable(parts)))
-    return [b"".join(map(words.__getitem__, x)) for x in parts]
-
-
 def pieces(docs: DataFrame, json_path: str, capacity: int = TIERS[0]) -> DataFrame:
     """Documents cut at every ``capacity`` tokens: each piece with its ids, its task and its number among the task's pieces of that length."""
 
@@ -116,7 +127,7 @@ def pieces(docs: DataFrame, json_path: str, capacity: int = TIERS[0]) -> DataFra
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 rows = batch.slice(at, SLICE_ROWS)
                 out = []
-                texts = encode(words, [x or "" for x in rows.column(1).to_pylist()])
+                texts = words.encode([x or "" for x in rows.column(1).to_pylist()])
                 for doc_id, ids in zip(rows.column(0).to_pylist(), texts, strict=True):
                     ids += END_ID.to_bytes(size, "little")
                     n = len(ids) // size
