@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows handled at a time inside a task; bounds the Python objects made from one Arrow batch.
 SLICE_ROWS = 512
@@ -47,6 +48,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, tag: str) -> DataFrame:
+    """``(row, doc)``: every row, whole, with a number. Numbers follow file splits, which change with the executors, so they are written once and read by all later jobs."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), tag)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Apply ``fn`` to Arrow slices of at most ``rows`` rows; no shuffle, bounded memory."""
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, map_rows, materialise
+from .common import batch_of, map_rows, materialise, numbered
 
 WINDOW = 5
 MIN_WORDS = 3
@@ -269,23 +269,18 @@ def _occurrences(docs: DataFrame, benchmark: DataFrame, min_coverage: float, min
     return best, families
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    # The number of a row follows from the files read, so it's the same each time.
-    return docs.withColumn("__row", F.monotonically_increasing_id())
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, min_consistency: float = MIN_CONSISTENCY) -> DataFrame:
     """(doc_id, item_id, items, matched, windows, coverage, verbatim): documents and the item families they contain; verbatim if no slot was changed."""
-    rows = _rows(docs)
-    best, families = _occurrences(rows.select(F.col("__row").alias("row"), F.col("text").cast("string")), benchmark, min_coverage, min_consistency)
-    best = materialise(best, "decon-found").join(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long")), "row").join(materialise(families, "decon-families"), "family")
+    rows = numbered(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "decon-rows")
+    best, families = _occurrences(rows.select("row", F.col("doc.text").alias("text")), benchmark, min_coverage, min_consistency)
+    best = materialise(best, "decon-found").join(rows.select("row", F.col("doc.doc_id").alias("doc_id")), "row").join(materialise(families, "decon-families"), "family")
     most = F.max(F.struct("coverage", "verbatim", "matched", "windows")).alias("m")
     return best.groupBy("doc_id", "family", "item_id", "items").agg(most).select("doc_id", "item_id", "items", "m.matched", "m.windows", "m.coverage", "m.verbatim")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose text contains no item; all their columns."""
-    rows = _rows(docs)
-    best, _ = _occurrences(rows.select(F.col("__row").alias("row"), F.col("text").cast("string")), benchmark, MIN_COVERAGE, MIN_CONSISTENCY)
-    found = materialise(best.select(F.col("row").alias("__row")).distinct(), "decon-found")
-    return rows.join(found, "__row", "left_anti").select(*docs.columns)
+    """The rows whose text contains no item; all their columns, under any names. An empty table stays empty."""
+    rows = numbered(docs, "decon-rows")
+    best, _ = _occurrences(rows.select("row", F.col("doc.text").cast("string").alias("text")), benchmark, MIN_COVERAGE, MIN_CONSISTENCY)
+    found = materialise(best.select("row").distinct(), "decon-found")
+    return rows.join(found, "row", "left_anti").select("doc.*")

@@ -29,7 +29,8 @@ LEVEL, MIN_MATCH = 5, 3
 CHUNK = 4096
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Word characters but for decimal digits; numbers such as halves and Roman numerals are among them.
+_MAYBE = re.compile(r"[^\W\d_]")
 
 
 def dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, bytes]]:
@@ -60,7 +61,7 @@ def _compressors(models: tuple[tuple[str, bytes], ...]) -> list[zstandard.ZstdCo
 
 def classify(text: str | None, models: tuple[tuple[str, bytes], ...]) -> tuple[str, float]:
     """(language, margin) of a whole text."""
-    if not text or not models or not _LETTER.search(text):
+    if not text or not models or not any(m[0].isalpha() for m in _MAYBE.finditer(text)):
         return UNKNOWN, 0.0
     raw = text.lower().encode()
     chunks = [raw[at : at + CHUNK] for at in range(0, len(raw), CHUNK)]

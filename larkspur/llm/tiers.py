@@ -77,6 +77,8 @@ class _Words:
             unknown = words
         plain, runs, others = [], set(), {""}
         for word in unknown:
+            if len(word) > LONGEST_WORD:
+                continue
             if m := _PLAIN.fullmatch(word):
                 run, signs = m.groups()
                 run = run.lower()
@@ -92,10 +94,9 @@ class _Words:
                 raw = ids.tobytes()
                 known.update(zip(some, (raw[a:b] for a, b in itertools.pairwise([0, *ends.tolist()])), strict=True))
         for word in others.difference(known):
-            if len(word) <= LONGEST_WORD:
-                known[word] = self._ids(word).tobytes()
+            known[word] = self._ids(word).tobytes()
         for word, run, signs in plain:
-            if run in known and signs in known and len(word) <= LONGEST_WORD:
+            if run in known:
                 known[word] = known[run] + known[signs]
 
     def encode(self, texts: list[str]) -> list[bytes]:

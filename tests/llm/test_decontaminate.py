@@ -127,3 +127,20 @@ def test_empty_and_clean(spark):
     assert sorted(tuple(r) for r in D.clean(docs, items).collect()) == [(1, "another row of this id", 8), (2, "short", 6)]
     assert D.contaminated(docs.limit(0), items).count() == 0
     assert D.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_other_file_splits_change_nothing(spark, tmp_path):
+    """Row numbers are written once: a table that is split otherwise between the steps loses the same documents."""
+    rows = [(i, f"note {i} " + (ITEM if i % 5 == 0 else "about the weather"), i) for i in range(70)]
+    spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(7, "doc_id").write.parquet(f"{tmp_path}/docs")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    key = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(key, "2")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        kept, found = D.clean(docs, items), D.contaminated(docs, items)
+        spark.conf.set(key, "16")
+        assert sorted(map(tuple, kept.collect())) == [r for r in rows if r[0] % 5]
+        assert {r.doc_id for r in found.collect()} == {i for i in range(0, 70, 5)}
+    finally:
+        spark.conf.unset(key)

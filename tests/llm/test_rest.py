@@ -18,12 +18,12 @@ def test_languages(spark):
     models = langid.dictionaries(rows.where(~langid.held_out(rows.doc_id)))
     got = langid.identify(rows, models).join(rows, "doc_id").where(langid.held_out(F.col("doc_id"))).collect()
     assert sum(r.lang_pred == r.lang for r in got) > 0.9 * len(got)
-    odd = spark.createDataFrame([(1, None, "x"), (2, "", None), (3, "12 !?", "en"), (None, "the thing", "en"), (4, "ß", None)], "doc_id long, text string, score string")
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", None), (3, "12 !?", "en"), (None, "the thing", "en"), (4, "ß", None), (5, "½ ² Ⅷ ① 七"[:-2], "en")], "doc_id long, text string, score string")
     found = {r.doc_id: r for r in langid.identify(odd, models).collect()}
-    assert all(found[i].lang_pred == "und" and found[i].score == 0 and found[i].rejected for i in (1, 2, 3))
+    assert all(found[i].lang_pred == "und" and found[i].score == 0 and found[i].rejected for i in (1, 2, 3, 5))
     assert found[None].lang_pred in dict(models) and 0 <= found[4].score <= 1
     assert {r.doc_id for r in langid.accepted(odd, models).collect()} <= {None, 4}
-    assert langid.identify(odd, []).where("lang_pred = 'und'").count() == 5
+    assert langid.identify(odd, []).where("lang_pred = 'und'").count() == 6
     assert langid.dictionaries(rows.limit(0)) == []
 
 
