@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, langid, packing, pii, simhash, similar
-from larkspur.llm.common import materialise
+from larkspur.llm.common import materialise, numbered
 from larkspur.llm.queries import tokenizer_files
 
 
@@ -25,15 +25,15 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by their place, so rows of one doc_id and rows without one are compared like all others. The row with the smallest
     doc_id stays, null ids last, then the first row. Null and wordless texts form one group. An empty table stays empty.
     """
-    # The id of a row follows from the files read, so it's the same each time; stages are written and read again.
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    close = simhash.row_links(rows.select(F.col("__row").alias("doc_id"), "text"))
-    found = similar.components(rows.select(F.col("__row").alias("id"), F.col("text").cast("string")), close)
-    members = materialise(rows.select("__row", "doc_id").join(found.withColumnRenamed("id", "__row"), "__row"), "dedup-members")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))["__row"].alias("first")
+    rows = numbered(docs, "dedup-rows")
+    texts = rows.select("row", F.col("doc.text").cast("string").alias("text"))
+    close = simhash.row_links(texts.withColumnRenamed("row", "doc_id"))
+    found = similar.components(texts.withColumnRenamed("row", "id"), close)
+    members = materialise(rows.select("row", F.col("doc.doc_id").alias("doc_id")).join(found.withColumnRenamed("id", "row"), "row"), "dedup-members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))["row"].alias("first")
     stay = materialise(members.groupBy("component").agg(first), "dedup-stay")
-    drop = materialise(members.join(stay, "component").where("__row <> first").select("__row"), "dedup-drop")
-    return rows.join(drop, "__row", "left_anti").select(*docs.columns)
+    drop = materialise(members.join(stay, "component").where("row <> first").select("row"), "dedup-drop")
+    return rows.join(drop, "row", "left_anti").select("doc.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
