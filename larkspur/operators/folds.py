@@ -198,12 +198,15 @@ def event_gate(rows: DataFrame, keys: list[str], at_us: str, label: str, seconds
 
 
 def watchdog(rows: DataFrame, keys: list[str], at_us: str, online: str, after: float = 300.0) -> DataFrame:
-    """STR-11: down, alert (once, after ``after`` seconds down) and recovered, from status rows; null where nothing changes."""
+    """STR-11: down, alert (once, after ``after`` seconds down) and recovered (only if there was an alert), from status rows; null where nothing changes.
+
+    A camera that sends nothing has no rows here: ``streaming.stateful.watchdog`` has timers for those.
+    """
 
     def step(state, row):
         since, told = state or (None, False)
         if row[online]:
-            return (None, False), None if since is None else "recovered"
+            return (None, False), "recovered" if told else None
         if since is None:
             return (row[at_us], False), "down"
         if not told and row[at_us] - since >= after * 1e6:
@@ -213,6 +216,11 @@ def watchdog(rows: DataFrame, keys: list[str], at_us: str, online: str, after: f
     return ordered_fold(rows, keys, at_us, [online], step, "change string")
 
 
+def disk_warnings(rows: DataFrame, keys: list[str], at_us: str, free_gb: str, least: float = 2.0, again: float = 86_400.0) -> DataFrame:
+    """STR-11: rows with less than ``least`` GB free, more than ``again`` seconds after the key's last such warning."""
+    return cooldown(rows.where(F.col(free_gb) < least), keys, at_us, again + 1e-6)
+
+
 def sunset_once(rows: DataFrame, keys: list[str], at_us: str, altitude: str, day: str, low: float = -2.0, high: float = 5.0, minutes: float = 12.0) -> DataFrame:
     """STR-15: the first row of a day at which the sun has been within the band for ``minutes``; then the day is done."""
 

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("store", "temporal", "scalars", "management", "tracking", "streams", "reports", "storage")
+MODULES = ("store", "temporal", "scalars", "management", "tracking", "streams", "reports", "storage", "places", "exchange")
 
 
 def plan(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -346,6 +346,22 @@ def _(spark, sf_dir):
     return out.select("period_id", *[F.col(c).cast("string").alias(c) for c in ("run_on", "start", "end")])
 
 
+@plan(
+    "str_11_disk_warnings",
+    walk(
+        "SELECT camera_id, event_id, epoch_us(ts) AS us FROM e WHERE value < 2.0",
+        "us AS last, true AS ok",
+        "CASE WHEN r.us - w.last > 86400000000 THEN r.us ELSE w.last END AS last, r.us - w.last > 86400000000 AS ok",
+        "camera_id, event_id, us",
+        "ok",
+    ),
+)
+def _(spark, sf_dir):
+    """Values are taken for free gigabytes."""
+    rows = events(spark, sf_dir).select("camera_id", "event_id", temporal.micros(F.col("ts")).alias("us"), "value")
+    return folds.disk_warnings(rows, ["camera_id"], "us", "value").select("camera_id", "event_id", "us")
+
+
 @plan("str_12_pre_roll", f"WITH {EVENTS}, f AS (SELECT event_id, camera_id, epoch_us(ts) AS us, label FROM e), t AS (SELECT * FROM f WHERE label = 'person' AND event_id % 10 = 0) SELECT f.event_id, t.event_id AS trigger FROM f JOIN t ON f.camera_id = t.camera_id AND f.us BETWEEN t.us - 600000000 AND t.us + 300000000")
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "camera_id", "label", temporal.micros(F.col("ts")).alias("us"))
@@ -372,7 +388,7 @@ def watchdog_sql(online: str) -> str:
         f"SELECT camera_id, event_id, {online} AS online, epoch_us(ts) AS us FROM e",
         "CASE WHEN NOT online THEN us END AS since, false AS told, CASE WHEN NOT online THEN 'down' END AS change",
         """CASE WHEN NOT r.online THEN coalesce(w.since, r.us) END AS since, NOT r.online AND w.since IS NOT NULL AND (w.told OR r.us - w.since >= 1800000000) AS told,
-        CASE WHEN r.online THEN CASE WHEN w.since IS NOT NULL THEN 'recovered' END WHEN w.since IS NULL THEN 'down' WHEN NOT w.told AND r.us - w.since >= 1800000000 THEN 'alert' END AS change""",
+        CASE WHEN r.online THEN CASE WHEN w.told THEN 'recovered' END WHEN w.since IS NULL THEN 'down' WHEN NOT w.told AND r.us - w.since >= 1800000000 THEN 'alert' END AS change""",
         "camera_id, event_id, online, us, change",
         "change IS NOT NULL",
     )

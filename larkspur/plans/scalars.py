@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo, rules
+from larkspur.operators import neighbours
 from larkspur.plans import plan
 from larkspur.plans.sql import EVENTS, FIRST_OBJECT, MOST_SPECIFIC, walk
 from larkspur.sources import events as source
@@ -255,6 +256,21 @@ def _(spark, sf_dir):
     return out.where("b.distance <= 24").select("vec_id", "b.profile", "b.distance")
 
 
+@plan(
+    "jn_13_registry_index",
+    """WITH h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS t FROM embeddings),
+    r AS (SELECT vec_id AS profile, translate(substr(t, 1, CAST(vec_id % 15 AS INT)), '01', '10') || substr(t, CAST(vec_id % 15 AS INT) + 1) AS t FROM h WHERE vec_id % 3 = 0),
+    d AS (SELECT h.vec_id, profile, hamming(h.t, r.t) AS distance FROM h, r WHERE hamming(h.t, r.t) <= 10)
+    SELECT vec_id, profile, CAST(distance AS INT) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, profile) = 1""",
+)
+def _(spark, sf_dir):
+    """A registry that grows with the table: the hashes of a third of the rows, with up to fourteen of their first bits changed."""
+    rows = _bits(spark, sf_dir).select("vec_id", "hash")
+    changed = F.array(*[F.lit((1 << 64) - (1 << (64 - n)) - (1 << 64) if n else 0).cast("long") for n in range(15)])
+    registry = rows.where("vec_id % 3 = 0").select(F.col("vec_id").alias("profile"), F.col("hash").bitwiseXOR(F.get(changed, F.col("vec_id") % 15)).alias("of"))
+    return neighbours.nearest_hash(rows, registry, 10).select("vec_id", "profile", "distance")
+
+
 @plan("geo_15_hamming", "WITH h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS t FROM embeddings) SELECT a.vec_id, CAST(hamming(a.t, b.t) AS INT) AS distance FROM h a JOIN h b ON b.vec_id = a.vec_id + 1")
 def _(spark, sf_dir):
     rows = _bits(spark, sf_dir)

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from larkspur.operators import folds
 from larkspur.plans import plan
 from larkspur.plans.reports import CAPPED_SQL, watchdog_sql
-from larkspur.plans.sql import EVENTS
+from larkspur.plans.sql import EVENTS, walk
 from larkspur.plans.temporal import CONFIRM_SQL, cooldown_sql
-from larkspur.session import shared_folder
+from larkspur.session import shared_folder, stream_session
 from larkspur.sources.events import LABEL_OF
 from larkspur.sources.events import events_view as events
 from larkspur.streaming import events as live
+from larkspur.streaming import stateful
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +23,9 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "ts", F.concat(F.lit("cam_"), F.col("user_id") % 5).alias("camera_id"), label.alias("label"))
 
 
-def _run(stream: DataFrame) -> DataFrame:
-    """All of a stream's output, by a query that ends when its input does."""
-    spark = stream.sparkSession
+def _run(stream: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """All of a stream's output, by a query that ends when its input does, as a table of ``spark`` (the stream's own session, if none is given)."""
+    spark = spark or stream.sparkSession
     folder = shared_folder(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -33,7 +34,7 @@ def _run(stream: DataFrame) -> DataFrame:
 
 @plan("str_01_live_confirm", CONFIRM_SQL)
 def _(spark, sf_dir):
-    return _run(live.confirm(_stream(spark, sf_dir), 3, 1800.0))
+    return _run(stateful.confirm(_micros(stream_session(spark), sf_dir), 3, 1800.0), spark)
 
 
 @plan("str_03_live_cooldown", cooldown_sql("camera_id, label", "7200", "o.event_id, o.camera_id, o.label"))
@@ -100,6 +101,51 @@ def _(spark, sf_dir):
     return _run(folds.watchdog(rows, ["camera_id"], "us", "online", 1800.0)).where("change is not null").select("camera_id", "event_id", "online", "change")
 
 
+STALE_S, AFTER_S = 3600, 1800
+
+
+@plan(
+    "str_11_silent_watchdog",
+    f"""WITH {EVENTS}, s AS (SELECT camera_id, event_id, epoch_us(ts) AS us, event_id * 37 % 100 < 70 AS up, lead(epoch_us(ts)) OVER (PARTITION BY camera_id ORDER BY ts, event_id) AS following FROM e),
+    t AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 AS mark FROM e), f AS (SELECT camera_id, max(us) AS final FROM s GROUP BY 1),
+    p AS (SELECT camera_id, us, event_id, up FROM s UNION ALL SELECT camera_id, us + {STALE_S}000000, event_id, false FROM s, t WHERE up AND us + {STALE_S}000000 < coalesce(following, mark + 1)),
+    q AS (SELECT *, lag(up, 1, true) OVER (PARTITION BY camera_id ORDER BY us, event_id) AS was FROM p),
+    c AS (SELECT *, lead(us) OVER (PARTITION BY camera_id ORDER BY us, event_id) AS ended FROM q WHERE up <> was),
+    d AS (SELECT c.camera_id, us, ended, us + {AFTER_S}000000 <= coalesce(ended - 1, greatest(mark, final)) AS told FROM c JOIN f ON f.camera_id = c.camera_id, t WHERE NOT up)
+    SELECT camera_id, us, 'down' AS change FROM d UNION ALL SELECT camera_id, us + {AFTER_S}000000, 'alert' FROM d WHERE told UNION ALL SELECT camera_id, ended, 'recovered' FROM d WHERE told AND ended IS NOT NULL""",
+)
+def _(spark, sf_dir):
+    """Cameras that say they are down, and cameras that say nothing for an hour."""
+    rows = _micros(stream_session(spark), sf_dir).select("camera_id", "ts", "us", "event_id", (F.col("event_id") * 37 % 100 < 70).alias("online"))
+    return _run(stateful.watchdog(rows, float(STALE_S), float(AFTER_S)), spark)
+
+
+COOLDOWNS = {"person": 1800.0, "cat": 3600.0, "bird": 7200.0, "squirrel": 7200.0}
+_EARLY = {"enabled": "event_id % 31 = 0", "muted": "event_id % 29 = 0", "camera_muted": "event_id % 23 = 0", "label_off": "label = 'motion'", "below_score": "event_id * 37 % 100 < 30", "suppressed": "event_id % 19 = 0"}
+_LATE = {"off_schedule": "hour(ts) >= 22 OR hour(ts) < 6", "silent": "event_id % 17 = 0"}
+
+
+def _reason(gates: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {stopped} THEN '{gate}'" for gate, stopped in gates.items()) + " END"
+
+
+def _gates_sql() -> str:
+    anchor = "CASE r.label " + " ".join(f"WHEN '{k}' THEN w.last_{k}" for k in COOLDOWNS) + " END"
+    wait = "CASE r.label " + " ".join(f"WHEN '{k}' THEN {int(v * 1e6)}" for k, v in COOLDOWNS.items()) + " END"
+    reason = f"coalesce(r.early, CASE WHEN r.us - w.last < 600000000 THEN 'rate_limited' END, CASE WHEN r.us - {anchor} < {wait} THEN 'cooling_down' END, r.late)"
+    first = ["coalesce(early, late) AS reason", "CASE WHEN early IS NULL AND late IS NULL THEN us END AS last", *(f"CASE WHEN early IS NULL AND late IS NULL AND label = '{k}' THEN us END AS last_{k}" for k in COOLDOWNS)]
+    after = [f"{reason} AS reason", f"CASE WHEN {reason} IS NULL THEN r.us ELSE w.last END AS last", *(f"CASE WHEN {reason} IS NULL AND r.label = '{k}' THEN r.us ELSE w.last_{k} END AS last_{k}" for k in COOLDOWNS)]
+    return walk(f"SELECT camera_id, event_id, label, epoch_us(ts) AS us, {_reason(_EARLY)} AS early, {_reason(_LATE)} AS late FROM e", ", ".join(first), ", ".join(after), "event_id, reason")
+
+
+@plan("str_17_live_gates", _gates_sql())
+def _(spark, sf_dir):
+    """All ten gates: six before the rate limit of ten minutes a camera and the cooldown of its labels, two after."""
+    rows = _micros(stream_session(spark), sf_dir)
+    given = rows.select("*", F.expr(_reason(_EARLY)).alias("early"), F.expr(_reason(_LATE)).alias("late"))
+    return _run(stateful.gate_chain(given, 600.0, COOLDOWNS), spark)
+
+
 def _blobs(rows):
     """A frame per event: one or two blobs that wander with the event's number."""
     n = F.col("event_id")

@@ -1,4 +1,4 @@
-"""Live twins of the stateful operators: sessions, confirmation and cooldown over event streams.
+"""Live twins of the stateful operators: sessions, cooldown and tracks over event streams; those with timers are in ``stateful``.
 
 Streams are ordered by event time within a micro-batch and bounded by watermarks, which the batch operators don't need.
 """
@@ -38,30 +38,6 @@ def counts(stream: DataFrame, size: str = "1 hour", slide: str | None = None, la
     return out.select("camera_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def confirm(stream: DataFrame, n: int = 3, window: float = 5.0) -> DataFrame:
-    """STR-1: first hit of n within the window per camera and label; re-armed after twice the window of silence.
-
-    The state is the last n hits within the window, which decide, and whether the sighting is confirmed.
-    """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits, done = (list(x) if i == 0 else x for i, x in enumerate(state.get)) if state.exists else ([], False)
-        rows = pd.concat(list(parts)).sort_values(["us", "event_id"])
-        fired = []
-        for us, event_id in zip(rows["us"], rows["event_id"], strict=True):
-            if hits and done and us - hits[-1] > 2e6 * window:
-                hits, done = [], False
-            hits = [h for h in [*hits, int(us)] if us - h <= 1e6 * window][-n:]
-            if len(hits) >= n and not done:
-                done = True
-                fired.append(int(event_id))
-        state.update((hits, done))
-        yield pd.DataFrame({"camera_id": key[0], "label": key[1], "event_id": fired}, columns=["camera_id", "label", "event_id"])
-
-    rows = stream.select("camera_id", "label", "event_id", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("camera_id", "label").applyInPandasWithState(step, "camera_id string, label string, event_id long", "hits array<long>, done boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def cooldown(stream: DataFrame, seconds: float) -> DataFrame:
     """STR-3: events at least ``seconds`` after the key's last accepted one; suppressed events don't move the anchor."""
 
