@@ -239,6 +239,34 @@ def sunset_once(rows: DataFrame, keys: list[str], at_us: str, altitude: str, day
     return ordered_fold(rows, keys, at_us, [altitude, day], step, "fired boolean").where("fired").drop("fired")
 
 
+def guarded_backfill(rows: DataFrame, keys: list[str], order: str, value: str, strict: str, recheck: int = 3, least_slots: int = 100, share: float = 0.6, in_a_row: int = 20) -> DataFrame:
+    """WIN-32 with its guards: what becomes of each slot of a capture, as the column ``outcome``.
+
+    A slot with a value is ``fresh``. One without takes the last fresh one (``backfilled``), but after ``recheck`` of those in a row only if that frame also passes the stricter test
+    (``strict``); if it doesn't, it is forgotten, and slots are ``missing`` until the next fresh one. Once more than ``share`` of ``least_slots`` or more
+    slots are backfilled, or more than ``in_a_row`` in a row, the capture ends: all further slots have the reason.
+    """
+
+    def step(state, row):
+        held, fine, run, filled, slots, ended = state or (False, False, 0, 0, 0, None)
+        if ended:
+            return state, ended
+        if row[value] is not None:
+            held, fine, run, outcome = True, bool(row[strict]), 0, "fresh"
+        else:
+            if held and run >= recheck and not fine:
+                held, run = False, 0
+            run, filled, outcome = (run + 1, filled + 1, "backfilled") if held else (run, filled, "missing")
+        slots += 1
+        if slots >= least_slots and filled > share * slots:
+            ended = "too_many_backfills"
+        elif run > in_a_row:
+            ended = "too_many_in_a_row"
+        return (held, fine, run, filled, slots, ended), outcome
+
+    return ordered_fold(rows, keys, order, [value, strict], step, "outcome string")
+
+
 BLOB_IOU, BLOB_ACCEPT, BLOB_MISSES = 0.10, 0.25, 4
 
 

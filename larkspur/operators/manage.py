@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from larkspur.sources.events import event_date
 
@@ -128,3 +131,32 @@ def tolerant_match(wanted: DataFrame, files: DataFrame) -> DataFrame:
 def merge_settings(base: Column, override: Column) -> Column:
     """JN-19: a map with another's entries over it."""
     return F.map_from_entries(F.concat(F.map_entries(F.map_filter(base, lambda k, v: ~F.map_contains_key(override, k))), F.map_entries(override)))
+
+
+def _leaves(value: Column, kind: DataType, name: str, is_path: Callable[[str], bool], change: Callable[[Column], Column]) -> Column | None:
+    """``value`` with ``change`` applied to every string in it whose field's name is a path's; None if there is none."""
+    if isinstance(kind, StringType):
+        return change(value) if is_path(name) else None
+    if isinstance(kind, StructType):
+        parts = [(f.name, _leaves(value[f.name], f.dataType, f.name, is_path, change)) for f in kind.fields]
+        if all(c is None for _, c in parts):
+            return None
+        return F.when(value.isNotNull(), F.struct(*[(value[n] if c is None else c).alias(n) for n, c in parts]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _leaves(x, kind.elementType, name, is_path, change)) if _leaves(value[0], kind.elementType, name, is_path, change) is not None else None
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: _leaves(x, kind.valueType, name, is_path, change)) if _leaves(F.lit(None).cast(kind.valueType), kind.valueType, name, is_path, change) is not None else None
+    return None
+
+
+def rewrite_paths(events: DataFrame, renamed: DataFrame, suffixes: tuple[str, ...] = ("path", "url")) -> DataFrame:
+    """SNK-13: events of renamed cameras, with the folder of the old id replaced in every path they hold, however deeply nested.
+
+    ``renamed`` has (camera_id, new_id), each camera_id once. Which fields are paths is told by their names' ends, in columns, structs, arrays and maps alike; a folder is changed where a whole part of the path is
+    the old id, so other ids that begin like it stay, and so do all other fields. The camera_id changes too.
+    """
+    rows = events.join(renamed.select("camera_id", F.col("new_id").alias("__new_id")), "camera_id", "left")
+    change = lambda path: F.when(F.col("__new_id").isNull(), path).otherwise(F.array_join(F.transform(F.split(path, "/"), lambda part: F.when(part == F.col("camera_id"), F.col("__new_id")).otherwise(part)), "/"))
+    out = {f.name: _leaves(F.col(f"`{f.name}`"), f.dataType, f.name, lambda n: n.lower().endswith(suffixes), change) for f in events.schema.fields}
+    columns = [F.col(f"`{n}`") if c is None else c.alias(n) for n, c in out.items() if n != "camera_id"]
+    return rows.select(*columns, F.coalesce("__new_id", "camera_id").alias("camera_id")).select(*[F.col(f"`{c}`") for c in events.columns])

@@ -83,6 +83,29 @@ def _(spark, sf_dir):
     return manage.migrate_paths(listed, mapping).select("new_path", "met")
 
 
+_MOVED = "CASE camera_id WHEN 'cam_1' THEN 'door' WHEN 'cam_2' THEN 'yard' ELSE camera_id END"
+
+
+@plan(
+    "snk_13_rewrite_paths",
+    f"""WITH {EVENTS}, n AS (SELECT *, {_MOVED} AS now FROM e) SELECT event_id, now AS camera_id, 'media/' || now || '/' || event_id || '.mp4' AS video_relpath, now || '/cam_1x/' || event_id || '.jpg' AS snapshot, camera_id || '/as it was' AS note,
+    CASE WHEN k % 5 > 0 THEN now || '/a,' || now || '/b' ELSE '' END AS clips, '/' || now AS thumb FROM n""",
+)
+def _(spark, sf_dir):
+    """Paths in a column, a structure, an array of structures and a map; other fields hold the old id and keep it."""
+    cam, at = F.col("camera_id"), lambda *parts: F.concat_ws("/", *parts)
+    clip = lambda name: F.struct(at("camera_id", F.lit(name)).alias("clip_path"), cam.alias("label"))
+    rows = events(spark, sf_dir).select(
+        "event_id", "camera_id", F.concat(F.lit("media/"), cam, F.lit("/"), "event_id", F.lit(".mp4")).alias("video_relpath"),
+        F.struct(F.struct(F.concat(cam, F.lit("/cam_1x/"), "event_id", F.lit(".jpg")).alias("url"), at("camera_id", F.lit("as it was")).alias("note")).alias("snapshot"), F.when(F.col("k") % 5 > 0, F.array(clip("a"), clip("b"))).alias("clips")).alias("media"),
+        F.create_map(F.lit("thumb"), F.concat(F.lit("/"), cam)).alias("other_path"),
+    )
+    renamed = F.broadcast(spark.createDataFrame([("cam_1", "door"), ("cam_2", "yard")], "camera_id string, new_id string"))  # a fixed table
+    out = manage.rewrite_paths(rows, renamed)
+    clips = F.coalesce(F.array_join(F.transform("media.clips", lambda c: c["clip_path"]), ","), F.lit(""))
+    return out.select("event_id", "camera_id", "video_relpath", F.col("media.snapshot.url").alias("snapshot"), F.col("media.snapshot.note").alias("note"), clips.alias("clips"), F.col("other_path")["thumb"].alias("thumb"))
+
+
 @plan("snk_16_prune_backups", f"WITH {EVENTS}, r AS (SELECT event_id, row_number() OVER (PARTITION BY label ORDER BY ts DESC, event_id DESC) AS rn FROM e) SELECT event_id FROM r WHERE rn <= 100")
 def _(spark, sf_dir):
     return manage.newest(events(spark, sf_dir), ["label"], "ts", "event_id", max(1, min(100, 250))).select("event_id")

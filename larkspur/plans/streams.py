@@ -101,6 +101,21 @@ def _(spark, sf_dir):
     return _run(folds.watchdog(rows, ["camera_id"], "us", "online", 1800.0)).where("change is not null").select("camera_id", "event_id", "online", "change")
 
 
+@plan("str_12_live_pre_roll", f"WITH {EVENTS}, f AS (SELECT event_id, camera_id, epoch_us(ts) AS us, label FROM e), t AS (SELECT * FROM f WHERE label = 'person' AND event_id % 10 = 0) SELECT f.event_id, t.event_id AS trigger FROM f JOIN t ON f.camera_id = t.camera_id AND f.us BETWEEN t.us - 600000000 AND t.us + 300000000")
+def _(spark, sf_dir):
+    triggers = _stream(spark, sf_dir).where("label = 'person' AND event_id % 10 = 0")
+    return _run(live.around_live(_stream(spark, sf_dir), triggers, "10 minutes", "5 minutes"))
+
+
+@plan("str_18_live_unlocks", f"WITH {EVENTS} SELECT bird_species, arg_min(event_id, (ts, event_id)) AS event_id FROM e WHERE bird_species IS NOT NULL GROUP BY 1")
+def _(spark, sf_dir):
+    rows = live.event_stream(spark, f"{sf_dir}/events.parquet*").where("event_type = 'click'")
+    rows = rows.select("event_id", "ts", F.concat(F.lit("species_"), F.get_json_object("props", "$.k").cast("int") % 12).alias("bird_species"))
+    folder = shared_folder(spark, "unlocks")
+    live.first_unlocks(rows, "bird_species", folder).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("bird_species string, event_id long").parquet(f"{folder}/unlocks/batch=*")
+
+
 STALE_S, AFTER_S = 3600, 1800
 
 

@@ -193,6 +193,32 @@ def _(spark, sf_dir):
     return temporal.backfill(rows, ["camera_id"], "event_id", "v").select("camera_id", "event_id", F.coalesce("filled", F.lit(-1)).alias("filled"), "reused")
 
 
+def _backfill_sql() -> str:
+    dropped = "(r.v IS NULL AND w.held AND w.run >= 3 AND NOT w.fine)"
+    filled = f"(r.v IS NULL AND w.held AND NOT {dropped})"
+    run = f"CASE WHEN r.v IS NOT NULL THEN 0 WHEN {filled} THEN w.run + 1 ELSE CASE WHEN {dropped} THEN 0 ELSE w.run END END"
+    count = f"(w.filled + CASE WHEN {filled} THEN 1 ELSE 0 END)"
+    return walk(
+        f"SELECT camera_id || '/' || CAST(ts AS DATE) AS capture, event_id, epoch_us(ts) AS us, {_SLOT_SQL} AS v, k % 3 = 0 AS fine_now FROM e",
+        "v IS NOT NULL AS held, v IS NOT NULL AND fine_now AS fine, 0 AS run, 0 AS filled, 1 AS slots, CAST(NULL AS VARCHAR) AS ended, CASE WHEN v IS NOT NULL THEN 'fresh' ELSE 'missing' END AS outcome",
+        f"""r.v IS NOT NULL OR (w.held AND NOT {dropped}) AS held, CASE WHEN r.v IS NOT NULL THEN r.fine_now ELSE w.fine END AS fine, {run} AS run, {count} AS filled, w.slots + 1 AS slots,
+        CASE WHEN w.ended IS NOT NULL THEN w.ended WHEN w.slots + 1 >= 20 AND {count} > 0.5 * (w.slots + 1) THEN 'too_many_backfills' WHEN {run} > 8 THEN 'too_many_in_a_row' END AS ended,
+        CASE WHEN w.ended IS NOT NULL THEN w.ended WHEN r.v IS NOT NULL THEN 'fresh' WHEN {filled} THEN 'backfilled' ELSE 'missing' END AS outcome""",
+        "capture, event_id, outcome",
+        key="capture",
+    )
+
+
+_SLOT_SQL = "CASE WHEN (hour(ts) < 10 AND k < 70) OR (hour(ts) >= 10 AND k >= 45) THEN k END"
+
+
+@plan("win_32_guarded_backfill", _backfill_sql())
+def _(spark, sf_dir):
+    """A capture for each camera and day, that ends after half of twenty slots or eight in a row."""
+    rows = events(spark, sf_dir).select(F.concat_ws("/", "camera_id", F.col("ts").cast("date")).alias("capture"), "event_id", temporal.micros(F.col("ts")).alias("us"), F.expr(_SLOT_SQL).alias("v"), (F.col("k") % 3 == 0).alias("fine"))
+    return folds.guarded_backfill(rows, ["capture"], "us", "v", "fine", least_slots=20, share=0.5, in_a_row=8).select("capture", "event_id", "outcome")
+
+
 @plan("win_33_identical_runs", f"WITH {EVENTS}, x AS (SELECT camera_id, event_id, k % 3 AS flag FROM e), {_ISLANDS}, c AS (SELECT camera_id, count(*) AS n FROM b GROUP BY camera_id, run) SELECT camera_id, CAST(sum(n - 1) AS BIGINT) AS repeats, max(n) AS longest FROM c GROUP BY 1")
 def _(spark, sf_dir):
     runs = temporal.islands(events(spark, sf_dir), ["camera_id"], "event_id", F.col("k") % 3)

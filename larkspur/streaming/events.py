@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.operators import tracking
@@ -89,3 +90,31 @@ def skip_reason(given: dict[str, Column]) -> Column:
         stopped = ~given.get(gate, F.lit(True)) if gate == "enabled" else given.get(gate, F.lit(False))
         out = F.when(stopped, gate).otherwise(out)
     return out
+
+
+def around_live(frames: DataFrame, triggers: DataFrame, before: str = "5 seconds", after: str = "5 seconds", late: str = "10 minutes") -> DataFrame:
+    """STR-12 live: frames within ``before`` and ``after`` of a trigger of their camera, as (event_id, trigger).
+
+    A stream-stream join: both sides have watermarks and the range bounds how long either can still meet the other, so what no longer can is dropped from the state.
+    """
+    f = frames.select(F.col("event_id"), F.col("camera_id"), F.col("ts")).withWatermark("ts", late)
+    t = triggers.select(F.col("event_id").alias("trigger"), F.col("camera_id").alias("of"), F.col("ts").alias("at")).withWatermark("at", late)
+    met = (F.col("camera_id") == F.col("of")) & (F.col("ts") >= F.col("at") - F.expr(f"INTERVAL {before}")) & (F.col("ts") <= F.col("at") + F.expr(f"INTERVAL {after}"))
+    return f.join(t, met).select("event_id", "trigger")
+
+
+def first_unlocks(stream: DataFrame, key: str, folder: str) -> DataStreamWriter:
+    """STR-18 live: the first event of each value of ``key``, written once to ``folder``/unlocks; what is written stays, whatever comes later.
+
+    A batch is reduced to one row a value before it meets the unlocks of earlier batches, so a value that half of the events have costs one row. A batch that runs twice leaves the same.
+    """
+    schema = f"{key} string, event_id long, ts timestamp, batch int"
+
+    def step(batch: DataFrame, number: int) -> None:
+        first = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("ts", "event_id")).alias("first")).select(key, "first.event_id", "first.ts")
+        if number:
+            known = batch.sparkSession.read.schema(schema).option("basePath", f"{folder}/unlocks").parquet(f"{folder}/unlocks/batch=*").where(F.col("batch") < number)
+            first = first.join(known.select(key), key, "left_anti")
+        first.coalesce(1).write.mode("overwrite").parquet(f"{folder}/unlocks/batch={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/log")
