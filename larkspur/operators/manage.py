@@ -149,7 +149,7 @@ def _leaves(value: Column, kind: DataType, name: str, is_path: Callable[[str], b
     return None
 
 
-def rewrite_paths(events: DataFrame, renamed: DataFrame, suffixes: tuple[str, ...] = ("path", "url")) -> DataFrame:
+def rewrite_paths(events: DataFrame, renamed: DataFrame, suffixes: tuple[str, ...] = ("path", "paths", "url", "urls")) -> DataFrame:
     """SNK-13: events of renamed cameras, with the folder of the old id replaced in every path they hold, however deeply nested.
 
     ``renamed`` has (camera_id, new_id), each camera_id once. Which fields are paths is told by their names' ends, in columns, structs, arrays and maps alike; a folder is changed where a whole part of the path is

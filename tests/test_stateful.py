@@ -7,8 +7,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.operators import folds, manage
 from larkspur.session import stream_session
 from larkspur.sources import polling
+from larkspur.streaming import events as live
 from larkspur.streaming import publish, stateful
 
 START = datetime(2024, 1, 1)
@@ -150,3 +152,89 @@ def test_a_batch_is_published_once(spark, tmp_path):
     close = spark.createDataFrame([(1, 0, "t", 1), (2, 299_000_000, "t", 1), (3, 300_000_000, "t", 1), (4, 10, "t", 2)], publish.WARNINGS)
     assert sorted(r.event_id for r in publish.warnings(close, close.limit(0)).collect()) == [1, 3, 4]
     assert sorted(r.event_id for r in publish.warnings(close, close.where("event_id = 1")).collect()) == [3, 4]
+
+
+def guarded(slots, recheck, least, share, most):
+    """The outcomes of (value, strict) slots."""
+    out, held, run, filled, ended = [], None, 0, 0, None
+    for n, (value, strict) in enumerate(slots, 1):
+        if ended:
+            out.append(ended)
+            continue
+        if value is not None:
+            held, run = bool(strict), 0
+            out.append("fresh")
+        else:
+            if held is False and run >= recheck:
+                held, run = None, 0
+            if held is None:
+                out.append("missing")
+            else:
+                run, filled = run + 1, filled + 1
+                out.append("backfilled")
+        if n >= least and filled / n > share:
+            ended = "too_many_backfills"
+        elif run > most:
+            ended = "too_many_in_a_row"
+    return out
+
+
+def test_guarded_backfill(spark, tmp_path):
+    rng = random.Random(7)
+    captures = {f"c{i}": [(rng.choice([1, None, None, None]) if rng.random() < 0.2 + i / 20 else 1, rng.random() < 0.5) for _ in range(60)] for i in range(12)}
+    captures |= {"long": [(1, True)] + [(None, None)] * 40, "never": [(None, True)] * 30, "empty": []}
+
+    want = sorted((c, n, o) for c, slots in captures.items() for n, o in enumerate(guarded(slots, 3, 30, 0.4, 20)))
+    assert len({o for *_, o in want}) == 5
+    values = spark.createDataFrame([(c, n, v, s) for c, slots in captures.items() for n, (v, s) in enumerate(slots)], "c string, n long, value int, strict boolean")
+    fold = lambda f, order: folds.guarded_backfill(f, ["camera_id"], order, "value", "strict", 3, 30, 0.4, 20)
+    batch = fold(values.withColumnRenamed("c", "camera_id"), "n").select("camera_id", "n", "outcome")
+    assert sorted(map(tuple, batch.collect())) == want
+
+    folder = f"{tmp_path}/slots"
+    for half in ("n < 25", "n >= 25"):
+        values.where(half).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(values.schema).parquet(folder).withColumnRenamed("c", "camera_id")
+        fold(stream, "n").select("camera_id", "n", "outcome").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == want
+
+
+
+def test_live_pre_roll_and_its_state(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice(["person", "cat"]), i, rng.randrange(20_000), True) for i in range(200)] + [("z", "person", 1_000, 90_000, True)]
+    live_join = lambda s: live.around_live(s, s.where("label = 'person' and event_id % 4 = 0"), "120 seconds", "60 seconds")
+    triggers = [r for r in rows if r[1] == "person" and r[2] % 4 == 0]
+    want = sorted((f[2], t[2]) for f in rows for t in triggers if f[0] == t[0] and t[3] - 120 <= f[3] <= t[3] + 60)
+    for cuts in ((0,), (0, 30, 90, 150)):
+        got, left = streamed(spark, tmp_path, rows, live_join, cuts)
+        assert got == want and left[-1] <= 4 < max(left)  # nothing of the first hours can meet anything any more
+
+
+def test_unlocks_are_written_once(spark, tmp_path):
+    schema = "event_id long, ts timestamp, name string"
+    parts = [[(1, 50, "owl"), (2, 40, "owl"), (3, 10, None), (4, 40, "owl")], [(5, 1, "owl"), (6, 70, "jay"), (7, 60, "jay")], [(8, 0, "jay"), (9, 99, "tit")]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame([(i, START + timedelta(seconds=s), n) for i, s, n in part], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if k == 2:  # as if the driver was lost before the second batch was committed
+            for name in ("1", ".1.crc"):
+                (tmp_path / "out" / "log" / "commits" / name).unlink()
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        live.first_unlocks(stream, "name", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.name, r.event_id) for r in spark.read.parquet(f"{tmp_path}/out/unlocks").collect())
+    assert got == [("jay", 7), ("owl", 2), ("tit", 9)]  # what came first was written, though earlier events came later
+
+
+def test_paths_are_rewritten_wherever_they_are(spark):
+    schema = "camera_id string, video_relpath string, note string, media struct<deep:array<struct<url:string,at:int>>,by:map<string,string>>, all_paths array<array<string>>, file_path map<string,struct<x_path:string>>, n int"
+    rows = [
+        ("old", "old/a.mp4", "old/x", ([("/old/b", 1), (None, 2)], {"url": "old"}), [["old/c", "older/c"], []], {"k": ("x/old",)}, 1),
+        ("old", None, None, None, None, None, None),
+        ("other", "old/a.mp4", "", ([], {}), [["other/old"]], {}, 2),
+        (None, "old", None, None, None, None, 3),
+    ]
+    out = manage.rewrite_paths(spark.createDataFrame(rows, schema), spark.createDataFrame([("old", "new"), ("unused", "x")], "camera_id string, new_id string"))
+    assert out.columns == ["camera_id", "video_relpath", "note", "media", "all_paths", "file_path", "n"]
+    plain = lambda x: tuple(map(plain, x)) if isinstance(x, tuple) else [plain(y) for y in x] if isinstance(x, list) else {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else x
+    want = [("new", "new/a.mp4", "old/x", ([("/new/b", 1), (None, 2)], {"url": "old"}), [["new/c", "older/c"], []], {"k": ("x/new",)}, 1), ("new", *rows[1][1:]), *rows[2:]]
+    assert sorted((plain(tuple(r)) for r in out.collect()), key=repr) == sorted(want, key=repr)
