@@ -33,11 +33,13 @@ def polygons(spark, sf_dir):
 @plan(
     "geo_10_zone_table",
     f"""WITH {ZONES_SQL}, best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY named DESC, zone_id) = 1)
-    SELECT d.event_id, zone_id, save_photo, CASE WHEN zone_id IS NOT NULL THEN true END AS save_video, send_message FROM d LEFT JOIN best USING (event_id)
+    SELECT d.event_id, coalesce(zone_id, -1) AS zone_id, coalesce(save_photo, false) AS save_photo, zone_id IS NOT NULL AS save_video, coalesce(send_message, false) AS send_message FROM d LEFT JOIN best USING (event_id)
     WHERE zone_id IS NOT NULL OR NOT EXISTS (SELECT 1 FROM z WHERE z.camera_id = d.camera_id AND (len(z.labels) = 0 OR list_contains(z.labels, d.label)))""",
 )
 def _(spark, sf_dir):
-    return zones.zoned(events(spark, sf_dir), polygons(spark, sf_dir)).select("event_id", "zone_id", "save_photo", "save_video", "send_message")
+    """Detections that no zone applies to have zone -1 and no flags."""
+    found = zones.zoned(events(spark, sf_dir), polygons(spark, sf_dir))
+    return found.select("event_id", F.coalesce("zone_id", F.lit(-1)).alias("zone_id"), *[F.coalesce(f, F.lit(False)).alias(f) for f in zones.FLAGS])
 
 
 @plan("geo_11_mask_table", f"WITH {ZONES_SQL} SELECT event_id FROM d WHERE event_id NOT IN (SELECT event_id FROM m)")
