@@ -1,5 +1,8 @@
 """Invariants and edge cases that the tables don't hold."""
 
+import random
+from datetime import datetime, timedelta
+
 import json
 
 import pandas as pd
@@ -307,6 +310,30 @@ def test_goals_follow_a_stream(spark, tmp_path):
     assert [(s.progress, s.notify) for s in states] == [(4, False), (6, True)]
 
 
+def test_goals_of_a_stream_equal_those_of_all_events(spark, tmp_path):
+    rng = random.Random(3)
+    start = datetime(2023, 11, 20)
+    rows = []
+    for i in range(240):
+        ts = start + timedelta(hours=rng.uniform(0, 24 * 170))
+        rows.append((ts, ts.strftime("%Y-%m-%dT%H:%M:%S") if i % 9 else "", rng.choice([["bird"], ["cat", "motion"], []]), rng.choice([None, " ", "Parus", "parus ", "Strix"])))
+    rows.sort(key=lambda r: r[0] + timedelta(days=rng.uniform(0, 20)))  # some come late
+    schema = "ts timestamp_ntz, time string, labels array<string>, bird_species string"
+    windows = ("december", "april_rolling_week", "year_to_date", "current_calendar_month", "current_rolling_week")
+    wanted = [goals.Goal(f"{w}_{c}", w, 12, c, label="bird" if c == "days" else None) for w in windows for c in ("events", "species", "days")]
+    clock = ["2023-12-10 03:00:00", "2024-01-03 12:00:00", "2024-02-01 00:00:00", "2024-04-03 06:30:00", "2024-04-20 06:30:00", "2024-05-09 00:00:00"]
+    state = spark.createDataFrame([], goals.STATE)
+    for n, now in enumerate(clock):
+        spark.createDataFrame(rows[40 * n : 40 * n + 40], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        goals.follow(stream, wanted, f"{tmp_path}/out", clock.__getitem__).trigger(availableNow=True).start().awaitTermination()
+        found = goals.evaluate(spark.createDataFrame(rows[: 40 * n + 40], schema), wanted, state, now)
+        want = sorted(map(tuple, found.collect()))
+        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/state/batch={n}").select(*found.columns).collect())) == want
+        state = spark.createDataFrame([r[:-1] for r in want], goals.STATE)
+    assert state.where("notified_at is not null").count() >= 3
+
+
 def test_sunset_fires_once_a_day(spark):
     rows = [(1, m * 60_000_000, a, d) for m, a, d in ((0, 6.0, "a"), (1, 5.0, "a"), (9, 4.0, "a"), (13, 3.0, "a"), (30, 2.0, "a"), (60, 1.0, "b"), (61, 9.0, "b"), (62, 1.0, "b"), (74, None, "b"), (75, 0.0, "b"))]
     got = folds.sunset_once(spark.createDataFrame(rows, "k int, us long, alt double, day string"), ["k"], "us", "alt", "day")
