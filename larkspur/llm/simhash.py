@@ -6,7 +6,8 @@ two blocks form groups. A group is split by its pivot table: a distance is cut i
 next one, of as many pivots as the group's size asks for; near fingerprints differ by two at most in every distance (the triangle inequality),
 so they meet in some cell. Within a cell, fingerprints sorted by their distance to the first pivot are only compared while that differs by two or less;
 a pair whose table entries differ by more than two anywhere is discarded, and survivors are verified on the fingerprints themselves.
-All groups, of any size, go this way.
+All groups, of any size, go this way. A pair can meet in several groups and in several cells of each: it is a link only in the first group that both share and, there, in
+the cell where neither or only one of the two stands a step above its own in every distance, so each link comes out once.
 
 Nulls, empty and one- or two-word texts: null and wordless texts have fingerprint 0, shorter texts than three words hash
 their whole word sequence. Rows without doc_id get a fingerprint, no component, and link nothing. Repeated rows share
@@ -79,13 +80,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _links_of_cells(batches):
-    """Links within each cell of rows sorted by cell and first pivot distance; holds no more than the rows whose distance is still within reach."""
+    """Links within each cell of rows sorted by cell and first pivot distance; holds no more than the rows whose distance is still within reach.
+
+    A bit of ``up`` is set where the row's cell is a step above its own distance. Of the cells in which two rows meet, the one that counts has no bit set in both.
+    """
+    masks = np.array(GROUP_MASKS, np.uint64)
     left = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         fresh = 0 if left is None else left.num_rows  # rows before it have been compared with each other
         rows = rows if left is None else pa.concat_tables([left, rows])
-        group, cell, fp, ident = (rows.column(k).to_numpy() for k in ("grp", "cell", "fp", "id"))
+        group, cell, fp, ident, block, up = (rows.column(k).to_numpy() for k in ("grp", "cell", "fp", "id", "block", "up"))
         table = np.asarray(rows.column("pivots").combine_chunks().flatten()).reshape(len(fp), -1).astype(np.int8)
         part = np.cumsum(np.r_[False, (group[1:] != group[:-1]) | (cell[1:] != cell[:-1])])
         first = table[:, 0]
@@ -94,19 +99,23 @@ def _links_of_cells(batches):
             a = a[(part[a + k] == part[a]) & (first[a + k] - first[a] <= MAX_DISTANCE)]
             if not len(a):
                 break
+            a = a[up[a] & up[a + k] == 0]
             b = a + k
             near = np.abs(table[a] - table[b]).max(axis=1) <= MAX_DISTANCE
             a, b = a[near], b[near]
-            near = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= MAX_DISTANCE
-            if near.any():
-                yield batch_of(src=(ident[a[near]], pa.int64()), dst=(ident[b[near]], pa.int64()))
+            differ = (fp[a] ^ fp[b]).view(np.uint64)
+            near = np.bitwise_count(differ) <= MAX_DISTANCE
+            a, b, differ = a[near], b[near], differ[near]
+            here = (differ[:, None] & masks == 0).argmax(axis=1) == block[a]
+            if here.any():
+                yield batch_of(src=(ident[a[here]], pa.int64()), dst=(ident[b[here]], pa.int64()))
         left = rows.slice(int(np.argmax((part == part[-1]) & (first >= first[-1] - MAX_DISTANCE))))
 
 
 def links(fps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``(src, dst)`` links between the ids of distinct fingerprints ``(fp, id)``, each at least once."""
-    group = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(np.int64(np.uint64(m)).item())).alias("value")) for i, m in enumerate(GROUP_MASKS)])
-    keys = fps.select("fp", "id", F.inline(group)).select("fp", "id", F.xxhash64("block", "value").alias("grp"))  # groups whose hashes meet are only compared in vain
+    """``(src, dst)`` links between the ids of distinct fingerprints ``(fp, id)``, each once."""
+    group = F.array(*[F.struct(F.lit(i).cast("byte").alias("block"), F.col("fp").bitwiseAND(F.lit(np.int64(np.uint64(m)).item())).alias("value")) for i, m in enumerate(GROUP_MASKS)])
+    keys = fps.select("fp", "id", F.inline(group)).select("fp", "id", "block", F.xxhash64("block", "value").alias("grp"))  # groups whose hashes meet are only compared in vain
     shared = materialise(keys.join(keys.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "grp"), "simhash-shared")
 
     table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()])
@@ -115,7 +124,7 @@ def links(fps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     placed = shared.withColumn("pivots", table).withColumn("splits", splits).withColumn("steps", steps)
     placed = placed.withColumn("c", F.explode(F.expr("sequence(0, shiftleft(1, size(steps)) - 1)")))
     cell = F.xxhash64(F.transform("steps", lambda q, i: q + F.call_function("shiftright", F.col("c"), i).bitwiseAND(F.lit(1))))
-    placed = placed.select("grp", cell.alias("cell"), "fp", "id", "pivots")
+    placed = placed.select("grp", "block", cell.alias("cell"), F.col("c").cast("short").alias("up"), "fp", "id", "pivots")
     sorted_cells = placed.repartition("grp", "cell").sortWithinPartitions("grp", "cell", F.col("pivots")[0])
     return sorted_cells.mapInArrow(_links_of_cells, "src long, dst long")
 

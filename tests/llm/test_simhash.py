@@ -45,6 +45,15 @@ def test_links_are_complete_for_any_split(spark):
         assert {i: found.get(i, i) for i in want} == want
 
 
+def test_each_link_comes_once(spark):
+    fps = np.arange(2999)  # consecutive numbers: a dense group, split by as many pivots as there are
+    near = np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, 1)
+    table = spark.createDataFrame([(int(f), int(f) * 5) for f in fps], "fp long, id long")
+    for rows in (simhash.CELL_ROWS, 1000, 3):
+        found = [tuple(sorted((r.src // 5, r.dst // 5))) for r in simhash.links(table, rows).collect()]
+        assert len(found) == near.sum() and set(found) == {(int(i), int(j)) for i, j in zip(*near.nonzero(), strict=True)}
+
+
 def test_rows(spark):
     text = "the quick brown fox jumps over the lazy dog again"
     rows = spark.createDataFrame([(5, text, 1), (3, text.upper(), 2), (3, text, 2), (None, text, 3), (8, None, 4), (9, "", 5), (7, "other words altogether here", 6)], "doc_id long, text string, fp int")
