@@ -1,8 +1,9 @@
 import re
 from collections import Counter
-from math import comb
+from math import comb, floor
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -58,6 +59,75 @@ def test_rules_on_rows(spark):
     assert quality_rules.judge(docs.limit(0), labels).count() == 0
 
 
+def plain_kept(texts, lang, quality):
+    """Which texts stay, by a walk over plain lists."""
+    at = {c: i for i, c in enumerate(textstats.COUNTS + textstats.MORE)}
+    stats = {d: textstats.statistics(t) for d, t in texts.items()}
+    base = {d: s[0] < 20 or 100 * s[4] > 30 * s[0] for d, s in stats.items()}
+    bins = {}
+    for d, s in stats.items():
+        for rule, (part, whole, top) in quality_rules.RULES.items():
+            n = s[at["n_words"]] - s[at["n_unique"]] if "-" in part else s[at[part]]
+            bins[d, rule] = floor(min(n / s[at[whole]] / top, 1.0) * quality_rules.BINS) if s[at[whole]] else 0
+    rows = [d for d in texts if d in quality and not base[d]]
+    first = [d for d in rows if xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42) % 64 < quality_rules.DESIGN]
+    good, bad = [d for d in first if quality[d] == 1], [d for d in first if quality[d] != 1]
+    steps, step = [], {}
+    for share in quality_rules.STEPS:
+        for rule in quality_rules.RULES:
+            hit = lambda ids, cut: sum(bins[d, rule] >= cut for d in ids)  # noqa: B023, E731
+            fits = [c for c in range(1, quality_rules.BINS + 1) if any(bins[d, rule] == c for d in bad) and hit(good, c) <= share * len(good) and hit(bad, c) * len(good) > quality_rules.MIN_LIFT * hit(good, c) * len(bad)]
+            if fits:
+                step = step | {rule: min([*fits, step.get(rule, 99)])}
+        steps.append(step)
+    rejects = lambda d, s: any(bins[d, r] >= c for r, c in s.items())
+    holdout = [d for d in rows if d not in first]
+    strata = {lang[d] for d in holdout}
+    chosen = dict.fromkeys(lang.values(), {})
+    for one in strata:
+        good, bad = ([d for d in holdout if lang[d] == one and (quality[d] == 1) == g] for g in (True, False))
+        best = 0.0
+        for s in steps:
+            k, n = sum(rejects(d, s) for d in good), len(good)
+            tail = sum(comb(n, i) * 0.05**i * 0.95 ** (n - i) for i in range(k + 1))
+            if tail > quality_rules.DELTA / len(strata):  # k or fewer of n are too likely at a rate of 5 %
+                break
+            gain = sum(rejects(d, s) for d in bad) / max(1, len(bad)) - quality_rules.MIN_LIFT * k / max(1, n)
+            if gain > best + 1e-12:
+                best, chosen[one] = gain, s
+    return {d: not base[d] and not rejects(d, chosen[lang[d]]) for d in texts}, chosen
+
+
+def test_kept_equals_a_plain_walk(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.collect()
+    want, chosen = plain_kept({r.doc_id: r.text for r in rows}, {r.doc_id: r.lang for r in rows}, {r.doc_id: r.quality for r in labels.collect()})
+    assert {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()} == want
+    assert chosen["en"] and not all(want.values())
+    # One language for all: a single stratum has enough labels, whatever it is called.
+    one = docs.withColumn("lang", docs.source.isNull().cast("string"))
+    want, chosen = plain_kept({r.doc_id: r.text for r in rows}, dict.fromkeys((r.doc_id for r in rows), "x"), {r.doc_id: r.quality for r in labels.collect()})
+    assert chosen["x"] and {r.doc_id: r.kept for r in quality_rules.judge(one, labels).collect()} == want
+
+
+def test_seventy_two_good_rows_suffice():
+    error = quality_rules.DELTA / 4
+    assert quality_rules.cutoff([71, 0], [0, 9], error, quality_rules.MAX_FALSE) is None
+    assert quality_rules.cutoff([72, 0], [0, 9], error, quality_rules.MAX_FALSE) == 1
+
+
+def test_the_guarantee_holds_in_simulation():
+    rng = np.random.default_rng(1)
+    error, steps = 0.1, np.array([0.94, 0.01, 0.01, 0.01, 0.015, 0.015])  # the last two steps reject 6 % and 4.5 % of the good, and so on
+    missed = used = 0
+    for _ in range(600):
+        good = rng.multinomial(int(rng.integers(60, 900)), steps).tolist()
+        at = quality_rules.cutoff(good, [5, 9, 9, 9, 9, 9], error, 0.05)
+        used += at is not None
+        missed += at is not None and steps[at:].sum() > 0.05
+    assert used > 100 and missed <= 600 * error
+
+
 def test_trees_learn_and_walk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))
