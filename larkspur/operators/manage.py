@@ -71,6 +71,22 @@ def orphans(events: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(paths, "path", "left_anti").select("event_id").distinct()
 
 
+def purge(listing: DataFrame, events: DataFrame) -> DataFrame:
+    """SNK-8: ``(path, why)`` of all that goes: manifests that couldn't be read, manifests whose media is missing, and then track sidecars and best
+    pictures without a manifest that stays in their camera.
+
+    ``listing`` has (camera_id, path) of every file, ``events`` the manifests that could be read: their path, snapshot_relpath and video_relpath.
+    """
+    named = listing.select("camera_id", "path", F.regexp_extract("path", r"([^/]+?)(\.tracks\.json|\.best\.jpg|\.json)$", 1).alias("stem"), F.regexp_extract("path", r"(\.tracks\.json|\.best\.jpg|\.json)$", 1).alias("kind"))
+    manifests, sidecars = named.where("kind = '.json'"), named.where("kind in ('.tracks.json', '.best.jpg')")
+    broken = manifests.join(events.select("path"), "path", "left_anti").select("path", F.lit("malformed").alias("why"))
+    lost = orphans(events.withColumn("event_id", F.col("path")), listing).select(F.col("event_id").alias("path"), F.lit("media").alias("why"))
+    gone = broken.unionByName(lost)
+    stay = manifests.join(gone, "path", "left_anti").select("camera_id", "stem")
+    alone = sidecars.join(stay, ["camera_id", "stem"], "left_anti").select("path", F.lit("sidecar").alias("why"))
+    return gone.unionByName(alone)
+
+
 def register_media(files: DataFrame, events: DataFrame) -> DataFrame:
     """SNK-9: stub events for media without one; the time is in the stem where it can be read."""
     new = files.join(events.select(F.col("video_relpath").alias("path")), "path", "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import rules
+from larkspur.session import shared_folder
 
 NO_DAY, NO_HOUR = "unbekannt", "??"
 
@@ -257,3 +258,17 @@ def with_review(rows: DataFrame, reviews: DataFrame) -> DataFrame:
 def with_camera_name(rows: DataFrame, cameras: DataFrame) -> DataFrame:
     """JN-3: the camera's name, else its id. Spark broadcasts the dimension while it is small."""
     return rows.join(cameras.select(F.col("id").alias("camera_id"), "name"), "camera_id", "left").withColumn("camera_name", F.coalesce("name", "camera_id")).drop("name")
+
+
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Every row with its ``place`` from 1 in the order of all rows, which must be a total one.
+
+    Rows are sorted by range and written once, so that no task sees them all: a row's place is the number of rows in the ranges before its own and its place there.
+    """
+    folder = shared_folder(rows.sparkSession, "placed")
+    rows.orderBy(*order).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
+    ranges = rows.sparkSession.read.parquet(folder)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = ranges.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
+    within = ranges.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return within.join(starts, "_range").withColumn("place", F.col("_before") + F.col("_nth")).drop("_range", "_before", "_nth")

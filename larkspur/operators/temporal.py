@@ -97,6 +97,25 @@ def islands(rows: DataFrame, keys: list[str], order: str, flag: Column) -> DataF
     return rows.groupBy(*keys, "run", "flag").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n")).drop("run")
 
 
+def chart_lines(rows: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
+    """WIN-14: each field of a series as points of a unit square: ``(keys, order, field, run, x, y, smooth)``.
+
+    x is the row's place in the series. y falls from 1 at the field's least value to 0 at its largest; a flat line is at half height. Nulls and values that
+    are not finite end a run; runs count from 1, and those of six points or more are smooth. A field with fewer than two values has no line.
+    """
+    series = Window.partitionBy(*keys)
+    placed = rows.withColumns({"_i": F.row_number().over(series.orderBy(order)) - 1, "_n": F.count("*").over(series)})
+    long = placed.select(*keys, order, "_i", "_n", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])))
+    line = Window.partitionBy(*keys, "field")
+    long = long.withColumn("v", F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v")))
+    long = long.withColumns({"_starts": F.col("v").isNotNull() & F.lag("v").over(line.orderBy("_i")).isNull(), "_lo": F.min("v").over(line), "_hi": F.max("v").over(line), "_known": F.count("v").over(line)})
+    long = long.withColumn("run", F.sum(F.col("_starts").cast("int")).over(line.orderBy("_i"))).where("v is not null and _known >= 2")
+    y = F.when(F.col("_hi") - F.col("_lo") < 1e-9, (F.col("_lo") + 0.5 - F.col("v")).cast("double")).otherwise(1 - (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    x = F.when(F.col("_n") > 1, F.col("_i") / (F.col("_n") - 1)).otherwise(0.0)
+    smooth = F.count("*").over(Window.partitionBy(*keys, "field", "run")) >= 6
+    return long.select(*keys, order, "field", "run", x.alias("x"), y.alias("y"), smooth.alias("smooth"))
+
+
 def every_kth(rows: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
     """WIN-15: rows number int(i * n / k) for i below k."""
     w = Window.partitionBy(*keys)

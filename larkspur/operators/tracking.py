@@ -329,6 +329,12 @@ def keep_real(samples: DataFrame, spawn: float = GHOST_SCORE, n: int = 3, secs:
     return samples.join(real, ["clip", "track_id"], "left_semi")
 
 
+def without_static(samples: DataFrame, spawn: float = GHOST_SCORE, share: float = 0.5) -> DataFrame:
+    """TRK-10/WIN-23: without tracks whose detections are mostly fainter than the spawn score and hardly move for their size."""
+    still = temporal.static_false_positive(samples.where("source = 'detect'"), ["clip", "track_id"], "f", spawn, share).where("static")
+    return samples.join(still.select("clip", "track_id"), ["clip", "track_id"], "left_anti")
+
+
 def stitch_candidates(samples: DataFrame, gap: float = STITCH_S, reach: float = STITCH_DISTANCE, ratio: float = STITCH_RATIO) -> DataFrame:
     """JN-11: for each track the earlier track of its clip and label that ended last before it began, at most ``gap`` seconds, close by and of like size."""
     box = F.struct("x1", "y1", "x2", "y2")

@@ -52,6 +52,30 @@ def _(spark, sf_dir):
     return manage.orphans(rows, files(spark, sf_dir).select("path").unionByName(snaps))
 
 
+@plan(
+    "snk_08_purge",
+    f"""WITH {EVENTS}, {FILES}, m AS (SELECT *, camera_id || '/' || event_id || '.json' AS path FROM e WHERE event_id % 11 <> 0),
+    p AS (SELECT path FROM f UNION SELECT snapshot_relpath FROM e WHERE event_id % 17 <> 0 AND snapshot_relpath IS NOT NULL),
+    gone AS (SELECT path, CASE WHEN k = 7 THEN 'malformed' ELSE 'media' END AS why FROM m WHERE k = 7 OR (snapshot_relpath IS NOT NULL AND snapshot_relpath NOT IN (SELECT path FROM p)) OR (video_relpath IS NOT NULL AND video_relpath NOT IN (SELECT path FROM p))),
+    side AS (SELECT event_id, camera_id || '/' || event_id || '.tracks.json' AS path FROM e WHERE event_id % 2 = 0 UNION ALL SELECT event_id, camera_id || '/' || event_id || '.best.jpg' FROM e WHERE event_id % 3 = 0)
+    SELECT path, why FROM gone UNION ALL SELECT path, 'sidecar' FROM side WHERE event_id NOT IN (SELECT event_id FROM m WHERE path NOT IN (SELECT path FROM gone))""",
+)
+def _(spark, sf_dir):
+    """A listing in which some manifests are gone, some can't be read and some media is missing."""
+    rows = events(spark, sf_dir)
+    name = lambda ending: F.concat("camera_id", F.lit("/"), "event_id", F.lit(ending)).alias("path")
+    manifests = rows.where("event_id % 11 <> 0").select("camera_id", name(".json"), "k", "snapshot_relpath", "video_relpath")
+    listing = files(spark, sf_dir).select("camera_id", "path")
+    for more in (
+        manifests.select("camera_id", "path"),
+        rows.where("event_id % 17 <> 0 and snapshot_relpath is not null").select("camera_id", F.col("snapshot_relpath").alias("path")),
+        rows.where("event_id % 2 = 0").select("camera_id", name(".tracks.json")),
+        rows.where("event_id % 3 = 0").select("camera_id", name(".best.jpg")),
+    ):
+        listing = listing.unionByName(more)
+    return manage.purge(listing, manifests.where("k <> 7"))
+
+
 @plan("snk_09_register_media", f"WITH {EVENTS}, {FILES} SELECT regexp_extract(path, '([^/]+)\\.[^.]+$', 1) AS event_id, camera_id, 'motion' AS top_label FROM f WHERE path NOT IN (SELECT video_relpath FROM e WHERE video_relpath IS NOT NULL)")
 def _(spark, sf_dir):
     return manage.register_media(files(spark, sf_dir), events(spark, sf_dir)).select("event_id", "camera_id", "top_label")

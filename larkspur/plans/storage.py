@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo, rules
@@ -33,12 +32,12 @@ def _(spark, sf_dir):
     return _written(spark, sf_dir).groupBy("camera_id", "event_date").agg(F.count("*").alias("n"))
 
 
-@plan("snk_14_relocate", f"WITH {EVENTS} SELECT event_id, camera_id, {_DATED} AS event_date FROM e WHERE event_id % 3 <> 0")
+@plan("snk_14_relocate", f"WITH {EVENTS} SELECT event_id, camera_id, {_DATED} AS event_date FROM e")
 def _(spark, sf_dir):
     """Events go to the folder of their id's date; those already there stay."""
     rows = _written(spark, sf_dir).select(F.col("n").alias("event_id"), "camera_id", "event_date")
     there = rows.where("event_id % 3 = 1")
-    return there.unionByName(manage.delete(rows.where("event_id % 3 <> 0"), there))
+    return there.unionByName(manage.delete(rows, there))
 
 
 @plan("src_03_point_lookup", f"WITH {EVENTS} SELECT event_id AS n, camera_id FROM e WHERE event_id = (SELECT min(event_id) FROM e WHERE k % 10 <> 0 AND k <> 3)")
@@ -100,8 +99,8 @@ def _(spark, sf_dir):
     period = F.when(F.col("k") % 2 == 0, F.col("time"))
     _lines(events(spark, sf_dir), [F.concat(F.lit("p"), "event_id").alias("period_id"), period.alias("period_end"), F.concat(F.lit("2023"), "event_id").alias("built_at")], root, F.lit(False))
     rows = source.read_recaps(spark, root, multi_line=False, glob="*.txt").select("period_id", "period_end", "built_at")
-    order = Window.orderBy(F.coalesce("period_end", "built_at").desc_nulls_last(), "period_id")  # recaps are a few a year
-    return rows.select("period_id", "period_end", F.rank().over(order).alias("place"))
+    order = [F.coalesce("period_end", "built_at").desc_nulls_last(), F.asc("period_id")]
+    return store.placed(rows, order).select("period_id", "period_end", F.col("place").cast("int").alias("place"))
 
 
 @plan("src_10_config", """SELECT * FROM (VALUES ('server', '{"lat":48.1,"name":"Wien"}'), ('cameras', '[{"id":"cam_1"}]')) t(section, value)""")

@@ -111,6 +111,23 @@ def _(spark, sf_dir):
     return temporal.islands(events(spark, sf_dir), ["camera_id"], "event_id", F.col("k") < 70)
 
 
+@plan(
+    "win_14_chart_lines",
+    f"""WITH {EVENTS}, x AS (SELECT camera_id, event_id, row_number() OVER (PARTITION BY camera_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY camera_id) AS n,
+        CASE WHEN k < 70 THEN CAST(k AS DOUBLE) END AS busy, CASE WHEN event_id % 5 <> 0 THEN value END AS value, CASE WHEN event_id % 3 <> 0 THEN 4.0::DOUBLE END AS flat FROM e),
+    u AS (SELECT camera_id, event_id, i, n, unnest(['busy', 'value', 'flat']) AS field, unnest([busy, value, flat]) AS v FROM x),
+    a AS (SELECT *, CASE WHEN v IS NOT NULL AND lag(v) OVER o IS NULL THEN 1 ELSE 0 END AS starts, min(v) OVER p AS lo, max(v) OVER p AS hi FROM u WINDOW p AS (PARTITION BY camera_id, field), o AS (PARTITION BY camera_id, field ORDER BY i)),
+    b AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY camera_id, field ORDER BY i) AS BIGINT) AS run FROM a)
+    SELECT camera_id, event_id, field, run, round(i / (n - 1), 6) AS x, round(CASE WHEN hi - lo < 1e-9 THEN 0.5 ELSE 1 - (v - lo) / (hi - lo) END, 6) AS y, count(*) OVER (PARTITION BY camera_id, field, run) >= 6 AS smooth FROM b WHERE v IS NOT NULL""",
+)
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select(
+        "camera_id", "event_id", F.when(F.col("k") < 70, F.col("k")).alias("busy"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 3 != 0, 4.0).alias("flat")
+    )
+    lines = temporal.chart_lines(rows, ["camera_id"], "event_id", ["busy", "value", "flat"])
+    return lines.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
 @plan("win_21_longest_run", f"WITH {EVENTS}, x AS (SELECT camera_id, event_id, k < 70 AS flag FROM e), {_ISLANDS}, c AS (SELECT camera_id, count(*) AS n FROM b WHERE flag GROUP BY camera_id, run) SELECT camera_id, max(n) AS longest FROM c GROUP BY 1")
 def _(spark, sf_dir):
     runs = temporal.islands(events(spark, sf_dir), ["camera_id"], "event_id", F.col("k") < 70)

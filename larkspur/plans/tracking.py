@@ -24,8 +24,9 @@ def _(spark, sf_dir):
 
 @plan("trk_10_whole_clips")
 def _(spark, sf_dir):
-    """Finished clips: tracks that go on or lie on each other are one, and ghosts are gone."""
-    return tracking.summaries(tracking.keep_real(tracking.track(detections(spark, sf_dir), whole=True, frame=(380, 280)), 0.8))
+    """Finished clips: tracks that go on or lie on each other are one, and static tracks and ghosts are gone."""
+    found = tracking.track(detections(spark, sf_dir), whole=True, frame=(380, 280))
+    return tracking.summaries(tracking.keep_real(tracking.without_static(found, 0.8), 0.8))
 
 
 def given(spark, sf_dir):
@@ -44,15 +45,25 @@ _GIVEN = """g0 AS (SELECT camera_id || '/' || strftime(ts, '%d') AS clip, CAST(u
 
 @plan(
     "trk_10_stitch",
-    f"""WITH {EVENTS}, {_GIVEN}, d AS (SELECT clip, track_id, any_value(label) AS label, min(t) AS t0, max(t) AS t1, arg_min({{'x': x1, 'y': y1}}, f) AS head, arg_max({{'x': x1, 'y': y1}}, f) AS tail FROM g WHERE source = 'detect' AND f // 6 = track_id GROUP BY 1, 2),
+    f"""WITH {EVENTS}, {_GIVEN}, d AS (SELECT clip, CAST(track_id * 4 + f // 6 AS INT) AS track_id, any_value(label) AS label, min(t) AS t0, max(t) AS t1, arg_min({{'x': x1, 'y': y1}}, f) AS head, arg_max({{'x': x1, 'y': y1}}, f) AS tail FROM g WHERE source = 'detect' GROUP BY 1, 2),
     p AS (SELECT b.clip, b.track_id, a.track_id AS before, b.t0 - a.t1 AS wait FROM d b JOIN d a ON a.clip = b.clip AND a.label = b.label AND a.track_id <> b.track_id
           WHERE b.t0 - a.t1 BETWEEN 0 AND 6 AND sqrt((b.head.x - a.tail.x) ** 2 + (b.head.y - a.tail.y) ** 2) <= 128),
     n AS (SELECT *, row_number() OVER (PARTITION BY clip, track_id ORDER BY wait, before) AS rn FROM p)
     SELECT clip, track_id, before, wait FROM n WHERE rn = 1""",
 )
 def _(spark, sf_dir):
-    """JN-11 on tracks that take turns: each has a quarter of the day."""
-    return tracking.stitch_candidates(given(spark, sf_dir).where(F.floor(F.col("f") / 6) == F.col("track_id")))
+    """JN-11 on tracks that take turns: every quarter of the day is a track of its own."""
+    return tracking.stitch_candidates(given(spark, sf_dir).withColumn("track_id", (F.col("track_id") * 4 + F.floor(F.col("f") / 6)).cast("int")))
+
+
+@plan(
+    "trk_10_without_static",
+    f"""WITH {EVENTS}, {_GIVEN}, s AS (SELECT *, sqrt((x1 - lag(x1) OVER v) ** 2 + (y1 - lag(y1) OVER v) ** 2) AS step FROM g WHERE source = 'detect' WINDOW v AS (PARTITION BY clip, track_id ORDER BY f)),
+    m AS (SELECT clip, track_id, count(*) AS n, list_sort(list(score))[count(*) // 2 + 1] AS middle, sqrt((arg_max(x1, f) - arg_min(x1, f)) ** 2 + (arg_max(y1, f) - arg_min(y1, f)) ** 2) AS net, coalesce(max(step), 0) AS step FROM s GROUP BY 1, 2)
+    SELECT g.clip, g.track_id, count(*) AS samples FROM g LEFT JOIN m ON m.clip = g.clip AND m.track_id = g.track_id WHERE NOT coalesce(n >= 3 AND middle < 0.55 AND net < 240 AND step < 240, false) GROUP BY 1, 2""",
+)
+def _(spark, sf_dir):
+    return tracking.without_static(given(spark, sf_dir), 0.55, 3.0).groupBy("clip", "track_id").agg(F.count("*").alias("samples"))
 
 
 @plan(

@@ -348,3 +348,47 @@ def test_sun_stands_where_it_does(spark):
     noon = at("2024-12-21 11:12:00", 48.1, 11.6)
     assert abs(noon.altitude - 18.5) < 0.3 and abs(noon.azimuth - 180) < 1
     assert 85 < at("2024-03-20 06:00:00", 48.1, 0.0).azimuth < 95
+
+
+def test_purge(spark):
+    names = ["a/1.json", "a/1.tracks.json", "a/2.json", "a/2.tracks.json", "a/3.json", "a/3.best.jpg", "a/3.5.tracks.json", "a/4.best.jpg", "a/3.5.json", "s/1.jpg", "b/1.tracks.json", "a/notes.txt"]
+    listing = spark.createDataFrame([(n[0], n) for n in names], "camera_id string, path string")
+    read = spark.createDataFrame([("a/1.json", "s/1.jpg", None), ("a/2.json", "s/1.jpg", "v/2.mp4"), ("a/3.5.json", None, None)], "path string, snapshot_relpath string, video_relpath string")
+    got = {(r.path, r.why) for r in manage.purge(listing, read).collect()}
+    # 2 lost its clip and takes its track along, 3 can't be read, 4 and camera b's track have no manifest.
+    assert got == {("a/2.json", "media"), ("a/2.tracks.json", "sidecar"), ("a/3.json", "malformed"), ("a/3.best.jpg", "sidecar"), ("a/4.best.jpg", "sidecar"), ("b/1.tracks.json", "sidecar")}
+    assert manage.purge(listing.limit(0), read.limit(0)).count() == 0
+
+
+def test_chart_lines(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("s", i, v, 3.0 if i in (1, 4) else None, 1.0 if i == 2 else None) for i, v in enumerate([0.0, 5.0, nan, 10.0, None, 5.0, inf])]
+    rows += [("t", i, float(i), None, None) for i in range(6)] + [("one", 0, 1.0, 1.0, 1.0)]
+    got = temporal.chart_lines(spark.createDataFrame(rows, "cam string, at int, a double, b double, c double"), ["cam"], "at", ["a", "b", "c"]).collect()
+    lines = {(r.cam, r.field, r.at): (r.run, round(r.x * 6, 6), r.y, r.smooth) for r in got if r.cam == "s"}
+    assert lines == {
+        ("s", "a", 0): (1, 0, 1.0, False), ("s", "a", 1): (1, 1, 0.5, False), ("s", "a", 3): (2, 3, 0.0, False), ("s", "a", 5): (3, 5, 0.5, False),
+        ("s", "b", 1): (1, 1, 0.5, False), ("s", "b", 4): (2, 4, 0.5, False),
+    }
+    assert {(r.field, r.run, r.smooth) for r in got if r.cam == "t"} == {("a", 1, True)} and not [r for r in got if r.cam == "one"]
+
+
+def test_static_tracks_go(spark):
+    box = lambda track, f, x, score, source="detect", size=40.0: ("c", track, f, float(f), x, 0.0, x + size, size, score, "cat", source)
+    rows = [box(1, f, 0.0 + f, 0.3) for f in range(4)] + [box(1, 9, 500.0, 0.9, "predicted")]  # hardly moves; predictions don't count
+    rows += [box(2, f, 0.0 + f, 0.8) for f in range(4)]  # as still, but sure
+    rows += [box(3, f, 15.0 * f, 0.3) for f in range(4)]  # walks
+    rows += [box(4, f, x, 0.3) for f, x in enumerate((0.0, 30.0, 0.0))]  # a step in the middle
+    rows += [box(5, f, 0.0, 0.3) for f in range(2)]  # too short to tell
+    rows += [box(6, f, 0.0, s) for f, s in enumerate((0.3, 0.3, 0.5, 0.9))]  # the upper median is at the threshold
+    rows += [box(7, f, 0.0, 0.3, size=0.0) for f in range(4)]  # no size
+    table = spark.createDataFrame(rows, "clip string, track_id int, f int, t double, x1 double, y1 double, x2 double, y2 double, score double, label string, source string")
+    assert {r.track_id for r in tracking.without_static(table, 0.5).collect()} == {2, 3, 4, 5, 6, 7}
+
+
+def test_places(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("id"), (F.col("id") % 3).alias("tie")).repartition(7)
+    got = store.placed(rows, [F.desc("tie"), F.asc("id")]).collect()
+    assert [(r.tie, r.id) for r in sorted(got, key=lambda r: r.place)] == sorted(((r.tie, r.id) for r in got), key=lambda p: (-p[0], p[1]))
+    assert sorted(r.place for r in got) == list(range(1, 5001))
+    assert store.placed(rows.limit(0), [F.asc("id")]).count() == 0
