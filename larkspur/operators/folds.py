@@ -316,10 +316,11 @@ def blob_tracks(frames: DataFrame, keys: list[str], at_us: str, boxes: str) -> D
 
 
 def coherent_tracks(tracked: DataFrame, keys: list[str], at_us: str, boxes: str, width: float, least_share: float = 0.04, least_age: int = 3) -> DataFrame:
-    """STR-13: age, net displacement and whether it is coherent, of every track of ``blob_tracks``."""
-    blobs = tracked.select(*keys, at_us, F.posexplode("tracks").alias("i", "track"), F.col(boxes).alias("b"))
+    """STR-13: age, net displacement and whether it is coherent, of every track of ``blob_tracks``; frames of one time go by their event_id, if there is one."""
+    at = F.struct(at_us, *_ties(tracked.columns))
+    blobs = tracked.select(*keys, at.alias("at"), F.posexplode("tracks").alias("i", "track"), F.col(boxes).alias("b"))
     corner = lambda k: F.get("b", 4 * F.col("i") + k)
     centre = F.struct((corner(0) + corner(2) / 2).alias("x"), (corner(1) + corner(3) / 2).alias("y"))
-    ends = blobs.groupBy(*keys, "track").agg(F.count("*").alias("age"), F.min_by(centre, at_us).alias("a"), F.max_by(centre, at_us).alias("b"))
+    ends = blobs.groupBy(*keys, "track").agg(F.count("*").alias("age"), F.min_by(centre, "at").alias("a"), F.max_by(centre, "at").alias("b"))
     net = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
     return ends.select(*keys, "track", "age", net.alias("net"), ((F.col("age") >= least_age) & (net >= F.greatest(F.lit(1.0), F.lit(least_share * width)))).alias("coherent"))

@@ -170,12 +170,49 @@ def _blobs(rows):
     return rows.select("camera_id", "event_id", "us", F.when(n % 3 == 0, F.concat(flat(one), flat(two))).otherwise(flat(two)).alias("boxes"))
 
 
-@plan("str_13_blob_tracks")
+def _nearest(blob: str, tracks: str) -> str:
+    """SQL of struct(s, m): the highest affinity of a blob to one of the tracks, and minus that track's number (ties: the smaller number)."""
+    both = f"greatest(least({blob}.x + {blob}.w, t.x + t.w) - greatest({blob}.x, t.x), 0) * greatest(least({blob}.y + {blob}.h, t.y + t.h) - greatest({blob}.y, t.y), 0)"
+    share = f"({both}) / ({blob}.w * {blob}.h + t.w * t.h - {both})"
+    apart = f"sqrt(({blob}.x + {blob}.w / 2 - t.x - t.w / 2) ** 2 + ({blob}.y + {blob}.h / 2 - t.y - t.h / 2) ** 2)"
+    near = f"greatest(0, 1 - {apart} / (4 * (sqrt({blob}.w ** 2 + {blob}.h ** 2) + 1)))"
+    return f"list_sort(list_transform({tracks}, lambda t: {{'s': CASE WHEN {share} >= 0.1 THEN 1 + {share} ELSE {near} END, 'm': -t.n}}), 'DESC')[1]"
+
+
+def _blobs_sql(out: str) -> str:
+    """A recursion from frame to frame of a camera: ``live`` are its tracks as they were last seen, ``t1`` and ``t2`` those of the frame's blobs."""
+    box = lambda *xywh: "{" + ", ".join(f"'{k}': ({v})::DOUBLE" for k, v in zip("xywh", xywh, strict=True)) + "}"
+    one, two = box("event_id * 7 % 900", "event_id * 3 % 500", "60", "40"), box("100 + event_id % 50", "100 + event_id % 40", "50", "50")
+    seen = lambda n, b: f"{{'n': {n}, 'x': {b}.x, 'y': {b}.y, 'w': {b}.w, 'h': {b}.h, 'misses': 0}}"
+    return f"""WITH RECURSIVE {EVENTS},
+    r AS MATERIALIZED (SELECT camera_id, event_id, epoch_us(ts) AS us, CASE WHEN event_id % 3 = 0 THEN {one} ELSE {two} END AS a, CASE WHEN event_id % 3 = 0 THEN {two} END AS b, row_number() OVER (PARTITION BY camera_id ORDER BY ts, event_id) AS rn FROM e),
+    w AS (SELECT camera_id, event_id, us, a, b, rn, [{seen("0::BIGINT", "a")}] || CASE WHEN b IS NULL THEN [] ELSE [{seen("1::BIGINT", "b")}] END AS live, CASE WHEN b IS NULL THEN 1 ELSE 2 END::BIGINT AS following, 0::BIGINT AS t1, CASE WHEN b IS NOT NULL THEN 1 END::BIGINT AS t2 FROM r WHERE rn = 1
+      UNION ALL
+      SELECT camera_id, event_id, us, a, b, rn, [{seen("t1", "a")}] || CASE WHEN b IS NULL THEN [] ELSE [{seen("t2", "b")}] END
+             || list_transform(list_filter(old, lambda t: t.n <> t1 AND t.n IS DISTINCT FROM t2 AND t.misses < 4), lambda t: {{'n': t.n, 'x': t.x, 'y': t.y, 'w': t.w, 'h': t.h, 'misses': t.misses + 1}}), f2, t1, t2
+      FROM (SELECT *, CASE WHEN b IS NULL THEN NULL WHEN m2.s > 0.25 THEN -m2.m ELSE f1 END AS t2, f1 + CASE WHEN b IS NULL OR m2.s > 0.25 THEN 0 ELSE 1 END AS f2
+        FROM (SELECT *, {_nearest("b", "list_filter(old, lambda t: t.n <> t1)")} AS m2
+          FROM (SELECT *, CASE WHEN m1.s > 0.25 THEN -m1.m ELSE f0 END AS t1, f0 + CASE WHEN m1.s > 0.25 THEN 0 ELSE 1 END AS f1
+            FROM (SELECT r.*, w.live AS old, w.following AS f0, {_nearest("r.a", "w.live")} AS m1 FROM w JOIN r ON r.camera_id = w.camera_id AND r.rn = w.rn + 1))))),
+    o AS (SELECT camera_id, event_id, us, 0 AS place, t1 AS track, a AS box FROM w UNION ALL SELECT camera_id, event_id, us, 1, t2, b FROM w WHERE b IS NOT NULL)
+    {out}"""
+
+
+@plan(
+    "str_13_blob_tracks",
+    _blobs_sql(
+        """, c AS (SELECT camera_id, track, count(*) AS age, arg_min({'x': box.x + box.w / 2, 'y': box.y + box.h / 2}, (us, event_id)) AS h, arg_max({'x': box.x + box.w / 2, 'y': box.y + box.h / 2}, (us, event_id)) AS l FROM o GROUP BY 1, 2),
+    n AS (SELECT camera_id, track, age, sqrt((l.x - h.x) ** 2 + (l.y - h.y) ** 2) AS net FROM c)
+    SELECT camera_id, track, age, round(net, 6) AS net, age >= 3 AND net >= 51.2 AS coherent FROM n"""
+    ),
+)
 def _(spark, sf_dir):
     rows = _blobs(events(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))))
-    return folds.coherent_tracks(folds.blob_tracks(rows, ["camera_id"], "us", "boxes"), ["camera_id"], "us", "boxes", 1280.0)
+    found = folds.coherent_tracks(folds.blob_tracks(rows, ["camera_id"], "us", "boxes"), ["camera_id"], "us", "boxes", 1280.0)
+    return found.withColumn("net", F.round("net", 6))
 
 
-@plan("str_13_live_blob_tracks")
+@plan("str_13_live_blob_tracks", _blobs_sql("SELECT camera_id, event_id, place, track FROM o"))
 def _(spark, sf_dir):
-    return _run(folds.blob_tracks(_blobs(_micros(spark, sf_dir)), ["camera_id"], "us", "boxes"))
+    tracked = _run(folds.blob_tracks(_blobs(_micros(spark, sf_dir)), ["camera_id"], "us", "boxes"))
+    return tracked.select("camera_id", "event_id", F.posexplode("tracks").alias("place", "track"))
