@@ -58,7 +58,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, name = F.col("doc_id"), F.when(F.col("doc_id") % 64 == 0, F.lit("LICENSE")).otherwise(F.concat("doc_id", F.lit(".txt")))
     upper = F.concat_ws("/", "source", F.floor(n / 4096))
     path = F.when(n % 4096 == 0, F.concat_ws("/", upper, name)).otherwise(F.concat_ws("/", upper, F.floor(n / 64), name))
-    return licenses.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
+    return licenses.scan(_table(spark, sf_dir, "documents").withColumn("path", path)).withColumn("licenses", F.array_join("licenses", ","))
 
 
 def op8_histogram_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:

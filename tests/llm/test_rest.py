@@ -81,13 +81,14 @@ def test_listed_hosts_occur(spark):
 def brute_licenses(units):
     tokens = lambda t: [x for x in (re.sub(r"^[.+-]+|[.+-]+$", "", w) for w in re.split(r"[^\w.+-]+|_", t.lower())) if x]
     docs = [Counter(tokens(u)) for u in units]
+    decide = [set(c) | {f"={v}" for v in re.findall(licenses.BOUND, " ".join(tokens(u)))} for u, c in zip(units, docs, strict=True)]
     templates = [(k, Counter(tokens(t))) for k, texts in licenses.TEMPLATES.items() for t in texts]
     df = Counter(w for c in docs + [c for _, c in templates] for w in c)
     idf = {w: math.log((1 + len(docs) + len(templates)) / (1 + n)) + 1 for w, n in df.items()}
     norm = lambda c: math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
     out = []
-    for c in docs:
-        fits = lambda k: all(set(g) & set(c) for g in licenses.DECISIVE[k][0]) and not set(licenses.DECISIVE[k][1]) & set(c)  # noqa: E731, B023
+    for c, has in zip(docs, decide, strict=True):
+        fits = lambda k: all(set(g) & has for g in licenses.DECISIVE[k][0]) and not set(licenses.DECISIVE[k][1]) & has  # noqa: E731, B023
         score = lambda k, t: (fits(k) and round(sum(n * c[w] * idf[w] ** 2 for w, n in t.items()) / norm(t) / norm(c), 6), k)  # noqa: E731, B023
         top = max(score(k, t)[0] for k, t in templates)
         out.append((top, min(k for k, t in templates if score(k, t)[0] == top)))
@@ -136,6 +137,38 @@ def test_neighbouring_licences_are_told_apart(spark):
     assert (got[92].license, got[93].license, got[93].origin, got[93].licence_file) == ("GPL-3.0", "GPL-3.0", "inherited", "q/COPYING")
 
 
+def test_lines_that_offer_several_licences(spark):
+    said = {
+        "Licensed under MIT or Apache License, Version 2.0, at your option.": "Apache-2.0,MIT",
+        "GPL version 2 or version 3": "GPL-2.0,GPL-3.0",
+        "Licensed under the GNU General Public License, version 2 or 3.": "GPL-2.0,GPL-3.0",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+        "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */": "BSD-3-Clause,GPL-2.0",
+        "SPDX-License-Identifier: LGPL-2.1+ or later text": "LGPL-2.1",
+        "This project is licensed under the Apache License, Version 2.0 and the MIT License.": "Apache-2.0,MIT",
+        "Dual licensed under MIT/Apache-2.0": "Apache-2.0,MIT",
+        "Licence: BSD-3-Clause or LGPL-3.0": "BSD-3-Clause,LGPL-3.0",
+        "Released under the MIT License, or later.": "MIT",
+        "Copyright (c) by Mit and Apache, two dogs": None,
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "GPL-2.0",
+    }
+    # The same files, one of them twice, and under a directory that offers two licences.
+    files = [(i, f"p{i}/f.txt", f"x\n{t}\ny") for i, t in enumerate(said)]
+    abridged = "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.\n\n2. Basic Permissions.\n\nAll rights granted under this License are granted for the term of copyright.\n"
+    files += [files[0], (50, "q/LICENSE", abridged), (60, "r/LICENSE.md", f"x\n{next(iter(said))}\n"), (61, "r/a/b.c", "int x;"), (62, "r/a/c.c", None)]
+    rows = licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()
+    got = {r.doc_id: r.licenses and ",".join(r.licenses) for r in rows}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+    assert len(rows) == len(files) and all(r.license is None if r.licenses is None else r.license in r.licenses for r in rows)
+    assert got[50] == "GPL-3.0" and got[60] == got[61] == got[62] == "Apache-2.0,MIT"
+
+
+def test_a_very_long_line_of_names_is_one_pass(spark):
+    text = "License: " + "mit or apache, " * 200_000
+    row = licenses.scan(spark.createDataFrame([(1, "a/b", text), (2, "a/c", " " * 500_000 + "licensed under MIT"), (3, "a/d", "1. " * 200_000)], "doc_id long, path string, text string")).orderBy("doc_id").collect()
+    assert [r.doc_id for r in row] == [1, 2, 3] and row[1].license == "MIT" and row[2].origin == "none"
+
+
 def test_registry(spark):
     names = queries.queries()
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
