@@ -1,22 +1,31 @@
 """JN-9, GEO-10, GEO-11: detections against tables of zones and masks, by a spatial index.
 
-A polygon is filed under every grid cell that its bounding box touches in its camera's frame. All polygons of a cell are one row, in their order; a detection has one centre,
+A polygon is filed under every small grid cell of its camera's frame that it has part in. All polygons of a cell are one row, in their order; a detection has one centre,
 so one cell, and meets that row by an equality join on camera and cell. Then the exact point-in-polygon test picks among the few of the cell. Detections are
 neither multiplied nor grouped, and however many zones a camera has, a detection only meets those near it.
 
+The first polygon that counts for a label and covers a whole cell answers for every centre there, so no later one for that label is filed there. So where polygons lie in many
+layers a cell's row doesn't grow with their number: it ends with the first that covers the cell.
+
 Polygons (zone_id, camera_id, labels, points, source_w, source_h, save_photo, save_video, send_message) are tried by zone_id. Without labels, or with an empty list, one is for all. Those of fewer than three points
 don't count. Points are in a picture of source_w by source_h (1280 by 720 if null) and scaled to the frame.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo
+from larkspur.session import shared_folder
 
 SOURCE_W, SOURCE_H = 1280, 720
-CELL = 64
+CELL = 8
 FLAGS = ("save_photo", "save_video", "send_message")
 
 
@@ -28,20 +37,70 @@ def _for_all(labels: Column) -> Column:
     return labels.isNull() | (F.size(labels) == 0)
 
 
-def cells(polygons: DataFrame, width: int, height: int, cell: int = CELL) -> DataFrame:
-    """``(camera_id, cx, cy, near)``: the polygons of each grid cell of a camera's frame, by zone_id."""
+def _touched(points: list[dict], width: int, height: int, cell: int) -> list[tuple[int, int, bool]]:
+    """``(cx, cy, covers)`` of the grid cells that a polygon has part in: those it covers, and those that an edge comes near."""
+    known = [p for p in points if p["x"] is not None and p["y"] is not None]
+    if not known:
+        return []
+    x, y = (np.array([p[k] for p in known], np.int64) for k in "xy")
+    cx, cy = (np.arange(max(v.min(), 0) // cell, min(v.max(), most - 1) // cell + 1) for v, most in ((x, width), (y, height)))
+    if not len(cx) or not len(cy):
+        return []
+    bx, by = np.roll(x, -1), np.roll(y, -1)
+    edge = lambda v: v[:, None, None]
+    x0, y0 = (cx * cell)[None, None, :], (cy * cell)[None, :, None]
+    x1, y1 = x0 + cell - 1, y0 + cell - 1
+    beside = (edge(np.maximum(x, bx)) < x0) | (edge(np.minimum(x, bx)) > x1) | (edge(np.maximum(y, by)) < y0) | (edge(np.minimum(y, by)) > y1)
+    rows = [edge(bx - x) * (v - edge(y)) for v in (y0, y1)]
+    columns = [edge(by - y) * (v - edge(x)) for v in (x0, x1)]
+    near = ~beside & (np.minimum(*rows) <= np.maximum(*columns)) & (np.maximum(*rows) >= np.minimum(*columns))
+    near = near.any(axis=0) | (len(known) < len(points))
+    cross = rows[0] - columns[0]
+    inside = (((edge(y) > y0) != (edge(by) > y0)) & np.where(edge(by > y), cross > 0, cross < 0)).sum(axis=0) % 2 == 1
+    at_y, at_x = np.nonzero(near | inside)
+    return list(zip(cx[at_x].tolist(), cy[at_y].tolist(), (~near)[at_y, at_x].tolist(), strict=True))
+
+
+def _filed(polygons: DataFrame, width: int, height: int, cell: int) -> DataFrame:
+    """``(camera_id, zone, scopes, cx, cy, covers)``: each polygon under the cells that it has part in. ``scopes`` are the labels it counts for, null for all.
+
+    A small table is one file, so polygons are dealt out before they are laid over the grid, and what comes of it is written once.
+    """
+    spark, folder = polygons.sparkSession, shared_folder(polygons.sparkSession, "zones")
     scale = lambda p: F.struct((p["x"] * width / F.coalesce("source_w", F.lit(SOURCE_W))).cast("int").alias("x"), (p["y"] * height / F.coalesce("source_h", F.lit(SOURCE_H))).cast("int").alias("y"))
-    placed = _valid(polygons).withColumn("points", F.transform("points", scale))
+    flags = [F.coalesce(F.col(f), F.lit(True)).alias(f) for f in FLAGS]
+    zone = F.struct("zone_id", _for_all(F.col("labels")).alias("for_all"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.transform("points", scale).alias("points"), *flags).alias("zone")
+    scopes = F.when(_for_all(F.col("labels")), F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(F.filter("labels", lambda x: x.isNotNull()))).alias("scopes")
+    dealt = _valid(polygons).repartition(max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))), "zone_id").select("camera_id", zone, scopes)
 
-    def span(axis: str, most: int) -> Column:
-        low, high = (f(F.transform("points", lambda p: p[axis])) for f in (F.array_min, F.array_max))
-        first, last = F.greatest(low, F.lit(0)), F.least(high, F.lit(most - 1))
-        return F.when(first <= last, F.sequence(F.floor(first / cell).cast("int"), F.floor(last / cell).cast("int"))).otherwise(F.array().cast("array<int>"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_touched(z, width, height, cell) for z in pc.struct_field(batch.column("zone"), "points").to_pylist()]
+            shares = [pa.array([[c[i] for c in cs] for cs in found], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *shares], names=[*batch.schema.names, "cx", "cy", "covers"])
 
-    flags = [F.coalesce(F.col(f), F.lit(True)).alias(f) for f in FLAGS]
-    zone = F.struct("zone_id", _for_all(F.col("labels")).alias("for_all"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), "points", *flags).alias("zone")
-    filed = placed.select("camera_id", F.explode(span("x", width)).alias("cx"), span("y", height).alias("rows"), zone).select("camera_id", "cx", F.explode("rows").alias("cy"), "zone")
-    return filed.groupBy("camera_id", "cx", "cy").agg(F.array_sort(F.collect_list("zone")).alias("near"))
+    schema = ", ".join([*(f"{n} {t}" for n, t in dealt.dtypes), "cx array<int>", "cy array<int>", "covers array<boolean>"])
+    dealt.mapInArrow(run, schema).write.parquet(folder)
+    laid = spark.read.schema(schema).parquet(folder)
+    return laid.select("camera_id", "zone", "scopes", F.explode(F.arrays_zip("cx", "cy", "covers")).alias("c")).select("camera_id", "zone", "scopes", "c.*")
+
+
+def cells(polygons: DataFrame, width: int, height: int, cell: int = CELL) -> DataFrame:
+    """``(camera_id, cx, cy, near)``: the polygons of each grid cell of a camera's frame that can be the first for some label, by zone_id.
+
+    The first covering polygon of each cell and label is found and written first. That is a row a cell and label at most, whatever the number of polygons, so Spark
+    can broadcast it, and of all that is filed only what it leaves is shuffled.
+    """
+    filed = _filed(polygons, width, height, cell)
+    covered = filed.where("covers").select("camera_id", "cx", "cy", F.explode("scopes").alias("scope"), "zone.zone_id")
+    first = covered.groupBy("camera_id", "cx", "cy", "scope").agg(F.min("zone_id").alias("first")).where("first is not null")
+    spark, folder = polygons.sparkSession, shared_folder(polygons.sparkSession, "covered")
+    first.groupBy("camera_id", "cx", "cy").agg(F.collect_list(F.struct("scope", "first")).alias("firsts")).write.parquet(folder)
+    firsts = spark.read.schema(f"camera_id {dict(polygons.dtypes)['camera_id']}, cx int, cy int, firsts array<struct<scope:string,first:{dict(polygons.dtypes)['zone_id']}>>").parquet(folder)
+    behind = lambda s: F.exists("firsts", lambda f: f["scope"].eqNullSafe(s) & (f["first"] < F.col("zone.zone_id")))
+    # A polygon goes if it lies behind a covering one for each of its labels.
+    needed = filed.join(firsts, ["camera_id", "cx", "cy"], "left").where(F.coalesce(F.exists("scopes", lambda s: ~F.coalesce(behind(s), F.lit(False))), F.lit(False)))
+    return needed.groupBy("camera_id", "cx", "cy").agg(F.array_sort(F.collect_list("zone")).alias("near"))
 
 
 def centre(width: int, height: int) -> tuple[Column, Column]:

@@ -2,10 +2,33 @@
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import store
+from larkspur.operators import store, zones
 
 
 def test_grade_at_four_fifths(spark):
     rows = spark.createDataFrame([(d, 4 * d / 5) for d in range(1, 200)], "declared int, unique double")
     assert {r.g for r in rows.select(store.grade(F.lit(0.05), F.col("unique"), F.col("declared")).alias("g")).collect()} == {"green"}
     assert {r.g for r in rows.select(store.grade(F.lit(0.05), F.col("unique") - 0.001, F.col("declared")).alias("g")).collect()} == {"yellow"}
+
+
+def test_layers_of_zones_keep_the_rows_of_cells_short(spark):
+    """Two thousand diamonds over each other: a cell keeps those up to the first that covers it, and results are those of all."""
+    k = F.col("id")
+    corner = lambda x, y: F.struct((k * 7 % 40 + x).cast("int").alias("x"), (k * 11 % 40 + y).cast("int").alias("y"))
+    labels = F.when(k % 3 == 1, F.array(F.lit("cat"))).when(k % 3 == 2, F.array(F.lit("bird"), F.lit("cat")))
+    none = F.lit(None)
+    table = spark.range(2000).select(k.alias("zone_id"), F.lit("a").alias("camera_id"), labels.alias("labels"), F.array(corner(30, 0), corner(60, 30), corner(30, 60), corner(0, 30)).alias("points"), F.lit(100).alias("source_w"), F.lit(100).alias("source_h"), *[none.cast("boolean").alias(f) for f in zones.FLAGS])
+    near = {(r.cx, r.cy): r.n for r in zones.cells(table, 100, 100).select("cx", "cy", F.size("near").alias("n")).collect()}
+    assert near[6, 6] < 10 and len(near) > 100
+    rows = spark.range(100 * 100).select(k.alias("event_id"), F.lit("a").alias("camera_id"), F.element_at(F.array(F.lit("cat"), F.lit("bird"), F.lit("dog")), (k % 3 + 1).cast("int")).alias("label"), *[(v.cast("int")).alias(n) for n, v in (("x1", k % 100), ("y1", k / 100), ("x2", k % 100), ("y2", k / 100))])
+    got = {r.event_id: r.zone_id for r in zones.zoned(rows, table, 100, 100).collect()}
+    free = {r.event_id for r in zones.unmasked(rows, table, 100, 100).collect()}
+    want = {}
+    for i in range(100 * 100):
+        x, y, label = i % 100, i // 100, ("cat", "bird", "dog")[i % 3]
+        held = [z for z in range(2000) if abs(x - (z * 7 % 40 + 30)) + abs(y - (z * 11 % 40 + 30)) <= 30]
+        named = [z for z in held if label in ((), ("cat",), ("bird", "cat"))[z % 3]]
+        general = [z for z in held if z % 3 == 0]
+        if named or general:
+            want[i] = (named or general)[0]
+    assert got == want and free == set(range(100 * 100)) - set(want)
