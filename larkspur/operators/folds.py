@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larkspur.session import in_order
+
 Step = Callable[[Any, dict], tuple[Any, Any]]
 
 
@@ -60,17 +62,17 @@ def _plain(values: pd.Series) -> list:
 
 def _live_fold(rows: DataFrame, keys: list[str], order: str, need: list[str], step: Step, name: str, schema: str) -> DataFrame:
     """The fold over a stream; a key's state is what ``step`` returned last."""
-    by = [order, *_ties(rows.columns)]
+    rows, ordered = in_order(rows, keys, [order, *_ties(rows.columns)])
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = pickle.loads(state.get[0]) if state.exists else None  # noqa: S301  our own state
-        batch = pd.concat(list(parts), ignore_index=True).sort_values(by, kind="stable")
-        found = []
-        for row in zip(*(_plain(batch[c]) for c in need), strict=True):
-            now, value = step(now, dict(zip(need, row, strict=True)))
-            found.append(value)
+        for batch in ordered(parts):
+            found = []
+            for row in zip(*(_plain(batch[c]) for c in need), strict=True):
+                now, value = step(now, dict(zip(need, row, strict=True)))
+                found.append(value)
+            yield batch.assign(**{name: pd.Series(found, index=batch.index, dtype=object)})
         state.update((pickle.dumps(now),))
-        yield batch.assign(**{name: pd.Series(found, index=batch.index, dtype=object)})
 
     return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 

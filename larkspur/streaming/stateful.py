@@ -14,11 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_LATE = "10 minutes"
-
+from larkspur.session import in_order
 
-def _sorted(parts: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    return pd.concat(list(parts), ignore_index=True).sort_values(list(by), kind="stable")
+_LATE = "10 minutes"
 
 
 def _frame(**columns: list) -> Iterator[pd.DataFrame]:
@@ -28,8 +26,9 @@ def _frame(**columns: list) -> Iterator[pd.DataFrame]:
 
 
 def _applied(stream: DataFrame, keys: list[str], processor: StatefulProcessor, out: str, late: str) -> DataFrame:
-    """``processor`` over the rows of a key; ``ts`` is the event time."""
-    return stream.withWatermark("ts", late).groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "EventTime")
+    """``processor`` over the rows of a key by (us, event_id); ``ts`` is the event time."""
+    rows, processor.ordered = in_order(stream.withWatermark("ts", late), keys, ["us", "event_id"])
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "EventTime")
 
 
 class _Timed(StatefulProcessor):
@@ -94,9 +93,11 @@ class _Watchdog(_Timed):
         super().init(handle)
         self.state = handle.getValueState("watch", "online boolean, since long, told boolean, seen long")
 
-    def _changes(self, key: tuple, watch: Watch, found: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
+    def _keep(self, watch: Watch) -> None:
         self.state.update(watch.state())
         self.due(watch.deadline())
+
+    def _told(self, key: tuple, found: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
         return _frame(camera_id=[key[0]] * len(found), us=[us for us, _ in found], change=[c for _, c in found])
 
     def _watch(self) -> Watch:
@@ -104,15 +105,16 @@ class _Watchdog(_Timed):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watch = self._watch()
-        batch = _sorted(rows, "us", "event_id")
-        found = [x for us, online in zip(batch["us"], batch["online"], strict=True) for x in watch.status(int(us), bool(online))]
-        return self._changes(key, watch, found)
+        for batch in self.ordered(rows):
+            yield from self._told(key, [x for us, online in zip(batch["us"], batch["online"], strict=True) for x in watch.status(int(us), bool(online))])
+        self._keep(watch)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watch = self._watch()
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())  # what follows from it may be due too
         found = list(watch.advance(1000 * now))
-        return self._changes(key, watch, found)
+        self._keep(watch)
+        return self._told(key, found)
 
 
 def watchdog(stream: DataFrame, stale: float, after: float = 300.0, late: str = _LATE) -> DataFrame:
@@ -132,18 +134,19 @@ class _Confirm(_Timed):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         hits = [h[0] for h in self.hits.get()] if self.hits.exists() else []
         done = bool(self.done.get()[0]) if self.done.exists() else False
-        batch, fired = _sorted(rows, "us", "event_id"), []
-        for us, event_id in zip(batch["us"].tolist(), batch["event_id"].tolist(), strict=True):
-            if hits and done and us - hits[-1] > 2 * self.window:
-                hits, done = [], False
-            hits = [h for h in [*hits, us] if us - h <= self.window][-self.n :]
-            if len(hits) >= self.n and not done:
-                done = True
-                fired.append(event_id)
+        for batch in self.ordered(rows):
+            fired = []
+            for us, event_id in zip(batch["us"].tolist(), batch["event_id"].tolist(), strict=True):
+                if hits and done and us - hits[-1] > 2 * self.window:
+                    hits, done = [], False
+                hits = [h for h in [*hits, us] if us - h <= self.window][-self.n :]
+                if len(hits) >= self.n and not done:
+                    done = True
+                    fired.append(event_id)
+            yield from _frame(camera_id=[key[0]] * len(fired), label=[key[1]] * len(fired), event_id=fired)
         self.hits.put([(h,) for h in hits])
         self.done.update((done,))
         self.due(hits[-1] + 2 * self.window + 1)
-        return _frame(camera_id=[key[0]] * len(fired), label=[key[1]] * len(fired), event_id=fired)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """After twice the window without a hit the next one starts anew, so nothing needs to be known."""
@@ -171,24 +174,26 @@ class _Gates(_Timed):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         camera = self.camera.get()[0] if self.camera.exists() else None
         before = {k[0]: v[0] for k, v in self.labels.iterator()} if self.labels.exists() else {}
-        batch, labels, reasons = _sorted(rows, "us", "event_id"), dict(before), []
-        for us, label, early, late in zip(batch["us"].tolist(), batch["label"].tolist(), batch["early"].tolist(), batch["late"].tolist(), strict=True):
-            reason = early or None
-            if not reason and camera is not None and us - camera < self.rate:
-                reason = "rate_limited"
-            if not reason and label in labels and us - labels[label] < self.cooldowns.get(label, 0):
-                reason = "cooling_down"
-            reason = reason or late or None
-            if not reason:
-                camera = labels[label] = us
-            reasons.append(reason)
+        labels = dict(before)
+        for batch in self.ordered(rows):
+            reasons = []
+            for us, label, early, late in zip(batch["us"].tolist(), batch["label"].tolist(), batch["early"].tolist(), batch["late"].tolist(), strict=True):
+                reason = early or None
+                if not reason and camera is not None and us - camera < self.rate:
+                    reason = "rate_limited"
+                if not reason and label in labels and us - labels[label] < self.cooldowns.get(label, 0):
+                    reason = "cooling_down"
+                reason = reason or late or None
+                if not reason:
+                    camera = labels[label] = us
+                reasons.append(reason)
+            yield from _frame(event_id=batch["event_id"].tolist(), reason=reasons)
         if camera is not None:
             self.camera.update((camera,))
         for label, us in labels.items():
             if before.get(label) != us:
                 self.labels.updateValue((label,), (us,))
         self.due(self._end(camera, labels))
-        return _frame(event_id=batch["event_id"].tolist(), reason=reasons)
 
     def _end(self, camera: int | None, labels: dict[str, int]) -> int | None:
         """When no anchor of the camera can stop anything any more."""
