@@ -7,6 +7,7 @@ Track ids count up within the clip or the live stream, so results repeat exactly
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import geo
 from larkspur.operators import temporal
+from larkspur.session import shared_folder
 
 # Fixed values of the tracker's gates.
 MATCH_IOU, BLOCK_IOU, NMS_IOU = 0.20, 0.45, 0.50
@@ -119,8 +121,11 @@ class Track:
         """The other's samples on frames that this one has none of."""
         mine = {s[0] for s in self.samples}
         for have, more in ((self.samples, other.samples), (self.seen, other.seen)):
-            have += [s for s in more if s[0] not in mine]
-            have.sort(key=lambda s: s[0])
+            fresh = [s for s in more if s[0] not in mine]
+            later = not have or not fresh or have[-1][0] <= fresh[0][0]
+            have += fresh
+            if not later:
+                have.sort(key=lambda s: s[0])
         self.hits += sum(s[0] not in mine for s in other.seen)
         self.best, self.first = max(self.best, other.best), min(self.first, other.first)
 
@@ -244,20 +249,58 @@ def stitched(tracks: list[Track]) -> list[Track]:
     live = [x for x in tracks if x.seen]
     while True:
         live.sort(key=lambda x: x.seen[0][1])
-        gone: list[Track] = []
-        for j, b in enumerate(live):
-            before = [(gap, i) for i, a in enumerate(live[:j]) if a not in gone and (gap := _gap(a, b)) is not None]
+        kept: list[Track] = []
+        ended: dict[str, list[Track]] = {}  # of a label, those that a track still to come can go on
+        for b in live:
+            start = b.seen[0][1]
+            recent = ended[b.label] = [a for a in ended.get(b.label, ()) if start - a.seen[-1][1] <= STITCH_S]
+            before = [(gap, i) for i, a in enumerate(recent) if (gap := _gap(a, b)) is not None]
             if before:
-                live[min(before)[1]].absorb(b)
-                gone.append(b)
-        live = [x for x in live if x not in gone]
-        if not gone:
+                recent[min(before)[1]].absorb(b)
+            else:
+                kept.append(b)
+                recent.append(b)
+        done, live = len(kept) == len(live), kept
+        if done:
             break
-    while pair := next((p for p in itertools.combinations(live, 2) if p[0].label == p[1].label and _shared_overlap(*p) >= STITCH_OVERLAP), None):
-        into, other = sorted(pair, key=lambda x: (-x.hits, -x.best))
-        into.absorb(other)
-        live.remove(other)
-    return live
+    return _united(live)
+
+
+def _united(live: list[Track]) -> list[Track]:
+    """Tracks of a label that mostly overlap on shared frames become one, always the first pair in the list's order.
+
+    Only tracks that share a frame can, and after a merge only the pairs of the track that grew are looked at again.
+    """
+    at: dict[int, set[int]] = {}  # the places of the tracks with a detection on a frame
+    for i, x in enumerate(live):
+        for s in x.seen:
+            at.setdefault(s[0], set()).add(i)
+    grown, gone, waiting = [0] * len(live), set(), []
+
+    def offer(i: int, others: set[int]) -> None:
+        for p, q in ((min(i, j), max(i, j)) for j in others if live[j].label == live[i].label):
+            if _shared_overlap(live[p], live[q]) >= STITCH_OVERLAP:
+                heapq.heappush(waiting, (p, q, grown[p], grown[q]))
+
+    def beside(i: int) -> set[int]:
+        return set().union(*(at[s[0]] for s in live[i].seen)) - {i}
+
+    for i in range(len(live)):
+        offer(i, {j for j in beside(i) if j > i})
+    while waiting:
+        p, q, of_p, of_q = heapq.heappop(waiting)
+        if p in gone or q in gone or (grown[p], grown[q]) != (of_p, of_q):
+            continue
+        into, other = sorted((p, q), key=lambda i: (-live[i].hits, -live[i].best))
+        for s in live[other].seen:
+            at[s[0]].discard(other)
+        live[into].absorb(live[other])
+        gone.add(other)
+        grown[into] += 1
+        for s in live[into].seen:
+            at[s[0]].add(into)
+        offer(into, beside(into))
+    return [x for i, x in enumerate(live) if i not in gone]
 
 
 def _gap(a: Track, b: Track) -> float | None:
@@ -305,6 +348,13 @@ def track(detections: DataFrame, whole: bool = False, frame: tuple[int, int] = (
     return cut.sortWithinPartitions("clip", "f", "label", F.desc("score"), "x1", "y1", "x2", "y2", "t").mapInArrow(run, SCHEMA)
 
 
+def once(rows: DataFrame, tag: str = "tracks") -> DataFrame:
+    """The rows, written once to the shared folder: what reads tracks several times then doesn't track several times."""
+    folder = shared_folder(rows.sparkSession, tag)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
@@ -383,10 +433,10 @@ def merge_overlapping(samples: DataFrame, least: float = 0.55) -> DataFrame:
 
     A frame that both have keeps the better sample.
     """
-    same = mean_overlap(samples).where(F.col("overlap") >= least).groupBy("clip", "b").agg(F.min("a").alias("into")).withColumnRenamed("b", "track_id")
-    # Twice, so that a track merged into one that is merged itself ends up with the first.
-    rows = samples
-    for _ in range(2):
-        rows = rows.join(same, ["clip", "track_id"], "left").withColumn("track_id", F.coalesce("into", "track_id")).drop("into")
+    same = once(mean_overlap(samples).where(F.col("overlap") >= least).groupBy("clip", "b").agg(F.min("a").alias("into")).withColumnRenamed("b", "track_id"), "merged")
+    # Two steps, so that a track merged into one that is merged itself ends up with the first.
+    further = same.select("clip", F.col("track_id").alias("into"), F.col("into").alias("first"))
+    same = same.join(further, ["clip", "into"], "left").select("clip", "track_id", F.coalesce("first", "into").alias("into"))
+    rows = samples.join(same, ["clip", "track_id"], "left").withColumn("track_id", F.coalesce("into", "track_id")).drop("into")
     best = rows.groupBy("clip", "track_id", "f").agg(F.max_by(F.struct(*[c for c in samples.columns if c not in ("clip", "track_id", "f")]), F.struct((F.col("source") == "detect").alias("seen"), "score")).alias("s"))
     return best.select("clip", "track_id", "f", "s.*").select(*samples.columns)

@@ -25,7 +25,7 @@ def _(spark, sf_dir):
 @plan("trk_10_whole_clips")
 def _(spark, sf_dir):
     """Finished clips: tracks that go on or lie on each other are one, and static tracks and ghosts are gone."""
-    found = tracking.track(detections(spark, sf_dir), whole=True, frame=(380, 280))
+    found = tracking.once(tracking.track(detections(spark, sf_dir), whole=True, frame=(380, 280)))
     return tracking.summaries(tracking.keep_real(tracking.without_static(found, 0.8), 0.8))
 
 
@@ -118,4 +118,4 @@ def _(spark, sf_dir):
 
 @plan("trk_10_merge_overlaps")
 def _(spark, sf_dir):
-    return tracking.merge_overlapping(tracking.track(detections(spark, sf_dir)))
+    return tracking.merge_overlapping(tracking.once(tracking.track(detections(spark, sf_dir))))
