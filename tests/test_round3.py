@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from larkspur.operators import folds, store, tracking, zones
 from larkspur.session import in_order, stream_session
+from larkspur.streaming import events as live
 
 
 def test_grade_at_four_fifths(spark):
@@ -61,8 +62,8 @@ def test_live_folds_hold_one_part_of_a_key_at_a_time(spark, tmp_path):
 
     seen = ended(given.groupBy("k").applyInPandasWithState(step, "k long, rows long, most long, sorted boolean", "n long", "append", GroupStateTimeout.NoTimeout), "parts_seen")
     assert [(r.rows, r.sorted) for r in seen] == [(250, True)] * 2 and max(r.most for r in seen) <= 20
-    live = ended(folds.latch(stream(), ["k"], "us", "v", 90.0, 30.0), "latched")
-    assert sorted(map(tuple, live)) == sorted(map(tuple, folds.latch(rows, ["k"], "us", "v", 90.0, 30.0).collect()))
+    streamed = ended(folds.latch(stream(), ["k"], "us", "v", 90.0, 30.0), "latched")
+    assert sorted(map(tuple, streamed)) == sorted(map(tuple, folds.latch(rows, ["k"], "us", "v", 90.0, 30.0).collect()))
 
 
 def plainly_stitched(tracks):
@@ -117,3 +118,15 @@ def test_stitching_a_long_clip_looks_at_few_pairs(monkeypatch):
     made = made_tracks(random.Random(5), 2000, 40_000)
     tracking.stitched(made)
     assert len(calls) < 40 * 2000  # of two million pairs
+
+
+def test_pre_roll_joins_by_slots_of_time(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id as event_id", "concat('c', id % 2) as camera_id", "timestamp_seconds(id * 37) as ts")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    own = stream_session(spark)
+    stream = own.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    met = live.around_live(stream, stream.where("event_id % 7 = 0"), "74 seconds", "5 minutes")
+    met.writeStream.format("memory").queryName("pre_rolled").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert "slot" in met._jdf.queryExecution().analyzed().toString()  # not by the camera alone
+    want = sorted((f, t) for t in range(0, 400, 7) for f in range(t % 2, 400, 2) if -74 <= 37 * (f - t) <= 300)
+    assert sorted(map(tuple, own.table("pre_rolled").collect())) == want
