@@ -8,6 +8,7 @@ Every fold also takes a stream: the state of a key is then kept between micro-ba
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -153,13 +154,22 @@ def freeze_runs(rows: DataFrame, keys: list[str], order: str, hash64: str, most:
 
 
 def interval_lanes(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """WIN-30: the lowest lane whose last interval has ended. The state is one end per lane."""
+    """WIN-30: the lowest lane whose last interval has ended. The state is one end per lane; lanes wait in heaps, those in use by their end and free ones by number,
+    so a row's work hardly grows with the lanes. A row of a stream that starts before the one before it has them dealt anew."""
 
-    def step(lanes, row):
-        lanes = lanes or []
-        at = next((i for i, e in enumerate(lanes) if e <= row[start]), len(lanes))
-        lanes[at : at + 1] = [row[end]]
-        return lanes, at
+    def step(state, row):
+        ends, used, free, last = state or ([], [], [], None)
+        now = row[start]
+        if last is not None and now < last:
+            used = [(e, i) for i, e in enumerate(ends) if e > now]
+            free = [i for i, e in enumerate(ends) if e <= now]  # ascending, so a heap
+            heapq.heapify(used)
+        while used and used[0][0] <= now:
+            heapq.heappush(free, heapq.heappop(used)[1])
+        at = heapq.heappop(free) if free else len(ends)
+        ends[at : at + 1] = [row[end]]
+        heapq.heappush(used, (row[end], at))
+        return (ends, used, free, now), at
 
     return ordered_fold(rows, keys, start, [end], step, "lane int")
 

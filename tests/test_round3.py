@@ -121,7 +121,7 @@ def test_stitching_a_long_clip_looks_at_few_pairs(monkeypatch):
 
 
 def test_pre_roll_joins_by_slots_of_time(spark, tmp_path):
-    rows = spark.range(400).selectExpr("id as event_id", "concat('c', id % 2) as camera_id", "timestamp_seconds(id * 37) as ts")
+    rows = spark.range(400).selectExpr("id as event_id", "concat('c', id % 2) as camera_id", "timestamp_seconds(1704067200 + id * 37) as ts")
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
     own = stream_session(spark)
     stream = own.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
@@ -130,3 +130,34 @@ def test_pre_roll_joins_by_slots_of_time(spark, tmp_path):
     assert "slot" in met._jdf.queryExecution().analyzed().toString()  # not by the camera alone
     want = sorted((f, t) for t in range(0, 400, 7) for f in range(t % 2, 400, 2) if -74 <= 37 * (f - t) <= 300)
     assert sorted(map(tuple, own.table("pre_rolled").collect())) == want
+
+
+def test_lanes_by_heaps_equal_a_search(monkeypatch):
+    taken = {}
+    monkeypatch.setattr(folds, "ordered_fold", lambda rows, keys, order, used, step, out: taken.update(step=step))
+    folds.interval_lanes(None, ["k"], "s", "e")
+    rng, state, ends = random.Random(8), None, []
+    rows = sorted((rng.randrange(3000), rng.randrange(0, 400)) for _ in range(3000)) + [(rng.randrange(3000), rng.randrange(0, 400)) for _ in range(500)]
+    for s, length in rows:
+        state, lane = taken["step"](state, {"s": s, "e": s + length})
+        want = next((i for i, e in enumerate(ends) if e <= s), len(ends))
+        ends[want : want + 1] = [s + length]
+        assert lane == want
+    assert len(ends) > 100
+
+
+def test_many_lanes_cost_little(monkeypatch):
+    class End(int):
+        compared = 0
+
+        def __le__(self, other):
+            End.compared += 1
+            return int(self) <= other
+
+    taken = {}
+    monkeypatch.setattr(folds, "ordered_fold", lambda rows, keys, order, used, step, out: taken.update(step=step))
+    folds.interval_lanes(None, ["k"], "s", "e")
+    state = None
+    for s in range(3000):
+        state, lane = taken["step"](state, {"s": s, "e": End(s + 5000)})
+    assert lane == 2999 and End.compared < 40 * 3000  # of four million
