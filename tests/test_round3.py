@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from larkspur import plans
 from larkspur.operators import folds, store, tracking, zones
 from larkspur.session import in_order, stream_session
 from larkspur.streaming import events as live
@@ -161,3 +162,8 @@ def test_many_lanes_cost_little(monkeypatch):
     for s in range(3000):
         state, lane = taken["step"](state, {"s": s, "e": End(s + 5000)})
     assert lane == 2999 and End.compared < 40 * 3000  # of four million
+
+
+def test_tracks_are_made_once(spark):
+    for name in ("trk_10_merge_overlaps", "trk_10_whole_clips"):
+        assert "MapInArrow" not in plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
