@@ -103,13 +103,19 @@ def chart_lines(rows: DataFrame, keys: list[str], order: str, fields: list[str])
     x is the row's place in the series. y falls from 1 at the field's least value to 0 at its largest; a flat line is at half height. Nulls and values that
     are not finite end a run; runs count from 1, and those of six points or more are smooth. A field with fewer than two values has no line.
     """
-    series = Window.partitionBy(*keys)
-    placed = rows.withColumns({"_i": F.row_number().over(series.orderBy(order)) - 1, "_n": F.count("*").over(series)})
-    long = placed.select(*keys, order, "_i", "_n", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])))
-    line = Window.partitionBy(*keys, "field")
-    long = long.withColumn("v", F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v")))
-    long = long.withColumns({"_starts": F.col("v").isNotNull() & F.lag("v").over(line.orderBy("_i")).isNull(), "_lo": F.min("v").over(line), "_hi": F.max("v").over(line), "_known": F.count("v").over(line)})
-    long = long.withColumn("run", F.sum(F.col("_starts").cast("int")).over(line.orderBy("_i"))).where("v is not null and _known >= 2")
+    series, line = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys, "field").orderBy("_i")
+    long = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields]))
+    finite = F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v"))
+    # What is one figure a line comes from an aggregation: a window without an order would hold the whole line.
+    whole = rows.select(*keys, long).groupBy(*keys, "field").agg(F.count("*").alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.count(finite).alias("_known")).where("_known >= 2")
+    whole = whole.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("field").alias("_of_field"), "_n", "_lo", "_hi", "_known")
+    placed = rows.select(*keys, order, *[f for f in fields if f not in (*keys, order)]).withColumn("_i", F.row_number().over(series) - 1)
+    # Dealt out anew by field, so that a task has one line, not all of a series.
+    long = placed.select(*keys, order, "_i", long).withColumn("v", finite).repartition(*keys, "field")
+    long = long.withColumn("_starts", F.col("v").isNotNull() & F.lag("v").over(line).isNull())
+    long = long.withColumn("run", F.sum(F.col("_starts").cast("int")).over(line)).where("v is not null")
+    long = long.join(whole, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "field"]]).drop(*[f"_of_{k}" for k in [*keys, "field"]])
+    long = long.repartition(*keys, "field", "run")
     y = F.when(F.col("_hi") - F.col("_lo") < 1e-9, (F.col("_lo") + 0.5 - F.col("v")).cast("double")).otherwise(1 - (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     x = F.when(F.col("_n") > 1, F.col("_i") / (F.col("_n") - 1)).otherwise(0.0)
     smooth = F.count("*").over(Window.partitionBy(*keys, "field", "run")) >= 6

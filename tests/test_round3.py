@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from larkspur import plans
-from larkspur.operators import folds, store, tracking, zones
+from larkspur.operators import folds, store, temporal, tracking, zones
 from larkspur.session import in_order, stream_session
 from larkspur.streaming import events as live
 
@@ -167,3 +167,11 @@ def test_many_lanes_cost_little(monkeypatch):
 def test_tracks_are_made_once(spark):
     for name in ("trk_10_merge_overlaps", "trk_10_whole_clips"):
         assert "MapInArrow" not in plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_chart_lines_have_no_window_over_a_whole_line(spark):
+    rows = spark.createDataFrame([(None, 1, 2.0), (None, 2, 3.0), ("a", 1, 1.0), ("a", 2, None), ("a", 3, 5.0)], "k string, i int, v double")
+    got = temporal.chart_lines(rows, ["k"], "i", ["v"])
+    windows = [line for line in got._jdf.queryExecution().analyzed().toString().splitlines() if "windowspecdefinition" in line]
+    assert windows and not any("min(" in w or "max(" in w for w in windows)
+    assert sorted(map(tuple, got.select("k", "i", "run", "x", "y").collect()), key=repr) == sorted([(None, 1, 1, 0.0, 1.0), (None, 2, 1, 1.0, 0.0), ("a", 1, 1, 0.0, 1.0), ("a", 3, 2, 1.0, 0.0)], key=repr)
