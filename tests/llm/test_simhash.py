@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 
 import corpus_pipeline
@@ -97,6 +98,32 @@ def test_similar_texts_link_exactly(spark):
     assert joined.where('id = 904').first().component == 900
 
 
+@pytest.mark.parametrize("outsiders", [similar.OUTSIDERS, 0])
+def test_heavily_changed_copies_are_compared_by_their_changes(spark, monkeypatch, outsiders):
+    rng = np.random.default_rng(21)
+    base = [f"w{k}" for k in range(146)]
+    texts, made = [], {}
+    for _ in range(500):  # most further than 4/5 from each other, some beside one that is changed as much, some without the base
+        words = list(texts[int(rng.integers(0, len(texts)))] if texts and rng.random() < 0.1 else base)
+        for k in rng.integers(0, len(words), int(rng.choice([2, 3, 4, 4, 4, 5, 7]))):
+            words[k : k + 1] = [f"new{rng.integers(0, 40)}"] * int(rng.integers(0, 3))
+        texts.append(words if rng.random() < 0.95 else [f"own{len(texts)}x{k}" for k in range(len(words) // 8)] + words[: len(words) * 4 // 5])
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    group = list(range(len(sets)))
+    find = lambda x: x if group[x] == x else find(group[x])
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                group[y] = x
+    want = [find(i) for i in range(len(sets))]
+    monkeypatch.setattr(similar, "OUTSIDERS", outsiders)
+    monkeypatch.setattr(similar, "materialise", lambda df, tag, write=similar.materialise: made.setdefault(tag, write(df, tag)) if tag == "similar-untried" else write(df, tag))
+    found = {r.id: r.component for r in similar.components(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, text string")).collect()}
+    assert [found.get(i, i) for i in range(len(sets))] == want and 100 < len(set(want)) < 400
+    assert made["similar-untried"].count() < 5 * len(sets)
+
+
 def test_pipeline_drops_near_copies(spark):
     words = [f"w{k}" for k in range(100)]
     near = [*words[:50], "other", *words[51:]]
