@@ -72,6 +72,7 @@ class Track:
     best: float = 0.0
     first: int = 0
     missed: int = 0
+    motion: tuple | None = None  # of the detections so far: their median velocity, if they move
 
     @property
     def box(self) -> Box:
@@ -84,30 +85,41 @@ class Track:
         """
         if len(self.seen) < 2:
             return self.box
-        known, (at, _, box, *_) = self.seen[-VELOCITY_SAMPLES:], self.seen[-1]
-        speeds = []
-        for p, q in itertools.pairwise(known):
-            (px, py), (qx, qy), frames = centre(p[2]), centre(q[2]), max(1, q[0] - p[0])
-            speeds.append(((qx - px) / frames, (qy - py) / frames))
-        sides = _sides(box)
-        if sum((x * x + y * y) ** 0.5 for x, y in speeds) / len(speeds) < STILL * max(1.0, min(sides)):
+        if self.motion is None:
+            self.motion = self._velocity()
+        at, _, box, *_ = self.seen[-1]
+        if not self.motion:
             return box
+        sides = _sides(box)
         ahead = max(0, f - at)
         ahead *= max(0.0, 1 - ahead / DECAY)
         moved = []
-        for middle, side, along in zip(centre(box), sides, zip(*speeds, strict=True), strict=True):
-            step = sorted(along)[len(along) // 2] * ahead
+        for middle, side, along in zip(centre(box), sides, self.motion, strict=True):
+            step = along * ahead
             moved.append(middle + max(-MAX_SHIFT * side, min(MAX_SHIFT * side, step)))
         (x, y), (w, h) = moved, sides
         return tuple(float(int(v)) for v in (x - w / 2, y - h / 2, x + w / 2, y + h / 2))  # whole pixels, towards zero
 
+    def _velocity(self) -> tuple:
+        """Median velocity per frame over the last detections; none where the subject hardly moves."""
+        speeds = []
+        for p, q in itertools.pairwise(self.seen[-VELOCITY_SAMPLES:]):
+            (px, py), (qx, qy), frames = centre(p[2]), centre(q[2]), max(1, q[0] - p[0])
+            speeds.append(((qx - px) / frames, (qy - py) / frames))
+        if sum((x * x + y * y) ** 0.5 for x, y in speeds) / len(speeds) < STILL * max(1.0, min(_sides(self.seen[-1][2]))):
+            return ()
+        return tuple(sorted(along)[len(along) // 2] for along in zip(*speeds, strict=True))
+
     def add(self, f: int, t: float, det: tuple) -> None:
         """A detection: it ends a miss and votes for the label, which changes only to one with strictly more of the last votes."""
         label, score, b = det
         sample = (f, t, b, round(score, 4), label, "detect")
         self.samples.append(sample)
         self.seen.append(sample)
+        self.motion = None
         self.hits, self.best, self.missed = self.hits + 1, max(self.best, score), 0
+        if len(self.seen) == 1 and label == self.label:
+            return
         votes = [s[4] for s in reversed(self.seen[-VOTES:])]
         top = max(dict.fromkeys(votes), key=votes.count)
         if votes.count(top) > votes.count(self.label):
@@ -119,7 +131,7 @@ class Track:
 
     def absorb(self, other: Track) -> None:
         """The other's samples on frames that this one has none of."""
-        mine = {s[0] for s in self.samples}
+        self.motion, mine = None, {s[0] for s in self.samples}
         for have, more in ((self.samples, other.samples), (self.seen, other.seen)):
             fresh = [s for s in more if s[0] not in mine]
             later = not have or not fresh or have[-1][0] <= fresh[0][0]
@@ -145,6 +157,8 @@ class Tracker:
 
 def suppress(dets: list[tuple]) -> list[tuple]:
     """TRK-1: greedy suppression within a label; labels in their first order, the best of a label first."""
+    if len(dets) == 1:
+        return dets
     out: list[tuple] = []
     for label in dict.fromkeys(d[0] for d in dets):
         kept: list[tuple] = []
@@ -162,33 +176,40 @@ def _at_edge(b: Box, frame: tuple[int, int]) -> bool:
 
 def _inside(b: Box, frame: tuple[int, int]) -> Box:
     """The box cut to the frame, where its size is known."""
+    if frame == (0, 0):
+        return b
     limit = [max(0, size) or None for size in (*frame, *frame)]
     return tuple(v if most is None else float(max(0, min(most, v))) for v, most in zip(b, limit, strict=True))
 
 
 def associate(state: Tracker, dets: list[tuple], f: int, t: float, spawn: dict[str, float] | None = None, grace: int = GRACE, frame: tuple[int, int] = (0, 0)) -> None:
     """One frame: dets are (label, score, box). The state is changed in place."""
-    sure = lambda d: d[1] >= (spawn or {}).get(d[0], SPAWN)
-    dets, t = suppress(dets), round(t, 3)
+    dets, t, spawn = suppress(dets), round(t, 3), spawn or {}
+    sure = [d[1] >= spawn.get(d[0], SPAWN) for d in dets]
     active = list(state.active)  # those of before this frame
     ahead = {x.number: x.predicted(f) for x in active}
     hit: set[int] = set()
     used: set[int] = set()
     for tier in (True, False):  # TRK-2/3: the sure ones choose first
-        pairs = [(-share, i, j) for i, d in enumerate(dets) for j, x in enumerate(active) if d[0] == x.label and sure(d) == tier and x.number not in hit and (share := box_iou(ahead[x.number], d[2])) >= MATCH_IOU]
+        pairs = [(-share, i, j) for i, d in enumerate(dets) if sure[i] == tier for j, x in enumerate(active) if d[0] == x.label and x.number not in hit and (share := box_iou(ahead[x.number], d[2])) >= MATCH_IOU]
         for _, i, j in sorted(pairs):
             if i not in used and active[j].number not in hit:
                 used.add(i)
                 hit.add(active[j].number)
                 active[j].add(f, t, dets[i])
     for i, d in enumerate(dets):
-        if i in used or not sure(d):
+        if i in used or not sure[i]:
             continue
         # TRK-4: on top of a track that is alive a sure detection joins it, whatever its label and even if it has one already.
-        near = [(max(box_iou(d[2], ahead.get(x.number, (0.0,) * 4)), box_iou(d[2], x.box)), -j) for j, x in enumerate(state.active)]
-        share, j = max(near, default=(0.0, 0))
-        if share > BLOCK_IOU:
-            x = state.active[-j]
+        near = []
+        for j, x in enumerate(state.active):
+            box, share = x.box, box_iou(d[2], x.box)
+            if (moved := ahead.get(x.number, box)) is not box:
+                share = max(share, box_iou(d[2], moved))
+            if share > BLOCK_IOU:
+                near.append((share, -j))
+        if near:
+            x = state.active[-max(near)[1]]
         elif (x := _revived(state, d, t)) is not None:  # TRK-5
             state.closed.remove(x)
             state.active.append(x)
@@ -213,19 +234,21 @@ def _revived(state: Tracker, det: tuple, t: float) -> Track | None:
         return None
     fits = []
     for nth, x in enumerate(reversed(state.closed[-REVIVE_MEMORY:])):
+        if x.label != det[0] or t - x.samples[-1][1] > REVIVE_S:
+            continue
         far = _apart(det[2], x.box)
-        if x.label == det[0] and t - x.samples[-1][1] <= REVIVE_S and _ratio(det[2], x.box) <= REVIVE_RATIO and far <= REVIVE_DISTANCE * max(1.0, *_sides(x.box)):
+        if far <= REVIVE_DISTANCE * max(1.0, *_sides(x.box)) and _ratio(det[2], x.box) <= REVIVE_RATIO:
             fits.append((far, nth, x))
     return min(fits, key=lambda c: c[:2])[2] if fits else None
 
 
 def _merge(state: Tracker) -> None:
     """Two live tracks of a label whose last detections coincide become the better one; the other one ends."""
-    for a, b in itertools.combinations(list(state.active), 2):
+    for a, b in itertools.combinations([x for x in state.active if len(x.seen) >= MERGE_BOXES], 2):
         if a not in state.active or b not in state.active or a.label != b.label:
             continue
         tails = a.seen[-MERGE_BOXES:], b.seen[-MERGE_BOXES:]
-        if min(map(len, tails)) < MERGE_BOXES or any(box_iou(p[2], q[2]) < MERGE_IOU for p, q in zip(*tails, strict=True)):
+        if any(box_iou(p[2], q[2]) < MERGE_IOU for p, q in zip(*tails, strict=True)):
             continue
         rank = [(100 * x.hits + 10 * x.best, -x.first) for x in (a, b)]
         winner, loser = (b, a) if rank[1] > rank[0] else (a, b)
@@ -340,9 +363,9 @@ def track(detections: DataFrame, whole: bool = False, frame: tuple[int, int] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for clip, part in itertools.groupby(rows, key=lambda r: r[0]):
-            out = [(clip, *r) for r in track_clip((r[1:] for r in part), whole, frame)]
+            out = track_clip((r[1:] for r in part), whole, frame)
             for at in range(0, len(out), 8192):
-                yield _batch(out[at : at + 8192])
+                yield _batch(clip, out[at : at + 8192])
 
     cut = detections.select("clip", "f", "t", "label", "score", "x1", "y1", "x2", "y2").repartition("clip")
     return cut.sortWithinPartitions("clip", "f", "label", F.desc("score"), "x1", "y1", "x2", "y2", "t").mapInArrow(run, SCHEMA)
@@ -355,8 +378,9 @@ def once(rows: DataFrame, tag: str = "tracks") -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+def _batch(clip: str | None, rows: list[tuple]) -> pa.RecordBatch:
+    clips = pa.repeat(pa.scalar(clip, _KINDS[0]), len(rows))
+    return pa.RecordBatch.from_arrays([clips, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS[1:], strict=True))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def best_moments(samples: DataFrame) -> DataFrame:

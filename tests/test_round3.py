@@ -175,3 +175,16 @@ def test_chart_lines_have_no_window_over_a_whole_line(spark):
     windows = [line for line in got._jdf.queryExecution().analyzed().toString().splitlines() if "windowspecdefinition" in line]
     assert windows and not any("min(" in w or "max(" in w for w in windows)
     assert sorted(map(tuple, got.select("k", "i", "run", "x", "y").collect()), key=repr) == sorted([(None, 1, 1, 0.0, 1.0), (None, 2, 1, 1.0, 0.0), ("a", 1, 1, 0.0, 1.0), ("a", 3, 2, 1.0, 0.0)], key=repr)
+
+
+def test_a_velocity_is_worked_out_once_a_detection(monkeypatch):
+    calls = []
+    monkeypatch.setattr(tracking, "centre", lambda b, of=tracking.centre: calls.append(b) or of(b))
+    track = tracking.Track(0, "cat")
+    for f in range(6):
+        track.add(f, float(f), ("cat", 0.9, (10.0 * f, 0.0, 10.0 * f + 80, 80.0)))
+    boxes = [track.predicted(f) for f in range(6, 14)]
+    assert boxes[0] == (58.0, 0.0, 138.0, 80.0) and boxes[6] == (50.0, 0.0, 130.0, 80.0)
+    assert len(calls) == 2 * 5 + 8  # not 8 times both
+    track.add(6, 6.0, ("cat", 0.9, (200.0, 0.0, 280.0, 80.0)))
+    assert track.predicted(7) == (208.0, 0.0, 288.0, 80.0)
