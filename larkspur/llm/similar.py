@@ -6,13 +6,14 @@ of them is compared with one of them, the *hub*, that with the least id, so that
 Then only sets that share a shingle but are in different components so far are compared, those outside of the shingle's largest
 component with all others. A group of near copies so costs one comparison a member; sets of one component need no further links. Where many sets
 of a shingle are outside of its largest component, as heavily changed copies of one text are, only those are compared whose *changes* have
-something in common (see ``_by_changes``). All steps drop pairs whose sizes and places in the order, or whose first shingles as a whole, exclude the similarity. Survivors are compared on their whole texts.
+something in common (see ``_by_changes``), unless their sizes leave few pairs, as with texts that quote one passage (see ``_families``). All steps drop pairs whose sizes and places in the order, or whose first shingles as a whole, exclude the similarity. Survivors are compared on their whole texts.
 
 Texts are split as for fingerprints; a text of fewer words than a shingle is one shingle, and wordless texts link nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,10 @@ SHINGLE_WORDS = 5
 SAMPLE_DOCS, SAMPLE_COUNT, SAMPLE_KEPT = 20_000, 3, 200_000
 #: Sets of a shingle that all its others are compared with first.
 HUBS = 16
-#: Sets outside of a shingle's largest component that are all compared with its others; more go by their changes.
+#: Sets outside of a shingle's largest component that are all compared with its others; more go by their changes,
 OUTSIDERS = 32
+#: if their family has more pairs of about one size than so many for each of its sets: to unfold all of a set's shingles costs about as much.
+PAIRS_EACH = 8
 #: Documents of a block, when pairs are verified.
 BLOCK = 256
 #: Words remembered by a Python worker before it forgets them all.
@@ -158,6 +161,15 @@ def _promising(pairs: DataFrame, each: DataFrame) -> DataFrame:
     return pairs.where(alike(F.size(F.array_intersect("prefix_a", "prefix_b")) + rest, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
+def _families(crowd: DataFrame) -> DataFrame:
+    """The families (largest) of the sets (shingle, id, n, component, largest) of crowded shingles in which too many pairs are possible by their sizes."""
+    size = F.floor(F.log("n") / F.lit(math.log(1.25))).alias("size")
+    sizes = crowd.groupBy("largest", "shingle", size).agg(F.count("*").alias("k"), F.count_if(F.col("component") != F.col("largest")).alias("outside"))
+    pairs = sizes.groupBy("largest").agg(F.sum(F.col("k") * F.col("outside")).alias("pairs"))
+    sets = crowd.select("largest", "id").distinct().groupBy("largest").agg(F.count("*").alias("sets"))
+    return pairs.join(sets, "largest").where(F.col("pairs") > F.lit(PAIRS_EACH) * F.col("sets")).select("largest")
+
+
 def _by_changes(crowd: DataFrame, rows: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """Links (src, dst), and all other pairs (a, b) that can be alike, of the sets (shingle, id, component, largest) of crowded shingles.
 
@@ -165,7 +177,8 @@ def _by_changes(crowd: DataFrame, rows: DataFrame, words: int) -> tuple[DataFram
     that only it or only the centre holds. Sets of n and m shingles with d and e changes, o of them in common, differ in ``d + e - 2o``, so they are alike if
     ``18 o >= (9d - n) + (9e - m)``. With the family's best set, the largest ``n - 9d``, all sets are linked that need nothing in common for it; so
     are any two such sets then. Other pairs share a change, in an order with frequent changes last at places that leave enough behind them: of two sets the one with fewer changes has it among its first
-    ``n / 8``. The changes that copies of a text share by chance are the frequent ones, what they lack of it, so few copies meet.
+    ``n / 8``. The changes that copies of a text share by chance are the frequent ones, what they lack of it, so few copies meet. All counts come from one count of the
+    shingles that two sets of a family hold; changes of one set alone, most of all where sets have little more than a passage in common, come first in the order and go nowhere.
     """
     members = materialise(crowd.select(F.col("largest").alias("family"), "id", "component").distinct(), "similar-members")
 
@@ -175,9 +188,10 @@ def _by_changes(crowd: DataFrame, rows: DataFrame, words: int) -> tuple[DataFram
     ids = materialise(members.select("id").distinct(), "similar-member-ids")
     texts = rows.where(prefilter(ids, "similar-members-filter")(F.col("id"))).join(ids, "id", "left_semi")
     sets = materialise(members.join(map_rows(texts.select("id", "text"), one, "id long, shingles array<long>"), "id"), "similar-sets")
-    half = sets.groupBy("family").agg((F.count("*") / 2).alias("half"))
-    held = sets.select("family", F.explode("shingles").alias("s")).groupBy("family", "s").count().join(half, "family").where("count > half")
-    centre = materialise(held.groupBy("family").agg(F.collect_list("s").alias("centre")), "similar-centre")
+    many = sets.groupBy("family").agg(F.count("*").alias("many"))
+    held = sets.select("family", F.explode("shingles").alias("s")).groupBy("family", "s").agg(F.count("*").alias("k")).where("k > 1")
+    held = materialise(held.join(many, "family").withColumn("central", F.expr("2 * k > many")), "similar-held")
+    centre = materialise(held.where("central").groupBy("family").agg(F.collect_list("s").alias("centre")), "similar-centre")
     of = sets.join(centre, "family", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
     changes = F.concat(F.array_except("shingles", "centre"), F.array_except("centre", "shingles"))
     changed = of.select("family", "id", "component", F.size("shingles").alias("n"), changes.alias("changes")).withColumn("d", F.size("changes")).withColumn("slack", F.expr("n - 9 * d"))
@@ -186,12 +200,14 @@ def _by_changes(crowd: DataFrame, rows: DataFrame, words: int) -> tuple[DataFram
     best = changed.groupBy("family").agg(F.max(F.struct("slack", "id")).alias("best"))
     changed = changed.join(best, "family").withColumn("near", F.expr("slack + best.slack >= 0"))
     links = changed.where("near and id <> best.id").select(F.col("best.id").alias("src"), F.col("id").alias("dst"))
+    common = materialise(held.select("family", F.col("s").alias("change"), F.expr("case when central then many - k else k end").alias("often")).where("often > 1"), "similar-common")
     each = changed.withColumn("change", F.explode("changes")).drop("changes")
-    rare = each.groupBy("family", "change").agg(F.count("*").alias("often"))
-    each = each.join(rare, ["family", "change"]).withColumn("at", F.row_number().over(Window.partitionBy("family", "id").orderBy("often", "change")) - 1)
+    each = each.where(prefilter(common.select("change"), "similar-common-filter")(F.col("change"))).join(common, ["family", "change"])
+    of_set = Window.partitionBy("family", "id")
+    each = each.withColumn("at", F.col("d") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("often", "change")) - 1)
     # What a set has in common with any that it isn't linked with: at least one, no less than its changes beyond n / 4, and for a set near the best more than what tells the two apart.
-    common = F.greatest(F.lit(1), F.expr("d - floor(n / 4)"), F.expr("case when near then floor((best.slack - slack) / 18) + 1 end"))
-    each = materialise(each.where(F.col("at") <= F.col("d") - common).drop("best"), "similar-changes")
+    least = F.greatest(F.lit(1), F.expr("d - floor(n / 4)"), F.expr("case when near then floor((best.slack - slack) / 18) + 1 end"))
+    each = materialise(each.where(F.col("at") <= F.col("d") - least).drop("best"), "similar-changes")
     x, y = each.alias("x"), each.where("8 * at <= n").alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & ~(F.col("x.near") & F.col("y.near")) & (F.struct("y.d", "y.id") < F.struct("x.d", "x.id"))
     enough = F.lit(18) * F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at")) >= -F.col("x.slack") - F.col("y.slack")
@@ -221,13 +237,16 @@ def components(rows: DataFrame, known: DataFrame | None = None, words: int = SHI
     largest = parts.groupBy("shingle").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.max(F.struct("k", "component")).alias("largest")).where("parts > 1")
     largest = largest.select("shingle", F.col("largest.component").alias("largest"), (F.col("k") - F.col("largest.k") > OUTSIDERS).alias("crowded"))
     open_ = materialise(placed.join(largest, "shingle"), "similar-open")
-    x, y = open_.where("component <> largest and not crowded").alias("x"), open_.where("not crowded").alias("y")
+    crowd = open_.where("crowded")
+    families = materialise(_families(crowd), "similar-families")
+    direct = open_.where("not crowded").unionByName(crowd.join(families, "largest", "left_anti").select(*open_.columns))
+    x, y = direct.where("component <> largest").alias("x"), direct.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
     pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(apart).where(_possible("x", "y"))
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    crowd, close = open_.where("crowded"), None
-    if not crowd.isEmpty():
-        close, others = _by_changes(crowd, rows, words)
+    close = None
+    if not families.isEmpty():
+        close, others = _by_changes(crowd.join(families, "largest", "left_semi"), rows, words)
         pairs = pairs.unionByName(others)
     pairs = materialise(_promising(materialise(pairs.distinct().join(star, ["a", "b"], "left_anti"), "similar-untried"), each), "similar-pairs")
     if pairs.isEmpty() and close is None:

@@ -124,6 +124,25 @@ def test_heavily_changed_copies_are_compared_by_their_changes(spark, monkeypatch
     assert made["similar-untried"].count() < 5 * len(sets)
 
 
+@pytest.mark.parametrize("each", [8, 0])
+def test_texts_that_quote_one_passage_are_not_unfolded(spark, monkeypatch, each):
+    rng = np.random.default_rng(5)
+    passage, texts, made = [f"quoted{k}" for k in range(14)], [], {}
+    for i, n in enumerate(np.geomspace(60, 5000, 60).astype(int)):
+        words = [f"w{rng.integers(0, 10**9)}" for _ in range(n)]
+        texts += [words[: n // 2] + passage + words[n // 2 :]] * (1 + (i in (20, 30)))
+    for i in (21, 32):  # a word changed, one added
+        texts[i] = ["first", *texts[i][:-1], "last"]
+    monkeypatch.setattr(similar, "SAMPLE_DOCS", 0)  # as where the sample misses the passage
+    monkeypatch.setattr(similar, "PAIRS_EACH", each, raising=False)
+    monkeypatch.setattr(similar, "materialise", lambda df, tag, write=similar.materialise: made.setdefault(tag, write(df, tag)) if tag in ("similar-changes", "similar-untried", "similar-open") else write(df, tag))
+    found = similar.components(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, text string"))
+    assert {(r.id, r.component) for r in found.collect()} == {(20, 20), (21, 20), (31, 31), (32, 31)}
+    assert made["similar-open"].where("crowded").count() and made["similar-untried"].count() < 5 * len(texts)
+    assert ("similar-changes" in made) == (not each)
+    assert each or made["similar-changes"].count() < sum(map(len, texts)) // 50  # a fifth of all shingles when those of one set were written too
+
+
 def test_pipeline_drops_near_copies(spark):
     words = [f"w{k}" for k in range(100)]
     near = [*words[:50], "other", *words[51:]]
