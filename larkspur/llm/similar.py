@@ -6,7 +6,8 @@ of them is compared with one of them, the *hub*, that with the least id, so that
 Then only sets that share a shingle but are in different components so far are compared, those outside of the shingle's largest
 component with all others. A group of near copies so costs one comparison a member; sets of one component need no further links. Where many sets
 of a shingle are outside of its largest component, as heavily changed copies of one text are, only those are compared whose *changes* have
-something in common (see ``_by_changes``), unless their sizes leave few pairs, as with texts that quote one passage (see ``_families``). All steps drop pairs whose sizes and places in the order, or whose first shingles as a whole, exclude the similarity. Survivors are compared on their whole texts.
+something in common (see ``_by_changes``), unless their sizes leave fewer pairs than the sets hold shingles, as with texts that quote one passage (see ``_families``). A
+sample knows the fewer of the shingles that many sets share the larger the input is; those that crowd the prefixes for that reason are put last too (see ``_settled``). All steps drop pairs whose sizes and places in the order, or whose first shingles as a whole, exclude the similarity. Survivors are compared on their whole texts.
 
 Texts are split as for fingerprints; a text of fewer words than a shingle is one shingle, and wordless texts link nothing.
 """
@@ -33,8 +34,10 @@ SAMPLE_DOCS, SAMPLE_COUNT, SAMPLE_KEPT = 20_000, 3, 200_000
 HUBS = 16
 #: Sets outside of a shingle's largest component that are all compared with its others; more go by their changes,
 OUTSIDERS = 32
-#: if their family has more pairs of about one size than so many for each of its sets: to unfold all of a set's shingles costs about as much.
-PAIRS_EACH = 8
+#: if their family has more pairs of about one size than so many for every ``UNFOLDED`` shingles that its sets hold: to unfold those costs about as much.
+PAIRS_EACH, UNFOLDED = 8, 8
+#: Prefixes that may hold a shingle the sample doesn't know, the sets of which one is counted for it, and how often the order is mended.
+CROWD, COUNTED, ROUNDS = 128, 4, 3
 #: Documents of a block, when pairs are verified.
 BLOCK = 256
 #: Words remembered by a Python worker before it forgets them all.
@@ -75,7 +78,7 @@ def alike(common, n, m):
 
 
 def _frequent(rows: DataFrame, words: int) -> np.ndarray:
-    """Rows (shingle, count) of a sample's frequent shingles, by shingle."""
+    """Rows (shingle, count) of a sample's frequent shingles, by shingle; counts are carried on to all texts."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch_of(shingles=([shingle_set(t, words) for t in batch.column(0).to_pylist()], pa.list_(pa.int64())))
@@ -84,12 +87,11 @@ def _frequent(rows: DataFrame, words: int) -> np.ndarray:
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
     seen = map_rows(some, one, "shingles array<long>").select(F.explode("shingles").alias("s"))
     often = seen.groupBy("s").count().where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "s").limit(SAMPLE_KEPT).collect()
-    return np.array(sorted((r["s"], r["count"]) for r in often), np.int64).reshape(-1, 2)
+    return np.array(sorted((r["s"], int(r["count"] / share)) for r in often), np.int64).reshape(-1, 2)
 
 
-def _prefixes(rows: DataFrame, words: int) -> DataFrame:
-    """``(id, digest, n, prefix)`` of the texts with words: a digest of the whole set, its size, its first shingles in the common order."""
-    known = _frequent(rows, words)
+def _prefixes(rows: DataFrame, words: int, known: np.ndarray) -> DataFrame:
+    """``(id, digest, n, prefix)`` of the texts with words: a digest of the whole set, its size, its first shingles in the common order, that with ``known`` ones (shingle, count) last."""
 
     def first(s: np.ndarray) -> np.ndarray:
         many = len(s) - -(-4 * len(s) // 5) + 1 if len(s) else 0
@@ -106,6 +108,30 @@ def _prefixes(rows: DataFrame, words: int) -> DataFrame:
     return map_rows(rows, one, "id long, digest long, n int, prefix array<long>").where("n > 0")
 
 
+def _settled(each: DataFrame, copies: DataFrame, rows: DataFrame, words: int, known: np.ndarray) -> DataFrame:
+    """The prefixes ``each`` in an order that has also those shingles last that more than about ``CROWD`` prefixes hold and ``known`` lacks.
+
+    A shingle only moves back, so the prefixes that don't hold one stay as they are; the others are made anew, from as many texts. What still crowds prefixes after the last round,
+    or is more than ``SAMPLE_KEPT`` shingles, is compared like all else.
+    """
+    for _ in range(ROUNDS):
+        keys = each.join(copies.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.explode("prefix").alias("shingle"))
+        some = keys.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0)
+        counts = some.groupBy("shingle").agg((F.count("*") * COUNTED).alias("sets")).where(F.col("sets") > CROWD)
+        unknown = lambda batch, known=known[:, 0]: batch.filter(pa.array(~np.isin(batch.column(0).to_numpy(), known)))
+        crowding = materialise(map_rows(counts, unknown, "shingle long, sets long").orderBy(F.desc("sets"), "shingle").limit(SAMPLE_KEPT), "similar-crowding")
+        late = np.array([(r["shingle"], r["sets"]) for r in crowding.collect()], np.int64).reshape(-1, 2)
+        if not len(late):
+            break
+        known = np.concatenate([known, late])
+        known = known[np.argsort(known[:, 0])]
+        crowding = crowding.select("shingle")
+        ids = keys.where(prefilter(crowding, "similar-crowding-filter")(F.col("shingle"))).join(crowding, "shingle", "left_semi").select("id").distinct()
+        anew = prefilter(materialise(ids, "similar-anew-ids"), "similar-anew-filter")(F.col("id"))  # what else it lets through gets the prefix it has
+        each = materialise(each.where(~anew).unionByName(_prefixes(rows.where(anew), words, known)), "similar-settled")
+    return each
+
+
 def _compared(words: int):
     """Pairs that are alike, from rows (one, two, a, b, text) sorted by cell, texts (id in a) before the pairs of their cell; holds one cell's sets."""
 
@@ -162,12 +188,15 @@ def _promising(pairs: DataFrame, each: DataFrame) -> DataFrame:
 
 
 def _families(crowd: DataFrame) -> DataFrame:
-    """The families (largest) of the sets (shingle, id, n, component, largest) of crowded shingles in which too many pairs are possible by their sizes."""
+    """The families (largest) of the sets (shingle, id, n, component, largest) of crowded shingles that leave more pairs by their sizes than shingles to unfold.
+
+    So the rows that a family makes, of pairs or of shingles, are no more than its sets hold shingles.
+    """
     size = F.floor(F.log("n") / F.lit(math.log(1.25))).alias("size")
     sizes = crowd.groupBy("largest", "shingle", size).agg(F.count("*").alias("k"), F.count_if(F.col("component") != F.col("largest")).alias("outside"))
     pairs = sizes.groupBy("largest").agg(F.sum(F.col("k") * F.col("outside")).alias("pairs"))
-    sets = crowd.select("largest", "id").distinct().groupBy("largest").agg(F.count("*").alias("sets"))
-    return pairs.join(sets, "largest").where(F.col("pairs") > F.lit(PAIRS_EACH) * F.col("sets")).select("largest")
+    held = crowd.select("largest", "id", "n").distinct().groupBy("largest").agg(F.sum("n").alias("held"))
+    return pairs.join(held, "largest").where(F.lit(UNFOLDED) * F.col("pairs") > F.lit(PAIRS_EACH) * F.col("held")).select("largest")
 
 
 def _by_changes(crowd: DataFrame, rows: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
@@ -217,9 +246,11 @@ def _by_changes(crowd: DataFrame, rows: DataFrame, words: int) -> tuple[DataFram
 
 def components(rows: DataFrame, known: DataFrame | None = None, words: int = SHINGLE_WORDS) -> DataFrame:
     """``(id, component)`` of rows (id, text), one row an id, that are linked to others: by a similarity of 4/5 or more, or by ``known`` links (src, dst)."""
-    each = materialise(_prefixes(rows, words), "similar-prefixes")
+    frequent = _frequent(rows, words)
+    each = materialise(_prefixes(rows, words, frequent), "similar-prefixes")
     copied = each.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
     copies = materialise(each.select("id", "digest").join(copied, "digest").where("id <> least").select(F.col("least").alias("src"), F.col("id").alias("dst")), "similar-copies")
+    each = _settled(each, copies, rows, words, frequent)
     keys = each.join(copies.select(F.col("dst").alias("id")), "id", "left_anti").select("id", "n", F.posexplode("prefix").alias("at", "shingle"))
 
     met = materialise(keys.groupBy("shingle").count().where("count > 1").select("shingle"), "similar-met")

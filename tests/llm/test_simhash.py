@@ -143,6 +143,41 @@ def test_texts_that_quote_one_passage_are_not_unfolded(spark, monkeypatch, each)
     assert each or made["similar-changes"].count() < sum(map(len, texts)) // 50  # a fifth of all shingles when those of one set were written too
 
 
+def quoting(rng, sizes, near):
+    """Texts of random words that quote one passage, and after those numbered ``near`` a near copy."""
+    passage, texts = [f"quoted{k}" for k in range(24)], []
+    for i, n in enumerate(sizes):
+        words = [f"w{rng.integers(0, 10**9)}" for _ in range(n)]
+        texts.append(words[: n // 2] + passage + words[n // 2 :])
+        if i in near:
+            texts.append(["first", *texts[-1][:-1], "last"])
+    return texts
+
+
+def test_families_of_few_pairs_are_not_unfolded(spark, monkeypatch):
+    texts, made = quoting(np.random.default_rng(6), np.full(60, 800), (20, 30)), {}
+    monkeypatch.setattr(similar, "SAMPLE_DOCS", 0)
+    monkeypatch.setattr(similar, "materialise", lambda df, tag, write=similar.materialise: made.setdefault(tag, write(df, tag)))
+    found = similar.components(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, text string"))
+    assert {(r.id, r.component) for r in found.collect()} == {(20, 20), (21, 20), (31, 31), (32, 31)}
+    crowd = made["similar-open"].where("crowded").count()
+    assert 8 * 62 < crowd * 30 and crowd < 62 * 20  # more than eight pairs a set, as all are of one size, and far fewer than 62 * 820 shingles
+    assert "similar-changes" not in made
+
+
+def test_shingles_that_the_sample_misses_do_not_crowd_prefixes(spark, monkeypatch):
+    texts, made = quoting(np.random.default_rng(7), np.geomspace(150, 900, 60).astype(int), (20, 30)), {}
+    monkeypatch.setattr(similar, "SAMPLE_DOCS", 0)
+    monkeypatch.setattr(similar, "CROWD", 16, raising=False)
+    monkeypatch.setattr(similar, "materialise", lambda df, tag, write=similar.materialise: made.setdefault(tag, write(df, tag)))
+    found = similar.components(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, text string"))
+    assert {(r.id, r.component) for r in found.collect()} == {(20, 20), (21, 20), (31, 31), (32, 31)}
+    assert made["similar-open"].where("crowded").count() == 0
+    sets = [similar.shingle_set(" ".join(w)) for w in texts]
+    whole = {r.id: (r.n, len(r.prefix), set(r.prefix) <= set(sets[r.id].tolist())) for r in made["similar-settled"].collect()}
+    assert whole == {i: (len(s), len(s) - -(-4 * len(s) // 5) + 1, True) for i, s in enumerate(sets)}
+
+
 def test_pipeline_drops_near_copies(spark):
     words = [f"w{k}" for k in range(100)]
     near = [*words[:50], "other", *words[51:]]
