@@ -64,3 +64,16 @@ def test_masks_in_layers_are_one_word_a_cell_and_label(spark):
     assert free == set(range(WIDTH * HEIGHT * len(LABELS))) - set(held) and 100 < len(free) < 3500
     assert "points" not in zones.unmasked(pixels(spark), table, WIDTH, HEIGHT)._jdf.queryExecution().optimizedPlan().toString()
     assert zones.mask_cells(table, WIDTH, HEIGHT).agg(F.max(F.size("near"))).first()[0] == 3
+
+
+def test_zones_in_layers_keep_the_rows_of_cells_short(spark):
+    """None of them covers a cell, so that no cell is answered for by one: each still has a pixel's first zone for a label once."""
+    made = layers(random.Random(7), 1500)
+    table, held = spark.createDataFrame(made, POLYGON), holders(made)
+    got = {r.event_id: (r.zone_id, r.save_photo, r.save_video, r.send_message) for r in zones.zoned(pixels(spark), table, WIDTH, HEIGHT).collect()}
+    best = {i: min(zs, key=lambda z: (not z[2], z[0])) for i, zs in held.items()}
+    assert got == {i: (z[0], z[6] is not False, True, z[8]) for i, z in best.items()}
+    near = zones.cells(table, WIDTH, HEIGHT)
+    assert near.agg(F.max(F.size("near"))).first()[0] < 64 and near.count() > 15
+    bits = near.select("camera_id", "cx", "cy", F.inline("near")).groupBy("camera_id", "cx", "cy", "scope").agg(F.sum(F.bit_count("bits")).alias("n"), F.bit_count(F.bit_or("bits")).alias("of"))
+    assert bits.where("n <> of").count() == 0
