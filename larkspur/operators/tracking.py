@@ -31,6 +31,7 @@ VOTES, VELOCITY_SAMPLES, STILL, MAX_SHIFT, DECAY = 5, 6, 0.05, 0.4, 6
 STITCH_S, STITCH_DISTANCE, STITCH_RATIO, STITCH_OVERLAP = 6.0, 1.6, 1.8, 0.55
 GHOST_SCORE = 0.55
 SCHEMA = "clip string, track_id int, f int, t double, x1 double, y1 double, x2 double, y2 double, score double, label string, source string"
+LISTED = "of string, place int, nth int"  # a track's label, its place among a clip's tracks as they ended, and the sample's place in it
 
 Box = tuple[float, float, float, float]
 Sample = tuple[int, float, Box, float, str, str]  # frame, seconds, box, score, label, source
@@ -142,6 +143,15 @@ class Track:
         self.best, self.first = max(self.best, other.best), min(self.first, other.first)
 
 
+class Finished(Track):
+    """A track of a finished clip, with all its samples: its best score is one that it has a sample of."""
+
+    def absorb(self, other: Track) -> None:
+        best = self.best
+        super().absorb(other)
+        self.best = max(best, *(s[3] for s in self.samples))
+
+
 @dataclass
 class Tracker:
     """Tracks that are alive, those that have ended, the next track's number, and the frames so far of a live stream."""
@@ -290,40 +300,62 @@ def stitched(tracks: list[Track]) -> list[Track]:
 
 
 def _united(live: list[Track]) -> list[Track]:
-    """Tracks of a label that mostly overlap on shared frames become one, always the first pair in the list's order.
+    """Tracks of a label that mostly overlap on shared frames as one."""
+    return [live[places[0]] for places in _unions(live)]
+
 
-    Only tracks that share a frame can, and after a merge only the pairs of the track that grew are looked at again.
+def _unions(live: list[Track], least: float = STITCH_OVERLAP) -> list[list[int]]:
+    """Tracks of a label that overlap on average by ``least`` on shared frames become one, always the first pair in the list's order, until none do. The better one absorbs the other.
+
+    Gives the places of those that became one, in the order in which they come first on a frame. An average that high needs such an overlap on some frame, so only tracks with one are
+    compared, and after a merge only the pairs of the track that grew: what it has on a frame was there before.
     """
-    at: dict[int, set[int]] = {}  # the places of the tracks with a detection on a frame
-    for i, x in enumerate(live):
-        for s in x.seen:
-            at.setdefault(s[0], set()).add(i)
-    grown, gone, waiting = [0] * len(live), set(), []
+    near = _beside(live, least)
+    grown, became, waiting = [0] * len(live), {i: [i] for i in range(len(live))}, []
 
     def offer(i: int, others: set[int]) -> None:
-        for p, q in ((min(i, j), max(i, j)) for j in others if live[j].label == live[i].label):
-            if _shared_overlap(live[p], live[q]) >= STITCH_OVERLAP:
+        for p, q in ((min(i, j), max(i, j)) for j in others):
+            if _shared_overlap(live[p], live[q]) >= least:
                 heapq.heappush(waiting, (p, q, grown[p], grown[q]))
 
-    def beside(i: int) -> set[int]:
-        return set().union(*(at[s[0]] for s in live[i].seen)) - {i}
-
     for i in range(len(live)):
-        offer(i, {j for j in beside(i) if j > i})
+        offer(i, {j for j in near[i] if j > i})
     while waiting:
         p, q, of_p, of_q = heapq.heappop(waiting)
-        if p in gone or q in gone or (grown[p], grown[q]) != (of_p, of_q):
+        if p not in became or q not in became or (grown[p], grown[q]) != (of_p, of_q):
             continue
         into, other = sorted((p, q), key=lambda i: (-live[i].hits, -live[i].best))
-        for s in live[other].seen:
-            at[s[0]].discard(other)
         live[into].absorb(live[other])
-        gone.add(other)
+        became[into] += became.pop(other)
         grown[into] += 1
-        for s in live[into].seen:
-            at[s[0]].add(into)
-        offer(into, beside(into))
-    return [x for i, x in enumerate(live) if i not in gone]
+        for j in near[other]:
+            near[j].discard(other)
+            near[j].add(into)
+        near[into] = (near[into] | near[other]) - {into, other}
+        offer(into, near[into])
+    return list(became.values())
+
+
+def _beside(live: list[Track], least: float) -> list[set[int]]:
+    """For each track those of its label that overlap it by ``least`` on some frame: along a frame's boxes from the left, as far as one can overlap that much."""
+    at: dict[tuple, list[tuple]] = {}
+    for i, x in enumerate(live):
+        for s in x.seen:
+            at.setdefault((x.label, s[0]), []).append((*s[2], i))
+    near: list[set[int]] = [set() for _ in live]
+    slack = 1e-9  # averages are rounded
+    for boxes in at.values():
+        boxes.sort()
+        for n, (x1, y1, x2, y2, i) in enumerate(boxes):
+            far, most = x1 + (1 - least + slack) * (x2 - x1), (1 - least + slack) * (y2 - y1)
+            for m in range(n + 1, len(boxes)):
+                b = boxes[m]
+                if b[0] > far:
+                    break
+                if b[1] - y1 <= most and i != b[4] and box_iou((x1, y1, x2, y2), b[:4]) >= least * (1 - slack):
+                    near[i].add(b[4])
+                    near[b[4]].add(i)
+    return near
 
 
 def _gap(a: Track, b: Track) -> float | None:
@@ -341,34 +373,37 @@ def _shared_overlap(a: Track, b: Track) -> float:
     return sum(shares) / len(shares) if shares else 0.0
 
 
-def track_clip(rows: Iterator[tuple] | list[tuple], whole: bool = False, frame: tuple[int, int] = (0, 0)) -> list[tuple]:
-    """All tracks' samples of a clip from its detections (f, t, label, score, x1, y1, x2, y2), sorted by frame; stitched if ``whole``."""
+def track_clip(rows: Iterator[tuple] | list[tuple], whole: bool = False, frame: tuple[int, int] = (0, 0), listed: bool = False) -> list[tuple]:
+    """All tracks' samples of a clip from its detections (f, t, label, score, x1, y1, x2, y2), sorted by frame; stitched if ``whole``, with the columns of ``LISTED`` if ``listed``."""
     state = Tracker()
     for f, seen in itertools.groupby(rows, key=lambda r: r[0]):
         dets = list(seen)
         associate(state, [(r[2], r[3], tuple(float(int(v)) for v in r[4:8])) for r in dets], f, dets[0][1], frame=frame)
+    place = {x.number: i for i, x in enumerate([*state.closed, *state.active])}
     tracks = stitched(state.tracks()) if whole else state.tracks()
-    return [(x.number, s[0], s[1], *s[2], s[3], s[4], s[5]) for x in sorted(tracks, key=lambda x: x.number) for s in x.samples]
+    more = lambda x, nth: (x.label, place[x.number], nth) if listed else ()
+    return [(x.number, s[0], s[1], *s[2], s[3], s[4], s[5], *more(x, nth)) for x in sorted(tracks, key=lambda x: x.number) for nth, s in enumerate(x.samples)]
 
 
-_KINDS = (pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 6, pa.string(), pa.string())
+_KINDS = (pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 6, pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+_NAMES = [c.split()[0] for c in f"{SCHEMA}, {LISTED}".split(", ")]
 
 
-def track(detections: DataFrame, whole: bool = False, frame: tuple[int, int] = (0, 0)) -> DataFrame:
+def track(detections: DataFrame, whole: bool = False, frame: tuple[int, int] = (0, 0), listed: bool = False) -> DataFrame:
     """TRK-1..8 for every clip, and TRK-10's stitching if ``whole``. Rows come sorted by clip, and one clip at a time is held.
 
-    ``frame`` is the picture's width and height, if known: boxes are then kept inside, and a subject at the edge is given up soon.
+    ``frame`` is the picture's width and height, if known: boxes are then kept inside, and a subject at the edge is given up soon. ``listed`` adds the columns of ``LISTED``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for clip, part in itertools.groupby(rows, key=lambda r: r[0]):
-            out = track_clip((r[1:] for r in part), whole, frame)
+            out = track_clip((r[1:] for r in part), whole, frame, listed)
             for at in range(0, len(out), 8192):
                 yield _batch(clip, out[at : at + 8192])
 
     cut = detections.select("clip", "f", "t", "label", "score", "x1", "y1", "x2", "y2").repartition("clip")
-    return cut.sortWithinPartitions("clip", "f", "label", F.desc("score"), "x1", "y1", "x2", "y2", "t").mapInArrow(run, SCHEMA)
+    return cut.sortWithinPartitions("clip", "f", "label", F.desc("score"), "x1", "y1", "x2", "y2", "t").mapInArrow(run, f"{SCHEMA}, {LISTED}" if listed else SCHEMA)
 
 
 def once(rows: DataFrame, tag: str = "tracks") -> DataFrame:
@@ -380,7 +415,8 @@ def once(rows: DataFrame, tag: str = "tracks") -> DataFrame:
 
 def _batch(clip: str | None, rows: list[tuple]) -> pa.RecordBatch:
     clips = pa.repeat(pa.scalar(clip, _KINDS[0]), len(rows))
-    return pa.RecordBatch.from_arrays([clips, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS[1:], strict=True))], names=[c.split()[0] for c in SCHEMA.split(", ")])
+    columns = [clips, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS[1:], strict=False))]
+    return pa.RecordBatch.from_arrays(columns, names=_NAMES[: len(columns)])
 
 
 def best_moments(samples: DataFrame) -> DataFrame:
@@ -452,15 +488,55 @@ def at_time(samples: DataFrame, t: float, slack: float = 0.05) -> DataFrame:
     return out.select("clip", "track_id", *[(F.col(f"a.{k}") + w * (F.col(f"b.{k}") - F.col(f"a.{k}"))).alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
-def merge_overlapping(samples: DataFrame, least: float = 0.55) -> DataFrame:
-    """TRK-10: tracks of a label that overlap on average by ``least`` on their common frames become the first of them.
+def merge_overlapping(samples: DataFrame, least: float = STITCH_OVERLAP) -> DataFrame:
+    """TRK-10: tracks of a label that overlap on average by ``least`` on the frames where both were detected become one; then what that made is compared again, until no two do.
 
-    A frame that both have keeps the better sample.
+    Pairs go in the order of the clip's tracks. The one with more detections goes on, of equals that with the better one, then the earlier, and takes from the other what it has no sample of at that frame.
+    With the columns of ``LISTED`` that order, the tracks' labels and the order of a track's samples are as the tracker left them; without, they are the track's number, its last sample's label and the
+    better sample last. An average that high needs such an overlap on some frame, so only tracks with one are gone through, a clip at a time; the samples are joined with what comes of it.
     """
-    same = once(mean_overlap(samples).where(F.col("overlap") >= least).groupBy("clip", "b").agg(F.min("a").alias("into")).withColumnRenamed("b", "track_id"), "merged")
-    # Two steps, so that a track merged into one that is merged itself ends up with the first.
-    further = same.select("clip", F.col("track_id").alias("into"), F.col("into").alias("first"))
-    same = same.join(further, ["clip", "into"], "left").select("clip", "track_id", F.coalesce("first", "into").alias("into"))
-    rows = samples.join(same, ["clip", "track_id"], "left").withColumn("track_id", F.coalesce("into", "track_id")).drop("into")
-    best = rows.groupBy("clip", "track_id", "f").agg(F.max_by(F.struct(*[c for c in samples.columns if c not in ("clip", "track_id", "f")]), F.struct((F.col("source") == "detect").alias("seen"), "score")).alias("s"))
-    return best.select("clip", "track_id", "f", "s.*").select(*samples.columns)
+    extra, key = [c.split()[0] for c in LISTED.split(", ")], ["clip", "track_id"]
+    plain = [c for c in samples.columns if c not in extra]
+    listed = samples
+    if not set(extra) <= set(samples.columns):
+        last = F.max_by("label", F.struct("f", "score", "label")).over(Window.partitionBy(*key))
+        listed = samples.withColumns({"of": last, "place": F.col("track_id"), "nth": F.lit(0)})
+    own = lambda rows: rows.withColumnsRenamed({k: f"of_{k}" for k in key})
+    same = F.col("clip").eqNullSafe(F.col("of_clip")) & (F.col("track_id") == F.col("of_track_id"))
+    cut = listed.join(own(once(_overlapped(listed, least), "beside")), same, "left_semi").select("clip", "place", "track_id", "f", "nth", "score", "x1", "y1", "x2", "y2", "source", "of")
+    merges = once(cut.repartition("clip").sortWithinPartitions(*cut.columns[:-1]).mapInArrow(_merged(least), "of_clip string, of_track_id int, into int, rank int"), "merged")
+    first = F.min("rank").over(Window.partitionBy("clip", "into", "f"))
+    grown = samples.join(merges, same).withColumn("first", first).where("rank = first").withColumn("track_id", F.col("into"))
+    return samples.join(merges, same, "left_anti").select(*plain).unionByName(grown.select(*plain))
+
+
+def _overlapped(listed: DataFrame, least: float) -> DataFrame:
+    """``(clip, track_id)`` of the tracks that another one of their label overlaps by ``least`` on some frame; a little less, as averages are rounded."""
+    box = F.struct("x1", "y1", "x2", "y2")
+    seen = listed.where("source = 'detect'").select("clip", "of", "f", "track_id", box.alias("box"))
+    other = seen.withColumnsRenamed({c: f"{c}_b" for c in seen.columns})
+    frame = F.col("clip").eqNullSafe(F.col("clip_b")) & (F.col("of") == F.col("of_b")) & (F.col("f") == F.col("f_b"))
+    met = seen.join(other, frame & (F.col("track_id") < F.col("track_id_b"))).where(geo.iou(F.col("box"), F.col("box_b")) >= least * (1 - 1e-9))
+    return met.select("clip", F.explode(F.array("track_id", "track_id_b")).alias("track_id")).distinct()
+
+
+def _merged(least: float):  # noqa: ANN202
+    """What gives, for sorted samples of whole clips, the tracks that became one: each with the one that goes on and its turn on a frame that several have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for clip, part in itertools.groupby(rows, key=lambda r: r[0]):
+            tracks = []
+            for number, own in itertools.groupby(part, key=lambda r: r[2]):
+                x = Finished(number, "")
+                for *_, f, _nth, score, x1, y1, x2, y2, source, x.label in own:
+                    x.samples.append((f, 0.0, (x1, y1, x2, y2), score or 0.0, x.label, source))
+                x.seen = [s for s in x.samples if s[5] == "detect"]
+                x.hits, x.best = len(x.seen), max(s[3] for s in x.samples)
+                tracks.append(x)
+            found = [(tracks[i].number, tracks[places[0]].number, rank) for places in _unions(tracks, least) if len(places) > 1 for rank, i in enumerate(places)]
+            if found:
+                columns = [pa.repeat(pa.scalar(clip, pa.string()), len(found)), *(pa.array(c, pa.int32()) for c in zip(*found, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=["of_clip", "of_track_id", "into", "rank"])
+
+    return run

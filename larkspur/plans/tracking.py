@@ -118,4 +118,4 @@ def _(spark, sf_dir):
 
 @plan("trk_10_merge_overlaps")
 def _(spark, sf_dir):
-    return tracking.merge_overlapping(tracking.once(tracking.track(detections(spark, sf_dir))))
+    return tracking.merge_overlapping(tracking.once(tracking.track(detections(spark, sf_dir), listed=True)))
